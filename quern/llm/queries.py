@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import byte_bpe, minhash, mpeg_audio, source_mix, token_counts
+from quern.llm import byte_bpe, minhash, mpeg_audio, source_mix, suffix_dedup, token_counts
 from quern.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.cut_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.media_digests(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_source_mix": op6_source_mix,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_mpeg_audio": op10_mpeg_audio,
 }
 
@@ -78,3 +83,22 @@ r(doc_id, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id,
 m AS (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id)
 SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN m USING (doc_id)
 """
+
+ORACLE["op9_suffix_dedup"] = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, h, (len(h) // 2)::BIGINT AS n_bytes FROM d),
+w AS (SELECT doc_id, unnest(range(0, n_bytes - 49)) AS s, hash(substr(h, (2 * s + 1)::BIGINT, 100)) AS g FROM (SELECT * FROM n WHERE n_bytes >= 50)),
+m AS (SELECT g, min(doc_id) AS least FROM w GROUP BY g),
+hit AS (SELECT doc_id, s FROM w JOIN m USING (g) WHERE least < doc_id),
+b AS (SELECT DISTINCT doc_id, s + unnest(range(0, 50)) AS p FROM hit),
+runs AS (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS r FROM b),
+spans AS (SELECT doc_id, r, min(p) AS a, max(p) + 1 AS z FROM runs GROUP BY doc_id, r),
+gaps AS (
+  SELECT doc_id, coalesce(lag(z) OVER o, 0) AS a, p.a AS z, row_number() OVER o AS k FROM spans p WINDOW o AS (PARTITION BY doc_id ORDER BY p.a)
+  UNION ALL SELECT doc_id, max(z), NULL, count(*) + 1 FROM spans GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(substr(h, (2 * a + 1)::BIGINT, (2 * (coalesce(z, n_bytes) - a))::BIGINT), '' ORDER BY k) AS h FROM gaps JOIN n USING (doc_id) GROUP BY doc_id),
+t AS (SELECT doc_id, sum(z - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans FROM spans GROUP BY doc_id)
+SELECT n.doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, n.h))) AS kept_sha256
+FROM n LEFT JOIN t ON t.doc_id = n.doc_id LEFT JOIN kept ON kept.doc_id = n.doc_id
+"""
