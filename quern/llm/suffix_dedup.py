@@ -7,7 +7,7 @@ documents hold too; then the strings of those are dealt to shards by anchor. A s
 smallest id, builds the suffix array of the rest by induced sorting, takes its permuted common prefixes, and reads off
 groups of suffixes that share a whole window. Spans go back to the blocks, which cut them out of the texts.
 
-Blocks and shards hold about BLOCK_BYTES of text each, so their number grows with the input.
+Blocks and shards are sized in bytes of text, so their number grows with the input.
 """
 
 from __future__ import annotations
@@ -24,11 +24,13 @@ from quern.llm.common import bound_arrow, mix64, spans_by_bytes, text_bytes
 from quern.llm.minhash import BASE, BYTE, POWERS
 from quern.llm.suffix_array import _words, permuted_lcp, suffix_array
 
-#: Text of a block of documents, and of a shard as far as anchors spread evenly.
-BLOCK_BYTES = 16 << 20
+#: Text of a block of documents.
+BLOCK_BYTES = 4 << 20
+#: Text of all documents for each shard. Shards get the strings of shared anchors only, which overlap.
+SHARD_BYTES = 2 << 20
 #: Bytes of text that one call of the anchor search gets; a longer text is searched in overlapping pieces.
-CALL_BYTES = 1 << 20
-PIECE_BYTES = 8 << 20
+CALL_BYTES = 1 << 18
+PIECE_BYTES = 1 << 20
 #: Bytes of an anchor gram.
 GRAM = 16
 #: High bits of a gram's hash that choose the anchor; the low bits of the key hold its place.
@@ -98,7 +100,8 @@ def _anchors_of(raw: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.n
     row = np.searchsorted(offsets, start, side="right") - 1
     new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])]))
     first, last = start[new], start[np.append(new[1:], len(start)) - 1]
-    return row[new], first, last, hashed[anchor[new]], _hashes(sums, down, first, last + window)
+    # an anchor's hash is a minimum, so it is mixed again to spread evenly
+    return row[new], first, last, mix64(hashed[anchor[new]] ^ BASE), _hashes(sums, down, first, last + window)
 
 
 def _pieces(raw: np.ndarray, offsets: np.ndarray, window: int):
@@ -262,7 +265,7 @@ def _judge(window: int):
         anchor, string = np.concatenate([p[6] for p in parts]), np.concatenate([p[7] for p in parts])
         size = np.concatenate([p[8] for p in parts]).astype(np.int64)
         text = np.concatenate([p[9] for p in parts])
-        del parts
+        del parts, table
         at = np.cumsum(size) - size
         # equal strings of all blocks become one, and anchors of one document go
         _, pick, to = np.unique(string, return_index=True, return_inverse=True)
@@ -286,6 +289,7 @@ def _judge(window: int):
         inner = place < np.repeat(size[live], length)
         source = np.repeat(at[live], length) + place
         shard[:-1] = np.where(inner, text[np.where(inner, source, 0)] + np.uint8(2), np.uint8(1))
+        del text, source, inner, place
         owner = np.full(len(shard), LAST)
         owner[:-1] = np.repeat(low[live], length)
         least = window_owners(shard, owner, window)
@@ -370,7 +374,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bound_arrow(spark)
     text = docs[text_col].cast("string")
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // BLOCK_BYTES))
+    blocks, shards = max(1, -(-total // BLOCK_BYTES)), max(1, -(-total // SHARD_BYTES))
     more = keep or []
     extra = [docs[c].alias(f"_{i}") for i, c in enumerate(more)]
     whole = docs.select(docs[id_col].alias("id"), text.alias("text"), F.pmod(F.coalesce(F.xxhash64(docs[id_col]), F.lit(0)), F.lit(blocks)).cast("long").alias("block"), *extra)
@@ -379,7 +383,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     returned = T.StructType([T.StructField("block", T.LongType()), T.StructField("data", T.BinaryType())])
     told = read.where(F.octet_length("text") >= window).mapInArrow(_announce(window, blocks), flagged)
     flags = told.groupBy("bucket").applyInArrow(lambda t: _share(t), returned)
-    strings = read.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(_ship(window, blocks), flagged)
+    strings = read.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(_ship(window, shards), flagged)
     spans = strings.groupBy("bucket").applyInArrow(_judge(window), returned)
     kinds = {"id": docs.schema[id_col].dataType, "n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType(), "text": T.StringType(), "kept_sha256": T.StringType()} | {f"_{i}": docs.schema[c].dataType for i, c in enumerate(more)}
     names = ["id", "n_bytes", "n_removed", "n_spans", *(["text"] if keep is not None else []), "kept_sha256", *(f"_{i}" for i in range(len(more)))]
