@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import byte_bpe, minhash, mpeg_audio, source_mix, suffix_dedup, token_counts
-from quern.llm.common import table
+from quern.llm import byte_bpe, minhash, mpeg_audio, source_mix, suffix_dedup, token_counts, toxicity
+from quern.llm.common import held_out, table
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,13 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_toxicity_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = held_out("doc_id", 3, 1)
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.toxicity(docs, table(spark, sf_dir, "labels"), ~out)
+    return found.select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.cut_repeats(table(spark, sf_dir, "documents"))
 
@@ -38,6 +45,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_source_mix": op6_source_mix,
+    "op8_toxicity_kn": op8_toxicity_kn,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_mpeg_audio": op10_mpeg_audio,
 }
