@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import byte_bpe, minhash, mpeg_audio, source_mix, suffix_dedup, token_counts, toxicity
+from quern.llm import byte_bpe, minhash, mpeg_audio, quality, source_mix, suffix_dedup, token_counts, toxicity
 from quern.llm.common import held_out, table
 
 
@@ -21,6 +21,12 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = held_out("doc_id", 3, 1)
+    found = quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~out)
+    return found.select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -44,6 +50,7 @@ QUERIES = {
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_quality_rules": op5_quality_rules,
     "op6_source_mix": op6_source_mix,
     "op8_toxicity_kn": op8_toxicity_kn,
     "op9_suffix_dedup": op9_suffix_dedup,
