@@ -5,10 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import byte_bpe, minhash, mpeg_audio, quality, source_mix, suffix_dedup, token_counts, toxicity
+from quern.llm import byte_bpe, language_id, minhash, mpeg_audio, quality, source_mix, suffix_dedup, token_counts, toxicity
 from quern.llm.common import held_out, table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = held_out("doc_id", 5, 0)
+    found = language_id.identify(table(spark, sf_dir, "documents"), ~out)
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_copies(table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -47,6 +53,7 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_byte_bpe": op4_byte_bpe,
