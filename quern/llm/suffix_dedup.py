@@ -4,7 +4,7 @@ A window is a string of the given length. The least hashed gram in it is its anc
 at equal places, so a shard that gets all windows of an anchor can judge them. Runs of windows with one anchor are
 shipped as one string. First, only hashes of anchors are exchanged, and blocks of documents learn which anchors other
 documents hold too; then the strings of those are dealt to shards by anchor. A shard merges equal strings, keeping the
-smallest id, builds the suffix array of the rest by induced sorting, takes its permuted common prefixes, and reads off
+smallest id, builds the suffix array of those of anchors that still have several by induced sorting, takes its permuted common prefixes, and reads off
 groups of suffixes that share a whole window. Spans go back to the blocks, which cut them out of the texts.
 
 Blocks and shards are sized in bytes of text, so their number grows with the input.
@@ -32,7 +32,7 @@ SHARD_BYTES = 2 << 20
 CALL_BYTES = 1 << 18
 PIECE_BYTES = 1 << 20
 #: Bytes of an anchor gram.
-GRAM = 16
+GRAM = 20
 #: High bits of a gram's hash that choose the anchor; the low bits of the key hold its place.
 CHOICE_BITS = 40
 #: Bits of an anchor's hash that are exchanged to find shared ones. A false match only ships more strings.
@@ -278,31 +278,36 @@ def _judge(window: int):
         glow, ghigh = np.full(int(group.max()) + 1, LAST), np.full(int(group.max()) + 1, -LAST - 1)
         np.minimum.at(glow, group, low)
         np.maximum.at(ghigh, group, high)
-        live = np.flatnonzero((glow < ghigh)[group])
-        if not len(live):
+        held_by_two = (glow < ghigh)[group]
+        if not held_by_two.any():
             return none
+        # an anchor that has one string left needs no comparison: its windows are those of that string
+        several = (np.bincount(group) > 1)[group]
+        live = np.flatnonzero(held_by_two & several)
         # the shard text: strings, each after its own end mark 1, then the sentinel 0; bytes of UTF-8 are at most 0xF7
         length = size[live] + 1
         stop = np.cumsum(length)
-        shard = np.zeros(int(stop[-1]) + 1, np.uint8)
-        place = np.arange(int(stop[-1])) - np.repeat(stop - length, length)
+        total = int(length.sum())
+        shard = np.zeros(total + 1, np.uint8)
+        place = np.arange(total) - np.repeat(stop - length, length)
         inner = place < np.repeat(size[live], length)
         source = np.repeat(at[live], length) + place
         shard[:-1] = np.where(inner, text[np.where(inner, source, 0)] + np.uint8(2), np.uint8(1))
         del text, source, inner, place
         owner = np.full(len(shard), LAST)
         owner[:-1] = np.repeat(low[live], length)
-        least = window_owners(shard, owner, window)
-        begin = np.full(len(pick), -1, np.int64)
+        least = np.append(window_owners(shard, owner, window), low)
+        begin = len(shard) + np.arange(len(pick))
         begin[live] = stop - length
-        use = np.flatnonzero(begin[which] >= 0)
+        use = np.flatnonzero(held_by_two[which])
         names, blobs, out = [], [], []
         for part in np.array_split(use, max(1, len(use) // 200_000)):
             starts = size[which[part]] - window + 1
             total = np.cumsum(starts)
             occurrence = np.repeat(np.arange(len(part)), starts)
             offset = np.arange(int(total[-1]) if len(total) else 0) - np.repeat(total - starts, starts)
-            held = least[begin[which[part]][occurrence] + offset] < id_of[part][occurrence]
+            place = begin[which[part]]
+            held = least[place[occurrence] + offset * several[which[part]][occurrence]] < id_of[part][occurrence]
             edge = np.concatenate([[True], occurrence[1:] != occurrence[:-1]]) if len(occurrence) else np.zeros(0, bool)
             up = np.flatnonzero(held & (edge | ~np.concatenate([[False], held[:-1]])))
             down = np.flatnonzero(held & np.append(edge[1:] | ~held[1:], True)) if len(held) else up
