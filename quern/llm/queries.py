@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import byte_bpe, language_id, minhash, mpeg_audio, quality, source_mix, suffix_dedup, token_counts, toxicity
+from quern.llm import byte_bpe, embedding_dedup, language_id, minhash, mpeg_audio, quality, source_mix, suffix_dedup, token_counts, toxicity
 from quern.llm.common import held_out, table
 
 
@@ -37,6 +37,11 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_dedup.embedding_links(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "n_links", "component_id", "kept")
+
+
 def op8_toxicity_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = held_out("doc_id", 3, 1)
     docs = table(spark, sf_dir, "documents")
@@ -59,6 +64,7 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_quality_rules": op5_quality_rules,
     "op6_source_mix": op6_source_mix,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_toxicity_kn": op8_toxicity_kn,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_mpeg_audio": op10_mpeg_audio,
@@ -124,3 +130,12 @@ t AS (SELECT doc_id, sum(z - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_span
 SELECT n.doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, n.h))) AS kept_sha256
 FROM n LEFT JOIN t ON t.doc_id = n.doc_id LEFT JOIN kept ON kept.doc_id = n.doc_id
 """
+
+ORACLE["op7_embedding_dedup"] = r"""
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+u AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+r(vec_id, seen) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.vec_id, u.b FROM r JOIN u ON r.seen = u.a),
+m AS (SELECT vec_id, min(seen) AS component_id FROM r GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM u GROUP BY a)
+SELECT m.vec_id, coalesce(n_links, 0) AS n_links, component_id, m.vec_id = component_id AS kept FROM m LEFT JOIN n ON n.vec_id = m.vec_id
+"""
