@@ -14,6 +14,7 @@ import hashlib
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -216,3 +217,29 @@ def bpe_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=schema.names)
 
     return _rows(docs, id_col, text_col).mapInArrow(run, schema)
+
+
+def encoded_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """id_col, source_col, n_tokens long, ids array<int>, decoded_sha256 string, a row per input row.
+
+    Null counts as the empty text. Other columns of docs are not read.
+    """
+    bound_arrow(docs.sparkSession)
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField(source_col, docs.schema[source_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded_sha256", T.StringType())])
+
+    def run(batches):
+        for batch in batches:
+            _, offsets = text_bytes(batch.column(2))
+            for lo, hi in spans_by_bytes(offsets, CALL_BYTES):
+                part, c = batch.slice(lo, hi - lo), coder(path, pattern)
+                lists, digests = [], []
+                for text in part.column(2):
+                    ids, raw = c.encode_text(text.as_py() or "")
+                    lists.append(np.fromstring(ids, np.int32, sep=",") if ids else np.zeros(0, np.int32))
+                    digests.append(hashlib.sha256(raw).hexdigest())
+                n = np.array([len(x) for x in lists], np.int64)
+                ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+                every = pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int32))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.ListArray.from_arrays(ends, every), pa.array(digests, pa.string())], names=schema.names)
+
+    return docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), docs[text_col].cast("string").alias("text")).mapInArrow(run, schema)

@@ -12,7 +12,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -275,3 +275,21 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     component = F.coalesce("component_id", "id")
     component = F.when(F.col("id").isNotNull(), component)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """docs, all columns, with one row of each component of near_copies: of the rows with the smallest id, one.
+
+    Rows with a null id stay. Of rows that repeat the id that stays, the one of the least text is kept.
+    """
+    named = docs.select(F.struct(*docs.columns).alias("row"), docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    found = near_copies(docs, id_col, text_col, width, percent)
+    kept = found.where("kept").select(F.col(id_col).alias("of")).where("of is not null").distinct()
+    alone = named.where("id is null")
+    stays = named.join(kept, F.col("id") == F.col("of"), "left_semi")
+    copies = stays.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("id")
+    first = Window.partitionBy("id").orderBy(F.col("text").asc_nulls_last())
+    single = stays.join(copies, "id", "left_anti")
+    several = stays.join(copies, "id", "left_semi").withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
+    rows = single.select("row").unionByName(several.select("row")).unionByName(alone.select("row"))
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

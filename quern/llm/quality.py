@@ -257,6 +257,21 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 5) -> Ensemble:
     return Ensemble([rules[k] for k in keep], weights[keep], intercept)
 
 
+def _seen(docs: DataFrame, train, id_col: str, text_col: str, store: Stored) -> DataFrame:
+    """id, train and statistics of each row, stored."""
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), train.alias("train"))
+    return store.keep(text_statistics(rows), "statistics")
+
+
+def _learn(seen: DataFrame, labels: DataFrame, id_col: str, label_col: str, train_rows: int) -> Ensemble:
+    """An ensemble from labels of rows with train, by a hashed sample of a bounded number of labelled rows."""
+    columns = [f"stat_{s}" for s in STATS]
+    marked = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
+    known = hashed_sample(seen.where("train").join(hashed_sample(marked, F.col("id"), 3 * train_rows, 3), "id").select("id", "y", *columns), F.col("id"), train_rows, 4)
+    got = known.toPandas().sort_values(["id", *columns])
+    return fit(got[columns].to_numpy(float), (got["y"] > 0).to_numpy(float))
+
+
 def quality(docs: DataFrame, labels: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.5, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """Quality of every whole text, learnt from labels of the documents for which the column train is true.
 
@@ -267,13 +282,21 @@ def quality(docs: DataFrame, labels: DataFrame, train, id_col: str = "doc_id", t
     ids train nothing; of repeated labels of an id the largest counts. Without labels of both classes the score is
     the smoothed rate of label 1. Other columns are not read. An empty table gives no rows.
     """
-    store = Stored(docs.sparkSession, "quality")
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), train.alias("train"))
-    seen = store.keep(text_statistics(rows), "statistics")
-    columns = [f"stat_{s}" for s in STATS]
-    marked = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
-    marked = hashed_sample(marked, F.col("id"), 3 * train_rows, 3)
-    known = hashed_sample(seen.where("train").join(marked, "id").select("id", "y", *columns), F.col("id"), train_rows, 4)
-    got = known.orderBy("id", *columns).toPandas()
-    model = fit(got[columns].to_numpy(float), (got["y"] > 0).to_numpy(float))
+    seen = _seen(docs, train, id_col, text_col, Stored(docs.sparkSession, "quality"))
+    model = _learn(seen, labels, id_col, label_col, train_rows)
     return seen.select(F.col("id").alias(id_col), model.column().alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.5, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """docs, all columns, without the rows that the rules predict label 0 for. Without labels of both classes all rows stay.
+
+    The rules learn from the labels of the documents of docs. A row is judged by its own text, so null and repeated
+    ids are rows like others. The statistics and the rules run in the scan, without a join.
+    """
+    model = _learn(_seen(docs, F.lit(True), id_col, text_col, Stored(docs.sparkSession, "quality")), labels, id_col, label_col, train_rows)
+    if not model.rules:
+        return docs
+    named = docs.select(F.struct(*docs.columns).alias("row"), docs[text_col].cast("string").alias("text"))
+    judged = text_statistics(named).where(model.column() >= threshold)
+    return judged.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

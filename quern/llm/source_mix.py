@@ -60,6 +60,12 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own, last in order. Null and repeated ids are rows of their own. A source of size 0 has target 0. Other columns
     are not read. An empty table gives no rows.
     """
+    rows = _mixed(docs, id_col, text_col, source_col, seed, weights, most, share)
+    return rows.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str = "mix", weights=WEIGHTS, most: int = MOST, share: float = 1.0) -> DataFrame:
+    """id, source, size, source_size, target, copies and a hash of the text, for each row."""
     store = Stored(docs.sparkSession, "mix")
     text = docs[text_col].cast("string")
     size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -82,5 +88,25 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.join(ahead, F.col("source").eqNullSafe(F.col("of2")) & (F.col("class") == F.col("class2")) & (F.col("part") == F.col("part2")))
     start = (F.col("offset") + (F.col("ahead") % UNIT) * (F.col("step") % UNIT)) % UNIT
     crossed = lambda n: F.floor((start + n * F.col("step")) / F.lit(UNIT))
-    rows = rows.withColumn("copies", (crossed(F.col("nth")) - crossed(F.col("nth") - 1)).cast("long"))
-    return rows.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return rows.withColumn("copies", (crossed(F.col("nth")) - crossed(F.col("nth") - 1)).cast("long"))
+
+
+def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """docs, all columns, each row as often as mix_sources takes it; rows that it takes 0 times go.
+
+    Copies are joined to rows by id, source and text hash. Rows that agree in all three share what is taken of them.
+    """
+    key = lambda: (docs[id_col], docs[source_col].cast("string"), F.xxhash64(docs[text_col].cast("string")))
+    found = _mixed(docs, id_col, text_col, source_col, **options).groupBy("id", "source", "tie2").agg(F.sum("copies").alias("all"), F.count(F.lit(1)).alias("rows"))
+    found = found.where(F.col("all") > 0).select(F.col("id").alias("_a"), F.col("source").alias("_b"), F.col("tie2").alias("_c"), "all", "rows")
+    a, b, c = key()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), a.alias("a"), b.alias("b"), c.alias("c"))
+    rows = rows.join(found, F.col("a").eqNullSafe(F.col("_a")) & F.col("b").eqNullSafe(F.col("_b")) & (F.col("c") == F.col("_c")))
+    alike = Window.partitionBy("a", "b", "c").orderBy(F.lit(0))
+    single = rows.where("rows = 1").withColumn("times", F.col("all"))
+    several = rows.where("rows > 1").withColumn("nth", F.row_number().over(alike))
+    share = lambda n: F.floor(F.col("all") * n / F.col("rows"))
+    several = several.withColumn("times", share(F.col("nth")) - share(F.col("nth") - 1))
+    rows = single.select("row", "times").unionByName(several.select("row", "times"))
+    rows = rows.where("times > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("copy"))
+    return rows.select(*(F.col("row").getField(x).alias(x) for x in docs.columns))
