@@ -39,6 +39,8 @@ CHOICE_BITS = 40
 SHARE_BITS = 48
 LAST = np.iinfo(np.int64).max
 CODEC = "zstd"
+#: Low bits of an anchor's hash that a shard gets. A false match only puts two groups of strings into one.
+GROUP_MASK = np.uint64((1 << 40) - 1)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -122,12 +124,11 @@ def _ids(column) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(LAST).to_numpy(zero_copy_only=False)
 
 
-def _names(raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """A name for each row from its id and bytes; rows with equal names are equal."""
-    out = np.empty(len(ids), np.uint64)
-    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-        out[i] = int.from_bytes(hashlib.blake2b(raw[a:b], digest_size=8).digest(), "little")
-    return mix64(out + ids.view(np.uint64) * BASE)
+def _ordinals(raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Numbers of a block's rows that don't depend on their order; rows with equal ids and bytes share one."""
+    names = [(i, hashlib.blake2b(raw[a:b], digest_size=16).digest()) for i, a, b in zip(ids.tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    place = {name: k for k, name in enumerate(sorted(set(names)))}
+    return np.array([place[name] for name in names], np.uint32)
 
 
 def _bucket(anchor: np.ndarray, buckets: int) -> np.ndarray:
@@ -209,7 +210,7 @@ def _ship(window: int, buckets: int):
         shared = np.unique(np.concatenate([np.cumsum(unpack(x.as_py())[0], dtype=np.uint64) for x in flags.column("data")]))
         raw, offsets = text_bytes(docs.column("text"))
         ids = _ids(docs.column("id").combine_chunks())
-        name = _names(raw, offsets, ids)
+        ordinal = _ordinals(raw, offsets, ids)
         home = docs.column("block")[0].as_py()
         found = []
         for row0, part, offs, begin in _pieces(raw, offsets, window):
@@ -231,7 +232,7 @@ def _ship(window: int, buckets: int):
             text = raw[np.repeat(first[lone] - (stop - size), size) + np.arange(int(stop[-1]))]
             used, of = np.unique(row[at], return_inverse=True)
             # documents, then occurrences, then distinct strings
-            blobs.append(pack(np.full(1, home, np.int64), ids[used], name[used], of.astype(np.uint32), (first[at] - offsets[row[at]]).astype(np.uint32), which.astype(np.uint32), anchor[lone], string[lone], size.astype(np.uint32), text))
+            blobs.append(pack(np.full(1, home, np.int64), ids[used], ordinal[used], of.astype(np.uint32), (first[at] - offsets[row[at]]).astype(np.uint32), which.astype(np.uint32), anchor[lone] & GROUP_MASK, size.astype(np.uint32), text))
         return pa.table([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "data"])
 
     return run
@@ -258,15 +259,17 @@ def _judge(window: int):
         docs = np.cumsum([0] + [len(p[1]) for p in parts])
         strings = np.cumsum([0] + [len(p[6]) for p in parts])
         home = np.concatenate([np.repeat(p[0], len(p[1])) for p in parts])
-        ids, name = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+        ids, ordinal = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
         doc = np.concatenate([p[3].astype(np.int64) + d for p, d in zip(parts, docs[:-1], strict=True)])
         first = np.concatenate([p[4] for p in parts]).astype(np.int64)
         which = np.concatenate([p[5].astype(np.int64) + s for p, s in zip(parts, strings[:-1], strict=True)])
-        anchor, string = np.concatenate([p[6] for p in parts]), np.concatenate([p[7] for p in parts])
-        size = np.concatenate([p[8] for p in parts]).astype(np.int64)
-        text = np.concatenate([p[9] for p in parts])
+        anchor, size = np.concatenate([p[6] for p in parts]), np.concatenate([p[7] for p in parts]).astype(np.int64)
+        text = np.concatenate([p[8] for p in parts])
         del parts, table
         at = np.cumsum(size) - size
+        sums, down = _sums(text)
+        string = _hashes(sums, down, at, at + size)
+        del sums
         # equal strings of all blocks become one, and anchors of one document go
         _, pick, to = np.unique(string, return_index=True, return_inverse=True)
         which, anchor, size, at = to[which], anchor[pick], size[pick], at[pick]
@@ -317,7 +320,7 @@ def _judge(window: int):
         for block, at in _by(home[doc]):
             used, of = np.unique(doc[at], return_inverse=True)
             names.append(block)
-            blobs.append(pack(name[used], of.astype(np.uint32), begin[at].astype(np.uint32), length[at].astype(np.uint32)))
+            blobs.append(pack(ordinal[used], of.astype(np.uint32), begin[at].astype(np.uint32), length[at].astype(np.uint32)))
         return pa.table([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], names=["block", "data"])
 
     return run
@@ -327,11 +330,12 @@ def _cover(raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray, blobs: list[by
     """Which bytes of a block's rows the spans cover."""
     change = np.zeros(len(raw) + 1, np.int32)
     if blobs:
-        name = _names(raw, offsets, ids)
-        order = np.argsort(name)
+        ordinal = _ordinals(raw, offsets, ids)
+        order = np.argsort(ordinal, kind="stable")
+        bounds = np.searchsorted(ordinal[order], np.arange(int(ordinal.max(initial=0)) + 2))
         for blob in blobs:
             wanted, of, begin, length = unpack(blob)
-            lo, hi = np.searchsorted(name[order], wanted, side="left"), np.searchsorted(name[order], wanted, side="right")
+            lo, hi = bounds[wanted], bounds[wanted.astype(np.int64) + 1]
             for k in range(int((hi - lo).max(initial=0))):  # rows that repeat an id and a text
                 ok = (lo + k < hi)[of]
                 start = offsets[order[(lo + k)[of[ok]]]] + begin[ok]
@@ -396,3 +400,15 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = (whole if more else read).groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_finish(names, keep is not None), schema)
     back = {"id": id_col, "text": text_col} | {f"_{i}": c for i, c in enumerate(more)}
     return out.select([F.col(c).alias(back.get(c, c)) for c in names])
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, size_col: str = "n_chars") -> DataFrame:
+    """docs, all columns, with cut texts, and their lengths in size_col where docs has it; texts cut until no word is left go.
+
+    Texts that nothing was cut from stay as they are, null and empty ones included.
+    """
+    more = [c for c in docs.columns if c not in (id_col, text_col)]
+    found = cut_repeats(docs, id_col, text_col, window, keep=more)
+    rows = found.where((F.col("n_removed") == 0) | F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
+    size = {c: F.when(F.col("n_removed") == 0, F.col(c)).otherwise(F.char_length(text_col)).cast(docs.schema[c].dataType).alias(c) for c in more if c == size_col}
+    return rows.select(*(size.get(c, F.col(c)) for c in docs.columns))
