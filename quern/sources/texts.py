@@ -164,44 +164,50 @@ def laws(spark: SparkSession, base: str) -> DataFrame:
     return _articles(rows.where(F.length("t") >= LEAST_LAW), F.col("path"), _stem(F.col("path")), F.col("t"))
 
 
-def zipped_csv(spark: SparkSession, path: str) -> DataFrame:
-    """line_no, fields (map) of the CSV members of zip files; Spark has no zip codec, so a worker unpacks each file."""
+def _records(raw, encoding: str) -> list[list[tuple[str, str]]]:
+    import csv
+
+    rows = csv.DictReader(io.TextIOWrapper(raw, encoding, "replace", newline=""))
+    return [[(k, v) for k, v in r.items() if isinstance(k, str) and isinstance(v, str)] for r in rows]
 
-    def run(batches):
-        import csv
 
+def worker_csv(spark: SparkSession, path: str, pattern: str, encoding: str = "utf-8-sig") -> DataFrame:
+    """path, line_no, fields (map) of CSV files, or of the CSV members of zip files, that Spark's reader can't decode."""
+
+    def run(batches):
         for batch in batches:
-            for content in batch.column(0):
-                rows = []
-                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
-                    for name in sorted(n for n in z.namelist() if n.endswith(".csv")):
-                        with z.open(name) as f:
-                            rows += list(csv.DictReader(io.TextIOWrapper(f, "utf-8-sig", "replace", newline="")))
-                fields = [[(k, v) for k, v in r.items() if isinstance(k, str) and isinstance(v, str)] for r in rows]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array(fields, pa.map_(pa.string(), pa.string()))], names=["line_no", "fields"])
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = io.BytesIO(content.as_py())
+                if zipfile.is_zipfile(raw):
+                    with zipfile.ZipFile(raw) as z:
+                        rows = [r for member in sorted(n for n in z.namelist() if n.endswith(".csv")) for r in _records(z.open(member), encoding)]
+                else:
+                    raw.seek(0)
+                    rows = _records(raw, encoding)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.map_(pa.string(), pa.string()))], names=["path", "line_no", "fields"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "line_no long, fields map<string,string>")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    return files.select(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("path"), "content").mapInArrow(run, "path string, line_no long, fields map<string,string>")
 
 
 def medical_questions(spark: SparkSession, base: str) -> DataFrame:
     """Questions and answers of question.zip and answer.zip."""
     parts = []
     for name, key, mark, sign in (("question", "question_id", "q", "问："), ("answer", "ans_id", "a", "答：")):
-        rows = zipped_csv(spark, f"{base}/{name}.zip")
+        rows = worker_csv(spark, base, f"{name}.zip")
         text = F.try_element_at("fields", F.lit("content"))
         parts.append(_articles(rows, F.concat(F.lit(f"{mark}/"), F.coalesce(F.try_element_at("fields", F.lit(key)), F.col("line_no").cast("string"))), F.concat(F.lit(sign), F.substring(text, 1, 50)), text))
     return parts[0].unionByName(parts[1])
 
 
-def medical_dialogues(spark: SparkSession, base: str, encoding: str = "GBK") -> DataFrame:
-    """CSV with columns title, ask, answer in GBK, below folders named <code>_<department>."""
-    rows = spark.read.option("header", "true").option("encoding", encoding).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").schema("department string, title string, ask string, answer string").csv(base)
-    rows = rows.withColumn("path", F.url_decode(F.col("_metadata.file_path"))).withColumn("row", F.monotonically_increasing_id())
-    folder = F.element_at(F.split("path", "/"), -2)
-    dept = F.regexp_replace(folder, "^[^_]*_", "")
+def medical_dialogues(spark: SparkSession, base: str, encoding: str = "gbk") -> DataFrame:
+    """CSV with columns title, ask, answer in GBK, below folders named <code>_<department>; bad bytes are replaced."""
+    rows = worker_csv(spark, base, "*.csv", encoding)
+    rows = rows.select("path", "line_no", *(F.try_element_at("fields", F.lit(c)).alias(c) for c in ("title", "ask", "answer")))
+    dept = F.regexp_replace(F.element_at(F.split("path", "/"), -2), "^[^_]*_", "")
     part = lambda sign, c: F.when(~X.blank(F.col(c)), F.concat(F.lit(sign), X.strip(F.col(c))))
     title = F.coalesce(F.nullif(X.strip(F.col("title")), F.lit("")), F.concat(dept, F.lit("问答")))
-    return _articles(rows, F.concat_ws("/", dept, _stem(F.col("path")), F.col("row")), title, F.concat_ws("\n", part("问：", "ask"), part("答：", "answer")))
+    return _articles(rows, F.concat_ws("/", dept, _stem(F.col("path")), F.col("line_no")), title, F.concat_ws("\n", part("问：", "ask"), part("答：", "answer")))
 
 
 def subtitles(spark: SparkSession, path: str, group_size: int = 5, pattern: str = "*.txt") -> DataFrame:
