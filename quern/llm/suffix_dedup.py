@@ -3,9 +3,13 @@
 A window is a string of the given length. The least hashed gram in it is its anchor: equal windows have equal anchors
 at equal places, so a shard that gets all windows of an anchor can judge them. Runs of windows with one anchor are
 shipped as one string. First, only hashes of anchors are exchanged, and blocks of documents learn which anchors other
-documents hold too; then the strings of those are dealt to shards by anchor. A shard merges equal strings, keeping the
-smallest id, builds the suffix array of those of anchors that still have several by induced sorting, takes its permuted common prefixes, and reads off
-groups of suffixes that share a whole window. Spans go back to the blocks, which cut them out of the texts.
+documents hold too. Then each block deals its distinct strings of those, with the smallest id that has each in the
+block, to shards by anchor. A shard merges equal strings, builds the suffix array of those of anchors that still have
+several by induced sorting, takes its permuted common prefixes, and reads off groups of suffixes that share a whole
+window. The smallest id of each window goes back to the blocks that have a larger one; they compare and cut.
+
+No step gathers the documents that hold one string: a passage that a third of all documents share reaches a shard once
+per block, and the tables of anchors once per batch that is read.
 
 Blocks and shards are sized in bytes of text, so their number grows with the input.
 """
@@ -124,13 +128,6 @@ def _ids(column) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(LAST).to_numpy(zero_copy_only=False)
 
 
-def _ordinals(raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Numbers of a block's rows that don't depend on their order; rows with equal ids and bytes share one."""
-    names = [(i, hashlib.blake2b(raw[a:b], digest_size=16).digest()) for i, a, b in zip(ids.tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-    place = {name: k for k, name in enumerate(sorted(set(names)))}
-    return np.array([place[name] for name in names], np.uint32)
-
-
 def _bucket(anchor: np.ndarray, buckets: int) -> np.ndarray:
     return ((anchor >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
@@ -144,8 +141,28 @@ def _by(keys: np.ndarray):
             yield int(keys[places[0]]), places
 
 
+#: Rows to a bucket of anchors, and rows that a batch sends to a block directly.
+TO_BUCKET, TO_BLOCK = 0, 1
+ROUTED = T.StructType([T.StructField("kind", T.LongType()), T.StructField("number", T.LongType()), T.StructField("data", T.BinaryType())])
+BLOBS = T.StructType([T.StructField("number", T.LongType()), T.StructField("data", T.BinaryType())])
+
+
+def _steps(sorted_numbers: np.ndarray) -> np.ndarray:
+    return np.diff(sorted_numbers, prepend=np.uint64(0))
+
+
+def _first_of(keys: np.ndarray) -> np.ndarray:
+    """True at the first of equal neighbours."""
+    return np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
+
+
+def _blobs(numbers: list[int], blobs: list[bytes]):
+    return pa.table([pa.array(numbers, pa.int64()), pa.array(blobs, pa.binary())], names=BLOBS.names)
+
+
 def _announce(window: int, buckets: int):
-    """Step 1, on documents as they are read: for each bucket of anchors, which blocks hold them, and whether two documents here do."""
+    """Step 1, on documents as they are read: each anchor of a batch to its bucket, once, and whether two documents of
+    the batch have it; anchors of two documents also to all their blocks."""
 
     def run(batches):
         for batch in batches:
@@ -155,85 +172,89 @@ def _announce(window: int, buckets: int):
             for row0, part, offs, _ in _pieces(raw, offsets, window):
                 row, _, _, anchor, _ = _anchors_of(part, offs, window)
                 found.append((anchor >> np.uint64(64 - SHARE_BITS), row + row0))
-            if not found:
+            anchor, row = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            if not len(anchor):
                 continue
-            anchor, row = (np.concatenate(x) for x in zip(*found, strict=True))
             order = np.lexsort((row, anchor))
             anchor, row = anchor[order], row[order]
-            keep = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])]) if len(anchor) else np.zeros(0, bool)
+            keep = _first_of(anchor) | _first_of(row)
             anchor, block = anchor[keep], home[row[keep]]
-            if not len(anchor):
-                continue
-            # distinct (anchor, block); a count of two or more documents of this batch is one bit
-            twice = np.zeros(len(anchor), bool)
-            same = anchor[1:] == anchor[:-1]
-            twice[1:] |= same
-            twice[:-1] |= same
-            order = np.lexsort((block, anchor))
-            anchor, block, twice = anchor[order], block[order], twice[order]
-            keep = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (block[1:] != block[:-1])])
-            anchor, block, twice = anchor[keep], block[keep].astype(np.uint32), twice[keep]
-            names, blobs = [], []
-            for bucket, at in _by(_bucket(anchor << np.uint64(64 - SHARE_BITS), buckets)):
-                names.append(bucket)
-                blobs.append(pack(np.diff(anchor[at], prepend=np.uint64(0)), block[at], twice[at].astype(np.uint8)))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "data"])
+            begin = np.flatnonzero(_first_of(anchor))
+            several = np.diff(np.append(begin, len(anchor))) > 1
+            out = []
+            for bucket, at in _by(_bucket(anchor[begin] << np.uint64(64 - SHARE_BITS), buckets)):
+                own = begin[at]
+                out.append((TO_BUCKET, bucket, pack(_steps(anchor[own]), block[own].astype(np.uint32), several[at].astype(np.uint8))))
+            both = np.repeat(several, np.diff(np.append(begin, len(anchor))))
+            anchor, block = anchor[both], block[both]
+            for number, at in _by(block):
+                out.append((TO_BLOCK, number, pack(_steps(np.unique(anchor[at])))))
+            kind, number, data = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int64()), pa.array(number, pa.int64()), pa.array(data, pa.binary())], names=ROUTED.names)
 
     return run
 
 
-def _share(table):
-    """Step 2, a bucket of anchors: tell each block which of its anchors two documents or more hold."""
+def _share(key, table):
+    """Step 2, a bucket of anchors: tell blocks which of their anchors two documents or more hold. Rows to a block pass."""
+    if key[0].as_py() == TO_BLOCK:
+        anchors = [np.cumsum(unpack(x.as_py())[0], dtype=np.uint64) for x in table.column("data")]
+        return _blobs([key[1].as_py()], [pack(_steps(np.unique(np.concatenate(anchors))))])
     parts = [unpack(x.as_py()) for x in table.column("data")]
     anchor = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
     block, twice = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
     order = np.argsort(anchor)
     anchor, block, twice = anchor[order], block[order], twice[order]
-    begin = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+    begin = np.flatnonzero(_first_of(anchor))
     size = np.diff(np.append(begin, len(anchor)))
     shared = np.repeat((size > 1) | np.maximum.reduceat(twice, begin).astype(bool), size)
     anchor, block = anchor[shared], block[shared]
-    names, blobs = [], []
-    for home, at in _by(block):
-        names.append(home)
-        blobs.append(pack(np.diff(np.unique(anchor[at]), prepend=np.uint64(0))))
-    return pa.table([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], names=["block", "data"])
+    groups = list(_by(block))
+    return _blobs([home for home, _ in groups], [pack(_steps(np.unique(anchor[at]))) for _, at in groups])
+
+
+def _strings(raw: np.ndarray, offsets: np.ndarray, window: int, shared: np.ndarray | None = None):
+    """row, first start, last start (in raw), anchor and string hash of the runs of windows of a block's rows; of shared anchors only, if given."""
+    found = []
+    for row0, part, offs, begin in _pieces(raw, offsets, window):
+        row, first, last, anchor, string = _anchors_of(part, offs, window)
+        if shared is not None:
+            short = anchor >> np.uint64(64 - SHARE_BITS)
+            ok = shared[np.minimum(np.searchsorted(shared, short), len(shared) - 1)] == short
+            row, first, last, anchor, string = row[ok], first[ok], last[ok], anchor[ok], string[ok]
+        base = offsets[row0] + begin
+        found.append((row + row0, first + base, last + base, anchor, string))
+    if not found:
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _least(of: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    out = np.full(n, LAST)
+    np.minimum.at(out, of, ids)
+    return out
 
 
 def _ship(window: int, buckets: int):
-    """Step 3, a block of documents and its shared anchors: the strings of those, by shard."""
+    """Step 3, a block of documents and its shared anchors: the block's distinct strings of those, with their smallest ids, by shard."""
 
     def run(docs, flags):
-        empty = pa.table([pa.array([], pa.int64()), pa.array([], pa.binary())], names=["bucket", "data"])
         if not docs.num_rows or not flags.num_rows:
-            return empty
+            return _blobs([], [])
         shared = np.unique(np.concatenate([np.cumsum(unpack(x.as_py())[0], dtype=np.uint64) for x in flags.column("data")]))
         raw, offsets = text_bytes(docs.column("text"))
-        ids = _ids(docs.column("id").combine_chunks())
-        ordinal = _ordinals(raw, offsets, ids)
-        home = docs.column("block")[0].as_py()
-        found = []
-        for row0, part, offs, begin in _pieces(raw, offsets, window):
-            row, first, last, anchor, string = _anchors_of(part, offs, window)
-            short = anchor >> np.uint64(64 - SHARE_BITS)
-            near = np.minimum(np.searchsorted(shared, short), len(shared) - 1)
-            ok = shared[near] == short
-            row = row[ok] + row0
-            base = offsets[row0] + begin
-            found.append((row, first[ok] + base, last[ok] + base, anchor[ok], string[ok]))
-        row, first, last, anchor, string = (np.concatenate(x) for x in zip(*found, strict=True))
+        ids, home = _ids(docs.column("id").combine_chunks()), docs.column("block")[0].as_py()
+        row, first, last, anchor, string = _strings(raw, offsets, window, shared)
+        _, pick, of = np.unique(string, return_index=True, return_inverse=True)
+        low = _least(of, ids[row], len(pick))
+        first, anchor, size = first[pick], anchor[pick], last[pick] - first[pick] + window
         names, blobs = [], []
         for bucket, at in _by(_bucket(anchor, buckets)):
+            stop = np.cumsum(size[at])
+            text = raw[np.repeat(first[at] - (stop - size[at]), size[at]) + np.arange(int(stop[-1]))]
             names.append(bucket)
-            _, pick, which = np.unique(string[at], return_index=True, return_inverse=True)
-            lone = at[pick]
-            size = last[lone] - first[lone] + window
-            stop = np.cumsum(size)
-            text = raw[np.repeat(first[lone] - (stop - size), size) + np.arange(int(stop[-1]))]
-            used, of = np.unique(row[at], return_inverse=True)
-            # documents, then occurrences, then distinct strings
-            blobs.append(pack(np.full(1, home, np.int64), ids[used], ordinal[used], of.astype(np.uint32), (first[at] - offsets[row[at]]).astype(np.uint32), which.astype(np.uint32), anchor[lone] & GROUP_MASK, size.astype(np.uint32), text))
-        return pa.table([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "data"])
+            blobs.append(pack(np.full(1, home, np.int64), low[at], anchor[at] & GROUP_MASK, size[at].astype(np.uint32), text))
+        return _blobs(names, blobs)
 
     return run
 
@@ -251,43 +272,28 @@ def window_owners(text: np.ndarray, owner: np.ndarray, window: int) -> np.ndarra
 
 
 def _judge(window: int):
-    """Step 4, a shard: which windows a smaller id holds, as spans by block."""
+    """Step 4, a shard: the smallest ids of windows, as runs of starts of strings, to blocks whose own ids are larger."""
 
     def run(table):
-        none = pa.table([pa.array([], pa.int64()), pa.array([], pa.binary())], names=["block", "data"])
         parts = [unpack(x.as_py()) for x in table.column("data")]
-        docs = np.cumsum([0] + [len(p[1]) for p in parts])
-        strings = np.cumsum([0] + [len(p[6]) for p in parts])
         home = np.concatenate([np.repeat(p[0], len(p[1])) for p in parts])
-        ids, ordinal = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
-        doc = np.concatenate([p[3].astype(np.int64) + d for p, d in zip(parts, docs[:-1], strict=True)])
-        first = np.concatenate([p[4] for p in parts]).astype(np.int64)
-        which = np.concatenate([p[5].astype(np.int64) + s for p, s in zip(parts, strings[:-1], strict=True)])
-        anchor, size = np.concatenate([p[6] for p in parts]), np.concatenate([p[7] for p in parts]).astype(np.int64)
-        text = np.concatenate([p[8] for p in parts])
+        low, anchor, size = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
+        text = np.concatenate([p[4] for p in parts])
         del parts, table
+        size = size.astype(np.int64)
         at = np.cumsum(size) - size
         sums, down = _sums(text)
         string = _hashes(sums, down, at, at + size)
         del sums
-        # equal strings of all blocks become one, and anchors of one document go
-        _, pick, to = np.unique(string, return_index=True, return_inverse=True)
-        which, anchor, size, at = to[which], anchor[pick], size[pick], at[pick]
-        id_of = ids[doc]
-        low, high = np.full(len(pick), LAST), np.full(len(pick), -LAST - 1)
-        np.minimum.at(low, which, id_of)
-        np.maximum.at(high, which, id_of)
-        _, group = np.unique(anchor, return_inverse=True)
-        glow, ghigh = np.full(int(group.max()) + 1, LAST), np.full(int(group.max()) + 1, -LAST - 1)
-        np.minimum.at(glow, group, low)
-        np.maximum.at(ghigh, group, high)
-        held_by_two = (glow < ghigh)[group]
-        if not held_by_two.any():
-            return none
+        # equal strings of all blocks become one
+        names, pick, to = np.unique(string, return_index=True, return_inverse=True)
+        anchor, size, at = anchor[pick], size[pick], at[pick]
+        owner = _least(to, low, len(pick))
         # an anchor that has one string left needs no comparison: its windows are those of that string
+        _, group = np.unique(anchor, return_inverse=True)
         several = (np.bincount(group) > 1)[group]
-        live = np.flatnonzero(held_by_two & several)
-        # the shard text: strings, each after its own end mark 1, then the sentinel 0; bytes of UTF-8 are at most 0xF7
+        live = np.flatnonzero(several)
+        # the shard text: strings, each before an end mark 1, then the sentinel 0; bytes of UTF-8 are at most 0xF7
         length = size[live] + 1
         stop = np.cumsum(length)
         total = int(length.sum())
@@ -296,61 +302,65 @@ def _judge(window: int):
         inner = place < np.repeat(size[live], length)
         source = np.repeat(at[live], length) + place
         shard[:-1] = np.where(inner, text[np.where(inner, source, 0)] + np.uint8(2), np.uint8(1))
-        del text, source, inner, place
-        owner = np.full(len(shard), LAST)
-        owner[:-1] = np.repeat(low[live], length)
-        least = np.append(window_owners(shard, owner, window), low)
-        begin = len(shard) + np.arange(len(pick))
-        begin[live] = stop - length
-        use = np.flatnonzero(held_by_two[which])
-        names, blobs, out = [], [], []
-        for part in np.array_split(use, max(1, len(use) // 200_000)):
-            starts = size[which[part]] - window + 1
-            total = np.cumsum(starts)
-            occurrence = np.repeat(np.arange(len(part)), starts)
-            offset = np.arange(int(total[-1]) if len(total) else 0) - np.repeat(total - starts, starts)
-            place = begin[which[part]]
-            held = least[place[occurrence] + offset * several[which[part]][occurrence]] < id_of[part][occurrence]
-            edge = np.concatenate([[True], occurrence[1:] != occurrence[:-1]]) if len(occurrence) else np.zeros(0, bool)
-            up = np.flatnonzero(held & (edge | ~np.concatenate([[False], held[:-1]])))
-            down = np.flatnonzero(held & np.append(edge[1:] | ~held[1:], True)) if len(held) else up
-            o = part[occurrence[up]]
-            out.append((doc[o], first[o] + offset[up], offset[down] - offset[up] + window))
-        doc, begin, length = (np.concatenate(x) for x in zip(*out, strict=True))
-        for block, at in _by(home[doc]):
-            used, of = np.unique(doc[at], return_inverse=True)
-            names.append(block)
-            blobs.append(pack(ordinal[used], of.astype(np.uint32), begin[at].astype(np.uint32), length[at].astype(np.uint32)))
-        return pa.table([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], names=["block", "data"])
+        owners = np.full(len(shard), LAST)
+        owners[:-1] = np.repeat(owner[live], length)
+        least = window_owners(shard, owners, window)[:-1]
+        del text, source, inner, owners, shard
+        # runs of starts with one smallest id
+        start = np.flatnonzero(place <= np.repeat(size[live], length) - window)
+        which, place, least = np.repeat(live, length)[start], place[start], least[start]
+        new = np.flatnonzero(_first_of(which) | _first_of(least))
+        single = np.flatnonzero(~several)
+        of = np.concatenate([which[new], single])
+        begin = np.concatenate([place[new], np.zeros(len(single), np.int64)])
+        count = np.concatenate([np.diff(np.append(new, len(which))), size[single] - window + 1])
+        value = np.concatenate([least[new], owner[single]])
+        order = np.argsort(of, kind="stable")
+        of, begin, count, value = of[order], begin[order], count[order], value[order]
+        bounds = np.searchsorted(of, np.arange(len(pick) + 1))
+        told = np.flatnonzero(_least(of, value, len(pick))[to] < low)
+        runs = np.diff(bounds)[to[told]]
+        block, string = np.repeat(home[told], runs), np.repeat(to[told], runs)
+        use = np.arange(int(runs.sum())) - np.repeat(np.cumsum(runs) - runs, runs) + bounds[string]
+        groups = list(_by(block))
+        return _blobs([n for n, _ in groups], [pack(names[string[g]], begin[use[g]].astype(np.uint32), count[use[g]].astype(np.uint32), value[use[g]]) for _, g in groups])
 
     return run
 
 
-def _cover(raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray, blobs: list[bytes]) -> np.ndarray:
-    """Which bytes of a block's rows the spans cover."""
+def _cover(raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray, blobs: list[bytes], window: int) -> np.ndarray:
+    """Which bytes of a block's rows a smaller id holds: in the block, or as the shards tell."""
     change = np.zeros(len(raw) + 1, np.int32)
-    if blobs:
-        ordinal = _ordinals(raw, offsets, ids)
-        order = np.argsort(ordinal, kind="stable")
-        bounds = np.searchsorted(ordinal[order], np.arange(int(ordinal.max(initial=0)) + 2))
-        for blob in blobs:
-            wanted, of, begin, length = unpack(blob)
-            lo, hi = bounds[wanted], bounds[wanted.astype(np.int64) + 1]
-            for k in range(int((hi - lo).max(initial=0))):  # rows that repeat an id and a text
-                ok = (lo + k < hi)[of]
-                start = offsets[order[(lo + k)[of[ok]]]] + begin[ok]
-                np.add.at(change, start, 1)
-                np.subtract.at(change, start + length[ok], 1)
+    row, first, last, _, string = _strings(raw, offsets, window)
+    names, of = np.unique(string, return_inverse=True)
+    own = ids[row]
+    low = _least(of, own, len(names))
+    told = [unpack(b) for b in blobs]
+    key, begin, count, value = (np.concatenate([t[k] for t in told]) if told else np.zeros(0, np.uint64) for k in range(4))
+    order = np.argsort(key, kind="stable")
+    key, begin, count, value = key[order], begin[order].astype(np.int64), count[order].astype(np.int64), value[order].astype(np.int64)
+    lo, hi = np.searchsorted(key, names, side="left"), np.searchsorted(key, names, side="right")
+    runs = (hi - lo)[of]
+    # strings that no shard told of are held in this block only
+    plain = np.flatnonzero((runs == 0) & (low[of] < own))
+    np.add.at(change, first[plain], 1)
+    np.subtract.at(change, last[plain] + window, 1)
+    at = np.repeat(np.arange(len(of)), runs)
+    use = np.arange(len(at)) - np.repeat(np.cumsum(runs) - runs, runs) + lo[of[at]]
+    held = value[use] < own[at]
+    start = first[at[held]] + begin[use[held]]
+    np.add.at(change, start, 1)
+    np.subtract.at(change, start + count[use[held]] - 1 + window, 1)
     return np.cumsum(change[:-1]) > 0
 
 
-def _finish(out_schema: list[str], with_text: bool):
-    """Step 5, a block of documents and its spans: cut and count."""
+def _finish(out_schema: list[str], window: int):
+    """Step 5, a block of documents and what shards told it: cut and count."""
 
-    def run(docs, spans):
+    def run(docs, told):
         raw, offsets = text_bytes(docs.column("text"))
         ids = _ids(docs.column("id").combine_chunks()) if docs.num_rows else np.zeros(0, np.int64)
-        gone = _cover(raw, offsets, ids, [x.as_py() for x in spans.column("data")])
+        gone = _cover(raw, offsets, ids, [x.as_py() for x in told.column("data")], window)
         before = np.concatenate([[False], gone[:-1]]) if len(gone) else gone
         edge = np.zeros(len(raw) + 1, bool)
         edge[offsets] = True
@@ -359,7 +369,7 @@ def _finish(out_schema: list[str], with_text: bool):
         kept, where = raw[~gone], offsets - sums[offsets]
         texts = [kept[a:b] for a, b in zip(where[:-1].tolist(), where[1:].tolist(), strict=True)]
         columns = {"id": docs.column("id"), "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(np.diff(sums[offsets])), "n_spans": pa.array(np.diff(rises[offsets]))}
-        if with_text:
+        if "text" in out_schema:
             known = docs.column("text").is_valid().to_pylist()
             columns["text"] = pa.array([k.tobytes().decode("utf-8", "ignore") if ok else None for k, ok in zip(texts, known, strict=True)], pa.string())
         columns["kept_sha256"] = pa.array([hashlib.sha256(k).hexdigest() for k in texts], pa.string())
@@ -388,16 +398,14 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     extra = [docs[c].alias(f"_{i}") for i, c in enumerate(more)]
     whole = docs.select(docs[id_col].alias("id"), text.alias("text"), F.pmod(F.coalesce(F.xxhash64(docs[id_col]), F.lit(0)), F.lit(blocks)).cast("long").alias("block"), *extra)
     read = whole.select("id", "text", "block")
-    flagged = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("data", T.BinaryType())])
-    returned = T.StructType([T.StructField("block", T.LongType()), T.StructField("data", T.BinaryType())])
-    told = read.where(F.octet_length("text") >= window).mapInArrow(_announce(window, blocks), flagged)
-    flags = told.groupBy("bucket").applyInArrow(lambda t: _share(t), returned)
-    strings = read.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(_ship(window, shards), flagged)
-    spans = strings.groupBy("bucket").applyInArrow(_judge(window), returned)
+    told = read.where(F.octet_length("text") >= window).mapInArrow(_announce(window, blocks), ROUTED)
+    flags = told.groupBy("kind", "number").applyInArrow(lambda key, t: _share(key, t), BLOBS)
+    strings = read.groupBy("block").cogroup(flags.groupBy("number")).applyInArrow(_ship(window, shards), BLOBS)
+    spans = strings.groupBy("number").applyInArrow(_judge(window), BLOBS)
     kinds = {"id": docs.schema[id_col].dataType, "n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType(), "text": T.StringType(), "kept_sha256": T.StringType()} | {f"_{i}": docs.schema[c].dataType for i, c in enumerate(more)}
     names = ["id", "n_bytes", "n_removed", "n_spans", *(["text"] if keep is not None else []), "kept_sha256", *(f"_{i}" for i in range(len(more)))]
     schema = T.StructType([T.StructField(c, kinds[c]) for c in names])
-    out = (whole if more else read).groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_finish(names, keep is not None), schema)
+    out = (whole if more else read).groupBy("block").cogroup(spans.groupBy("number")).applyInArrow(_finish(names, window), schema)
     back = {"id": id_col, "text": text_col} | {f"_{i}": c for i, c in enumerate(more)}
     return out.select([F.col(c).alias(back.get(c, c)) for c in names])
 
