@@ -25,7 +25,8 @@ TRAIN_ROWS = 20_000
 TREES, DEPTH, SHARE, RATE = 60, 3, 0.5, 0.15
 #: Cuts per statistic that trees may use.
 CUTS = 32
-#: Rules that the lasso may keep.
+#: Rules that the lasso is given, and rules that it may keep.
+SCREENED = 250
 MOST_RULES = 60
 
 _CLASS = np.full(256, 8, np.int64)
@@ -195,20 +196,41 @@ def grow_rules(x: np.ndarray, y: np.ndarray, seed: int = 5) -> list[Rule]:
 def lasso_logistic(z: np.ndarray, y: np.ndarray, strength: float, rounds: int = 400, start=None) -> tuple[np.ndarray, float]:
     """Weights and intercept that minimise mean logistic loss plus strength times the sum of absolute weights (FISTA)."""
     n, m = z.shape
-    step = 4.0 / (np.linalg.norm(z[: min(n, 4000)], 2) ** 2 / min(n, 4000) + 1)
+    # the largest eigenvalue of z'z / n, by power steps, bounds the curvature
+    v = np.ones(m)
+    for _ in range(20):
+        v = z.T @ (z @ v.astype(z.dtype)) / n
+        v /= max(np.linalg.norm(v), 1e-12)
+    step = 4.0 / (1.1 * float(np.linalg.norm(z.T @ (z @ v.astype(z.dtype)) / n)) + 1)
     w, b = (np.zeros(m), float(np.log((y.sum() + 1) / (n - y.sum() + 1)))) if start is None else start
     v, c, t = w.copy(), b, 1.0
     for _ in range(rounds):
-        p = sigmoid(z @ v + c)
-        w2 = v - step * (z.T @ (p - y) / n)
+        p = sigmoid(z @ v.astype(z.dtype) + c)
+        w2 = v - step * (z.T @ (p - y).astype(z.dtype) / n)
         w2 = np.sign(w2) * np.maximum(np.abs(w2) - step * strength, 0)
         b2 = c - step * float((p - y).mean())
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, c = w2 + (t - 1) / t2 * (w2 - w), b2 + (t - 1) / t2 * (b2 - b)
+        still = np.abs(w2 - w).max(initial=abs(b2 - b)) < 1e-5
         w, b, t = w2, b2, t2
+        if still:
+            break
     return w, b
 
 
+def screened(rules: list[Rule], x: np.ndarray, y: np.ndarray) -> tuple[list[Rule], np.ndarray]:
+    """Rules that hold for different rows, the shortest of each, at most SCREENED by their correlation with the label, and their columns."""
+    columns = [r.holds(x) for r in rules]
+    kept: dict[bytes, int] = {}
+    for k in sorted(range(len(rules)), key=lambda k: len(rules[k].terms)):
+        kept.setdefault(np.packbits(columns[k]).tobytes(), k)
+    picks = [k for k in sorted(kept.values()) if 0 < columns[k].sum() < len(x)]
+    away = y - y.mean()
+    strength = np.array([abs(away[columns[k]].sum()) / np.sqrt(columns[k].mean() * (1 - columns[k].mean())) for k in picks])
+    picks = [picks[k] for k in np.sort(np.argsort(-strength, kind="stable")[:SCREENED])]
+    return [rules[k] for k in picks], np.stack([columns[k] for k in picks], axis=1).astype(np.float32) if picks else np.zeros((len(x), 0), np.float32)
+
+
 @dataclass
 class Ensemble:
     rules: list[Rule]
@@ -232,20 +254,18 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 5) -> Ensemble:
     if len(np.unique(y[back])) < 2 or len(np.unique(y[~back])) < 2:
         back[:] = False
 
-    def design(rules, x):
-        return np.stack([r.holds(x) for r in rules], axis=1).astype(np.float64) if rules else np.zeros((len(x), 0))
-
-    path, rules = (0.02, 0.01, 0.006, 0.004, 0.0025, 0.0015, 0.001), grow_rules(x[~back], y[~back], seed)
-    z = design(rules, x[~back])
+    path = (0.02, 0.01, 0.006, 0.004, 0.0025, 0.0015, 0.001)
+    rules, z = screened(grow_rules(x[~back], y[~back], seed), x[~back], y[~back])
+    test = np.stack([r.holds(x[back]) for r in rules], axis=1).astype(np.float32) if rules else np.zeros((int(back.sum()), 0), np.float32)
     best, start = (np.inf, path[-2]), None
     for strength in path if back.any() else ():
         start = lasso_logistic(z, y[~back], strength, start=start)
-        s = design(rules, x[back]) @ start[0] + start[1]
+        s = test @ start[0].astype(np.float32) + start[1]
         loss = np.logaddexp(0, -np.where(y[back] > 0, 1, -1) * s).mean()
         if loss < best[0] - 1e-4 and (start[0] != 0).sum() <= MOST_RULES:
             best = (loss, strength)
-    rules = grow_rules(x, y, seed)
-    z, start = design(rules, x), None
+    rules, z = screened(grow_rules(x, y, seed), x, y)
+    start = None
     for strength in path[: path.index(best[1]) + 1]:
         new = lasso_logistic(z, y, strength, start=start)
         if start is not None and (new[0] != 0).sum() > MOST_RULES:
