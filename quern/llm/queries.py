@@ -87,7 +87,7 @@ l AS (
 t AS (
   SELECT source, source_size, docs, coalesce(least(cap, weight * (SELECT arg_min(level, full_at) FROM l WHERE level <= full_at)), cap) AS target FROM l),
 p AS (
-  SELECT source AS of, source_size, target, ceil(docs / 20000)::BIGINT AS blocks,
+  SELECT source AS of, source_size, target, ceil(docs / 2000)::BIGINT AS blocks,
          ('0x' || substr(md5('mix:' || coalesce('s' || source, 'n')), 1, 7))::BIGINT * 4 AS ofs,
          coalesce(floor(target / nullif(source_size, 0)::DOUBLE * 1073741824 + 0.5), 0)::BIGINT AS step FROM t),
 j AS (

@@ -16,7 +16,7 @@ WEIGHTS = (5, 2, 1)
 #: No source, and no document, is taken more than so many times its size.
 MOST = 3
 #: A size class of a source is dealt over enough blocks for each to hold about so many documents at most.
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 2_000
 #: Copies are summed in fixed point, in units of 2**-30, so that sums are exact and don't depend on their order.
 UNIT = 1 << 30
 
