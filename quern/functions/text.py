@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,7 +88,10 @@ def phrase(c: Column, term: str) -> Column:
         return F.lit(False)
     if is_cjk(term):
         return c.contains(term)
-    return F.contains(token_line(c), token_line(F.lit(term)))
+    whole = F.contains(token_line(c), token_line(F.lit(term)))
+    plain = max(re.findall("[a-z0-9]+", term.lower()), key=len, default="")
+    # a cheap test that every text with the phrase passes goes first
+    return F.contains(F.lower(c), F.lit(plain)) & whole if plain else whole
 
 
 def every_character(c: Column, term: str) -> Column:

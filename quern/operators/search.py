@@ -62,10 +62,43 @@ def count_by_source(hits: DataFrame, cap_per_source: int = 1000) -> DataFrame:
     return hits.groupBy("source").agg(F.least(F.count(F.lit(1)), F.lit(cap_per_source)).alias("hits")).orderBy(F.desc("hits"), "source")
 
 
+#: From so many terms on, phrases are looked up among a text's runs of tokens instead of being searched for one by one.
+MANY_TERMS = 16
+
+
+def term_hits(chunks: DataFrame, terms: list[str]) -> DataFrame:
+    """chunks by term: a row for each of terms that a chunk has, in one pass over the chunks.
+
+    Few terms are tested one by one on a token line made once. Many terms are matched by their tokens: runs of as many
+    tokens as some term has are looked up in a map of terms, so the cost doesn't grow with their number.
+    """
+    spark, columns = chunks.sparkSession, [F.col(c) for c in chunks.columns]
+    known = [t for t in dict.fromkeys(terms) if t.strip()]
+    if not known:
+        return chunks.withColumn("term", F.lit(None).cast("string")).limit(0)
+    if len(known) < MANY_TERMS:
+        tests = F.transform(F.array(X.token_line(F.col("text"))), lambda line: F.array_compact(F.array(*(F.when(F.contains(line, X.token_line(F.lit(t))), F.lit(t)) for t in known))))[0]
+        return chunks.select(*columns, F.explode(tests).alias("term"))
+    table = spark.createDataFrame([(t,) for t in known], "term string").select("term", X.tokens(F.col("term")).alias("tokens"))
+    table = table.where(F.size("tokens") > 0).select("term", F.size("tokens").alias("size"), F.array_join("tokens", " ").alias("phrase")).collect()  # the terms asked for
+    sizes = sorted({r["size"] for r in table})
+    if not sizes:
+        return chunks.withColumn("term", F.lit(None).cast("string")).limit(0)
+
+    def runs(tokens, size):
+        starts = F.sequence(F.lit(1), F.size(tokens) - (size - 1))
+        return F.when(F.size(tokens) >= size, tokens if size == 1 else F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, size), " "))).otherwise(F.array().cast("array<string>"))
+
+    phrases = F.array(*(F.lit(p) for p in sorted({r["phrase"] for r in table})))
+    found = F.transform(F.array(X.tokens(F.col("text"))), lambda tokens: F.array_intersect(F.concat(*(runs(tokens, n) for n in sizes)), phrases))[0]
+    rows = chunks.select(*columns, F.explode(found).alias("_phrase"))
+    names = spark.createDataFrame([(r["phrase"], r["term"]) for r in table], "_phrase string, term string")
+    return rows.join(F.broadcast(names), "_phrase").drop("_phrase")  # a row per term asked for
+
+
 def count_terms_by_source(chunks: DataFrame, terms: list[str], cap_per_source: int = 1000) -> DataFrame:
-    """term, source, hits for many terms in one pass over the chunks."""
-    tests = F.array_compact(F.array(*(F.when(X.phrase(F.col("text"), t), F.lit(t)) for t in terms)))
-    return chunks.select("source", F.explode(tests).alias("term")).groupBy("term", "source").agg(F.least(F.count(F.lit(1)), F.lit(cap_per_source)).alias("hits"))
+    """term, source, hits (capped) for many terms in one pass over the chunks."""
+    return term_hits(chunks.select("source", "text"), terms).groupBy("term", "source").agg(F.least(F.count(F.lit(1)), F.lit(cap_per_source)).alias("hits"))
 
 
 def context(chunks: DataFrame, hits: DataFrame, before: int = 2, after: int = 2) -> DataFrame:

@@ -120,6 +120,15 @@ def many_terms_by_source(spark, sf_dir):
     return S.count_terms_by_source(_chunks(spark, sf_dir), TERMS, 20)
 
 
+#: A batch of phrases of one and two words.
+BATCH = [f"{a} {b}" for a in ("the", "of", "in", "to", "and", "der", "die", "les", "la", "el") for b in ("the", "and", "that", "was", "is", "und", "das", "une", "que", "con")] + ["worthless", "thouinor"]
+
+
+@query("WITH t(term) AS (VALUES " + ", ".join(f"('{t}')" for t in BATCH) + f"), l AS (SELECT source, {LINE} AS line FROM documents) SELECT term, source, least(count(*), 20) AS hits FROM l JOIN t ON contains(line, ' ' || term || ' ') GROUP BY term, source")
+def batch_terms_by_source(spark, sf_dir):
+    return S.count_terms_by_source(_chunks(spark, sf_dir), BATCH, 20)
+
+
 @query(f"SELECT source, doc_id, nth FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS nth FROM documents WHERE {HIT}) WHERE nth <= 2")
 def sample_per_source(spark, sf_dir):
     return S.sample_per_source(S.phrase_hits(_chunks(spark, sf_dir), PHRASE), 2).select("source", F.col("chunk_id").alias("doc_id"), "nth")

@@ -107,3 +107,11 @@ def test_group_lines(spark):
     df = spark.createDataFrame([(i, f"l{i}") for i in range(7)], "line_no int, text string")
     assert rows(C.group_lines(df, 5)) == [(0, "l0\nl1\nl2\nl3\nl4", "l0"), (1, "l5\nl6", "l5")]
     assert rows(C.full_article(df.select(F.lit("s").alias("source"), F.lit("a").alias("source_article_id"), F.col("line_no").alias("chunk_index"), "text").where("line_no < 2"))) == [("s", "a", "l0\nl1")]
+
+
+def test_many_terms_like_few(chunks, monkeypatch):
+    terms = ["银行", "选任", "是", "", "没有", "大家", "BANK x"]
+    few = rows(S.count_terms_by_source(chunks, terms))
+    monkeypatch.setattr(S, "MANY_TERMS", 1)
+    assert few == rows(S.count_terms_by_source(chunks, terms)) and ("银行", "wiki", 3) in few
+    assert S.term_hits(chunks, [""]).count() == 0
