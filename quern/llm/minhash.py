@@ -12,14 +12,14 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm.common import Stored, bound_arrow, mix64, spans_by_bytes, text_bytes
 from quern.llm.components import components
 
-CALL_BYTES = 1 << 20
+CALL_BYTES = 1 << 18
 #: A block of a family holds about so many sets and so many bytes of shingles.
 BLOCK_SETS = 256
 BLOCK_BYTES = 8 << 20
@@ -137,8 +137,8 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _features(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """id, n, h1, h2 (which name the set), keys of the bands."""
-    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), T.StructField("n", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    """id, tie, n, h1, h2 (which name the set), keys of the bands."""
+    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), T.StructField("tie", T.LongType()), T.StructField("n", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def run(batches):
         for batch in batches:
@@ -157,7 +157,7 @@ def _features(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                     keys = band_keys(signatures(s, begin, bands * rows), bands, rows).ravel()
                     width_of[1:][full] = bands
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum(width_of, dtype=np.int32)), pa.array(keys))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -232,12 +232,18 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     has a null component_id and is kept. Rows that repeat an id are linked by their own texts each, and share the id.
     Other columns are not read. An empty table gives no rows.
     """
+    rows = _components(docs, id_col, text_col, width, percent)
+    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "kept")
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """id, tie (a hash of the text), n, component_id, kept of each row."""
     spark = docs.sparkSession
     bound_arrow(spark)
     store = Stored(spark, "near-copies")
     bands, rows = banding(percent / 100)
     read = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    seen = store.keep(_features(read, width, bands, rows), "features")
+    seen = store.keep(_features(read.withColumn("tie", F.xxhash64("text")), width, bands, rows), "features")
     named = seen.where(F.col("id").isNotNull() & (F.col("n") > 0))
     distinct = store.keep(named.groupBy("h1", "h2", "n").agg(F.min(F.struct("id", "keys")).alias("x")).select("h1", "h2", "n", F.col("x.id").alias("rep"), F.col("x.keys").alias("keys")), "distinct")
     placed = distinct.select("rep", F.explode("keys").alias("key"))
@@ -274,22 +280,20 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = seen.drop("keys").join(found, ["h1", "h2", "n"], "left")
     component = F.coalesce("component_id", "id")
     component = F.when(F.col("id").isNotNull(), component)
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return out.select("id", "tie", "n", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """docs, all columns, with one row of each component of near_copies: of the rows with the smallest id, one.
 
-    Rows with a null id stay. Of rows that repeat the id that stays, the one of the least text is kept.
+    Rows with a null id stay. Of rows that repeat the id that stays, one of the text with the least hash is kept.
     """
-    named = docs.select(F.struct(*docs.columns).alias("row"), docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    found = near_copies(docs, id_col, text_col, width, percent)
-    kept = found.where("kept").select(F.col(id_col).alias("of")).where("of is not null").distinct()
-    alone = named.where("id is null")
-    stays = named.join(kept, F.col("id") == F.col("of"), "left_semi")
-    copies = stays.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("id")
-    first = Window.partitionBy("id").orderBy(F.col("text").asc_nulls_last())
-    single = stays.join(copies, "id", "left_anti")
-    several = stays.join(copies, "id", "left_semi").withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
-    rows = single.select("row").unionByName(several.select("row")).unionByName(alone.select("row"))
+    text = docs[text_col].cast("string")
+    named = docs.select(F.struct(*docs.columns).alias("row"), docs[id_col].alias("id"), F.xxhash64(text).alias("tie"))
+    # of each id that stays, one text; only ids and hashes are grouped
+    one = _components(docs, id_col, text_col, width, percent).where("kept and id is not null").groupBy("id", "tie").agg(F.count(F.lit(1)).alias("copies"))
+    one = one.groupBy("id").agg(F.min(F.struct("tie", "copies")).alias("x")).select(F.col("id").alias("of"), "x.tie", "x.copies").withColumnRenamed("tie", "of_tie")
+    stays = named.join(one, (F.col("id") == F.col("of")) & (F.col("tie") == F.col("of_tie")))
+    single, several = stays.where("copies = 1"), stays.where("copies > 1").dropDuplicates(["id"])
+    rows = single.select("row").unionByName(several.select("row")).unionByName(named.where("id is null").select("row"))
     return rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
