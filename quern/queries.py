@@ -471,3 +471,50 @@ def cascade_delete(spark, sf_dir):
 @query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC NULLS LAST, doc_id ASC NULLS FIRST LIMIT 20 OFFSET 10")
 def paged_order(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", "n_chars").orderBy(F.desc_nulls_last("n_chars"), F.asc_nulls_first("doc_id")).offset(10).limit(20)
+
+
+@query(
+    """WITH b AS (SELECT c_custkey, c_name, c_mktsegment, 'order ' || arg_min(o_orderkey, (CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 99 END, o_orderkey)) AS d
+  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '5-LOW' GROUP BY ALL)
+SELECT c_mktsegment AS pinyin, lower(c_name) AS simplified, c_name || ' ' || lower(c_name) || ' [' || c_mktsegment || '] /' || d || '/' AS line FROM b"""
+)
+def export_lines(spark, sf_dir):
+    words, defs = _dictionary(spark, sf_dir)
+    ranked = defs.withColumn("source", F.when(F.col("source") == "F", "cedict").when(F.col("source") == "O", "jmdict").otherwise("other"))
+    return L.export_lines(words, ranked, "5-LOW")
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN c.c_custkey IS NULL THEN 'missing_headword' WHEN o.o_custkey IS NULL THEN 'missing_definition' ELSE 'complete' END AS status
+FROM part LEFT JOIN customer c ON c.c_custkey = p_partkey LEFT JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F') o ON o.o_custkey = c.c_custkey"""
+)
+def classify_entries(spark, sf_dir):
+    key = lambda c: [F.col(c).cast("string").alias(k) for k in ("traditional", "simplified", "pinyin")]
+    words = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), *key("c_custkey"))
+    entries = _table(spark, sf_dir, "part").select("p_partkey", *key("p_partkey"))
+    return L.classify_entries(entries, words, _dictionary(spark, sf_dir)[1], source="F").select("p_partkey", "status")
+
+
+@query(
+    """WITH p AS (SELECT o_custkey AS headword_id, o_orderpriority AS lang, arg_min('order ' || o_orderkey, o_orderkey) FILTER (o_orderstatus <> 'F') AS other, max('order ' || o_orderkey) FILTER (o_orderstatus = 'F') AS own FROM orders GROUP BY ALL),
+l AS (SELECT count(DISTINCT o_orderpriority) AS n FROM orders),
+w AS (SELECT c_custkey AS headword_id, count(own) AS have FROM customer LEFT JOIN p ON headword_id = c_custkey GROUP BY c_custkey HAVING count(own) < (SELECT n FROM l) ORDER BY c_custkey LIMIT 50)
+SELECT w.headword_id, CASE WHEN have > 0 THEN have ELSE (SELECT count(other) FROM p WHERE p.headword_id = w.headword_id) END AS known, ((SELECT n FROM l) - have)::INT AS missing FROM w"""
+)
+def backfill_work(spark, sf_dir):
+    words, defs = _dictionary(spark, sf_dir)
+    langs = [r["lang"] for r in defs.select("lang").distinct().collect()]  # five priorities
+    rows = L.backfill_work(words, L.last_wins(defs, ["headword_id", "lang", "source"], "id"), langs, 50, source="F", include_zero=True)
+    return rows.select("headword_id", F.coalesce(F.size("existing_defs"), F.lit(0)).cast("long").alias("known"), F.size("missing_langs").alias("missing"))
+
+
+@query("SELECT source, lang, count(*) AS n FROM (SELECT source, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) GROUP BY ALL")
+def pending_work(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    return E.pending(docs, _table(spark, sf_dir, "labels"), "doc_id").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, substr(text, 1, 80) AS prefix, 'the [' || 'and' || ']' AS marked, list_sort(list_distinct(regexp_extract_all(lower(substr(text, 1, 200)), '[\\p{L}\\p{N}]+'))) AS tokens FROM documents")
+def text_fields(spark, sf_dir):
+    start = F.substring("text", 1, 200)
+    return _table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 80).alias("prefix"), X.highlight(F.lit("the and"), "and").alias("marked"), F.sort_array(F.array_distinct(X.tokens(start))).alias("tokens"))
