@@ -21,8 +21,10 @@ from quern.llm.common import Stored, bound_arrow
 from quern.llm.components import components
 from quern.llm.fitting import hashed_sample
 
-#: Vectors of a block of a cluster, about; centroids at most, and vectors that they are fitted on.
-SHARD_ROWS, MOST_CLUSTERS, SAMPLE_ROWS = 600, 1024, 20_000
+#: Vectors of a block of a cluster, about; centroids at most; vectors that they are fitted on, at least and per centroid.
+SHARD_ROWS, MOST_CLUSTERS, SAMPLE_ROWS, SAMPLE_EACH = 600, 16_384, 20_000, 8
+#: More centroids than this are fitted in two levels.
+FLAT_CLUSTERS = 512
 #: Shards of a vector; neighbours kept by pruning; candidates looked at; how much nearer a kept neighbour must be to prune.
 OVERLAP, DEGREE, POOL, ALPHA = 3, 20, 64, 1.2
 #: Nodes that a greedy search keeps, and how far below the range a node may lie and still be expanded.
@@ -31,8 +33,7 @@ BEAM, SLACK = 16, 0.03
 AUDIT_ROWS, LEAST_RECALL = 512, 0.98
 
 
-def centroids(x: np.ndarray, k: int, seed: int = 3, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means of unit vectors."""
+def _means(x: np.ndarray, k: int, seed: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     random = np.random.default_rng(seed)
     c = x[np.sort(random.choice(len(x), min(k, len(x)), replace=False))]
     for _ in range(rounds):
@@ -41,7 +42,16 @@ def centroids(x: np.ndarray, k: int, seed: int = 3, rounds: int = 12) -> np.ndar
         np.add.at(total, near, x)
         size = np.linalg.norm(total, axis=1, keepdims=True)
         c = np.where(size > 0, total / np.where(size > 0, size, 1), c)
-    return c
+    return c, (x @ c.T).argmax(1)
+
+
+def centroids(x: np.ndarray, k: int, seed: int = 3, rounds: int = 12) -> np.ndarray:
+    """Spherical k-means of unit vectors; many centroids are fitted inside coarse clusters, in proportion to their sizes."""
+    if k <= FLAT_CLUSTERS:
+        return _means(x, k, seed, rounds)[0]
+    coarse, near = _means(x, int(np.ceil(np.sqrt(k))), seed, rounds)
+    parts = [x[near == i] for i in range(len(coarse))]
+    return np.concatenate([_means(p, max(1, round(k * len(p) / len(x))), seed, rounds)[0] for p in parts if len(p)])
 
 
 def prune(x: np.ndarray, seed: int = 1) -> list[np.ndarray]:
@@ -173,8 +183,11 @@ def _assign(nodes: DataFrame, c: np.ndarray, overlap: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            sims = _unit(_vectors(batch.column(1))) @ c.T
-            order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+            if not batch.num_rows:
+                continue
+            unit = _unit(_vectors(batch.column(1)))
+            step = max(1, (1 << 22) // max(1, len(c)))
+            order = np.concatenate([np.argsort(-(unit[lo : lo + step] @ c.T), axis=1, kind="stable")[:, :k] for lo in range(0, len(unit), step)])
             at = pa.array(np.repeat(np.arange(len(order)), k))
             yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(3)), pa.array(order.ravel().astype(np.int64)), pa.array(np.tile(np.arange(k), len(order)))], names=["key", "v", "mult", "cluster", "rank"])
 
@@ -253,9 +266,10 @@ def _true_links(nodes: DataFrame, queries: DataFrame, least: float) -> dict[int,
 def _links(nodes: DataFrame, least: float, store: Stored, label: str) -> tuple[DataFrame, DataFrame, float]:
     """Numbers of links (key, n), edges (a, b) that join what is linked, and the audited recall, for vectors of one length."""
     n = nodes.count()
-    sample = hashed_sample(nodes.select("key", "v"), F.col("key"), SAMPLE_ROWS, 23).toArrow().sort_by("key").combine_chunks()
+    k = max(1, min(MOST_CLUSTERS, -(-2 * n // SHARD_ROWS)))
+    sample = hashed_sample(nodes.select("key", "v"), F.col("key"), max(SAMPLE_ROWS, SAMPLE_EACH * k), 23).toArrow().sort_by("key").combine_chunks()
     unit = _unit(_vectors(sample.column("v").combine_chunks())) if sample.num_rows else np.zeros((0, 0))
-    c = centroids(unit, max(1, min(MOST_CLUSTERS, -(-2 * n // SHARD_ROWS)))) if len(unit) else unit
+    c = centroids(unit, k) if len(unit) else unit
     audit = store.keep(hashed_sample(nodes, F.col("key"), AUDIT_ROWS, 29), f"audit-{label}")
     truth, overlap, attempt = _true_links(nodes, audit, least), OVERLAP, 0
     while True:

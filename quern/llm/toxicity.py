@@ -211,7 +211,8 @@ def _score_here(rows: DataFrame, grams: DataFrame, backs: DataFrame, models: lis
 def _score_joined(rows: DataFrame, grams: DataFrame, backs: DataFrame, models: list[str]) -> DataFrame:
     """The same features where a model is too large to send: distinct words are joined to it, and documents to them."""
     names = [c for c in rows.columns if c != "text"]
-    rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    # stored, so that numbers stay with their rows whatever is computed again
+    rows = Stored(rows.sparkSession, "toxicity-rows").keep(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
     place, at = rows.columns.index("text"), rows.columns.index("_row")
     spelled = T.StructType([T.StructField("_row", T.LongType()), T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType())])
 

@@ -302,6 +302,14 @@ def test_embedding_edge_tables(spark):
     assert got == [(1, 0, 1, True), (2, 2, 2, True), (3, 0, 3, True), (3, 2, 2, False), (None, 2, 2, False)]
 
 
+def test_centroids_in_two_levels(monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "FLAT_CLUSTERS", 4)
+    x = vectors(300, 8).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = embedding_dedup.centroids(x, 30)
+    assert 20 <= len(c) <= 40 and np.allclose(np.linalg.norm(c, axis=1), 1)
+
+
 def test_pruned_graph_reaches_all():
     x = vectors(300, 8).astype(float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
