@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows and bytes that one Arrow batch may hold on its way to a Python worker.
 ARROW_ROWS = 2000
-ARROW_BYTES = 32 << 20
+ARROW_BYTES = 16 << 20
 
 
 def bound_arrow(spark: SparkSession) -> None:
@@ -35,11 +35,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Stored:
-    """DataFrames written to the shared folder, which cuts their lineage and outlives lost executors."""
+    """DataFrames written to the shared folder, which cuts their lineage and outlives lost executors.
+
+    They last as long as the application, whose file system deletes them when it ends.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        system, path = self._at(self.root)
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+
+    def _at(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), path
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -48,9 +58,8 @@ class Stored:
 
     def drop(self, name: str) -> None:
         """Delete a step that nothing reads any more."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        system, path = self._at(f"{self.root}/{name}")
+        system.delete(path, True)
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
