@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import threading
+import time
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -103,3 +106,26 @@ def forms_by_dialect(rows: DataFrame, headwords: DataFrame, source: str, place_c
     name = F.lit(source) if place_col is None else F.concat(F.lit(f"{source}-"), F.lower(place_col))
     found = L.match_words(rows.withColumn("source", name), headwords)
     return L.upsert_forms(found.select(*D.FORM, "line_no"), "line_no").select(*D.FORM)
+
+
+def timed(df: DataFrame, seconds: float) -> tuple[list | None, float]:
+    """Rows of a small result and the time it took; None if it took longer than seconds and its jobs were cancelled."""
+    sc, group = df.sparkSession.sparkContext, uuid.uuid4().hex
+    late = threading.Event()
+
+    def cancel():
+        late.set()
+        sc.cancelJobGroup(group)
+
+    timer, began = threading.Timer(seconds, cancel), time.perf_counter()
+    sc.setJobGroup(group, "timed", interruptOnCancel=True)
+    timer.start()
+    try:
+        return df.collect(), time.perf_counter() - began
+    except Exception:
+        if not late.is_set():
+            raise
+        return None, time.perf_counter() - began
+    finally:
+        timer.cancel()
+        sc.setLocalProperty("spark.jobGroup.id", None)

@@ -34,7 +34,7 @@ def test_poems_and_chapters(spark, tmp_path):
     put(tmp_path, "p/bad.json", "{nope")
     assert rows(S.poems(spark, str(tmp_path / "p"), "tang")) == [("tang/如梦令/", "如梦令", "x"), ("tang/静夜思/李白", "静夜思（李白）", "床前\n明月")]
     put(tmp_path, "c/list.json", json.dumps([{"chapter": "大学", "paragraphs": ["a", "b"]}, {"content": ["c"]}]))
-    put(tmp_path, "c/dict.json", json.dumps({"上": ["x", "y"], "下": "z", "坏": 3 if False else {"q": 1}}))
+    put(tmp_path, "c/dict.json", json.dumps({"上": ["x", "y"], "下": "z", "坏": {"q": 1}}))
     assert rows(S.classic_json(spark, str(tmp_path / "c"), "sishu")) == [("sishu/list_1", "list_1", "c"), ("sishu/上", "上", "x\ny"), ("sishu/下", "下", "z"), ("sishu/大学", "大学", "a\nb")]
 
 
@@ -181,3 +181,18 @@ def test_jobs(spark, tmp_path):
     none = spark.createDataFrame([], "headword_id long, dialect string, native_chars string, pronunciation string, gloss string, source string")
     w2, d2, _ = J.merge(w, d, none)
     assert w2.where(F.col("pos") == "noun").count() == 1 and d2.count() == 3
+
+
+def test_timed(spark):
+    found, _ = J.timed(spark.range(3), 30)
+    assert len(found) == 3
+    slow = spark.range(0, 4, 1, 4).mapInPandas(_sleep, "id long")
+    found, took = J.timed(slow, 1.0)
+    assert found is None and took < 15
+
+
+def _sleep(parts):
+    import time
+
+    time.sleep(20)
+    yield from parts
