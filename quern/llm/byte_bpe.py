@@ -22,8 +22,9 @@ from pyspark.sql import types as T
 
 from quern.llm.common import bound_arrow, spans_by_bytes, text_bytes
 
-#: Entries of a worker's memo of pieces and of pairs; a full memo is emptied.
-MEMO_PIECES = 600_000
+#: Entries of a worker's memo of pieces, in each of two generations, and of pairs. A full generation takes the place of
+#: the older one, from which entries that are still met return; a full memo of pairs is emptied.
+MEMO_PIECES = 250_000
 MEMO_PAIRS = 1_000_000
 CALL_BYTES = 4 << 20
 
@@ -45,6 +46,7 @@ class ByteBpe:
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_STRING)
         self._learn()
         self.memo: dict[str, tuple[str, bytes]] = {}
+        self.older: dict[str, tuple[str, bytes]] = {}
 
     def _learn(self) -> None:
         """Find, in order of rank, the two tokens whose merge makes each token."""
@@ -138,11 +140,14 @@ class ByteBpe:
         for piece in self.pattern.findall(text):
             hit = memo.get(piece)
             if hit is None:
-                own = self.encode_piece(piece.encode().decode("latin-1"))
-                hit = (",".join(map(str, own)), self.decode(own))
+                hit = self.older.get(piece)
+                if hit is None:
+                    own = self.encode_piece(piece.encode().decode("latin-1"))
+                    hit = (",".join(map(str, own)), self.decode(own))
                 if len(piece) <= 64:
                     if len(memo) >= MEMO_PIECES:
-                        memo.clear()
+                        self.older, self.memo = memo, {}
+                        memo = self.memo
                     memo[piece] = hit
             ids.append(hit[0])
             raw.append(hit[1])
