@@ -103,7 +103,7 @@ class Codes:
         return z / z.sum(1, keepdims=True)
 
 
-def fit(x: np.ndarray, y: np.ndarray, languages: list[str], rounds: int = 200, l2: float = 1e-4) -> Codes:
+def fit(x: np.ndarray, y: np.ndarray, languages: list[str], rounds: int = 400, l2: float = 1e-5) -> Codes:
     """Fit all bits' logistic classifiers at once, by accelerated gradient steps; trust and sharpness come from the margins."""
     code = codewords(len(languages))
     share = np.bincount(y, minlength=len(languages)).astype(float)
