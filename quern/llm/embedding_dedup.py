@@ -4,7 +4,8 @@ Equal vectors are merged first. Vectors go to the shards of their nearest centro
 several blocks; each shard's graph keeps, per vector, neighbours that no kept neighbour is much nearer to. The lists of
 a vector from all its shards are united into one flat graph. Searches start from a shard's medoid (and, for a vector of
 the shard, from itself), walk greedily, and then expand everything in range. What they find is verified in double
-precision, and the recall of a bounded set of queries is audited against brute force.
+precision, and the recall of a bounded set of queries is audited against brute force. Under the bar, vectors go to twice
+as many shards, and at last every vector is compared with every other.
 """
 
 from __future__ import annotations
@@ -29,8 +30,12 @@ FLAT_CLUSTERS = 512
 OVERLAP, DEGREE, POOL, ALPHA = 3, 20, 64, 1.2
 #: Nodes that a greedy search keeps, and how far below the range a node may lie and still be expanded.
 BEAM, SLACK = 16, 0.03
-#: Queries of the audit, and the recall under which vectors go to twice as many shards.
+#: Queries of the audit at first, and the recall under which vectors go to twice as many shards.
 AUDIT_ROWS, LEAST_RECALL = 512, 0.98
+#: The audit draws more queries, up to so many bytes of them, until so many have a link, but not more than so many links.
+AUDIT_BYTES, AUDIT_LINKED, FEW_LINKS = 8 << 20, 128, 16
+#: Vectors of a block where all are compared with all.
+EXACT_ROWS = 2048
 
 
 def _means(x: np.ndarray, k: int, seed: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -203,9 +208,9 @@ def _build(block):
     return pa.table([pa.array(keys), pa.array([keys[n] for n in near], pa.list_(pa.int64()))], names=["key", "near"])
 
 
-def _search(least: float):
+def _search(least: float, exact: bool):
     def run(block):
-        """Links of a unit's queries to its members, and a forest of them."""
+        """Links of a unit's queries to its members (n with copies, d without), and a forest of them. exact: all are compared."""
         block = block.combine_chunks()
         keys, member, query = (block.column(c).to_numpy() for c in ("key", "member", "query"))
         order = np.lexsort((keys, ~member.astype(bool)))
@@ -216,7 +221,7 @@ def _search(least: float):
         places = {k: i for i, k in enumerate(keys[:m].tolist())}
         near = [np.array([places[k] for k in n if k in places], np.int64) for n in block.column("near").to_pylist()[:m]]
         norm = np.sqrt((raw * raw).sum(1))
-        out_key, out_n, a, b = [], [], [], []
+        out_key, out_n, out_d, a, b = [], [], [], [], []
         leader = np.arange(len(keys))
 
         def top(i):
@@ -226,12 +231,16 @@ def _search(least: float):
 
         start = [medoid(unit[:m])] if m else []
         for i in np.flatnonzero(query).tolist():
-            found = search(unit[:m], near, unit[i], np.array(start + [i] if i < m else start), least) if m else np.zeros(0, np.int64)
+            if exact:
+                found = np.flatnonzero(unit[:m] @ unit[i] >= least - 1e-9)
+            else:
+                found = search(unit[:m], near, unit[i], np.array(start + [i] if i < m else start), least) if m else np.zeros(0, np.int64)
             found = found[found != i]
             cosine = (raw[found] * raw[i]).sum(1) / (norm[found] * norm[i])
             found = found[cosine >= least]
             out_key.append(keys[i])
             out_n.append(int(mult[found].sum()))
+            out_d.append(len(found))
             for j in found.tolist():
                 x, y = top(i), top(j)
                 if x != y:
@@ -239,66 +248,99 @@ def _search(least: float):
                     a.append(keys[i])
                     b.append(keys[j])
         n = len(out_key)
-        return pa.table([pa.array(out_key + a, pa.int64()), pa.array([None] * n + b, pa.int64()), pa.array(out_n + [0] * len(a), pa.int64())], names=["key", "other", "n"])
+        return pa.table([pa.array(out_key + a, pa.int64()), pa.array([None] * n + b, pa.int64()), pa.array(out_n + [0] * len(a), pa.int64()), pa.array(out_d + [0] * len(a), pa.int64())], names=["key", "other", "n", "d"])
 
     return run
 
 
 def _true_links(nodes: DataFrame, queries: DataFrame, least: float) -> dict[int, int]:
-    """Links of a bounded set of queries, by brute force over all nodes."""
+    """Distinct vectors linked to each of a bounded set of queries, by brute force over all nodes."""
     got = queries.select("key", "v").toArrow().combine_chunks()
     keys, raw = got.column(0).to_numpy(), _vectors(got.column(1).combine_chunks())
     norm = np.sqrt((raw * raw).sum(1))
 
     def run(batches):
+        total = np.zeros(len(keys), np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
             x, own = _vectors(batch.column(1)), batch.column(0).to_numpy(zero_copy_only=False)
-            hit = (raw @ x.T) / (norm[:, None] * np.sqrt((x * x).sum(1))) >= least
-            hit &= keys[:, None] != own
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array((hit * batch.column(2).to_numpy(zero_copy_only=False)).sum(1))], names=["key", "n"])
-
-    found = nodes.select("key", "v", "mult").mapInArrow(run, _schema(key=LONG, n=LONG)).groupBy("key").agg(F.sum("n").alias("n"))
+            size = np.sqrt((x * x).sum(1))
+            for lo in range(0, len(keys), 512):
+                part = slice(lo, lo + 512)
+                hit = (raw[part] @ x.T) / (norm[part, None] * size) >= least
+                total[part] += (hit & (keys[part, None] != own)).sum(1)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(total[some])], names=["key", "n"])
+
+    found = nodes.select("key", "v").mapInArrow(run, _schema(key=LONG, n=LONG)).groupBy("key").agg(F.sum("n").alias("n"))
     return {r["key"]: r["n"] for r in found.collect()}
 
 
-def _links(nodes: DataFrame, least: float, store: Stored, label: str) -> tuple[DataFrame, DataFrame, float]:
+def _audit(nodes: DataFrame, n: int, wide: int, least: float, store: Stored, label: str) -> tuple[DataFrame, dict[int, int], bool]:
+    """Queries, the linked ones' numbers of distinct neighbours, and whether the queries are all n nodes.
+
+    More are drawn until AUDIT_LINKED of them have a link and lie outside hot groups, or AUDIT_BYTES hold no more.
+    """
+    rows, most = AUDIT_ROWS, max(AUDIT_ROWS, AUDIT_BYTES // (8 * wide))
+    while True:
+        queries = store.keep(hashed_sample(nodes, F.col("key"), rows, 29), f"audit-{label}-{rows}")
+        truth = _true_links(nodes, queries, least)
+        if rows >= min(n, most) or sum(t <= FEW_LINKS for t in truth.values()) >= AUDIT_LINKED:
+            return queries, truth, rows >= n
+        rows = min(4 * rows, most)
+
+
+def audited_recall(truth: dict[int, int], seen: dict[int, int]) -> float | None:
+    """Mean share of its distinct neighbours that a linked query found: the lesser mean of those with few and with many. None without any."""
+    shares = {False: [], True: []}
+    for k, t in truth.items():
+        shares[t > FEW_LINKS].append(min(seen.get(k, 0), t) / t)
+    return min((sum(x) / len(x) for x in shares.values() if x), default=None)
+
+
+def _links(nodes: DataFrame, wide: int, least: float, store: Stored) -> tuple[DataFrame, DataFrame, float | None]:
     """Numbers of links (key, n), edges (a, b) that join what is linked, and the audited recall, for vectors of one length."""
-    n = nodes.count()
+    n, label = nodes.count(), str(wide)
     k = max(1, min(MOST_CLUSTERS, -(-2 * n // SHARD_ROWS)))
     sample = hashed_sample(nodes.select("key", "v"), F.col("key"), max(SAMPLE_ROWS, SAMPLE_EACH * k), 23).toArrow().sort_by("key").combine_chunks()
     unit = _unit(_vectors(sample.column("v").combine_chunks())) if sample.num_rows else np.zeros((0, 0))
     c = centroids(unit, k) if len(unit) else unit
-    audit = store.keep(hashed_sample(nodes, F.col("key"), AUDIT_ROWS, 29), f"audit-{label}")
-    truth, overlap, attempt = _true_links(nodes, audit, least), OVERLAP, 0
+    queries, truth, whole = _audit(nodes, n, wide, least, store, label)
+    overlap, attempt, exact = OVERLAP, 0, False
     while True:
         name = f"{label}-{attempt}"
         assigned = store.keep(_assign(nodes, c, overlap), f"assigned-{name}")
-        blocks = assigned.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / SHARD_ROWS).cast("long").alias("blocks"))
+        blocks = assigned.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / (EXACT_ROWS if exact else SHARD_ROWS)).cast("long").alias("blocks"))
         assigned = assigned.join(F.broadcast(blocks), "cluster").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))  # MOST_CLUSTERS rows at most
-        graph = assigned.groupBy("cluster", "block").applyInArrow(_build, _schema(key=LONG, near=T.ArrayType(LONG)))
-        flat = store.keep(graph.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), f"graph-{name}")
         every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
         as_member = assigned.select("*", F.explode(every).alias("j")).select("cluster", F.col("block").alias("i"), "j", "key", "v", "mult", F.lit(1).alias("member"), ((F.col("rank") == 0) & (F.col("block") == F.col("j"))).cast("int").alias("query"))
         as_query = assigned.where("rank = 0").select("*", F.explode(every).alias("i")).where("i <> block").select("cluster", "i", F.col("block").alias("j"), "key", "v", "mult", F.lit(0).alias("member"), F.lit(1).alias("query"))
-        units = as_member.unionByName(as_query).join(flat, "key")
-        found = store.keep(units.groupBy("cluster", "i", "j").applyInArrow(_search(least), _schema(key=LONG, other=LONG, n=LONG)), f"found-{name}")
-        totals = found.groupBy("key").agg(F.sum("n").alias("n"))
-        seen = {r["key"]: r["n"] for r in totals.join(audit.select("key"), "key", "left_semi").collect()}
-        there = sum(truth.values())
-        recall = sum(min(seen.get(k, 0), t) for k, t in truth.items()) / there if there else 1.0
-        if recall >= LEAST_RECALL or overlap >= len(c) or attempt == 2:
-            return totals, found.where("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")), recall
-        overlap, attempt = 2 * overlap, attempt + 1
+        units = as_member.unionByName(as_query)
+        if exact:
+            units = units.withColumn("near", F.array().cast("array<long>"))
+        else:
+            graph = assigned.groupBy("cluster", "block").applyInArrow(_build, _schema(key=LONG, near=T.ArrayType(LONG)))
+            units = units.join(store.keep(graph.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), f"graph-{name}"), "key")
+        found = store.keep(units.groupBy("cluster", "i", "j").applyInArrow(_search(least, exact), _schema(key=LONG, other=LONG, n=LONG, d=LONG)), f"found-{name}")
+        totals = found.groupBy("key").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+        seen = {r["key"]: r["d"] for r in totals.join(queries.select("key"), "key", "left_semi").select("key", "d").collect()}
+        recall = audited_recall(truth, seen)
+        if exact or recall is None or recall >= LEAST_RECALL:
+            recall = 1.0 if recall is None and (exact or whole) else recall
+            return totals.select("key", "n"), found.where("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")), recall
+        overlap, attempt, exact = 2 * overlap, attempt + 1, 2 * overlap >= len(c)
+        if exact:
+            c, overlap = c[:1], 1
 
 
 def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9) -> DataFrame:
     """Links between vectors with a cosine of least or more, in double precision, and their components.
 
     Result: id_col, n_links long (other vectors linked directly, copies included), component_id (smallest id reachable
-    by links, itself included), kept boolean (it is that smallest id), recall double (audited, of links, over vectors
-    of that length), a row per input row.
+    by links, itself included), kept boolean (it is that smallest id), recall double (audited over vectors of that
+    length: the mean share of a linked vector's distinct neighbours that it found, null if the audit met no linked
+    vector among the few of all that it drew), a row per input row.
 
     Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing; vectors link with
     those of their own length only. Rows that repeat an id are vectors of their own and share the id. A row with a null
@@ -316,7 +358,7 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     nodes = store.keep(_nodes(rows), "nodes")
     counts, edges, recalls = None, None, []
     for n in sorted(lengths):
-        own, pairs, recall = _links(nodes.where(F.length("v") == 8 * n), least, store, str(n))
+        own, pairs, recall = _links(nodes.where(F.length("v") == 8 * n), n, least, store)
         counts = own if counts is None else counts.unionByName(own)
         edges = pairs if edges is None else edges.unionByName(pairs)
         recalls.append((n, recall))
@@ -326,6 +368,6 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     named = rows.join(joined, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least_id = store.keep(named.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id")), "roots")
     out = named.join(least_id, "root", "left").join(counts.join(nodes.select("key", "mult"), "key").select("key", (F.col("n") + F.col("mult") - 1).alias("n_links")), "key", "left")
-    recall_of = F.create_map(*(F.lit(v) for pair in recalls for v in pair))
+    recall_of = F.create_map(*(x for n, r in recalls for x in (F.lit(n), F.lit(r).cast("double"))))
     component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"), F.coalesce(recall_of[F.size("embedding")], F.lit(1.0)).alias("recall"))
+    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"), F.when(F.col("key").isNull(), F.lit(1.0)).otherwise(recall_of[F.size("embedding")]).alias("recall"))

@@ -294,6 +294,27 @@ def test_embedding_links_match_brute_force(spark, monkeypatch, shard):
     assert sum(got[i][1] == want[i][1] for i in want) >= 0.98 * len(want)
 
 
+def test_audit_is_not_outvoted_by_a_hot_vector(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "SHARD_ROWS", 8)
+    monkeypatch.setattr(embedding_dedup, "OVERLAP", 1)
+    random = np.random.default_rng(5)
+    x = random.normal(size=(240, 16))
+    x[1::2] = x[::2] + random.normal(size=(120, 16)) * 0.35
+    x[1] = x[0] * 1.5 + 0.001
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    df = df.unionByName(spark.range(1000, 31000).select(F.col("id").alias("vec_id")).crossJoin(df.where("vec_id = 0").select("embedding")))
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    link = unit @ unit.T >= 0.9
+    np.fill_diagonal(link, False)
+    want = {i: int(link[i].sum()) for i in range(2, 240) if link[i].any() and not link[i, 0]}
+    got = embedding_dedup.embedding_links(df).where("vec_id < 1000").collect()
+    counts = {r["vec_id"]: r["n_links"] for r in got}
+    assert len(want) > 60 and sum(counts[i] == w for i, w in want.items()) >= 0.98 * len(want)
+    assert got[0]["recall"] >= 0.98
+    assert embedding_dedup.audited_recall({}, {}) is None and embedding_dedup.audited_recall({1: 1, 2: 100_000}, {2: 100_000}) == 0.0
+
+
 def test_embedding_edge_tables(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embedding_dedup.embedding_links(df).count() == 0
