@@ -183,7 +183,7 @@ def _nodes(rows: DataFrame) -> DataFrame:
 
 
 def _assign(nodes: DataFrame, c: np.ndarray, overlap: int) -> DataFrame:
-    """A row per node and shard: cluster, rank (0 is the nearest)."""
+    """A row per node and shard: cluster, and before, the node's clusters of smaller number."""
     k = min(overlap, len(c))
 
     def run(batches):
@@ -193,10 +193,13 @@ def _assign(nodes: DataFrame, c: np.ndarray, overlap: int) -> DataFrame:
             unit = _unit(_vectors(batch.column(1)))
             step = max(1, (1 << 22) // max(1, len(c)))
             order = np.concatenate([np.argsort(-(unit[lo : lo + step] @ c.T), axis=1, kind="stable")[:, :k] for lo in range(0, len(unit), step)])
-            at = pa.array(np.repeat(np.arange(len(order)), k))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(3)), pa.array(order.ravel().astype(np.int64)), pa.array(np.tile(np.arange(k), len(order)))], names=["key", "v", "mult", "cluster", "rank"])
+            order = np.sort(order, axis=1).astype(np.int64)
+            # a vector's clusters one after another, so that batches stay as large as they were however many there are
+            for j in range(k):
+                before = pa.ListArray.from_arrays(pa.array(np.arange(len(order) + 1, dtype=np.int32) * j), pa.array(order[:, :j].ravel()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(order[:, j]), before], names=["key", "v", "mult", "cluster", "before"])
 
-    return nodes.select("key", "v", "mult").mapInArrow(run, _schema(key=LONG, v=T.BinaryType(), mult=LONG, cluster=LONG, rank=LONG))
+    return nodes.select("key", "v", "mult").mapInArrow(run, _schema(key=LONG, v=T.BinaryType(), mult=LONG, cluster=LONG, before=T.ArrayType(LONG)))
 
 
 def _build(block):
@@ -208,47 +211,65 @@ def _build(block):
     return pa.table([pa.array(keys), pa.array([keys[n] for n in near], pa.list_(pa.int64()))], names=["key", "near"])
 
 
+def _met(before) -> np.ndarray:
+    """Which members of a unit share a cluster of smaller number, where their pair is met already."""
+    sizes = np.diff(before.offsets.to_numpy())
+    _, cluster = np.unique(before.flatten().to_numpy(), return_inverse=True)
+    if not len(cluster):
+        return np.zeros((len(sizes), len(sizes)), bool)
+    grid = np.zeros((len(sizes), cluster.max() + 1), np.float32)
+    grid[np.repeat(np.arange(len(sizes)), sizes), cluster] = 1
+    return grid @ grid.T > 0
+
+
 def _search(least: float, exact: bool):
-    def run(block):
-        """Links of a unit's queries to its members (n with copies, d without), and a forest of them. exact: all are compared."""
+    def run(unit_key, block):
+        """Links of a unit's members (n with copies, d without), and edges that join what they link. exact: all are compared.
+
+        A unit is one block of a cluster, or two whose members meet each other. Each member looks for its links, and
+        what one finds counts for both; a pair counts in the first cluster that both are members of, and nowhere else.
+        """
         block = block.combine_chunks()
-        keys, member, query = (block.column(c).to_numpy() for c in ("key", "member", "query"))
-        order = np.lexsort((keys, ~member.astype(bool)))
-        block, keys, member, query = block.take(pa.array(order)), keys[order], member[order].astype(bool), query[order].astype(bool)
+        block = block.take(pa.array(np.lexsort((block.column("key").to_numpy(), block.column("block").to_numpy()))))
+        keys, side = block.column("key").to_numpy(), block.column("block").to_numpy()
         raw = _vectors(block.column("v").combine_chunks())
-        unit, mult = _unit(raw), block.column("mult").to_numpy()
-        m = int(member.sum())
-        places = {k: i for i, k in enumerate(keys[:m].tolist())}
-        near = [np.array([places[k] for k in n if k in places], np.int64) for n in block.column("near").to_pylist()[:m]]
-        norm = np.sqrt((raw * raw).sum(1))
-        out_key, out_n, out_d, a, b = [], [], [], [], []
-        leader = np.arange(len(keys))
-
-        def top(i):
-            while leader[i] != i:
-                leader[i] = i = leader[leader[i]]
-            return i
-
-        start = [medoid(unit[:m])] if m else []
-        for i in np.flatnonzero(query).tolist():
-            if exact:
-                found = np.flatnonzero(unit[:m] @ unit[i] >= least - 1e-9)
-            else:
-                found = search(unit[:m], near, unit[i], np.array(start + [i] if i < m else start), least) if m else np.zeros(0, np.int64)
-            found = found[found != i]
-            cosine = (raw[found] * raw[i]).sum(1) / (norm[found] * norm[i])
-            found = found[cosine >= least]
-            out_key.append(keys[i])
-            out_n.append(int(mult[found].sum()))
-            out_d.append(len(found))
-            for j in found.tolist():
-                x, y = top(i), top(j)
-                if x != y:
-                    leader[max(x, y)] = min(x, y)
-                    a.append(keys[i])
-                    b.append(keys[j])
-        n = len(out_key)
-        return pa.table([pa.array(out_key + a, pa.int64()), pa.array([None] * n + b, pa.int64()), pa.array(out_n + [0] * len(a), pa.int64()), pa.array(out_d + [0] * len(a), pa.int64())], names=["key", "other", "n", "d"])
+        unit, mult, norm = _unit(raw), block.column("mult").to_numpy(), np.sqrt((raw * raw).sum(1))
+        lists = None if exact else block.column("near").to_pylist()
+        link = np.zeros((len(keys), len(keys)), bool)
+        i, j = (k.as_py() for k in unit_key[1:])
+        for of in (i, j) if i < j else (i,):
+            # the members of one block are looked for, by those of the other or by themselves
+            own = np.flatnonzero(side == of)
+            asking = np.flatnonzero(side != of) if i < j else own
+            if not len(own) or not len(asking):
+                continue
+            low, x = own[0], unit[own]
+            if not exact:
+                places = {k: p for p, k in enumerate(keys[own].tolist())}
+                near = [np.array([places[k] for k in lists[p] if k in places], np.int64) for p in own]
+                start = [medoid(x)]
+            for p in asking.tolist():
+                if exact:
+                    found = np.flatnonzero(x @ unit[p] >= least - 1e-9)
+                else:
+                    found = search(x, near, unit[p], np.array(start if i < j else [*start, p - low]), least)
+                found = found[found != p - low] + low
+                cosine = (raw[found] * raw[p]).sum(1) / (norm[found] * norm[p])
+                link[p, found[cosine >= least]] = True
+        link |= link.T
+        link &= ~_met(block.column("before").combine_chunks())
+        n = link.sum(1)
+        some = np.flatnonzero(n)
+        link, keys = link[np.ix_(some, some)], keys[some]
+        label = np.arange(len(some))
+        while len(some):
+            lower = np.minimum(label, np.where(link, label[None, :], len(some)).min(1))
+            lower = np.minimum(lower, lower[lower])
+            if (lower == label).all():
+                break
+            label = lower
+        other = pa.array(keys[label], pa.int64(), mask=label == np.arange(len(some)))
+        return pa.table([pa.array(keys, pa.int64()), other, pa.array(link @ mult[some], pa.int64()), pa.array(n[some], pa.int64())], names=["key", "other", "n", "d"])
 
     return run
 
@@ -314,9 +335,7 @@ def _links(nodes: DataFrame, wide: int, least: float, store: Stored) -> tuple[Da
         blocks = assigned.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / (EXACT_ROWS if exact else SHARD_ROWS)).cast("long").alias("blocks"))
         assigned = assigned.join(F.broadcast(blocks), "cluster").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))  # MOST_CLUSTERS rows at most
         every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-        as_member = assigned.select("*", F.explode(every).alias("j")).select("cluster", F.col("block").alias("i"), "j", "key", "v", "mult", F.lit(1).alias("member"), ((F.col("rank") == 0) & (F.col("block") == F.col("j"))).cast("int").alias("query"))
-        as_query = assigned.where("rank = 0").select("*", F.explode(every).alias("i")).where("i <> block").select("cluster", "i", F.col("block").alias("j"), "key", "v", "mult", F.lit(0).alias("member"), F.lit(1).alias("query"))
-        units = as_member.unionByName(as_query)
+        units = assigned.select("*", F.explode(every).alias("other")).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "v", "mult", "before")
         if exact:
             units = units.withColumn("near", F.array().cast("array<long>"))
         else:
@@ -367,7 +386,7 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     joined = components(edges, "a", "b", store, "components").withColumnRenamed("node", "key")
     named = rows.join(joined, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least_id = store.keep(named.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id")), "roots")
-    out = named.join(least_id, "root", "left").join(counts.join(nodes.select("key", "mult"), "key").select("key", (F.col("n") + F.col("mult") - 1).alias("n_links")), "key", "left")
+    out = named.join(least_id, "root", "left").join(nodes.select("key", "mult").join(counts, "key", "left").select("key", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links")), "key", "left")
     recall_of = F.create_map(*(x for n, r in recalls for x in (F.lit(n), F.lit(r).cast("double"))))
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"), F.when(F.col("key").isNull(), F.lit(1.0)).otherwise(recall_of[F.size("embedding")]).alias("recall"))

@@ -294,6 +294,26 @@ def test_embedding_links_match_brute_force(spark, monkeypatch, shard):
     assert sum(got[i][1] == want[i][1] for i in want) >= 0.98 * len(want)
 
 
+@pytest.mark.parametrize("shard", [12, 40])
+def test_links_count_for_both_ends(spark, monkeypatch, shard):
+    monkeypatch.setattr(embedding_dedup, "SHARD_ROWS", shard)
+    monkeypatch.setattr(embedding_dedup, "OVERLAP", 2)
+    monkeypatch.setattr(embedding_dedup, "LEAST_RECALL", 0.0)
+    random = np.random.default_rng(7)
+    x = random.normal(size=(300, 8))
+    x[1::2] = x[::2] + random.normal(size=(150, 8)) * 0.3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = unit @ unit.T >= 0.9
+    np.fill_diagonal(link, False)
+    got = {r["vec_id"]: r for r in embedding_dedup.embedding_links(df).collect()}
+    assert all(r["n_links"] <= link[i].sum() for i, r in got.items())
+    assert not any(r["n_links"] == 0 and not r["kept"] for r in got.values())
+    assert sum(r["n_links"] for r in got.values()) % 2 == 0
+    alone = [i for i in range(0, 300, 2) if link[i].sum() == link[i + 1].sum() == 1 and link[i, i + 1]]
+    assert len(alone) > 20 and all(got[i]["n_links"] == got[i + 1]["n_links"] for i in alone)
+
+
 def test_audit_is_not_outvoted_by_a_hot_vector(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "SHARD_ROWS", 8)
     monkeypatch.setattr(embedding_dedup, "OVERLAP", 1)
