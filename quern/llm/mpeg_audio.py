@@ -191,16 +191,17 @@ def parse(data: bytes) -> Stream:
 
     A header counts if the next one of the same kind follows it, or the stream ends with its frame; elsewhere the
     parser moves on to the next sync byte and counts the resynchronisation and the bytes skipped. A last frame that
-    is cut off is skipped.
+    is cut off is skipped. Bytes that look like an ID3v1 tag are a frame's own where that frame, in sync, ends with the
+    stream and the table counts frames that haven't come yet.
     """
     out, raw, n = Stream(), np.frombuffer(data, np.uint8), len(data)
     out.tags, at = read_id3(data)
     end = n - 128 if n - at >= 128 and data[n - 128 : n - 125] == b"TAG" else n
-    if end < n:
-        out.tags.setdefault("TIT2", data[end + 3 : end + 33].decode("latin-1").strip("\0 "))
-    offsets, sizes, lost = [], [], False
+    offsets, sizes, lost, count = [], [], False, 0
     while at < end:
         h = header_at(data, at)
+        if h and end < n and at + h.size == n and not lost and count < out.vbr.get("frames", 0):
+            end = n
         if h and (out.header is None or h.kind == out.header.kind) and h.size >= 4 and at + h.size <= end:
             after = header_at(data, at + h.size)
             if at + h.size == end or after and after.kind == h.kind or not lost and crc_holds(data, at, h):
@@ -214,6 +215,7 @@ def parse(data: bytes) -> Stream:
                 run = max(1, _run_length(raw[:end], at, h.size))
                 offsets.append(at + h.size * np.arange(run, dtype=np.int64))
                 sizes.append(np.full(run, h.size, np.int64))
+                count += run
                 out.samples += run * h.samples
                 _verify(out, raw, data, at, h, run)
                 at += run * h.size
@@ -223,6 +225,8 @@ def parse(data: bytes) -> Stream:
         out.resyncs += not lost
         out.skipped += step - at
         lost, at = True, step
+    if end < n:
+        out.tags.setdefault("TIT2", data[end + 3 : end + 33].decode("latin-1").strip("\0 "))
     out.offsets = np.concatenate(offsets) if offsets else out.offsets
     out.sizes = np.concatenate(sizes) if sizes else out.sizes
     return out
@@ -340,9 +344,12 @@ def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             rows = []
             for text in batch.column(1):
                 raw = (text.as_py() or "").encode()
-                media = store_payload(pad(raw))
+                payload = pad(raw)
+                media = store_payload(payload)
                 stream = parse(media)
                 back = read_payload(media, stream)
+                if back != payload:
+                    raise ValueError("a stored stream doesn't give its payload back")
                 rows.append((len(raw), len(back), sha(back), zlib.crc32(back[-32:]), len(media), sha(media), feature(stream)))
             columns = list(zip(*rows, strict=True)) or [()] * 7
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]

@@ -473,6 +473,20 @@ def test_payload_round_trip():
         assert s.seek(mpeg_audio.Fraction(0)) == mpeg_audio.FRAME and s.seek(s.duration) is None
 
 
+@pytest.mark.parametrize("units", [1, 2, 5])
+def test_payload_that_looks_like_a_tag(spark, units):
+    data = b"a" * (576 * (units - 1) + 505) + b"TAG" + b"b" * 68
+    media = mpeg_audio.store_payload(data)
+    assert media[-128:-125] == b"TAG"
+    s = mpeg_audio.parse(media)
+    assert mpeg_audio.read_payload(media, s) == data and s.tags == {}
+    assert (len(s.offsets), s.crc_ok, s.resyncs, s.skipped) == (units, units, 0, 0)
+    tagged = mpeg_audio.parse(media + b"TAG" + b"name".ljust(125, b"\0"))
+    assert tagged.tags == {"TIT2": "name"} and len(tagged.offsets) == units
+    got = mpeg_audio.media_digests(table(spark, [(1, data.decode())])).first()
+    assert (got["payload_bytes"], got["payload_sha256"], got["tail_crc32"]) == (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]))
+
+
 def test_resynchronisation_tags_and_checksums():
     media = bytearray(mpeg_audio.store_payload(mpeg_audio.pad(b"hello" * 700)))
     tag = b"ID3\x03\x00\x00" + bytes([0, 0, 0, 16]) + b"TIT2" + (6).to_bytes(4, "big") + b"\x00\x00\x00Title"
