@@ -19,8 +19,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies (five-word shingles, similarity of 0.8 or more): the one of smallest id."""
-    return minhash.keep_one(docs)
+    """One document of each group of near-copies (five-word shingles, similarity of 0.8 or more): the one of smallest id. Texts that repeat an id but aren't linked stay."""
+    return minhash.keep_texts(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

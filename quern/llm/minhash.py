@@ -237,7 +237,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """id, tie (a hash of the text), n, component_id, kept of each row."""
+    """id, tie (a hash of the text), n, component_id, kept and root of each row.
+
+    A set goes by the id and tie of one of its rows, as an id may have several texts. root is the smallest such name
+    that links reach; null where there is no set or no id.
+    """
     spark = docs.sparkSession
     bound_arrow(spark)
     store = Stored(spark, "near-copies")
@@ -245,7 +249,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent
     read = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     seen = store.keep(_features(read.withColumn("tie", F.xxhash64("text")), width, bands, rows), "features")
     named = seen.where(F.col("id").isNotNull() & (F.col("n") > 0))
-    distinct = store.keep(named.groupBy("h1", "h2", "n").agg(F.min(F.struct("id", "keys")).alias("x")).select("h1", "h2", "n", F.col("x.id").alias("rep"), F.col("x.keys").alias("keys")), "distinct")
+    distinct = store.keep(named.groupBy("h1", "h2", "n").agg(F.min(F.struct(F.struct("id", "tie").alias("rep"), "keys")).alias("x")).select("h1", "h2", "n", "x.rep", "x.keys"), "distinct")
     placed = distinct.select("rep", F.explode("keys").alias("key"))
     heads = placed.groupBy("key").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "head")
     met = placed.join(heads, "key").where("rep <> head").select("rep", "head")
@@ -254,33 +258,33 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent
     sizes = family.join(distinct.select(F.col("rep").alias("node"), "n"), "node").groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all"))
     blocks = F.ceil(F.greatest(F.col("m") / BLOCK_SETS, F.col("all") * 8 / BLOCK_BYTES)).cast("long")
     sizes = sizes.select(F.col("root"), F.greatest(F.lit(1), F.least("m", blocks)).alias("blocks"))
-    members = family.join(sizes, "root").select(F.col("node").alias("id"), "root", "blocks")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    full = _sets(read.join(members, "id").dropDuplicates(["id"]), width).withColumn("own", own)
+    members = family.join(sizes, "root").select("node.id", "node.tie", "root", "blocks")
+    own = F.pmod(F.xxhash64("id", "tie"), F.col("blocks"))
+    full = _sets(read.withColumn("tie", F.xxhash64("text")).join(members, ["id", "tie"]).dropDuplicates(["id", "tie"]), width).withColumn("own", own)
     # a block meets itself and each other block once; one block, the usual case, is one unit
-    units = full.select("id", "root", "hashes", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    units = units.select("id", "hashes", "own", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    units = full.select(F.struct("id", "tie").alias("rep"), "root", "hashes", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    units = units.select("rep", "hashes", "own", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     kind = docs.schema[id_col].dataType
-    links = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+    links = T.StructType([T.StructField("a_id", kind), T.StructField("a_tie", T.LongType()), T.StructField("b_id", kind), T.StructField("b_tie", T.LongType())])
 
     def verify(key, block):
-        order = np.argsort(np.array(block.column("id").to_pylist()), kind="stable")
-        block = block.take(pa.array(order))
+        names = [(x["id"], x["tie"]) for x in block.column("rep").to_pylist()]
+        block = block.take(pa.array(sorted(range(len(names)), key=names.__getitem__), pa.int64()))
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in block.column("hashes").combine_chunks()]
         side = None if key[1].as_py() == key[2].as_py() else block.column("own").to_numpy()
         label = linked(sets, percent, side)
         apart = np.flatnonzero(label != np.arange(len(label)))
-        ids = block.column("id").combine_chunks()
-        return pa.table([ids.take(pa.array(apart)), ids.take(pa.array(label[apart]))], names=["a", "b"])
+        ids, ties = (block.column("rep").combine_chunks().field(k) for k in ("id", "tie"))
+        return pa.table([x.take(pa.array(at)) for at in (apart, label[apart]) for x in (ids, ties)], names=links.names)
 
     confirmed = units.groupBy("root", "i", "j").applyInArrow(verify, links)
+    confirmed = confirmed.select(*(F.struct(F.col(f"{k}_id").alias("id"), F.col(f"{k}_tie").alias("tie")).alias(k) for k in "ab"))
     joined = components(confirmed, "a", "b", store, "components")
-    found = distinct.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("root", "rep").alias("component_id"))
+    found = distinct.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("root", "rep").alias("root"))
     found = store.keep(found, "found")
     out = seen.drop("keys").join(found, ["h1", "h2", "n"], "left")
-    component = F.coalesce("component_id", "id")
-    component = F.when(F.col("id").isNotNull(), component)
-    return out.select("id", "tie", "n", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    component = F.when(F.col("id").isNotNull(), F.coalesce("root.id", "id"))
+    return out.select("id", "tie", "n", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), F.when(F.col("id").isNotNull(), F.col("root")).alias("root"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -288,12 +292,29 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
     Rows with a null id stay. Of rows that repeat the id that stays, one of the text with the least hash is kept.
     """
-    text = docs[text_col].cast("string")
-    named = docs.select(F.struct(*docs.columns).alias("row"), docs[id_col].alias("id"), F.xxhash64(text).alias("tie"))
     # of each id that stays, one text; only ids and hashes are grouped
     one = _components(docs, id_col, text_col, width, percent).where("kept and id is not null").groupBy("id", "tie").agg(F.count(F.lit(1)).alias("copies"))
-    one = one.groupBy("id").agg(F.min(F.struct("tie", "copies")).alias("x")).select(F.col("id").alias("of"), "x.tie", "x.copies").withColumnRenamed("tie", "of_tie")
+    one = one.groupBy("id").agg(F.min(F.struct("tie", "copies")).alias("x")).select("id", "x.tie", "x.copies")
+    return _staying(docs, one, id_col, text_col)
+
+
+def keep_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """docs, all columns, with one row of each group of linked texts: that of the smallest id, then of the least text hash.
+
+    Rows with a null id stay. Texts of one id that aren't linked are groups of their own, so each of them stays; of rows
+    that repeat id and text one does.
+    """
+    found = _components(docs, id_col, text_col, width, percent).where(F.col("id").isNotNull())
+    own = found.where(F.coalesce(F.col("root") == F.struct("id", "tie"), F.lit(True)))
+    return _staying(docs, own.groupBy("id", "tie").agg(F.count(F.lit(1)).alias("copies")), id_col, text_col)
+
+
+def _staying(docs: DataFrame, one: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """A row of docs for each id and tie of one, which has copies rows, and those with a null id."""
+    text = docs[text_col].cast("string")
+    named = docs.select(F.struct(*docs.columns).alias("row"), docs[id_col].alias("id"), F.xxhash64(text).alias("tie"))
+    one = one.select(F.col("id").alias("of"), F.col("tie").alias("of_tie"), "copies")
     stays = named.join(one, (F.col("id") == F.col("of")) & (F.col("tie") == F.col("of_tie")))
-    single, several = stays.where("copies = 1"), stays.where("copies > 1").dropDuplicates(["id"])
+    single, several = stays.where("copies = 1"), stays.where("copies > 1").dropDuplicates(["id", "tie"])
     rows = single.select("row").unionByName(several.select("row")).unionByName(named.where("id is null").select("row"))
     return rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -123,6 +123,16 @@ def test_keep_one(spark):
     assert [r[0] for r in found] == [1, 7, None] and found[0][1] in ("same text", "zz other")
 
 
+def test_texts_that_share_an_id_are_linked_by_their_own_sets(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    data = [(1, a), (1, b), (1, c), (2, a + " x"), (3, b + " y"), (4, c + " z"), (5, "alone"), (5, "other"), (5, "other"), (6, ""), (6, None), (None, a)]
+    got = rows(M.near_copies(table(spark, data)).select("doc_id", "component_id"))
+    assert [r[1] for r in got if r[0] in (2, 3, 4)] == [1, 1, 1]
+    found = {(r["doc_id"], r["text"]) for r in M.keep_texts(table(spark, data)).collect()}
+    assert found == {(1, a), (1, b), (1, c), (5, "alone"), (5, "other"), (6, ""), (6, None), (None, a)}
+    assert M.keep_texts(table(spark, data)).count() == len(found)
+
+
 def test_signatures_estimate_similarity():
     a = np.arange(1000, dtype=np.uint64)
     s = M.signatures(np.concatenate([a, a + np.uint64(200)]), np.array([0, 1000]), 600)
