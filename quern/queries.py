@@ -518,3 +518,8 @@ def pending_work(spark, sf_dir):
 def text_fields(spark, sf_dir):
     start = F.substring("text", 1, 200)
     return _table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 80).alias("prefix"), X.highlight(F.lit("the and"), "and").alias("marked"), F.sort_array(F.array_distinct(X.tokens(start))).alias("tokens"))
+
+
+@query(r"SELECT doc_id, replace(text, 'and', '[and]') AS marked, list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS tokens FROM documents")
+def whole_text_fields(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", X.highlight(F.col("text"), "and").alias("marked"), F.sort_array(F.array_distinct(X.tokens(F.col("text")))).alias("tokens"))
