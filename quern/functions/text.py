@@ -265,9 +265,9 @@ def strip_thinking(c: Column, least: int = 50) -> Column:
 
 
 def clean_answer(c: Column) -> Column:
-    """Without a leading number, quotes around it, and one slash at each end."""
-    bare = strip(F.regexp_replace(strip(c), r"^\d+\.\s*", ""))
-    return strip(F.regexp_replace(F.regexp_replace(bare, r"^[\"']+|[\"']+$", ""), r"^/|/$", ""))
+    """Without a leading number, one pair of double quotes if both ends have one, and one slash at each end."""
+    bare = strip(F.regexp_replace(strip(c), r"^\d+\s*\.\s*", ""))
+    return strip(F.regexp_replace(F.regexp_replace(bare, r'(?s)\A"(.*)"\z', "$1"), r"\A/|/\z", ""))
 
 
 def without_cjk(c: Column) -> Column:

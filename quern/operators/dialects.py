@@ -55,7 +55,8 @@ def derive_from_compounds(headwords: DataFrame, forms: DataFrame, dialect: str =
     covered = forms.where(F.col("dialect") == dialect).select("headword_id").join(headword_keys(headwords), "headword_id").where(F.length("word") == 1).select("word").distinct()
     found = match_words(best.join(covered, "word", "left_anti"), headwords)
     if limit is not None:
-        ranks = found.groupBy("word").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("k"))
+        # each word has a form at least, so the first limit words are enough
+        ranks = found.groupBy("word").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("k")).orderBy(F.desc("n"), "word").limit(limit)
         before = F.coalesce(F.sum("k").over(Window.orderBy(F.desc("n"), "word").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         found = found.join(ranks.withColumn("before", before).where(F.col("before") < limit).select("word"), "word", "left_semi")
     none = F.lit(None).cast("string")

@@ -109,18 +109,30 @@ def example_score(answer: Column, term: Column) -> Column:
     return F.when(F.exists(F.split(answer, "\n"), lambda x: x.rlike(r"[\x{4E00}-\x{9FFF}]{4,}") & F.contains(x, term)), 1.0).otherwise(0.0)
 
 
-def score_entries(responses: DataFrame, references: DataFrame, conditions: list[str]) -> DataFrame:
-    """term, band, condition, pinyin, completeness, example, gloss, composite (their mean). Missing answers score 0.
+def score_entries(responses: DataFrame, references: DataFrame, conditions: list[str], order: str | None = None) -> DataFrame:
+    """term, band, condition, answered, pinyin, completeness, term_present, example, composite (the mean of the four).
 
-    responses: term, band, response_<condition>. references: term, pinyin, definitions (array of strings).
+    responses: term, band, response_<condition>. references: term, pinyin, definitions (array of strings) and, if it
+    has one, band ('unknown' where null), which replaces that of responses. Of references to one term the last by order
+    counts, or the greatest row without an order. Responses to terms without a reference are left out. Missing and empty
+    answers score 0 and aren't answered; answered_scores leaves them out.
     """
-    rows = responses.join(references.dropDuplicates(["term"]).select("term", F.col("pinyin").alias("_p"), F.col("definitions").alias("_d")), "term", "left")
+    own = [c for c in ("pinyin", "definitions", "band") if c in references.columns]
+    last = references.groupBy("term").agg(F.max_by(F.struct(*own), order if order else F.struct(*own)).alias("_r"))
+    band = F.coalesce("_r.band", F.lit("unknown")) if "band" in own else F.col("band")
     cells = F.array(*(F.struct(F.lit(c).alias("condition"), F.col(f"response_{c}").alias("answer")) for c in conditions))
-    rows = rows.select("term", "band", "_p", "_d", F.inline(cells)).withColumn("text", X.strip_thinking(F.coalesce("answer", F.lit(""))))
+    rows = responses.join(last, "term").select("term", band.alias("band"), F.col("_r.pinyin").alias("_p"), F.col("_r.definitions").alias("_d"), F.inline(cells))
     has = F.coalesce(F.col("answer"), F.lit("")) != ""
-    score = lambda c: F.when(has, c).otherwise(0.0)
-    rows = rows.select("term", "band", "condition", score(pinyin_score(F.col("text"), F.col("_p"))).alias("pinyin"), score(completeness_score(F.col("text"), F.col("_d"))).alias("completeness"), score(example_score(F.col("text"), F.col("term"))).alias("example"), score(F.when(X.is_gloss_format(F.col("text")), 1.0).otherwise(0.0)).alias("gloss"))
-    return rows.withColumn("composite", (F.col("pinyin") + F.col("completeness") + F.col("example") + F.col("gloss")) / 4)
+    text = F.col("text")
+    found = {"pinyin": pinyin_score(text, F.col("_p")), "completeness": completeness_score(text, F.col("_d")), "term_present": F.contains(text, F.col("term")).cast("double"), "example": example_score(text, F.col("term"))}
+    rows = rows.withColumns({"answered": has, "text": X.strip_thinking(F.coalesce("answer", F.lit("")))})
+    rows = rows.select("term", "band", "condition", "answered", *(F.when(F.col("answered"), c).otherwise(0.0).alias(k) for k, c in found.items()))
+    return rows.withColumn("composite", (F.col("pinyin") + F.col("completeness") + F.col("term_present") + F.col("example")) / 4)
+
+
+def answered_scores(scores: DataFrame) -> DataFrame:
+    """The rows that means by condition are taken of: means by band take all, missing answers as 0."""
+    return scores.where("answered")
 
 
 def translation_eval(definitions: DataFrame, bands: DataFrame, ref_source: str, own_source: str) -> DataFrame:
@@ -134,15 +146,25 @@ def translation_eval(definitions: DataFrame, bands: DataFrame, ref_source: str,
 # -- paired tests
 
 
+#: Parts that distinct sizes are ranked in, and the accuracy of their bounds.
+RANK_PARTS, RANK_ACCURACY = 200, 2000
+
+
 def ranked_differences(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """d, rank: differences that aren't 0, ranked by size; ties have the mean of their ranks.
+    """d, rank: differences b - a that aren't 0, ranked by size; ties have the mean of their ranks.
 
-    Ranks come from counts per size, so only distinct sizes are ordered in one place.
+    Ranks come from counts per size. Sizes are ordered within parts between approximate percentiles, so no task gets
+    all of them; only the parts' totals are summed in one place.
     """
-    rows = pairs.select((F.col(a) - F.col(b)).alias("d")).where("d is not null and d <> 0")
+    rows = pairs.select((F.col(b) - F.col(a)).alias("d")).where("d is not null and d <> 0")
     sizes = rows.groupBy(F.abs("d").alias("size")).agg(F.count(F.lit(1)).alias("k"))
-    up = Window.orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("rank", F.coalesce(F.sum("k").over(up), F.lit(0)) + (F.col("k") + 1) / 2)
+    bounds = sizes.agg(F.percentile_approx("size", [i / RANK_PARTS for i in range(1, RANK_PARTS)], RANK_ACCURACY).alias("bounds"))
+    part = F.size(F.filter("bounds", lambda x: x < F.col("size")))
+    sizes = sizes.join(F.broadcast(bounds)).select("size", "k", part.alias("part"))  # one row
+    inside = Window.partitionBy("part").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    below = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = sizes.groupBy("part").agg(F.sum("k").alias("all")).select("part", F.coalesce(F.sum("all").over(below), F.lit(0)).alias("below"))  # RANK_PARTS rows at most
+    sizes = sizes.join(F.broadcast(parts), "part").select("size", (F.col("below") + F.coalesce(F.sum("k").over(inside), F.lit(0)) + (F.col("k") + 1) / 2).alias("rank"))
     return rows.withColumn("size", F.abs("d")).join(sizes, "size").select("d", "rank")
 
 
@@ -152,13 +174,17 @@ def normal_cdf(z: pd.Series) -> pd.Series:
 
 
 def wilcoxon(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """One row: n, w_plus, w_minus, w, z, p of the signed-rank test; z and p are null under ten differences."""
+    """One row: n, w_plus, w_minus, w, z, p of the signed-rank test of b - a.
+
+    z and p are null under ten differences; without any difference w is 0 and p is 1.
+    """
     rows = ranked_differences(pairs, a, b).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("rank"))), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(F.when(F.col("d") < 0, F.col("rank"))), F.lit(0.0)).alias("w_minus"))
     n = F.col("n").cast("double")
     rows = rows.withColumn("w", F.least("w_plus", "w_minus"))
     z = F.try_divide(F.col("w") - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24))
     rows = rows.withColumn("z", F.when(n >= 10, z))
-    return rows.withColumn("p", F.when(F.col("z").isNotNull(), F.least(F.lit(1.0), 2 * normal_cdf(-F.abs(F.coalesce("z", F.lit(0.0)))))))
+    two_sided = F.least(F.lit(1.0), 2 * normal_cdf(-F.abs(F.coalesce("z", F.lit(0.0)))))
+    return rows.withColumn("p", F.when(n == 0, 1.0).when(F.col("z").isNotNull(), two_sided))
 
 
 def bootstrap(values: np.ndarray, rounds: int, seed: int) -> np.ndarray:
@@ -173,10 +199,10 @@ def _order_statistics(means: np.ndarray, confidence: float) -> tuple[float, floa
 
 
 def paired_bootstrap(pairs: DataFrame, by: list[str], a: str = "a", b: str = "b", rounds: int = 10_000, seed: int = 42) -> DataFrame:
-    """by, n, mean_diff, p (two-sided), low, high (95 %) of paired differences. Groups are evaluation sets, which fit a worker."""
+    """by, n, mean_diff, p (two-sided), low, high (95 %) of paired differences b - a. Groups are evaluation sets, which fit a worker."""
 
     def run(key, pdf):
-        d = (pdf[a] - pdf[b]).dropna().to_numpy(float)
+        d = (pdf[b] - pdf[a]).dropna().to_numpy(float)
         if not len(d):
             return pd.DataFrame([(*key, 0, None, None, None, None)], columns=names)
         means = bootstrap(d, rounds, seed)
@@ -189,11 +215,11 @@ def paired_bootstrap(pairs: DataFrame, by: list[str], a: str = "a", b: str = "b"
 
 
 def means_with_interval(rows: DataFrame, by: list[str], value: str, confidence: float = 0.95, rounds: int = 5000, seed: int = 42) -> DataFrame:
-    """by, n, mean, low, high; under three values the interval is the mean."""
+    """by, n, mean, low, high; under three values the interval is the mean, and without any all three are 0."""
 
     def run(key, pdf):
         v = pdf[value].dropna().to_numpy(float)
-        mean = float(v.mean()) if len(v) else None
+        mean = float(v.mean()) if len(v) else 0.0
         low, high = _order_statistics(bootstrap(v, rounds, seed), confidence) if len(v) >= 3 else (mean, mean)
         return pd.DataFrame([(*key, len(v), mean, low, high)], columns=[*by, "n", "mean", "low", "high"])
 

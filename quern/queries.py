@@ -386,7 +386,7 @@ def band_rollup(spark, sf_dir):
 
 
 @query(
-    """WITH p AS (SELECT o_custkey, avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) - avg(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END) AS d FROM orders GROUP BY o_custkey),
+    """WITH p AS (SELECT o_custkey, avg(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END) - avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS d FROM orders GROUP BY o_custkey),
 r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS rank FROM p WHERE d IS NOT NULL AND d <> 0)
 SELECT count(*) AS n, round(sum(rank) FILTER (d > 0), 3)::DOUBLE AS w_plus, round(sum(rank) FILTER (d < 0), 3)::DOUBLE AS w_minus FROM r"""
 )

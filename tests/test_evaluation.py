@@ -11,16 +11,35 @@ from tests.conftest import rows
 def test_scores(spark):
     responses = spark.createDataFrame([("爱", "high", "爱 (ai4): to love\n我爱你们大家。", None), ("书", "low", "x", "Pinyin: shū.\nbook\n这是一本书。")], "term string, band string, response_a string, response_b string")
     references = spark.createDataFrame([("爱", "ai4", ["to love", "affection"]), ("书", "shu1", ["book"])], "term string, pinyin string, definitions array<string>")
-    got = {(r["term"], r["condition"]): r for r in E.score_entries(responses, references, ["a", "b"]).collect()}
+    scores = E.score_entries(responses, references, ["a", "b"])
+    got = {(r["term"], r["condition"]): r for r in scores.collect()}
+    assert [got["爱", "a"][c] for c in ("term_present", "composite", "answered")] == [1.0, 3.5 / 4, True]
+    assert rows(E.answered_scores(scores).select("term", "condition")) == [("书", "a"), ("书", "b"), ("爱", "a")]
     assert (got["爱", "a"]["pinyin"], got["爱", "a"]["completeness"], got["爱", "a"]["example"]) == (1.0, 0.5, 1.0)
     assert got["爱", "b"]["composite"] == 0.0
     assert (got["书", "b"]["pinyin"], got["书", "b"]["completeness"], got["书", "b"]["example"]) == (1.0, 1.0, 1.0)
 
 
+def test_scores_need_a_reference_and_take_the_last(spark):
+    responses = spark.createDataFrame([("a", "high", "a [ma1]\nhorse"), ("b", "low", "b")], "term string, band string, response_x string")
+    references = spark.createDataFrame([("a", "ma3", ["sheep"], None, 1), ("a", "ma1", ["horse"], None, 2)], "term string, pinyin string, definitions array<string>, band string, line_no int")
+    got = E.score_entries(responses, references, ["x"], "line_no")
+    assert rows(got.select("term", "band", "pinyin", "completeness", "term_present", "example")) == [("a", "unknown", 1.0, 1.0, 1.0, 0.0)]
+
+
+def test_ranks_over_parts_match_plain_ones(spark, monkeypatch):
+    monkeypatch.setattr(E, "RANK_PARTS", 7)
+    random = np.random.default_rng(5)
+    d = random.integers(-60, 60, 400).astype(float)
+    got = rows(E.ranked_differences(spark.createDataFrame([(0.0, x) for x in d.tolist()], "a double, b double")))
+    size = np.abs(d[d != 0])
+    assert got == sorted(((x, (size < abs(x)).sum() + ((size == abs(x)).sum() + 1) / 2) for x in d[d != 0].tolist()), key=repr)
+
+
 def test_wilcoxon(spark):
     random = np.random.default_rng(1)
     a, b = random.integers(0, 9, 40).astype(float), random.integers(0, 9, 40).astype(float)
-    d = (a - b)[a != b]
+    d = (b - a)[a != b]
     order = np.abs(d)
     ranks = np.array([(order < x).sum() + ((order == x).sum() + 1) / 2 for x in order])
     r = E.wilcoxon(spark.createDataFrame(list(zip(a.tolist(), b.tolist(), strict=True)), "a double, b double")).first()
@@ -30,16 +49,20 @@ def test_wilcoxon(spark):
     assert r["z"] == pytest.approx(z) and r["p"] == pytest.approx(min(1, 2 * 0.5 * (1 + math.erf(-abs(z) / math.sqrt(2)))))
     few = E.wilcoxon(spark.createDataFrame([(1.0, 2.0)], "a double, b double")).first()
     assert few["n"] == 1 and few["z"] is None and few["p"] is None
-    assert E.wilcoxon(spark.createDataFrame([], "a double, b double")).first()["n"] == 0
+    for none in ([], [(1.0, 1.0)] * 3):
+        r = E.wilcoxon(spark.createDataFrame(none, "a double, b double")).first()
+        assert (r["n"], r["w"], r["p"]) == (0, 0.0, 1.0)
 
 
 def test_bootstrap(spark):
     df = spark.createDataFrame([("g", float(i), float(i) + 1) for i in range(12)] + [("h", 1.0, 1.0)] * 4, "k string, a double, b double")
     got = {r["k"]: r for r in E.paired_bootstrap(df, ["k"], rounds=200).collect()}
-    assert got["g"]["mean_diff"] == -1 and got["g"]["p"] == 0 and got["g"]["low"] == got["g"]["high"] == -1
+    assert got["g"]["mean_diff"] == 1 and got["g"]["p"] == 0 and got["g"]["low"] == got["g"]["high"] == 1
     assert got["h"]["mean_diff"] == 0 and got["h"]["p"] == 1
     m = {r["k"]: r for r in E.means_with_interval(df, ["k"], "a", rounds=200).collect()}
     assert m["g"]["low"] <= m["g"]["mean"] <= m["g"]["high"]
+    empty = E.means_with_interval(spark.createDataFrame([("k", None)], "k string, v double"), ["k"], "v").first()
+    assert tuple(empty) == ("k", 0, 0.0, 0.0, 0.0)
 
 
 def test_groupings(spark):

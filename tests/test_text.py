@@ -113,6 +113,7 @@ def test_answers_text(spark):
     assert one(spark, X.strip_thinking(F.col("a")), "<think>deep</think>short") == "deep"
     assert one(spark, X.strip_thinking(F.col("a")), "<think>deep</think>" + "long " * 20) == ("long " * 20).strip()
     assert one(spark, X.clean_answer(F.col("a")), ' 3. "/bank/"') == "bank"
+    assert [one(spark, X.clean_answer(F.col("a")), x) for x in ("'tis", 'say "hi"', "/a/b/", '"a" or "b"')] == ["'tis", 'say "hi"', "a/b", 'a" or "b']
     assert one(spark, X.extract_pinyin(F.col("a")), "爱 (ai2) x") == "ai2"
     assert one(spark, X.extract_pinyin(F.col("a")), "Pinyin: cè shì here") == "ce4 shi4 here"
     assert one(spark, X.extract_definitions(F.col("a")), "1. To love\n- x\nMeaning: Affection") == ["to love", "affection"]
