@@ -1,8 +1,9 @@
 """MPEG audio columns: a parser that resynchronises, and a lossless container for byte payloads.
 
 The parser walks frame headers, skips what is not a frame, reads ID3 tags and Xing/Info/VBRI tables, verifies the
-frames' CRC-16, and gives the exact duration as a fraction and the offset of every frame. The container puts 576
-payload bytes, a frame's number of samples at the low sampling rates, into the ancillary part of a silent frame.
+CRC-16 of frames of all three layers, and gives the exact duration as a fraction and the offset of every frame. Tags at
+the end are looked for where frames end, never before. The container puts 576 payload bytes, a frame's number of samples
+at the low sampling rates, into the ancillary part of a silent frame.
 """
 
 from __future__ import annotations
@@ -34,6 +35,19 @@ RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8
 #: Generator of the frames' CRC-16, which starts from all ones.
 CRC_POLYNOMIAL = 0x8005
 
+#: Layer II: bits of a sub-band's allocation as (bits, sub-bands) from the lowest on, for the tables a to d and low rates.
+ALLOCATION = {
+    "a": ((4, 11), (3, 12), (2, 4)),
+    "b": ((4, 11), (3, 12), (2, 7)),
+    "c": ((4, 2), (3, 6)),
+    "d": ((4, 2), (3, 10)),
+    "low": ((4, 4), (3, 7), (2, 19)),
+}
+#: Starts of what may follow the last frame besides an ID3v1 tag: APE tags, Lyrics3, an ID3v2 footer's tag, padding.
+TRAILERS = (b"APETAGEX", b"LYRICSBEGIN", b"ID3", b"3DI", b"\0\0\0\0")
+#: The longest frame of a stream that names no bit rate (free format), and the shortest.
+FREE_MOST, FREE_LEAST = 8192, 24
+
 #: Payload bytes of a frame of the container.
 UNIT = 576
 #: Container frames: MPEG-2 layer III, CRC, 144 kbit/s, 16 kHz, mono: 648 bytes.
@@ -54,10 +68,14 @@ def _crc_table() -> list[int]:
 CRC = _crc_table()
 
 
-def crc16(data: bytes) -> int:
-    crc = 0xFFFF
-    for byte in data:
+def crc16(data: bytes, bits: int | None = None) -> int:
+    """Checksum of whole bytes, or of the first bits of them."""
+    crc, whole = 0xFFFF, len(data) if bits is None else bits // 8
+    for byte in data[:whole]:
         crc = (crc << 8 & 0xFFFF) ^ CRC[crc >> 8 ^ byte]
+    for k in range((bits or 0) % 8):
+        bit = data[whole] >> 7 - k & 1
+        crc = (crc << 1 & 0xFFFF) ^ (CRC_POLYNOMIAL if (crc >> 15) ^ bit else 0)
     return crc
 
 
@@ -72,6 +90,8 @@ class Header:
     channels: int
     size: int
     samples: int
+    #: Sub-bands that both channels have an allocation of their own in; the rest share one (joint stereo).
+    bound: int = 32
 
     @property
     def kind(self) -> tuple:
@@ -84,27 +104,74 @@ class Header:
         return {(3, 1): 17, (3, 2): 32}.get((self.version, self.channels), 9 if self.channels == 1 else 17) if self.layer == 3 else 0
 
 
-def header_at(data: bytes, at: int) -> Header | None:
-    """The frame header at an offset, or None. Free-format streams, which name no bit rate, are not read."""
+def header_at(data: bytes, at: int, free: int | None = None) -> Header | None:
+    """The frame header at an offset, or None. free: bytes of a frame without padding, for streams that name no bit rate."""
     if at + 4 > len(data) or data[at] != 0xFF or data[at + 1] & 0xE0 != 0xE0:
         return None
     b1, b2, b3 = data[at + 1 : at + 4]
     version, layer, rate, bits = b1 >> 3 & 3, 4 - (b1 >> 1 & 3), b2 >> 2 & 3, b2 >> 4
-    if version == 1 or layer == 4 or rate == 3 or not 1 <= bits <= 14 or b3 & 3 == 2:
+    if version == 1 or layer == 4 or rate == 3 or bits == 15 or b3 & 3 == 2 or not bits and free is None:
         return None
     low, padding = version != 3, b2 >> 1 & 1
-    bitrate, hz = BITRATES[low, layer][bits - 1] * 1000, RATES[version][rate]
+    hz, bitrate = RATES[version][rate], BITRATES[low, layer][bits - 1] * 1000 if bits else 0
     samples = 384 if layer == 1 else 576 if layer == 3 and low else 1152
-    size = (12 * bitrate // hz + padding) * 4 if layer == 1 else samples // 8 * bitrate // hz + padding
-    return Header(version, layer, not b1 & 1, bitrate, hz, padding, 1 if b3 >> 6 == 3 else 2, size, samples)
+    slot = 4 if layer == 1 else 1
+    size = ((12 * bitrate // hz if layer == 1 else samples // 8 * bitrate // hz) + padding) * slot if bits else free + padding * slot
+    mode = b3 >> 6
+    return Header(version, layer, not b1 & 1, bitrate, hz, padding, 1 if mode == 3 else 2, size, samples, 4 * (b3 >> 4 & 3) + 4 if mode == 1 else 32)
+
+
+def free_size(data: bytes, at: int) -> int | None:
+    """Bytes of a frame without padding where a header names no bit rate: where the like headers of the next two frames stand."""
+    h = header_at(data, at, 0)
+    if not h or h.bitrate:
+        return None
+    slot, same = 4 if h.layer == 1 else 1, lambda k: len(data) >= k + 4 and data[at : at + 2] == data[k : k + 2] and data[at + 2] & 0xFC == data[k + 2] & 0xFC
+    k = data.find(b"\xff", at + FREE_LEAST, at + FREE_MOST)
+    while k >= 0:
+        size = k - at - h.padding * slot
+        if same(k) and (k + size + (data[k + 2] >> 1 & 1) * slot == len(data) or same(k + size + (data[k + 2] >> 1 & 1) * slot)):
+            return size
+        k = data.find(b"\xff", k + 1, at + FREE_MOST)
+    return None
+
+
+def _layer2_bits(data: bytes, at: int, h: Header) -> int | None:
+    """Bits of allocations and scale factor choices of a layer II frame whose data begin at an offset."""
+    per = h.bitrate // 1000 // h.channels
+    if h.version != 3:
+        table = "low"
+    elif per and per < 56:
+        table = "d" if h.rate == 32000 else "c"
+    else:
+        table = "a" if h.rate == 48000 or per and per <= 80 else "b"
+    widths = [bits for bits, n in ALLOCATION[table] for _ in range(n)]
+    raw, i, chosen = int.from_bytes(data[at : at + 64].ljust(64, b"\0"), "big"), 0, 0
+    for band, bits in enumerate(widths):
+        own = h.channels if band < h.bound else 1
+        for _ in range(own):
+            value = raw >> 512 - i - bits & (1 << bits) - 1
+            chosen += (h.channels if own == 1 else 1) * (value > 0)
+            i += bits
+    return i + 2 * chosen
 
 
 def crc_holds(data: bytes, at: int, h: Header) -> bool | None:
-    """Whether a layer III frame's checksum holds; None where there is none to verify."""
-    if not h.protected or h.layer != 3:
+    """Whether a frame's checksum holds; None where the frame has none.
+
+    It covers the last two header bytes and the side information (layer III), or allocations (layer I), and the
+    choice of scale factors (layer II).
+    """
+    if not h.protected:
         return None
-    stop = at + 6 + h.side
-    return stop <= len(data) and crc16(data[at + 2 : at + 4] + data[at + 6 : stop]) == int.from_bytes(data[at + 4 : at + 6], "big")
+    if h.layer == 3:
+        bits = 8 * h.side
+    elif h.layer == 1:
+        bits = 4 * (min(h.bound, 32) * h.channels + 32 - min(h.bound, 32))
+    else:
+        bits = _layer2_bits(data, at + 6, h)
+    stop = at + 6 + (bits + 7) // 8
+    return stop <= len(data) and crc16(data[at + 2 : at + 4] + data[at + 6 : stop], 16 + bits) == int.from_bytes(data[at + 4 : at + 6], "big")
 
 
 @dataclass
@@ -139,19 +206,38 @@ def _tag_text(raw: bytes) -> str:
     return raw[1:].decode(kinds.get(raw[0], "latin-1"), "replace").strip("\0") if raw else ""
 
 
+def _synchronised(raw: bytes) -> bytes:
+    """Bytes as they were before zeros were put behind bytes 255."""
+    return raw.replace(b"\xff\x00", b"\xff")
+
+
 def read_id3(data: bytes) -> tuple[dict, int]:
-    """Text frames of an ID3v2.3 or 2.4 tag at the start, and where the audio begins. A cut-off tag ends the file."""
+    """Text frames of an ID3v2.2, 2.3 or 2.4 tag at the start, by the tag's own names, and where the audio begins.
+
+    Unsynchronised tags and frames are read as they were; extended headers, and frames that are compressed or encrypted,
+    are skipped. A cut-off tag ends the file.
+    """
     if data[:3] != b"ID3" or len(data) < 10:
         return {}, 0
-    safe = lambda b: b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
-    end, at, out = min(len(data), 10 + safe(data[6:10])), 10, {}
-    while at + 10 <= end and data[at : at + 4].strip(b"\0"):
-        size = safe(data[at + 4 : at + 8]) if data[3] >= 4 else int.from_bytes(data[at + 4 : at + 8], "big")
-        name, body = data[at : at + 4].decode("latin-1"), data[at + 10 : min(end, at + 10 + size)]
-        if name[0] == "T":
-            out[name] = _tag_text(body)
-        at += 10 + size
-    return out, end + (10 if data[5] & 0x10 else 0)
+    safe = lambda b: b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3] if len(b) == 4 else 0
+    plain = lambda b: int.from_bytes(b, "big")
+    version, flags, out = data[3], data[5], {}
+    end = min(len(data), 10 + safe(data[6:10]))
+    body = data[10:end] if version >= 4 or not flags & 0x80 else _synchronised(data[10:end])
+    short = version < 3
+    at = 0 if short or not flags & 0x40 else safe(body[:4]) if version >= 4 else 4 + plain(body[:4])
+    wide, head = (3, 6) if short else (4, 10)
+    while at + head <= len(body) and body[at : at + wide].strip(b"\0"):
+        size = (safe if version >= 4 else plain)(body[at + wide : at + 2 * wide])
+        name, text, marks = body[at : at + wide].decode("latin-1"), body[at + head : at + head + size], 0 if short else body[at + 9]
+        if version >= 4:
+            text = _synchronised(text) if marks & 2 or flags & 0x80 else text
+            text = text[4:] if marks & 1 else text
+        hidden = marks & (0x0C if version >= 4 else 0xC0)
+        if name[0] == "T" and not hidden:
+            out[name] = _tag_text(text)
+        at += head + size
+    return out, end + (10 if flags & 0x10 else 0)
 
 
 def read_vbr(data: bytes, at: int, h: Header) -> dict:
@@ -189,30 +275,36 @@ def _run_length(raw: np.ndarray, at: int, size: int) -> int:
 def parse(data: bytes) -> Stream:
     """Read a stream of frames.
 
-    A header counts if the next one of the same kind follows it, or the stream ends with its frame; elsewhere the
-    parser moves on to the next sync byte and counts the resynchronisation and the bytes skipped. A last frame that
-    is cut off is skipped. Bytes that look like an ID3v1 tag are a frame's own where that frame, in sync, ends with the
-    stream and the table counts frames that haven't come yet.
+    A header counts if the next one of the same kind follows it, or the stream or its tags begin where its frame ends, or,
+    in sync, its checksum holds; elsewhere the parser moves on to the next sync byte and counts the resynchronisation and
+    the bytes skipped. A last frame that is cut off is skipped. An ID3v1 tag is one only where no frame in sync covers it,
+    so a frame that ends with the stream keeps bytes that look like a tag, unless the table's frames have all come.
     """
     out, raw, n = Stream(), np.frombuffer(data, np.uint8), len(data)
     out.tags, at = read_id3(data)
-    end = n - 128 if n - at >= 128 and data[n - 128 : n - 125] == b"TAG" else n
-    offsets, sizes, lost, count = [], [], False, 0
-    while at < end:
-        h = header_at(data, at)
-        if h and end < n and at + h.size == n and not lost and count < out.vbr.get("frames", 0):
-            end = n
-        if h and (out.header is None or h.kind == out.header.kind) and h.size >= 4 and at + h.size <= end:
-            after = header_at(data, at + h.size)
-            if at + h.size == end or after and after.kind == h.kind or not lost and crc_holds(data, at, h):
+    tag = n - 128 if n - at >= 128 and data[n - 128 : n - 125] == b"TAG" else n
+    offsets, sizes, lost, count, free = [], [], False, 0, None
+    while at < n:
+        if at == tag or not lost and out.header and data.startswith(TRAILERS, at) and not header_at(data, at, free):
+            break
+        if free is None and out.header is None and (h := header_at(data, at, 0)) and not h.bitrate:
+            free = free_size(data, at)
+        h = header_at(data, at, free)
+        stop = at + h.size if h else 0
+        # in sync, a frame that ends with the stream owns what looks like a tag, unless a table says that all have come
+        inside = h and (stop <= tag or stop == n and not lost and count < out.vbr.get("frames", count + 1))
+        if inside and (out.header is None or h.kind == out.header.kind) and h.size >= 4:
+            after = header_at(data, stop, free)
+            ends = stop in (n, tag) or out.header is not None and not lost and data.startswith(TRAILERS, stop)
+            if ends or after and after.kind == h.kind or not lost and crc_holds(data, at, h):
                 lost = False
                 first = out.header is None
                 out.header = out.header or h
                 if first and (table := read_vbr(data, at, h)):
                     out.vbr = table
-                    at += h.size
+                    at = stop
                     continue
-                run = max(1, _run_length(raw[:end], at, h.size))
+                run = max(1, _run_length(raw[:tag], at, h.size))
                 offsets.append(at + h.size * np.arange(run, dtype=np.int64))
                 sizes.append(np.full(run, h.size, np.int64))
                 count += run
@@ -220,26 +312,28 @@ def parse(data: bytes) -> Stream:
                 _verify(out, raw, data, at, h, run)
                 at += run * h.size
                 continue
-        step = data.find(b"\xff", at + 1, end)
-        step = end if step < 0 else step
+        step = data.find(b"\xff", at + 1, tag)
+        step = tag if step < 0 else step
         out.resyncs += not lost
         out.skipped += step - at
         lost, at = True, step
-    if end < n:
-        out.tags.setdefault("TIT2", data[end + 3 : end + 33].decode("latin-1").strip("\0 "))
+    if at == tag < n:
+        out.tags.setdefault("TIT2", data[tag + 3 : tag + 33].decode("latin-1").strip("\0 "))
     out.offsets = np.concatenate(offsets) if offsets else out.offsets
     out.sizes = np.concatenate(sizes) if sizes else out.sizes
     return out
 
 
 def _verify(out: Stream, raw: np.ndarray, data: bytes, at: int, h: Header, run: int) -> None:
-    """Verify the checksums of a run of like frames; frames with the same protected bytes are computed once."""
-    if not h.protected or h.layer != 3:
+    """Verify the checksums of a run of like frames; layer III frames with the same protected bytes are computed once."""
+    if not h.protected:
         return
-    wide = 6 + h.side
-    grid = raw[at : at + run * h.size].reshape(run, h.size)[:, :wide]
-    if run > 1 and (grid == grid[0]).all():
-        ok = run if crc_holds(data, at, h) else 0
+    if run > 1 and h.layer == 3:
+        grid = raw[at : at + run * h.size].reshape(run, h.size)[:, : 6 + h.side]
+        if (grid == grid[0]).all():
+            ok = run if crc_holds(data, at, h) else 0
+        else:
+            ok = sum(bool(crc_holds(data, at + k * h.size, h)) for k in range(run))
     else:
         ok = sum(bool(crc_holds(data, at + k * h.size, h)) for k in range(run))
     out.crc_ok += ok
@@ -331,7 +425,8 @@ def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Result: id_col, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long (of the last 32 payload
     bytes), media_bytes long, media_sha256 string, feature string, a row per input row. Null counts as the empty
-    text, whose payload is one unit of bytes 255. Equal texts give equal values; repeated rows and null ids are
+    text, whose payload is one unit of bytes 255. A very long text is one stream, built and read in one worker in about
+    six times its bytes. Equal texts give equal values, so there are no ties to break; repeated rows and null ids are
     rows like others; columns besides the two named are not read; an empty table gives no rows.
     """
     bound_arrow(docs.sparkSession)

@@ -139,3 +139,21 @@ m AS (SELECT vec_id, min(seen) AS component_id FROM r GROUP BY vec_id),
 n AS (SELECT a AS vec_id, count(*) AS n_links FROM u GROUP BY a)
 SELECT m.vec_id, coalesce(n_links, 0) AS n_links, component_id, m.vec_id = component_id AS kept FROM m LEFT JOIN n ON n.vec_id = m.vec_id
 """
+
+#: The stored form in SQL: an Info frame, then a frame of 15 bytes of header, checksum and side information, a unit, and zeros.
+ORACLE["op10_mpeg_audio"] = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+u AS (SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, greatest(1, (len(h) + 1151) // 1152)::BIGINT AS n, h FROM d),
+p AS (SELECT doc_id, n_bytes, n, h || repeat('FF', 576 * n - n_bytes) AS h FROM u),
+m AS (
+  SELECT *, 'FFF2D8C0E1F0' || repeat('00', 9) AS head, list_transform(range(0, 32), lambda k: ('0x' || substr(h, (len(h) - 63 + 2 * k)::BIGINT, 2))::BIGINT) AS tail,
+    list_aggregate(list_transform(range(0, 100), lambda k: lpad(to_hex(k * 256 // 100), 2, '0')), 'string_agg', '') AS toc FROM p),
+s AS (
+  SELECT *, unhex(head || hex('Info') || '00000007' || lpad(to_hex(n), 8, '0') || lpad(to_hex((n + 1) * 648), 8, '0') || toc || repeat('00', 648 - 15 - 16 - 100)
+    || list_aggregate(list_transform(range(0, n), lambda k: head || substr(h, (1152 * k + 1)::BIGINT, 1152) || repeat('00', 57)), 'string_agg', '')) AS media FROM m)
+SELECT doc_id, n_bytes, 576 * n AS payload_bytes, sha256(unhex(h)) AS payload_sha256,
+  xor(4294967295::BIGINT, list_reduce(tail, lambda c, b: list_reduce(range(0, 8), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END, xor(c, b)), 4294967295::BIGINT)) AS tail_crc32,
+  648 * (n + 1) AS media_bytes, sha256(media) AS media_sha256,
+  'v2 l3 16000 Hz 1 ch; frames ' || n || '; samples ' || 576 * n || '; seconds ' || 9 * n // gcd(n, 250) || '/' || 250 // gcd(n, 250) || '; crc ' || n || '/0; resync 0; table Info ' || n || '; last frame ' || 648 * n AS feature
+FROM s
+"""
