@@ -8,26 +8,41 @@ from pyspark.sql import functions as F
 from quern.llm.common import Stored
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: Nodes with more than this share of all edges are hubs; there are fewer of them than its inverse, times two.
+HUB_SHARE = 1 / 1000
+
+
+def _with_least(rows: DataFrame, of: DataFrame, edges: int) -> DataFrame:
+    """rows (u, v) with m, the least of u's neighbours in of. The few hubs are sent to all rows; other nodes are joined."""
+    least = of.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("d"))
+    hub = F.col("d") > max(1.0, HUB_SHARE * edges)
+    hubs = F.broadcast(least.where(hub).select("u", F.col("m").alias("hub_m")))  # fewer than 2 / HUB_SHARE rows
+    marked = rows.join(hubs, "u", "left")
+    plain = marked.where("hub_m is null").drop("hub_m").join(least.where(~hub).select("u", "m"), "u")
+    return marked.where("hub_m is not null").withColumnRenamed("hub_m", "m").unionByName(plain)
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Link each larger neighbour of a node to the smallest of its neighbourhood."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    rows = _with_least(both, both, n).where(F.col("v") > F.col("u"))
+    return rows.select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Link the smaller neighbours of a node, and the node, to the smallest of them. Edges have u > v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where(F.col("v") > F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    rows = _with_least(edges, edges, n)
+    moved = rows.where(F.col("v") > F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(rows.select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(edges: DataFrame, a: str, b: str, store: Stored, label: str) -> DataFrame:
     """node, root: the smallest node of the component of each node that has an edge to another and isn't the root.
 
     Each round is written to the shared folder, so a lost executor costs one round at most, and the round before
-    is deleted. Hubs are reduced by partial aggregates; the joins that fan a hub's minimum out are plain equi-joins,
-    which adaptive execution splits. Null ends and loops are dropped. Rounds grow as the log of the longest chain.
+    is deleted. Hubs are reduced by partial aggregates, and their minima, of which there are a bounded number, are sent to
+    the rows, so no task gets all of a hub's edges. Null ends and loops are dropped. Rounds grow as the log of the
+    longest chain.
     """
     edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull()).where("u <> v").distinct()
     edges = store.keep(edges, f"{label}-0")
@@ -37,5 +52,5 @@ def components(edges: DataFrame, a: str, b: str, store: Stored, label: str) -> D
         if mark == seen or not seen[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark, n = seen, n + 1
-        edges = store.keep(_small_star(_large_star(edges)), f"{label}-{n}")
+        edges = store.keep(_small_star(_large_star(edges, seen[0]), seen[0]), f"{label}-{n}")
         store.drop(f"{label}-{n - 1}")

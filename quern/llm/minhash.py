@@ -1,28 +1,32 @@
 """Near-copies by circulant MinHash, banding and exact Jaccard verification.
 
 Two permutations of a universe of 2**32 places make a whole signature: shingles are placed by the first, and
-coordinate k is the least value that the second, circularly shifted by k, gives to any of them. Equal sets are merged
-first. Buckets of bands link sets into families; the sets of a family are then compared exactly, in blocks of bounded
-size, and what is linked is joined into components.
+coordinate k is the least value that the second, circularly shifted by k, gives to any of them. Equal texts are merged
+first, by a cryptographic hash. Pairs are compared in buckets of bands: each text first with one head among those that it
+meets, in units of bounded size; then buckets that still hold texts of different components are compared whole, block by
+block, where two blocks have more than one component. Sets are compared by their words, and only links so confirmed are
+joined into components.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.llm import words as W
 from quern.llm.common import Stored, bound_arrow, mix64, spans_by_bytes, text_bytes
 from quern.llm.components import components
 
 CALL_BYTES = 1 << 18
-#: A block of a family holds about so many sets and so many bytes of shingles.
+#: A unit that compares texts holds about so many of them and so many bytes, or two such blocks.
 BLOCK_SETS = 256
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: A pair at the threshold may fail to meet in any band with this probability.
 MISS = 1e-5
 
@@ -65,29 +69,25 @@ class _Powers:
 POWERS = _Powers()
 
 
+def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes, where words begin and end, and the first word of each row, with the number of words behind."""
+    low = W.lower_ascii(raw)
+    first, last = W.runs(~((low == 32) | ((low >= 9) & (low <= 13))), offsets)
+    return low, first, last, np.searchsorted(first, offsets)
+
+
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct shingle hashes of each row, end to end, and their n + 1 offsets.
 
     A-Z are lower-cased; words are runs of bytes other than 0x20 and 0x09 to 0x0D; a shingle is width words. A row
-    with fewer words has one shingle, the sequence of them; a row without words has none.
+    with fewer words has one shingle, the sequence of them; a row without words has none. Shingles of one hash in a row
+    are compared word by word, so a set has as many hashes as it has shingles.
     """
     n = len(offsets) - 1
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
-    low = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
-    word = ~((low == 32) | ((low >= 9) & (low <= 13)))
-    edge = np.zeros(len(raw) + 1, bool)
-    edge[offsets] = True
-    start = word.copy()
-    start[1:] &= ~word[:-1] | edge[1:-1]
-    stop = word.copy()
-    stop[:-1] &= ~word[1:] | edge[1:-1]
-    first, last = np.flatnonzero(start), np.flatnonzero(stop) + 1
-    up, down = POWERS.get(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(BYTE[low] * up[:-1], out=sums[1:])
-    words = mix64((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
-    bounds = np.searchsorted(first, offsets)
+    low, first, last, bounds = _words(raw, offsets)
+    words = W.hashes(low, first, last)
     counts = np.diff(bounds)
     shingles = words.copy()
     for k in range(1, width):
@@ -98,8 +98,21 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.n
     for i in range(n):
         c = counts[i]
         if c >= width:
-            own = np.sort(shingles[bounds[i] : bounds[i + 1] - width + 1])
-            own = own[np.concatenate([[True], own[1:] != own[:-1]])]
+            at = bounds[i]
+            own = shingles[at : bounds[i + 1] - width + 1]
+            order = np.argsort(own, kind="stable")
+            own = own[order]
+            fresh = np.concatenate([[True], own[1:] != own[:-1]])
+            if not fresh.all():
+                x, y = order[:-1][~fresh[1:]] + at, order[1:][~fresh[1:]] + at
+                same = np.ones(len(x), bool)
+                for k in range(width):
+                    size = last[x + k] - first[x + k]
+                    same &= size == last[y + k] - first[y + k]
+                    same &= W.equal(low, first[x + k], first[y + k], np.where(same, size, 0))
+                if not same.all():
+                    own, fresh = _hashes_by_words(low, first[at : bounds[i + 1]], last[at : bounds[i + 1]], width), slice(None)
+            own = own[fresh]
         elif c:
             h = np.full(1, c, np.uint64)
             for w in words[bounds[i] : bounds[i + 1]]:
@@ -112,6 +125,37 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.n
     return np.concatenate(out) if out else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(sizes)])
 
 
+def _hashes_by_words(low: np.ndarray, first: np.ndarray, last: np.ndarray, width: int) -> np.ndarray:
+    """A hash for each distinct shingle of one row, told apart by its words; the way out where two have one hash."""
+    words = [low[a:b].tobytes() for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+    distinct = {b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)}
+    found: set[int] = set()
+    for x in sorted(distinct):
+        h = int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little")
+        while h in found:
+            h = (h + 1) % (1 << 64)
+        found.add(h)
+    return np.array(sorted(found), np.uint64)
+
+
+def exact_sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
+    """The shingle sets of a unit's rows as sorted numbers, equal just where the shingles' words are."""
+    low, first, last, bounds = _words(raw, offsets)
+    pick, word = W.names(low, first, last)
+    kinds, shingle = len(pick) + 1, word.astype(np.int64)
+    for k in range(1, width):
+        shingle = shingle[:-1] if len(shingle) else shingle
+        shingle = np.unique(shingle * kinds + word[k : k + len(shingle)], return_inverse=True)[1].astype(np.int64)
+    out, short = [], {}
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if b - a >= width:
+            out.append(np.unique(shingle[a : b - width + 1]))
+        else:
+            # a sequence of fewer words is a shingle of its own, numbered from -1 down
+            out.append(np.array([-1 - short.setdefault(tuple(word[a:b].tolist()), len(short))] if b > a else [], np.int64))
+    return out
+
+
 def signatures(shingles: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     """Circulant MinHash signatures (rows x length) of non-empty sets that begin at starts."""
     place = (mix64(shingles * PLACES) >> np.uint64(32)).astype(np.uint32)  # the first permutation, on the hashed universe
@@ -137,8 +181,8 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _features(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """id, tie, n, h1, h2 (which name the set), keys of the bands."""
-    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), T.StructField("tie", T.LongType()), T.StructField("n", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    """id, name (of the text), n, size (bytes of the text), keys of the bands. docs: id, text, name."""
+    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), T.StructField("name", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("size", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def run(batches):
         for batch in batches:
@@ -148,34 +192,13 @@ def _features(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 s, at = shingle_sets(raw[o[0] : o[-1]], o - o[0], width)
                 n = np.diff(at)
                 full = np.flatnonzero(n)
-                h1, h2 = np.zeros(hi - lo, np.uint64), np.zeros(hi - lo, np.uint64)
                 width_of = np.zeros(hi - lo + 1, np.int32)
                 keys = np.zeros(0, np.int64)
                 if len(full):
-                    begin = at[:-1][full]
-                    h1[full], h2[full] = np.add.reduceat(s, begin), np.add.reduceat(mix64(s ^ BASE), begin)
-                    keys = band_keys(signatures(s, begin, bands * rows), bands, rows).ravel()
+                    keys = band_keys(signatures(s, at[:-1][full], bands * rows), bands, rows).ravel()
                     width_of[1:][full] = bands
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum(width_of, dtype=np.int32)), pa.array(keys))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists], names=schema.names)
-
-    return docs.mapInArrow(run, schema)
-
-
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """docs with the text replaced by its set: hashes as bytes."""
-    names = [c for c in docs.columns if c != "text"]
-    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("hashes", T.BinaryType())])
-    place = docs.columns.index("text")
-
-    def run(batches):
-        for batch in batches:
-            raw, offsets = text_bytes(batch.column(place))
-            for lo, hi in spans_by_bytes(offsets, CALL_BYTES):
-                o = offsets[lo : hi + 1]
-                s, at = shingle_sets(raw[o[0] : o[-1]], o - o[0], width)
-                part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array([s[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(n), pa.array(np.diff(o)), lists], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -224,67 +247,127 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Components of documents whose shingle sets have 100 * intersection >= percent * union.
 
     Result: id_col, n_shingles long (size of the set), component_id (smallest id reachable over links, itself
-    included), kept boolean (it is that smallest id), a row per input row. Links are confirmed on full sets of
-    64-bit shingle hashes; a pair at the threshold is a candidate with probability 1 - MISS at least, and sets of
-    one text or of one set are merged before and never missed.
+    included), kept boolean (it is that smallest id), a row per input row. Links are confirmed on full sets, word by
+    word; a pair at the threshold is a candidate with probability 1 - MISS at least, and rows of one text are merged
+    before and never missed.
 
     Null and empty texts have no shingles and are linked with nothing. A null id can't name a component: such a row
     has a null component_id and is kept. Rows that repeat an id are linked by their own texts each, and share the id.
-    Other columns are not read. An empty table gives no rows.
+    Of ids that tie for the smallest, all rows with it are kept. A very long text is one set, and a unit by itself if it
+    has more than BLOCK_BYTES. Other columns are not read. An empty table gives no rows.
     """
     rows = _components(docs, id_col, text_col, width, percent)
     return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
+def _name(text) -> Column:
+    """Names of texts: the first 128 bits of their SHA-256; null has an empty one."""
+    return F.coalesce(F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 32)), F.lit(b""))
+
+
+def _blocks(m, size):
+    """How many blocks hold m texts of size bytes in all."""
+    return F.greatest(F.lit(1), F.least(m, F.ceil(F.greatest(m / BLOCK_SETS, size / BLOCK_BYTES)))).cast("long")
+
+
+def _compare(units: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Confirmed links a, b inside units (u, i, j, own, node): all pairs where i = j, else pairs of blocks own = i and own = j."""
+
+    def run(key, block):
+        block = block.combine_chunks().sort_by("node")
+        raw, offsets = text_bytes(block.column("text"))
+        side = None if key[1].as_py() == key[2].as_py() else block.column("own").to_numpy()
+        label = linked(exact_sets(raw, offsets, width), percent, side)
+        apart = np.flatnonzero(label != np.arange(len(label)))
+        node = block.column("node").to_numpy()
+        return pa.table([pa.array(node[apart]), pa.array(node[label[apart]])], names=["a", "b"])
+
+    return units.join(texts, "node").groupBy("u", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def _stars(met: DataFrame, nodes: DataFrame, head) -> DataFrame:
+    """node, head, chunk, chunks: each text with one of the heads that it meets, heads' texts dealt over chunks."""
+    pairs = met.where("node <> head").groupBy("node").agg(head("head").alias("head"))
+    sizes = pairs.join(nodes.select("node", "size"), "node").groupBy("head").agg(_blocks(F.count(F.lit(1)), F.sum("size")).alias("chunks"))
+    return pairs.join(sizes, "head").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
+
+
+def _star_units(stars: DataFrame) -> DataFrame:
+    """A unit per chunk of a head: its texts and the head."""
+    zero = F.lit(0).cast("long")
+    heads = stars.select("head", "chunks").distinct().select(F.col("head").alias("u"), F.explode(F.sequence(zero, F.col("chunks") - 1)).alias("i"), F.col("head").alias("node"))
+    return stars.select(F.col("head").alias("u"), F.col("chunk").alias("i"), "node").unionByName(heads).select("u", "i", F.col("i").alias("j"), F.col("i").alias("own"), "node")
+
+
+def _rest(met: DataFrame, roots: DataFrame, stars: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Units of buckets that hold several components and that no unit of stars compared whole.
+
+    A bucket's texts are dealt to blocks; two blocks make a unit if they hold more than one component.
+    """
+    rows = met.join(roots, "node").join(stars.select("node", F.col("head").alias("star"), "chunk"), "node", "left").join(nodes.select("node", "size"), "node")
+    other = F.col("node") != F.col("head")
+    same = lambda c: F.min(F.when(other, c)) == F.max(F.when(other, c))
+    done = same(F.col("star")) & same(F.col("chunk")) & (F.min(F.when(other, F.col("star"))) == F.min("head")) & (F.count(F.when(other, F.col("star"))) == F.count_if(other))
+    open_ = rows.groupBy("key").agg(_blocks(F.count(F.lit(1)), F.sum("size")).alias("blocks"), (F.min("root") != F.max("root")).alias("several"), F.coalesce(done, F.lit(False)).alias("done"))
+    open_ = open_.where("several and not done").select("key", "blocks")
+    rows = rows.join(open_, "key").select(F.col("key").alias("u"), "node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("own"))
+    held = rows.groupBy("u", "blocks", "own").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    zero = F.lit(0).cast("long")
+    pairs = held.select("u", "own", "low", "high", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("other"))
+    pairs = pairs.select("u", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "low", "high")
+    units = pairs.groupBy("u", "i", "j").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("u", "i", "j")
+    sides = units.select("*", F.explode(F.array_distinct(F.array("i", "j"))).alias("own"))
+    return rows.select("u", "own", "node").join(sides, ["u", "own"]).select("u", "i", "j", "own", "node")
+
+
 def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """id, tie (a hash of the text), n, component_id, kept and root of each row.
+    """id, name (of the text), n, component_id, kept and first of each row.
 
-    A set goes by the id and tie of one of its rows, as an id may have several texts. root is the smallest such name
-    that links reach; null where there is no set or no id.
+    first is the (id, name) of the component's row that stays where one does: of smallest id, then of smallest name; null
+    where there is no set or no id.
     """
     spark = docs.sparkSession
     bound_arrow(spark)
     store = Stored(spark, "near-copies")
     bands, rows = banding(percent / 100)
-    read = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    seen = store.keep(_features(read.withColumn("tie", F.xxhash64("text")), width, bands, rows), "features")
+    text = docs[text_col].cast("string")
+    read = docs.select(docs[id_col].alias("id"), text.alias("text"), _name(text).alias("name"))
+    seen = store.keep(_features(read, width, bands, rows), "features")
     named = seen.where(F.col("id").isNotNull() & (F.col("n") > 0))
-    distinct = store.keep(named.groupBy("h1", "h2", "n").agg(F.min(F.struct(F.struct("id", "tie").alias("rep"), "keys")).alias("x")).select("h1", "h2", "n", "x.rep", "x.keys"), "distinct")
-    placed = distinct.select("rep", F.explode("keys").alias("key"))
-    heads = placed.groupBy("key").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "head")
-    met = placed.join(heads, "key").where("rep <> head").select("rep", "head")
-    family = components(met, "rep", "head", store, "families")
-    family = store.keep(family.unionByName(family.select(F.col("root").alias("node"), "root").distinct()), "family")
-    sizes = family.join(distinct.select(F.col("rep").alias("node"), "n"), "node").groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all"))
-    blocks = F.ceil(F.greatest(F.col("m") / BLOCK_SETS, F.col("all") * 8 / BLOCK_BYTES)).cast("long")
-    sizes = sizes.select(F.col("root"), F.greatest(F.lit(1), F.least("m", blocks)).alias("blocks"))
-    members = family.join(sizes, "root").select("node.id", "node.tie", "root", "blocks")
-    own = F.pmod(F.xxhash64("id", "tie"), F.col("blocks"))
-    full = _sets(read.withColumn("tie", F.xxhash64("text")).join(members, ["id", "tie"]).dropDuplicates(["id", "tie"]), width).withColumn("own", own)
-    # a block meets itself and each other block once; one block, the usual case, is one unit
-    units = full.select(F.struct("id", "tie").alias("rep"), "root", "hashes", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    units = units.select("rep", "hashes", "own", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    kind = docs.schema[id_col].dataType
-    links = T.StructType([T.StructField("a_id", kind), T.StructField("a_tie", T.LongType()), T.StructField("b_id", kind), T.StructField("b_tie", T.LongType())])
-
-    def verify(key, block):
-        names = [(x["id"], x["tie"]) for x in block.column("rep").to_pylist()]
-        block = block.take(pa.array(sorted(range(len(names)), key=names.__getitem__), pa.int64()))
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in block.column("hashes").combine_chunks()]
-        side = None if key[1].as_py() == key[2].as_py() else block.column("own").to_numpy()
-        label = linked(sets, percent, side)
-        apart = np.flatnonzero(label != np.arange(len(label)))
-        ids, ties = (block.column("rep").combine_chunks().field(k) for k in ("id", "tie"))
-        return pa.table([x.take(pa.array(at)) for at in (apart, label[apart]) for x in (ids, ties)], names=links.names)
-
-    confirmed = units.groupBy("root", "i", "j").applyInArrow(verify, links)
-    confirmed = confirmed.select(*(F.struct(F.col(f"{k}_id").alias("id"), F.col(f"{k}_tie").alias("tie")).alias(k) for k in "ab"))
-    joined = components(confirmed, "a", "b", store, "components")
-    found = distinct.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("root", "rep").alias("root"))
-    found = store.keep(found, "found")
-    out = seen.drop("keys").join(found, ["h1", "h2", "n"], "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("root.id", "id"))
-    return out.select("id", "tie", "n", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), F.when(F.col("id").isNotNull(), F.col("root")).alias("root"))
+    nodes = named.groupBy("name").agg(F.min(F.struct("id", "n", "size", "keys")).alias("x")).select(F.monotonically_increasing_id().alias("node"), "name", "x.*")
+    nodes = store.keep(nodes, "nodes")
+    placed = nodes.select("node", F.explode("keys").alias("key"))
+    heads = placed.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last")
+    met = store.keep(placed.join(heads, "key").select("key", "node", "head", "last"), "met")
+    wanted = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "id", "name")
+    texts = store.keep(read.join(wanted, ["id", "name"]).dropDuplicates(["id", "name"]).select("node", "text"), "texts")
+    stars = store.keep(_stars(met, nodes, F.min), "stars")
+    links = store.keep(_compare(_star_units(stars), texts, width, percent), "links-0")
+    every = nodes.select("node")
+
+    def roots(links, label):
+        joined = components(links, "a", "b", store, label)
+        return joined, store.keep(every.join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root")), f"roots-{label}")
+
+    # texts that the first head didn't link meet the last text of their buckets, then all of other components
+    joined, root = roots(links, "stars")
+    of = lambda c: root.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    star = lambda c: stars.select(F.col("node").alias(c), F.col("head").alias(f"{c}_star"))
+    again = met.join(of("node"), "node").join(of("last"), "last").where("node_root <> last_root").select("node", "last").distinct()
+    # two of which one is the other's head have been compared
+    again = again.join(star("node"), "node", "left").join(star("last"), "last", "left").where("not (node_star <=> last or last_star <=> node)")
+    again = again.select("node", F.col("last").alias("head"))
+    more = store.keep(_compare(_star_units(_stars(again, nodes, F.max)), texts, width, percent), "links-1")
+    edges = lambda joined, more: joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
+    joined, root = roots(edges(joined, more), "again")
+    more = store.keep(_compare(_rest(met, root, stars, nodes), texts, width, percent), "links-2")
+    joined, root = roots(edges(joined, more), "all")
+    found = nodes.select("node", "name", "id").join(root, "node")
+    least = found.groupBy("root").agg(F.min(F.struct("id", "name")).alias("first"))
+    found = store.keep(found.join(least, "root").select("name", "first"), "found")
+    out = seen.drop("keys", "size").join(found, "name", "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("first.id", "id"))
+    return out.select("id", "name", "n", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), F.when(F.col("id").isNotNull(), F.col("first")).alias("first"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -292,9 +375,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
     Rows with a null id stay. Of rows that repeat the id that stays, one of the text with the least hash is kept.
     """
-    # of each id that stays, one text; only ids and hashes are grouped
-    one = _components(docs, id_col, text_col, width, percent).where("kept and id is not null").groupBy("id", "tie").agg(F.count(F.lit(1)).alias("copies"))
-    one = one.groupBy("id").agg(F.min(F.struct("tie", "copies")).alias("x")).select("id", "x.tie", "x.copies")
+    # of each id that stays, one text; only ids and names are grouped
+    one = _components(docs, id_col, text_col, width, percent).where("kept and id is not null").groupBy("id", "name").agg(F.count(F.lit(1)).alias("copies"))
+    one = one.groupBy("id").agg(F.min(F.struct("name", "copies")).alias("x")).select("id", "x.name", "x.copies")
     return _staying(docs, one, id_col, text_col)
 
 
@@ -305,16 +388,15 @@ def keep_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that repeat id and text one does.
     """
     found = _components(docs, id_col, text_col, width, percent).where(F.col("id").isNotNull())
-    own = found.where(F.coalesce(F.col("root") == F.struct("id", "tie"), F.lit(True)))
-    return _staying(docs, own.groupBy("id", "tie").agg(F.count(F.lit(1)).alias("copies")), id_col, text_col)
+    own = found.where(F.coalesce(F.col("first") == F.struct("id", "name"), F.lit(True)))
+    return _staying(docs, own.groupBy("id", "name").agg(F.count(F.lit(1)).alias("copies")), id_col, text_col)
 
 
 def _staying(docs: DataFrame, one: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row of docs for each id and tie of one, which has copies rows, and those with a null id."""
-    text = docs[text_col].cast("string")
-    named = docs.select(F.struct(*docs.columns).alias("row"), docs[id_col].alias("id"), F.xxhash64(text).alias("tie"))
-    one = one.select(F.col("id").alias("of"), F.col("tie").alias("of_tie"), "copies")
-    stays = named.join(one, (F.col("id") == F.col("of")) & (F.col("tie") == F.col("of_tie")))
-    single, several = stays.where("copies = 1"), stays.where("copies > 1").dropDuplicates(["id", "tie"])
+    """A row of docs for each id and name of one, which has copies rows, and those with a null id."""
+    named = docs.select(F.struct(*docs.columns).alias("row"), docs[id_col].alias("id"), _name(docs[text_col].cast("string")).alias("name"))
+    one = one.select(F.col("id").alias("of"), F.col("name").alias("of_name"), "copies")
+    stays = named.join(one, (F.col("id") == F.col("of")) & (F.col("name") == F.col("of_name")))
+    single, several = stays.where("copies = 1"), stays.where("copies > 1").dropDuplicates(["id", "name"])
     rows = single.select("row").unionByName(several.select("row")).unionByName(named.where("id is null").select("row"))
     return rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

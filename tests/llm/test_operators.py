@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import byte_bpe, embedding_dedup, language_id, mpeg_audio, quality, source_mix, suffix_dedup, token_counts, toxicity
 from quern.llm import minhash as M
+from quern.llm import words
 from quern.llm.suffix_array import permuted_lcp, suffix_array
 from tests.conftest import rows
 
@@ -133,6 +134,59 @@ def test_texts_that_share_an_id_are_linked_by_their_own_sets(spark):
     assert M.keep_texts(table(spark, data)).count() == len(found)
 
 
+def test_structured_words_do_not_collide(spark):
+    """A Thue-Morse word and its complement have one polynomial hash modulo 2**64, whatever the odd base."""
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    a, b = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+    got = rows(M.near_copies(table(spark, [f"{a} x y", f"{b} x y", a, b, f"{a}  X y"]), width=3, percent=85).select("doc_id", "component_id"))
+    assert got == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 0)]
+
+
+def test_sets_survive_equal_hashes(monkeypatch):
+    """Words of one hash: sets are told apart by their words, in counts and in comparisons."""
+    monkeypatch.setattr(words, "hashes", lambda raw, first, last: np.full(len(first), 5, np.uint64))
+    texts = ["a b c d", "a b a b a b", "d c b a", "a b", "b a", "A\tB  c d", ""]
+    raw = "".join(texts).encode()
+    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    sets = M.exact_sets(np.frombuffer(raw, np.uint8), offsets, 3)
+    want = [sets_of(t, 3) for t in texts]
+    assert [len(s) for s in sets] == [len(w) for w in want] == np.diff(M.shingle_sets(np.frombuffer(raw, np.uint8), offsets, 3)[1]).tolist()
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        assert len(np.intersect1d(sets[i], sets[j])) == len(want[i] & want[j])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="aB \té", max_size=40) | st.sampled_from(["x" * 300, "x" * 129 + "y", "z" * 128]), max_size=8), st.integers(1, 5))
+def test_exact_sets(texts, width):
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])]).astype(np.int64)
+    sets, want = M.exact_sets(raw, offsets, width), [sets_of(t, width) for t in texts]
+    assert [len(s) for s in sets] == [len(w) for w in want] == np.diff(M.shingle_sets(raw, offsets, width)[1]).tolist()
+    assert all(len(np.intersect1d(sets[i], sets[j])) == len(want[i] & want[j]) for i, j in itertools.combinations(range(len(texts)), 2))
+
+
+def test_texts_that_only_meet_in_part_are_not_compared_as_one_family(spark, monkeypatch):
+    """Half-similar texts fill buckets without being linked; links between them are found all the same."""
+    monkeypatch.setattr(M, "BLOCK_SETS", 5)
+    random = np.random.default_rng(12)
+    common = [f"c{i}" for i in range(60)]
+    data = []
+    for i in range(90):
+        own = [f"o{i // 2}x{k}" for k in range(int(random.integers(10, 40)))] if i % 2 == 0 else own + [f"e{i}"]
+        data.append((i, " ".join(common + own)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in M.near_copies(table(spark, data), width=3, percent=85).collect()}
+    assert got == plain_components(data, 3, 85)
+
+
+def test_components_with_hubs(spark):
+    from quern.llm.common import Stored
+    from quern.llm.components import components
+
+    edges = [(0, i) for i in range(1, 3000)] + [(i, i + 1) for i in range(5000, 5040)] + [(2999, 5000), (9000, 9001), (9001, 9001), (None, 3)]
+    got = rows(components(spark.createDataFrame(edges, "a long, b long"), "a", "b", Stored(spark, "hubs"), "x"))
+    assert got == sorted([(i, 0) for i in [*range(1, 3000), *range(5000, 5041)]] + [(9001, 9000)], key=repr)
+
+
 def test_signatures_estimate_similarity():
     a = np.arange(1000, dtype=np.uint64)
     s = M.signatures(np.concatenate([a, a + np.uint64(200)]), np.array([0, 1000]), 600)
