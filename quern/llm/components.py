@@ -12,28 +12,25 @@ from quern.llm.common import Stored
 HUB_SHARE = 1 / 1000
 
 
-def _with_least(rows: DataFrame, of: DataFrame, edges: int) -> DataFrame:
-    """rows (u, v) with m, the least of u's neighbours in of. The few hubs are sent to all rows; other nodes are joined."""
-    least = of.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("d"))
-    hub = F.col("d") > max(1.0, HUB_SHARE * edges)
-    hubs = F.broadcast(least.where(hub).select("u", F.col("m").alias("hub_m")))  # fewer than 2 / HUB_SHARE rows
-    marked = rows.join(hubs, "u", "left")
-    plain = marked.where("hub_m is null").drop("hub_m").join(least.where(~hub).select("u", "m"), "u")
-    return marked.where("hub_m is not null").withColumnRenamed("hub_m", "m").unionByName(plain)
-
-
 def _large_star(edges: DataFrame, n: int) -> DataFrame:
-    """Link each larger neighbour of a node to the smallest of its neighbourhood."""
+    """Link each larger neighbour of a node to the smallest of its neighbourhood. The few hubs are sent to all rows; other nodes are joined."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    rows = _with_least(both, both, n).where(F.col("v") > F.col("u"))
-    return rows.select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("d"))
+    hub = F.col("d") > max(1.0, HUB_SHARE * n)
+    hubs = F.broadcast(least.where(hub).select("u", F.col("m").alias("hub_m")))  # fewer than 2 / HUB_SHARE rows
+    rows = both.where(F.col("v") > F.col("u")).join(hubs, "u", "left")
+    plain = rows.where("hub_m is null").join(least.where(~hub).select("u", "m"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return rows.where("hub_m is not null").select(F.col("v").alias("u"), F.col("hub_m").alias("v")).unionByName(plain).distinct()
+
 
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Link the smaller neighbours of a node, and the node, to the smallest of them. Edges have u > v.
 
-def _small_star(edges: DataFrame, n: int) -> DataFrame:
-    """Link the smaller neighbours of a node, and the node, to the smallest of them. Edges have u > v."""
-    rows = _with_least(edges, edges, n)
-    moved = rows.where(F.col("v") > F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(rows.select("u", F.col("m").alias("v"))).distinct()
+    A large star leaves few smaller neighbours, so this join is a plain one, which adaptive execution splits.
+    """
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    moved = edges.join(least, "u").where(F.col("v") > F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(edges: DataFrame, a: str, b: str, store: Stored, label: str) -> DataFrame:
@@ -52,5 +49,5 @@ def components(edges: DataFrame, a: str, b: str, store: Stored, label: str) -> D
         if mark == seen or not seen[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark, n = seen, n + 1
-        edges = store.keep(_small_star(_large_star(edges, seen[0]), seen[0]), f"{label}-{n}")
+        edges = store.keep(_small_star(_large_star(edges, seen[0])), f"{label}-{n}")
         store.drop(f"{label}-{n - 1}")
