@@ -8,28 +8,19 @@ from pyspark.sql import functions as F
 from quern.llm.common import Stored
 
 
-#: Nodes with more than this share of all edges are hubs; there are fewer of them than its inverse, times two.
-HUB_SHARE = 1 / 1000
+#: Parts that the edges of one smaller end are dealt to, so that a hub's are in several tasks.
+PARTS = 8
 
 
-def _large_star(edges: DataFrame, n: int) -> DataFrame:
-    """Link each larger neighbour of a node to the smallest of its neighbourhood. The few hubs are sent to all rows; other nodes are joined."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("d"))
-    hub = F.col("d") > max(1.0, HUB_SHARE * n)
-    hubs = F.broadcast(least.where(hub).select("u", F.col("m").alias("hub_m")))  # fewer than 2 / HUB_SHARE rows
-    rows = both.where(F.col("v") > F.col("u")).join(hubs, "u", "left")
-    plain = rows.where("hub_m is null").join(least.where(~hub).select("u", "m"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return rows.where("hub_m is not null").select(F.col("v").alias("u"), F.col("hub_m").alias("v")).unionByName(plain).distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Link the smaller neighbours of a node, and the node, to the smallest of them. Edges have u > v.
-
-    A large star leaves few smaller neighbours, so this join is a plain one, which adaptive execution splits.
-    """
+def _round(edges: DataFrame) -> DataFrame:
+    """A large star, which links the larger end of each edge to the least of the smaller end's neighbourhood, and a small
+    star, which links the smaller neighbours of a node, and the node, to the smallest of them. Edges have u > v."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where(F.col("v") > F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    # a node without a smaller neighbour, as hubs mostly are, is the least of its neighbourhood itself
+    dealt = least.select(F.col("u").alias("v"), "m", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    large = edges.withColumn("part", F.pmod(F.hash("u"), F.lit(PARTS))).join(dealt, ["v", "part"], "left").select("u", F.coalesce("m", "v").alias("v"))
+    least = large.groupBy("u").agg(F.min("v").alias("m"))
+    moved = large.join(least, "u").where(F.col("v") > F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -37,8 +28,8 @@ def components(edges: DataFrame, a: str, b: str, store: Stored, label: str) -> D
     """node, root: the smallest node of the component of each node that has an edge to another and isn't the root.
 
     Each round is written to the shared folder, so a lost executor costs one round at most, and the round before
-    is deleted. Hubs are reduced by partial aggregates, and their minima, of which there are a bounded number, are sent to
-    the rows, so no task gets all of a hub's edges. Null ends and loops are dropped. Rounds grow as the log of the
+    is deleted. Hubs are reduced by partial aggregates, and the join that fans a hub's minimum out deals its edges over
+    PARTS tasks, which adaptive execution splits further. Null ends and loops are dropped. Rounds grow as the log of the
     longest chain.
     """
     edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull()).where("u <> v").distinct()
@@ -49,5 +40,5 @@ def components(edges: DataFrame, a: str, b: str, store: Stored, label: str) -> D
         if mark == seen or not seen[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark, n = seen, n + 1
-        edges = store.keep(_small_star(_large_star(edges, seen[0])), f"{label}-{n}")
+        edges = store.keep(_round(edges), f"{label}-{n}")
         store.drop(f"{label}-{n - 1}")
