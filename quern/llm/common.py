@@ -26,9 +26,12 @@ def bound_arrow(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is configured (tests)."""
+    """The folder that driver and executors share. Where none is configured, a local one, and only if all runs on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "quern-shared")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

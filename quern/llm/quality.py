@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import Stored, bound_arrow, mix64, spans_by_bytes, text_bytes
+from quern.llm import words as W
+from quern.llm.common import Stored, bound_arrow, spans_by_bytes, text_bytes
 from quern.llm.fitting import hashed_sample, sigmoid
-from quern.llm.minhash import BASE, BYTE, POWERS
 
 CALL_BYTES = 1 << 19
 #: Labelled documents whose statistics fit the rules, at most about so many.
@@ -54,18 +54,12 @@ def statistics(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out["upper_of_letters"] = per(kinds[:, 1], kinds[:, 0] + kinds[:, 1])
     if not len(raw):
         return np.stack([out[s] for s in STATS], axis=1)
-    up, down = POWERS.get(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(BYTE[raw] * up[:-1], out=sums[1:])
     edge = np.zeros(len(raw) + 1, bool)
     edge[offsets] = True
 
     def runs(inside):
-        start, stop = inside.copy(), inside.copy()
-        start[1:] &= ~inside[:-1] | edge[1:-1]
-        stop[:-1] &= ~inside[1:] | edge[1:-1]
-        first, last = np.flatnonzero(start), np.flatnonzero(stop) + 1
-        return first, last, row[first], mix64((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64) * BASE)
+        first, last = W.runs(inside, offsets)
+        return first, last, row[first], W.names(raw, first, last)[1]
 
     add = lambda of, v=None: np.bincount(of, weights=v, minlength=n)
     first, last, of, name = runs(_CLASS[raw] != 3)
@@ -79,7 +73,7 @@ def statistics(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     same = np.zeros(len(name))
     same[1:] = (name[1:] == name[:-1]) & (of[1:] == of[:-1])
     out["repeat_words"] = per(add(of, same), words)
-    _, key, count = np.unique(mix64(name ^ (of.astype(np.uint64) * BASE)), return_index=True, return_counts=True)
+    _, key, count = np.unique(of * (len(raw) + 1) + name, return_index=True, return_counts=True)
     distinct = add(of[key]).astype(float)
     out["distinct_words"], out["distinct_by_root"] = per(distinct, words), distinct / np.sqrt(np.maximum(words, 1))
     np.maximum.at(out["top_word"], of[key], count)
@@ -87,7 +81,7 @@ def statistics(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     _, _, line_of, line = runs(raw != 10)
     lines = add(line_of).astype(float)
     out["lines"], out["line_words"] = np.log1p(lines), np.log1p(per(words, lines))
-    _, key = np.unique(mix64(line ^ (line_of.astype(np.uint64) * BASE)), return_index=True)
+    _, key = np.unique(line_of * (len(raw) + 1) + line, return_index=True)
     out["repeat_lines"] = 1 - per(add(line_of[key]), lines) * (lines > 0) - (lines == 0)
     out["stops_per_word"] = per(kinds[:, 4] + kinds[:, 5], words)
     twice = np.zeros(len(raw))
@@ -283,12 +277,16 @@ def _seen(docs: DataFrame, train, id_col: str, text_col: str, store: Stored) ->
     return store.keep(text_statistics(rows), "statistics")
 
 
-def _learn(seen: DataFrame, labels: DataFrame, id_col: str, label_col: str, train_rows: int) -> Ensemble:
-    """An ensemble from labels of rows with train, by a hashed sample of a bounded number of labelled rows."""
-    columns = [f"stat_{s}" for s in STATS]
+def _labelled(rows: DataFrame, labels: DataFrame, id_col: str, label_col: str, train_rows: int) -> DataFrame:
+    """rows (id and more) with their label y: a hashed sample of a bounded number of labelled ones. The labels joined are bounded too."""
     marked = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
-    known = hashed_sample(seen.where("train").join(hashed_sample(marked, F.col("id"), 3 * train_rows, 3), "id").select("id", "y", *columns), F.col("id"), train_rows, 4)
-    got = known.toPandas().sort_values(["id", *columns])
+    return hashed_sample(rows.join(hashed_sample(marked, F.col("id"), 3 * train_rows, 3), "id"), F.col("id"), train_rows, 4)
+
+
+def _learn(known: DataFrame) -> Ensemble:
+    """An ensemble from labelled statistics; equal rows of an id teach once."""
+    columns = [f"stat_{s}" for s in STATS]
+    got = known.select("id", "y", *columns).distinct().toPandas().sort_values(["id", *columns])
     return fit(got[columns].to_numpy(float), (got["y"] > 0).to_numpy(float))
 
 
@@ -300,10 +298,11 @@ def quality(docs: DataFrame, labels: DataFrame, train, id_col: str = "doc_id", t
 
     A null text counts as empty; empty texts have all statistics 0 and are scored by the same rules. Null labels and
     ids train nothing; of repeated labels of an id the largest counts. Without labels of both classes the score is
-    the smoothed rate of label 1. Other columns are not read. An empty table gives no rows.
+    the smoothed rate of label 1. Very long texts are read whole, and equal texts score alike. Other columns are not
+    read. An empty table gives no rows.
     """
     seen = _seen(docs, train, id_col, text_col, Stored(docs.sparkSession, "quality"))
-    model = _learn(seen, labels, id_col, label_col, train_rows)
+    model = _learn(_labelled(seen.where("train"), labels, id_col, label_col, train_rows))
     return seen.select(F.col("id").alias(id_col), model.column().alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -312,9 +311,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """docs, all columns, without the rows that the rules predict label 0 for. Without labels of both classes all rows stay.
 
     The rules learn from the labels of the documents of docs. A row is judged by its own text, so null and repeated
-    ids are rows like others. The statistics and the rules run in the scan, without a join.
+    ids are rows like others. The statistics and the rules run in the scan, without a join; before that, statistics are
+    computed of the sampled labelled rows only. Very long texts are read whole; rows that score alike fare alike.
     """
-    model = _learn(_seen(docs, F.lit(True), id_col, text_col, Stored(docs.sparkSession, "quality")), labels, id_col, label_col, train_rows)
+    texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    model = _learn(text_statistics(_labelled(texts, labels, id_col, label_col, train_rows)))
     if not model.rules:
         return docs
     named = docs.select(F.struct(*docs.columns).alias("row"), docs[text_col].cast("string").alias("text"))

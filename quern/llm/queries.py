@@ -10,39 +10,47 @@ from quern.llm.common import held_out, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, ambiguous of every document, learnt from rows that aren't held out. Awkward rows: see the operator."""
     out = held_out("doc_id", 5, 0)
     found = language_id.identify(table(spark, sf_dir, "documents"), ~out)
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: components over 3-word shingles of a similarity of 85 % or more. Awkward rows: see the operator."""
     return minhash.near_copies(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit by the sentencepiece model. Awkward rows: see the operator."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 by the byte-level ranks. Awkward rows: see the operator."""
     return byte_bpe.bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted, learnt from labels of rows that aren't held out. Awkward rows: see the operator."""
     out = held_out("doc_id", 3, 1)
     found = quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~out)
     return found.select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken: words that the mix takes of each document. Awkward rows: see the operator."""
     return source_mix.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept over cosines of 0.9 or more; the operator also gives its audited recall. Awkward rows: see the operator."""
     found = embedding_dedup.embedding_links(table(spark, sf_dir, "embeddings"))
     return found.select("vec_id", "n_links", "component_id", "kept")
 
 
 def op8_toxicity_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted, learnt from labels of rows that aren't held out. Awkward rows: see the operator."""
     out = held_out("doc_id", 3, 1)
     docs = table(spark, sf_dir, "documents")
     found = toxicity.toxicity(docs, table(spark, sf_dir, "labels"), ~out)
@@ -50,10 +58,12 @@ def op8_toxicity_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 by strings of 50 bytes. Awkward rows: see the operator."""
     return suffix_dedup.cut_repeats(table(spark, sf_dir, "documents"))
 
 
 def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and digests of every text stored as a stream and read back. Awkward rows: see the operator."""
     return mpeg_audio.media_digests(table(spark, sf_dir, "documents"))
 
 

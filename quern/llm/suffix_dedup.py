@@ -11,7 +11,8 @@ window. The smallest id of each window goes back to the blocks that have a large
 No step gathers the documents that hold one string: a passage that a third of all documents share reaches a shard once
 per block, and the tables of anchors once per batch that is read.
 
-Blocks and shards are sized in bytes of text, so their number grows with the input.
+Blocks and shards are sized in bytes of text, so their number grows with the input. Strings go by 64-bit hashes; where
+strings of one hash become one, in a block or in a shard, their bytes are compared, so that no two different ones do.
 """
 
 from __future__ import annotations
@@ -24,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.llm import words as W
 from quern.llm.common import bound_arrow, mix64, spans_by_bytes, text_bytes
 from quern.llm.minhash import BASE, BYTE, POWERS
 from quern.llm.suffix_array import _words, permuted_lcp, suffix_array
 
-#: Text of a block of documents.
-BLOCK_BYTES = 4 << 20
+#: Text of a block of documents: so much up to PLAIN_BYTES of input, from there on growing with the input's root to at most
+#: MOST_BLOCK_BYTES, so that a block still has several strings for a shard.
+BLOCK_BYTES, MOST_BLOCK_BYTES, PLAIN_BYTES = 4 << 20, 32 << 20, 1 << 30
 #: Text of all documents for each shard. Shards get the strings of shared anchors only, which overlap.
 SHARD_BYTES = 2 << 20
 #: Bytes of text that one call of the anchor search gets; a longer text is searched in overlapping pieces.
@@ -156,6 +159,12 @@ def _first_of(keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
 
 
+def _one_string(raw: np.ndarray, first: np.ndarray, size: np.ndarray, pick: np.ndarray, of: np.ndarray) -> None:
+    """Make sure that strings named alike have the same bytes. A job that met two that differ must not merge them."""
+    if not ((size == size[pick][of]).all() and W.equal(raw, first, first[pick][of], size).all()):
+        raise ValueError("two different strings have one hash: run again with another BASE")
+
+
 def _blobs(numbers: list[int], blobs: list[bytes]):
     return pa.table([pa.array(numbers, pa.int64()), pa.array(blobs, pa.binary())], names=BLOBS.names)
 
@@ -246,6 +255,7 @@ def _ship(window: int, buckets: int):
         ids, home = _ids(docs.column("id").combine_chunks()), docs.column("block")[0].as_py()
         row, first, last, anchor, string = _strings(raw, offsets, window, shared)
         _, pick, of = np.unique(string, return_index=True, return_inverse=True)
+        _one_string(raw, first, last - first + window, pick, of)
         low = _least(of, ids[row], len(pick))
         first, anchor, size = first[pick], anchor[pick], last[pick] - first[pick] + window
         names, blobs = [], []
@@ -287,6 +297,7 @@ def _judge(window: int):
         del sums
         # equal strings of all blocks become one
         names, pick, to = np.unique(string, return_index=True, return_inverse=True)
+        _one_string(text, at, size, pick, to)
         anchor, size, at = anchor[pick], size[pick], at[pick]
         owner = _least(to, low, len(pick))
         # an anchor that has one string left needs no comparison: its windows are those of that string
@@ -332,7 +343,8 @@ def _cover(raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray, blobs: list[by
     """Which bytes of a block's rows a smaller id holds: in the block, or as the shards tell."""
     change = np.zeros(len(raw) + 1, np.int32)
     row, first, last, _, string = _strings(raw, offsets, window)
-    names, of = np.unique(string, return_inverse=True)
+    names, pick, of = np.unique(string, return_index=True, return_inverse=True)
+    _one_string(raw, first, last - first + window, pick, of)
     own = ids[row]
     low = _least(of, own, len(names))
     told = [unpack(b) for b in blobs]
@@ -386,17 +398,20 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     splits a character, what is left of it is dropped from the text, not from the digest.
 
     Strings are judged on the input and never cross documents. Null counts as the empty text and stays null in the
-    text returned. A row with a null id comes after all ids. Rows that repeat an id don't count as smaller than each
-    other. Ids are whole numbers. Columns that aren't named aren't read. An empty table gives no rows.
+    text returned. A row with a null id comes after all ids; a row with the largest 64-bit id ties with it, and neither
+    cuts the other. Rows that repeat an id don't count as smaller than each other either. A very long text is searched in
+    overlapping pieces and makes a block larger by itself. Ids are whole numbers. Columns that aren't named aren't read.
+    An empty table gives no rows.
     """
     spark = docs.sparkSession
     bound_arrow(spark)
     text = docs[text_col].cast("string")
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    blocks, shards = max(1, -(-total // BLOCK_BYTES)), max(1, -(-total // SHARD_BYTES))
+    block_bytes = int(min(max(MOST_BLOCK_BYTES, BLOCK_BYTES), max(BLOCK_BYTES, BLOCK_BYTES * (total / PLAIN_BYTES) ** 0.5)))
+    blocks, shards = max(1, -(-total // block_bytes)), max(1, -(-total // SHARD_BYTES))
     more = keep or []
     extra = [docs[c].alias(f"_{i}") for i, c in enumerate(more)]
-    whole = docs.select(docs[id_col].alias("id"), text.alias("text"), F.pmod(F.coalesce(F.xxhash64(docs[id_col]), F.lit(0)), F.lit(blocks)).cast("long").alias("block"), *extra)
+    whole = docs.select(docs[id_col].alias("id"), text.alias("text"), F.pmod(F.xxhash64(docs[id_col], text), F.lit(blocks)).cast("long").alias("block"), *extra)
     read = whole.select("id", "text", "block")
     told = read.where(F.octet_length("text") >= window).mapInArrow(_announce(window, blocks), ROUTED)
     flags = told.groupBy("kind", "number").applyInArrow(lambda key, t: _share(key, t), BLOBS)

@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import Stored, bound_arrow, mix64, spans_by_bytes, text_bytes
+from quern.llm import words as W
+from quern.llm.common import Stored, bound_arrow, spans_by_bytes, text_bytes
 from quern.llm.fitting import hashed_sample, newton_logistic
-from quern.llm.minhash import BASE, BYTE, POWERS
 
 #: Bytes of a gram of the highest order; they fit a 64-bit number exactly.
 ORDER = 6
@@ -53,18 +53,8 @@ def words_of(raw: np.ndarray, offsets: np.ndarray):
     describe the distinct words of all rows.
     """
     low = _LOWER[raw]
-    word = _LETTER[raw]
-    edge = np.zeros(len(raw) + 1, bool)
-    edge[offsets] = True
-    start, stop = word.copy(), word.copy()
-    start[1:] &= ~word[:-1] | edge[1:-1]
-    stop[:-1] &= ~word[1:] | edge[1:-1]
-    first, last = np.flatnonzero(start), np.flatnonzero(stop) + 1
-    up, down = POWERS.get(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(BYTE[low] * up[:-1], out=sums[1:])
-    name = mix64((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64) * BASE)
-    _, pick, which = np.unique(name, return_index=True, return_inverse=True)
+    first, last = W.runs(_LETTER[raw], offsets)
+    pick, which = W.names(low, first, last)
     return low, first[pick], (last - first)[pick], which, np.searchsorted(offsets, first, side="right") - 1
 
 

@@ -584,3 +584,42 @@ def test_media_columns(spark):
     assert digests[1]["n_bytes"] == 0 and digests[1]["payload_bytes"] == 576
     none = spark.createDataFrame([(1, None), (2, b"junk")], "doc_id long, media binary")
     assert rows(mpeg_audio.parse_column(none).select("frames", "seconds_num", "seconds_den")) == [(0, 0, 1), (0, 0, 1)]
+
+
+# -- plain versions of statistics, language models and decoding
+
+
+def plain_statistics(text):
+    """Some of STATS by plain string work."""
+    raw = text.encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    lines = [x for x in raw.split(b"\n") if x]
+    n = max(len(words), 1)
+    letters = sum(chr(b).isalpha() and b < 128 for b in raw)
+    return {
+        "bytes": np.log1p(len(raw)), "words": np.log1p(len(words)), "upper_of_letters": sum(65 <= b <= 90 for b in raw) / max(letters, 1),
+        "word_length": sum(map(len, words)) / n, "longest_word": max((np.log1p(len(w)) for w in words), default=0), "short_words": sum(len(w) <= 3 for w in words) / n,
+        "capital_words": sum(65 <= w[0] <= 90 for w in words) / n, "repeat_words": sum(a == b for a, b in itertools.pairwise(words)) / n,
+        "distinct_words": len(set(words)) / n, "distinct_by_root": len(set(words)) / np.sqrt(n), "top_word": max((words.count(w) for w in set(words)), default=0) / n,
+        "lines": np.log1p(len(lines)), "repeat_lines": 1 - len(set(lines)) / len(lines) if lines else 0, "repeat_bytes": sum(a == b for a, b in itertools.pairwise(raw)) / max(len(raw), 1),
+        "high_share": sum(b >= 128 for b in raw) / max(len(raw), 1), "digit_share": sum(48 <= b <= 57 for b in raw) / max(len(raw), 1),
+    }
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="abA1.é \n", max_size=60) | st.just("x" * 400 + " " + "x" * 400), max_size=5))
+def test_statistics_match_plain_ones(texts):
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    got = quality.statistics(raw, np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])]).astype(np.int64))
+    for row, text in zip(got, texts, strict=True):
+        for name, value in plain_statistics(text).items():
+            assert row[quality.STATS.index(name)] == pytest.approx(value), (name, text)
+
+
+def test_null_and_repeated_ids_are_spread_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 2000)
+    p = "y".join(map(str, range(60)))
+    data = [(None, f"{p} tail {i}") for i in range(30)] + [(4, f"{p} end {i}") for i in range(30)] + [(2, p)]
+    got = rows(suffix_dedup.cut_repeats(table(spark, data)).select("doc_id", "n_removed"))
+    assert got[0] == (2, 0) and all(n >= len(p) for _, n in got[1:])
