@@ -224,13 +224,29 @@ _REPORT = f"""
 h AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS nth FROM documents WHERE {HIT}),
 n AS (SELECT greatest(2, ceil(30.0 / count(DISTINCT source))) AS k FROM documents),
 s AS (SELECT source, text, doc_id FROM h, n WHERE nth <= k ORDER BY nth, doc_id LIMIT 30),
-b AS (SELECT source, string_agg(substr(text, 1, 20), '|' ORDER BY doc_id) AS snippets FROM s GROUP BY source)"""
+b AS (SELECT source, string_agg(text, '|' ORDER BY doc_id) AS snippets FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM s) WHERE place <= 3 GROUP BY source),
+e AS (SELECT h.source, least(count(*), 1000) AS hit_count, coalesce(any_value(b.snippets), '') AS snippets FROM h LEFT JOIN b ON h.source = b.source GROUP BY h.source)"""
 
 
-@query(f"WITH {_REPORT} SELECT h.source, count(*) AS hit_count, coalesce(any_value(b.snippets), '') AS snippets FROM h LEFT JOIN b ON h.source = b.source GROUP BY h.source")
+@query(f"WITH {_REPORT} SELECT source, hit_count, snippets FROM e")
+def evidence_by_source(spark, sf_dir):
+    return R.evidence(_chunks(spark, sf_dir), PHRASE).select("source", "hit_count", F.array_join("best_snippets", "|").alias("snippets"))
+
+
+@query(
+    f"""WITH {_REPORT}, c AS (SELECT doc_id, source, text FROM h, n WHERE nth <= k ORDER BY doc_id LIMIT 6)
+SELECT '{PHRASE}' AS term, (SELECT sum(hit_count) FROM e)::BIGINT AS total_hits, (SELECT string_agg(source || ':' || hit_count || ':' || snippets, chr(10) ORDER BY hit_count DESC, source) FROM e) AS sources,
+  (SELECT string_agg(c_name || '/' || c_mktsegment, ',' ORDER BY c_name) FROM customer WHERE c_custkey % 100 = 7) AS entries, (SELECT string_agg(source || ':doc ' || doc_id || ':' || text, chr(10) ORDER BY doc_id) FROM c) AS context"""
+)
 def word_report(spark, sf_dir):
-    found = R.evidence(_chunks(spark, sf_dir), PHRASE)
-    return found.select("source", "hit_count", F.array_join(F.transform("best_snippets", lambda t: F.substring(t, 1, 20)), "|").alias("snippets"))
+    words = _table(spark, sf_dir, "customer").where("c_custkey % 100 = 7")
+    entries = words.select(F.col("c_name").alias("traditional"), F.lit(PHRASE).alias("simplified"), F.col("c_mktsegment").alias("pinyin"), F.lit("d").alias("definition"))
+    listed = lambda c, f, sep: F.array_join(F.transform(c, f), sep)
+    return R.word_report(_chunks(spark, sf_dir), entries, PHRASE).select(
+        "term", "total_hits", listed("sources", lambda x: F.concat_ws(":", x["name"], x["hit_count"], F.array_join(x["best_snippets"], "|")), "\n").alias("sources"),
+        listed("cedict_entries", lambda x: F.concat_ws("/", x["traditional"], x["pinyin"]), ",").alias("entries"),
+        listed("best_snippets", lambda x: F.concat_ws(":", x["source"], x["title"], x["context"]), "\n").alias("context"),
+    )
 
 
 @query(
@@ -514,12 +530,7 @@ def pending_work(spark, sf_dir):
     return E.pending(docs, _table(spark, sf_dir, "labels"), "doc_id").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id, substr(text, 1, 80) AS prefix, 'the [' || 'and' || ']' AS marked, list_sort(list_distinct(regexp_extract_all(lower(substr(text, 1, 200)), '[\\p{L}\\p{N}]+'))) AS tokens FROM documents")
+@query(r"SELECT doc_id, substr(text, 1, 80) AS prefix, replace(text, 'and', '[and]') AS marked, list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS tokens FROM documents")
 def text_fields(spark, sf_dir):
-    start = F.substring("text", 1, 200)
-    return _table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 80).alias("prefix"), X.highlight(F.lit("the and"), "and").alias("marked"), F.sort_array(F.array_distinct(X.tokens(start))).alias("tokens"))
-
-
-@query(r"SELECT doc_id, replace(text, 'and', '[and]') AS marked, list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS tokens FROM documents")
-def whole_text_fields(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", X.highlight(F.col("text"), "and").alias("marked"), F.sort_array(F.array_distinct(X.tokens(F.col("text")))).alias("tokens"))
+    text = F.col("text")
+    return _table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 80).alias("prefix"), X.highlight(text, "and").alias("marked"), F.sort_array(F.array_distinct(X.tokens(text))).alias("tokens"))
