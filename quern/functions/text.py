@@ -73,6 +73,11 @@ def token_line(c: Column) -> Column:
     return F.concat(F.lit(" "), F.array_join(tokens(c), " "), F.lit(" "))
 
 
+def has_phrase(line: Column, term: str) -> Column:
+    """Whether a token line has a term's tokens in a row; a term without tokens is in none."""
+    return (F.size(tokens(F.lit(term))) > 0) & F.contains(line, token_line(F.lit(term)))
+
+
 def phrase_query(term: str) -> str:
     """The adjacency query of a term: its characters as tokens, in quotes. Quotes in the term are doubled."""
     return '"' + " ".join(ch.replace('"', '""') for ch in term) + '"'
@@ -83,12 +88,15 @@ def is_cjk(term: str) -> bool:
 
 
 def phrase(c: Column, term: str) -> Column:
-    """Whether a text has the term's tokens next to each other. For Han terms this is a substring test, which is pushed to no index but stays in generated code."""
+    """Whether a text has the term's tokens next to each other, whatever stands between tokens.
+
+    For Han terms a substring test comes first; only texts that fail it but have all characters are tokenised.
+    """
     if not term.strip():
         return F.lit(False)
+    whole = has_phrase(token_line(c), term)
     if is_cjk(term):
-        return c.contains(term)
-    whole = F.contains(token_line(c), token_line(F.lit(term)))
+        return c.contains(term) | (every_character(c, term) & whole)
     plain = max(re.findall("[a-z0-9]+", term.lower()), key=len, default="")
     # a cheap test that every text with the phrase passes goes first
     return F.contains(F.lower(c), F.lit(plain)) & whole if plain else whole

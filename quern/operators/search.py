@@ -52,9 +52,14 @@ def clamp_limit(limit: int) -> int:
     return min(100, max(1, limit))
 
 
+def capped_count(hits: DataFrame, cap: int) -> DataFrame:
+    """One row: hits, at most cap. Each partition stops at cap hits, and counting needs no more."""
+    return hits.select(F.lit(1).alias("one")).limit(cap).agg(F.count("one").alias("hits"))
+
+
 def count_hits(chunks: DataFrame, term: str, cap: int = 10_000) -> DataFrame:
     """One row: hits, capped."""
-    return phrase_hits(chunks, term).agg(F.least(F.count(F.lit(1)), F.lit(cap)).alias("hits"))
+    return capped_count(phrase_hits(chunks, term), cap)
 
 
 def count_by_source(hits: DataFrame, cap_per_source: int = 1000) -> DataFrame:
@@ -77,7 +82,7 @@ def term_hits(chunks: DataFrame, terms: list[str]) -> DataFrame:
     if not known:
         return chunks.withColumn("term", F.lit(None).cast("string")).limit(0)
     if len(known) < MANY_TERMS:
-        tests = F.transform(F.array(X.token_line(F.col("text"))), lambda line: F.array_compact(F.array(*(F.when(F.contains(line, X.token_line(F.lit(t))), F.lit(t)) for t in known))))[0]
+        tests = F.transform(F.array(X.token_line(F.col("text"))), lambda line: F.array_compact(F.array(*(F.when(X.has_phrase(line, t), F.lit(t)) for t in known))))[0]
         return chunks.select(*columns, F.explode(tests).alias("term"))
     table = spark.createDataFrame([(t,) for t in known], "term string").select("term", X.tokens(F.col("term")).alias("tokens"))
     table = table.where(F.size("tokens") > 0).select("term", F.size("tokens").alias("size"), F.array_join("tokens", " ").alias("phrase")).collect()  # the terms asked for

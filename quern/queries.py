@@ -15,9 +15,11 @@ from quern.functions import scripts as G
 from quern.functions import text as X
 from quern.operators import corpus as C
 from quern.operators import evaluation as E
+from quern.operators import index as I
 from quern.operators import lexicon as L
 from quern.operators import report as R
 from quern.operators import search as S
+from quern.sources.scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -129,6 +131,46 @@ def batch_terms_by_source(spark, sf_dir):
     return S.count_terms_by_source(_chunks(spark, sf_dir), BATCH, 20)
 
 
+#: Indexes of this application, by input and session: built once, then read by all queries.
+_INDEXES: dict[tuple[str, str], I.Index] = {}
+
+
+def _index(spark, sf_dir) -> I.Index:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = I.build(_chunks(spark, sf_dir), f"{Scratch(spark).root}/index", buckets=16)
+    return _INDEXES[key]
+
+
+@query(f"SELECT doc_id AS chunk_id, source FROM documents WHERE {HIT}")
+def indexed_hits(spark, sf_dir):
+    return _index(spark, sf_dir).hits(PHRASE).select("chunk_id", "source")
+
+
+@query(f"SELECT source, least(count(*), 10) AS hits FROM documents WHERE {HIT} GROUP BY source")
+def indexed_hits_by_source(spark, sf_dir):
+    return S.count_by_source(_index(spark, sf_dir).hits(PHRASE), 10)
+
+
+@query(f"SELECT least(count(*), 100) AS hits FROM documents WHERE {HIT}")
+def indexed_capped_hits(spark, sf_dir):
+    return S.capped_count(_index(spark, sf_dir).hits(PHRASE), 100)
+
+
+@query(
+    f"""WITH h AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS nth FROM documents WHERE {HIT}),
+n AS (SELECT greatest(2, ceil(20.0 / count(DISTINCT source))) AS k FROM documents)
+SELECT doc_id AS chunk_id, source, 'doc ' || doc_id AS title, substr(text, 1, 256) AS snippet, 0.0::DOUBLE AS rank FROM h, n WHERE nth <= k ORDER BY nth, doc_id LIMIT 20"""
+)
+def indexed_search(spark, sf_dir):
+    return _index(spark, sf_dir).search(PHRASE, 20).select("chunk_id", "source", "title", "snippet", "rank")
+
+
+@query("WITH t(term) AS (VALUES " + ", ".join(f"('{t}')" for t in BATCH) + f"), l AS (SELECT source, {LINE} AS line FROM documents) SELECT term, source, least(count(*), 20) AS hits FROM l JOIN t ON contains(line, ' ' || term || ' ') GROUP BY term, source")
+def indexed_terms_by_source(spark, sf_dir):
+    return _index(spark, sf_dir).count_terms_by_source(BATCH, 20)
+
+
 @query(f"SELECT source, doc_id, nth FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS nth FROM documents WHERE {HIT}) WHERE nth <= 2")
 def sample_per_source(spark, sf_dir):
     return S.sample_per_source(S.phrase_hits(_chunks(spark, sf_dir), PHRASE), 2).select("source", F.col("chunk_id").alias("doc_id"), "nth")
@@ -200,7 +242,7 @@ def longest_per_source(spark, sf_dir):
 
 @query(r"WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS token FROM documents) SELECT token, count(DISTINCT doc_id) AS doc, count(*) AS cnt FROM t GROUP BY token")
 def vocab_doc_counts(spark, sf_dir):
-    return C.vocabulary(C.postings(_chunks(spark, sf_dir)))
+    return C.vocabulary_of(_chunks(spark, sf_dir))
 
 
 @query(
@@ -211,7 +253,7 @@ SELECT doc_id AS chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf *
 FROM h JOIN d USING (token) JOIN z USING (doc_id), n GROUP BY doc_id HAVING count(*) = 2 ORDER BY score DESC, doc_id LIMIT 20"""
 )
 def ranked_search(spark, sf_dir):
-    return C.bm25(C.postings(_chunks(spark, sf_dir)), ["worthless", "the"]).withColumn("score", F.round("score", 6))
+    return C.ranked(_chunks(spark, sf_dir), ["worthless", "the"]).withColumn("score", F.round("score", 6))
 
 
 @query("SELECT sha256(text) AS content_hash, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
@@ -534,3 +576,8 @@ def pending_work(spark, sf_dir):
 def text_fields(spark, sf_dir):
     text = F.col("text")
     return _table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 80).alias("prefix"), X.highlight(text, "and").alias("marked"), F.sort_array(F.array_distinct(X.tokens(text))).alias("tokens"))
+
+
+@query(r"SELECT doc_id, replace(text, 'and', '[and]') AS marked, list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS tokens FROM documents")
+def whole_text_fields(spark, sf_dir):
+    return text_fields(spark, sf_dir).drop("prefix")

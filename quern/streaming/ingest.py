@@ -27,22 +27,33 @@ def _existing(spark: SparkSession, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+#: Parts of the table of keys; a batch reads those of its own keys.
+KEY_PARTS = 64
+KEYS = ["source", "source_article_id"]
+
+
 def ingest(stream: DataFrame, chunks_path: str, checkpoint: str, min_chars: int = X.MIN_CHUNK_CHARS, ends: str = X.SENTENCE_ENDS) -> StreamingQuery:
     """Write chunks and postings of articles that aren't there yet, then stop; a further call goes on where this one ended.
 
     A batch writes below its own number and overwrites it, so a batch that is run again leaves nothing twice. Of articles
-    with one key the first stays, within a batch and over batches.
+    with one key the first stays, within a batch and over batches. Which are known is read from a table of keys, a row per
+    article in parts by hash, not from the chunks.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = C.clean_articles(batch).dropDuplicates(["source", "source_article_id"])
-        fresh = C.chunk_articles(rows, min_chars, ends)
-        known = _existing(spark, f"{chunks_path}/chunks", fresh.withColumn("batch", F.lit(0).cast("int")).schema).where(F.col("batch") != number)
-        fresh = fresh.join(known.select("source", "source_article_id").distinct(), ["source", "source_article_id"], "left_anti").persist()
-        fresh.write.mode("overwrite").parquet(f"{chunks_path}/chunks/batch={number}")
-        named = fresh.withColumn("chunk", F.struct("source", "source_article_id", "chunk_index"))
-        C.postings(named, "chunk").write.mode("overwrite").parquet(f"{chunks_path}/postings/batch={number}")
+        part = F.pmod(F.xxhash64(*KEYS), F.lit(KEY_PARTS)).cast("int").alias("part")
+        rows = C.clean_articles(batch).dropDuplicates(KEYS)
+        keys = rows.select(*KEYS, part)
+        own = [r["part"] for r in keys.select("part").distinct().collect()]  # KEY_PARTS at most
+        known = _existing(spark, f"{chunks_path}/keys", keys.withColumn("batch", F.lit(0).cast("int")).schema).where((F.col("batch") != number) & F.col("part").isin(own))
+        fresh = rows.join(known.select(*KEYS), KEYS, "left_anti").persist()
+        chunks = C.chunk_articles(fresh, min_chars, ends).persist()
+        chunks.write.mode("overwrite").parquet(f"{chunks_path}/chunks/batch={number}")
+        C.postings(chunks.withColumn("chunk", F.struct(*KEYS, "chunk_index")), "chunk").write.mode("overwrite").parquet(f"{chunks_path}/postings/batch={number}")
+        # last, so that keys are known only when what they stand for is written
+        fresh.select(*KEYS, part).write.mode("overwrite").partitionBy("part").parquet(f"{chunks_path}/keys/batch={number}")
+        chunks.unpersist()
         fresh.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
