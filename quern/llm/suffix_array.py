@@ -1,9 +1,9 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, as array operations.
 
 Suffixes are classified as larger or smaller than their right neighbour. Leftmost-smaller substrings are sorted by a
-first induction and named; the string of names is ordered by a recursion that doubles its reach, as an alphabet of
-names has too many buckets to visit one by one; a second induction, bucket by bucket and linear in all, places every
-suffix. Common prefixes are computed where they can't be derived from the text position before, and derived elsewhere.
+first induction and named; the string of names is sorted by the same steps, recursively, until no name repeats; a second
+induction, linear in all, places every suffix. Bytes are induced bucket by bucket, names place by place. Common
+prefixes are computed where they can't be derived from the text position before, and derived elsewhere.
 """
 
 from __future__ import annotations
@@ -86,30 +86,63 @@ def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int) ->
     return np.concatenate([np.array([len(text) - 1], np.int32), out]) if len(out) < len(text) else out
 
 
-def _order(names: np.ndarray, reach: int = 1, open_at: np.ndarray | None = None) -> np.ndarray:
-    """Ranks of the suffixes of a string of names, whose names order prefixes of reach places.
-
-    Calls itself with twice the reach on the places that share a name; a name is the number of places before its own.
-    """
-    n = len(names)
-    if open_at is None:
-        counts = np.bincount(names, minlength=1)
-        names, open_at = (np.cumsum(counts) - counts)[names], np.flatnonzero(counts[names] > 1)
-    if not len(open_at):
-        return names
-    ahead = open_at + reach
-    key = names[open_at] * (n + 1) + np.where(ahead < n, names[np.minimum(ahead, n - 1)] + 1, 0)
-    order = np.argsort(key)
-    at, key = open_at[order], key[order]
-    old = names[at]
-    place = np.arange(len(at))
-    fresh = np.concatenate([[True], key[1:] != key[:-1]])
-    group = np.concatenate([[True], old[1:] != old[:-1]])
-    first = np.maximum.accumulate(np.where(fresh, place, 0))
-    names = names.copy()
-    names[at] = old + first - np.maximum.accumulate(np.where(group, place, 0))
-    alone = fresh & np.append(fresh[1:], True)
-    return _order(names, 2 * reach, at[~alone])
+def _induce_names(text: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int) -> np.ndarray:
+    """The same for a string of names, whose buckets are too many and too small for array operations: place by place."""
+    counts = np.bincount(text, minlength=size)
+    ends = np.cumsum(counts)
+    seeds = lms[np.argsort(text[lms], kind="stable")]
+    first = text[seeds]
+    per = np.bincount(first, minlength=size)
+    out = np.full(len(text), -1, np.int64)
+    out[(ends - np.cumsum(per))[first] + np.arange(len(seeds))] = seeds
+    order, symbols, large = out.tolist(), text.tolist(), (~small).tolist()
+    free = (ends - counts).tolist()
+    for at in order:
+        if at > 0 and large[at - 1]:
+            c = symbols[at - 1]
+            order[free[c]] = at - 1
+            free[c] += 1
+    free = ends.tolist()
+    for at in reversed(order):
+        if at > 0 and not large[at - 1]:
+            c = symbols[at - 1]
+            free[c] -= 1
+            order[free[c]] = at - 1
+    return np.array(order, np.int64)
+
+
+def _alike(text: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether pairs of substrings of equal lengths, which overlap little, are the same."""
+    if not len(a):
+        return np.zeros(0, bool)
+    first = np.cumsum(lengths) - lengths
+    within = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+    return np.logical_and.reduceat(text[np.repeat(a, lengths) + within] == text[np.repeat(b, lengths) + within], first)
+
+
+def _sort(text: np.ndarray, size: int, induce, same) -> np.ndarray:
+    """The suffixes in order: leftmost-smaller substrings are sorted by an induction and named, the string of names is
+    sorted in the same way where a name repeats, and a second induction places every suffix."""
+    n = len(text)
+    small = smaller(text)
+    lms = np.flatnonzero(small[1:] & ~small[:-1]).astype(np.int32) + 1
+    sorted_once = induce(text, small, lms, size)
+    is_lms = np.zeros(n, bool)
+    is_lms[lms] = True
+    by_substring = sorted_once[is_lms[sorted_once]]
+    # names: equal substrings, from one leftmost-smaller place to the next, share one
+    stop = np.zeros(n, np.int64)
+    stop[lms] = np.append(lms[1:], n - 1) - lms + 1
+    length = stop[by_substring]
+    equal = np.zeros(len(by_substring), bool)
+    pair = np.flatnonzero(length[1:] == length[:-1]) + 1
+    equal[pair] = same(text, by_substring[pair - 1], by_substring[pair], length[pair])
+    if not equal.any():
+        return induce(text, small, by_substring, size)
+    name = np.zeros(n, np.int64)
+    name[by_substring] = np.cumsum(~equal) - 1
+    names = name[lms]
+    return induce(text, small, lms[_sort(names, int(names.max()) + 1, _induce_names, _alike)], size)
 
 
 def _words(text: np.ndarray) -> np.ndarray:
@@ -138,31 +171,10 @@ def _same(text: np.ndarray, words: np.ndarray, a: np.ndarray, b: np.ndarray, len
 
 def suffix_array(text: np.ndarray, words: np.ndarray | None = None) -> np.ndarray:
     """The suffixes of a uint8 string in order; its last symbol must be 0 and stand nowhere else."""
-    n = len(text)
-    if n <= 1:
-        return np.zeros(n, np.int32)
+    if len(text) <= 1:
+        return np.zeros(len(text), np.int32)
     words = _words(text) if words is None else words
-    size = int(text.max()) + 1
-    small = smaller(text)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]).astype(np.int32) + 1
-    sorted_once = _induce(text, small, lms, size)
-    is_lms = np.zeros(n, bool)
-    is_lms[lms] = True
-    by_substring = sorted_once[is_lms[sorted_once]]
-    # names: equal substrings, from one leftmost-smaller place to the next, share one
-    stop = np.zeros(n, np.int64)
-    stop[lms] = np.append(lms[1:], n - 1) - lms + 1
-    length = stop[by_substring]
-    equal = np.zeros(len(by_substring), bool)
-    pair = np.flatnonzero(length[1:] == length[:-1]) + 1
-    equal[pair] = _same(text, words, by_substring[pair - 1], by_substring[pair], length[pair])
-    name = np.zeros(n, np.int64)
-    name[by_substring] = np.cumsum(~equal) - 1
-    names = name[lms]
-    ranks = _order(names)
-    ordered = np.empty(len(lms), np.int32)
-    ordered[ranks] = lms
-    return _induce(text, small, ordered, size)
+    return _sort(text, int(text.max()) + 1, _induce, lambda t, a, b, lengths: _same(t, words, a, b, lengths))
 
 
 def permuted_lcp(text: np.ndarray, order: np.ndarray, words: np.ndarray | None = None) -> np.ndarray:

@@ -256,6 +256,18 @@ def test_suffix_array(symbols, times):
         assert lcp[y] == n
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_suffix_array_recurses_over_names(seed):
+    random = np.random.default_rng(seed)
+    words = [random.integers(1, 1 + seed % 3 + 1, k) for k in (3, 7, 20)]
+    fibonacci = [np.array([1]), np.array([1, 2])]
+    while len(fibonacci[-1]) < 600:
+        fibonacci.append(np.concatenate(fibonacci[:-3:-1]))
+    for body in (np.concatenate([words[i] for i in random.integers(0, 3, 120)]), fibonacci[-1][seed:], np.repeat(words[0], 40)):
+        b = bytes([*body.tolist(), 0])
+        assert suffix_array(np.frombuffer(b, np.uint8)).tolist() == sorted(range(len(b)), key=lambda i: b[i:])
+
+
 # -- tokens
 
 
