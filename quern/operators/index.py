@@ -58,7 +58,10 @@ class Index:
     def postings(self, tokens: list[str]) -> DataFrame:
         """Postings of some tokens: other buckets' folders are pruned, and the token test reaches the scan."""
         found = self.spark.createDataFrame([(t,) for t in tokens], "t string").select(_bucket(F.col("t"), self.buckets).alias("b")).distinct().collect()  # a row per token asked for
-        rows = self.spark.read.parquet(f"{self.path}/postings-{self.buckets}")
+        # with its schema given, as an index of no tokens has no file to read it from
+        kinds = {f.name: f.dataType.simpleString() for f in self.chunks.schema}
+        schema = f"token string, source {kinds['source']}, chunk_id {kinds['chunk_id']}, positions array<int>, bucket int"
+        rows = self.spark.read.schema(schema).parquet(f"{self.path}/postings-{self.buckets}")
         return rows.where(F.col("bucket").isin([r["b"] for r in found]) & F.col("token").isin(*tokens)).drop("bucket")
 
     def hits(self, term: str) -> DataFrame:
