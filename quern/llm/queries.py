@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import byte_bpe, embedding_dedup, language_id, minhash, mpeg_audio, quality, source_mix, suffix_dedup, token_counts, toxicity
+from quern.llm import byte_bpe, embedding_dedup, importance, language_id, minhash, mpeg_audio, prefix_trie, quality, source_mix, suffix_dedup, token_counts, toxicity
 from quern.llm.common import held_out, table
 
 
@@ -67,6 +67,16 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_features, weight, score, rank of a draw towards the benchmark. Awkward rows: see the operator."""
+    return importance.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 of each node. Awkward rows: see the operator."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_minhash_dedup": op2_minhash_dedup,
@@ -78,6 +88,8 @@ QUERIES = {
     "op8_toxicity_kn": op8_toxicity_kn,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_mpeg_audio": op10_mpeg_audio,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE: dict[str, str] = {}
@@ -167,3 +179,56 @@ SELECT doc_id, n_bytes, 576 * n AS payload_bytes, sha256(unhex(h)) AS payload_sh
   'v2 l3 16000 Hz 1 ch; frames ' || n || '; samples ' || 576 * n || '; seconds ' || 9 * n // gcd(n, 250) || '/' || 250 // gcd(n, 250) || '; crc ' || n || '/0; resync 0; table Info ' || n || '; last frame ' || 648 * n AS feature
 FROM s
 """
+
+#: CRC-32 of distinct words only, bit by bit.
+ORACLE["op12_importance_resampling"] = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM documents),
+b AS (SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+x AS (SELECT r, unnest(ws) AS w FROM d),
+v AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM x UNION SELECT w FROM b)),
+c AS (
+  SELECT w, xor(4294967295::BIGINT, list_reduce(list_transform(range(0, len(h) // 2), lambda k: ('0x' || substr(h, (2 * k + 1)::BIGINT, 2))::BIGINT),
+    lambda c, b: list_reduce(range(0, 8), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END, xor(c, b)), 4294967295::BIGINT)) % 10000 AS bucket FROM v),
+s AS (SELECT bucket, count(*) AS s FROM x JOIN c USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM b JOIN c USING (w) GROUP BY bucket),
+n AS (SELECT (SELECT count(*) FROM x) AS ss, (SELECT count(*) FROM b) AS tt),
+g AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (ss + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * (tt + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM (SELECT range AS bucket FROM range(0, 10000)) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket), n),
+w AS (SELECT r, sum(gain)::BIGINT AS weight FROM x JOIN c USING (w) JOIN g USING (bucket) GROUP BY r),
+e AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM d LEFT JOIN w USING (r)),
+k AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS nth, count(*) OVER () * 10 // 100 AS size FROM e WHERE n_features >= 20)
+SELECT e.doc_id, n_features, weight, score, CASE WHEN nth <= size THEN nth END AS rank FROM e LEFT JOIN k USING (doc_id)
+"""
+
+ORACLE["op13_prefix_trie"] = r"""
+WITH t AS (
+  SELECT conv_id, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS g, strlen(coalesce(text, ''))::BIGINT AS size,
+    turn FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, g) AS nth FROM t),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base,
+    xor(4294967295::BIGINT, list_reduce(list_transform(range(1, len(conv_id::VARCHAR) + 1), lambda k: ascii(substr(conv_id::VARCHAR, k, 1))::BIGINT),
+      lambda c, b: list_reduce(range(0, 8), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END, xor(c, b)), 4294967295::BIGINT)) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+b AS (
+  SELECT c.conv_id, g, size, nth FROM c JOIN o ON o.conv_id = c.base AND nth <= h
+  UNION ALL SELECT c.conv_id, g, size, nth + 100000000 FROM c JOIN o ON o.conv_id = c.conv_id AND nth > h),
+r AS (SELECT conv_id, size, row_number() OVER w AS d, string_agg(g, ',') OVER w AS p FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY nth)),
+u AS (
+  SELECT conv_id, 0::BIGINT AS d, '' AS p, NULL AS up, 0::BIGINT AS size FROM c
+  UNION ALL SELECT conv_id, d, p, CASE WHEN d = 1 THEN '' ELSE substr(p, 1, length(p) - 65) END, size FROM r),
+n AS (SELECT p, any_value(up) AS up, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size FROM u GROUP BY p),
+l AS (SELECT conv_id, max(d) AS d FROM u GROUP BY conv_id),
+z AS (SELECT p, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM u JOIN l USING (conv_id, d) GROUP BY p),
+k AS (SELECT up, count(*) AS kids FROM n WHERE up IS NOT NULL GROUP BY up),
+s AS (
+  SELECT a.p, sum((x.n_convs - 1) * x.size)::BIGINT AS saved, count(*) FILTER (k.kids IS NULL) AS leaves
+  FROM n a JOIN n x ON x.p = a.p OR a.depth = 0 OR starts_with(x.p, a.p || ',') LEFT JOIN k ON k.up = x.p GROUP BY a.p)
+SELECT n.conv_id, n.depth, m.conv_id AS parent_conv_id, n.n_convs, coalesce(kids, 0) AS n_children, leaves AS n_leaves, saved AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM n JOIN s ON s.p = n.p LEFT JOIN n m ON m.p = n.up LEFT JOIN k ON k.up = n.p LEFT JOIN z ON z.p = n.p
+"""
