@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import byte_bpe, embedding_dedup, importance, language_id, minhash, mpeg_audio, prefix_trie, quality, source_mix, suffix_dedup, token_counts, toxicity
+from quern.llm import byte_bpe, embedding_dedup, importance, language_id, minhash, mpeg_audio, personal_data, prefix_trie, quality, source_mix, suffix_dedup, token_counts, toxicity
 from quern.llm.common import held_out, table
 
 
@@ -67,6 +67,11 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added of every whole text. Awkward rows: see the operator."""
+    return personal_data.span_digests(table(spark, sf_dir, "documents"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_features, weight, score, rank of a draw towards the benchmark. Awkward rows: see the operator."""
     return importance.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -88,6 +93,7 @@ QUERIES = {
     "op8_toxicity_kn": op8_toxicity_kn,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_mpeg_audio": op10_mpeg_audio,
+    "op11_personal_data": op11_personal_data,
     "op12_importance_resampling": op12_importance_resampling,
     "op13_prefix_trie": op13_prefix_trie,
 }
