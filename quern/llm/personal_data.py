@@ -250,7 +250,7 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, held: np.ndarray) -> S
         return None
     trees = Boosted(x[~held], y[~held], weight[~held])
     score = trees.score(x[held])
-    slope, start = newton_logistic(score[:, None], y[held], l2=1.0)
+    slope, start = newton_logistic(score[:, None], y[held], l2=0.1)
     slope = max(float(slope[0]), 1e-3)
     p = sigmoid(slope * score + start)
     order = np.argsort(-p, kind="stable")
