@@ -25,6 +25,8 @@ from quern.llm.fitting import sigmoid
 BUCKETS = 1 << 12
 #: Documents of a language that fit the classifiers, at most about so many, and of all languages together.
 PER_LANGUAGE, SAMPLE_ROWS = 600, 6000
+#: Languages that are learnt, those of most distinct texts.
+MOST_LANGUAGES = 1000
 #: Codewords of up to so many languages use every split of the languages.
 EXHAUSTIVE = 6
 #: A gap between the two best scores under this is ambiguous.
@@ -142,15 +144,21 @@ def _texts(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def learn(known: DataFrame, per_language: int = PER_LANGUAGE, sample_rows: int = SAMPLE_ROWS) -> Codes | None:
     """Codes from text and lang of rows without nulls; None without languages.
 
-    A hashed sample per language, bounded in rows and sent to the driver as n-gram vectors, fits the classifiers.
+    A sample per language by hashes of texts, bounded in rows and sent to the driver as n-gram vectors, fits the
+    classifiers. Its rate follows the number of a language's distinct texts, so copies don't thin it out, and the text of
+    least hash is always in it. Languages are the MOST_LANGUAGES of most distinct texts.
     """
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    if not counts:
+    place = F.pmod(F.xxhash64(F.lit(17), "text"), F.lit(1 << 30))
+    known = known.withColumn("place", place)
+    found = known.groupBy("lang").agg(F.approx_count_distinct("place", 0.02).alias("texts"), F.min("place").alias("least"))
+    found = found.orderBy(F.desc("texts"), "lang").limit(MOST_LANGUAGES).collect()
+    if not found:
         return None
-    languages = sorted(counts)
-    each = max(1, min(per_language, sample_rows // len(languages)))
-    limits = F.create_map(*(F.lit(v) for k in languages for v in (k, int((1 << 30) * min(1.0, each / counts[k])))))
-    sample = known.where(F.pmod(F.xxhash64(F.lit(17), "text"), F.lit(1 << 30)) < limits[F.col("lang")]).dropDuplicates(["text", "lang"])
+    each = max(1, min(per_language, sample_rows // len(found)))
+    # all texts of a language that has about as many as it may give
+    upto = lambda r: int((1 << 30) * min(1.0, 1.1 * each / r["texts"])) if r["texts"] > 0.9 * each else 1 << 30
+    limits = F.create_map(*(F.lit(v) for r in found for v in (r["lang"], max(upto(r), r["least"] + 1))))
+    sample = known.where(F.col("place") < limits[F.col("lang")]).dropDuplicates(["text", "lang"])
 
     def run(batches):
         for batch in batches:
