@@ -278,15 +278,20 @@ def _seen(docs: DataFrame, train, id_col: str, text_col: str, store: Stored) ->
 
 
 def _labelled(rows: DataFrame, labels: DataFrame, id_col: str, label_col: str, train_rows: int) -> DataFrame:
-    """rows (id and more) with their label y: a hashed sample of a bounded number of labelled ones. The labels joined are bounded too."""
+    """rows (id and more) with their label y, for a hashed sample of a bounded number of labelled ids that rows have.
+
+    Ids meet labels before the sample is drawn, and by themselves, so labels of other rows take nothing from it.
+    """
     marked = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
-    return hashed_sample(rows.join(hashed_sample(marked, F.col("id"), 3 * train_rows, 3), "id"), F.col("id"), train_rows, 4)
+    own = Stored(rows.sparkSession, "labelled").keep(marked.join(rows.select("id"), "id", "left_semi"), "ids")
+    return rows.join(F.broadcast(hashed_sample(own, F.col("id"), train_rows, 4)), "id")  # about train_rows ids
 
 
-def _learn(known: DataFrame) -> Ensemble:
-    """An ensemble from labelled statistics; equal rows of an id teach once."""
+def _learn(known: DataFrame, train_rows: int) -> Ensemble:
+    """An ensemble from labelled statistics, about train_rows at most; equal rows of an id teach once."""
     columns = [f"stat_{s}" for s in STATS]
-    got = known.select("id", "y", *columns).distinct().toPandas().sort_values(["id", *columns])
+    rows = Stored(known.sparkSession, "taught").keep(known.select("id", "y", *columns).distinct(), "rows")
+    got = hashed_sample(rows, F.struct("id", *columns), train_rows, 6).toPandas().sort_values(["id", *columns])
     return fit(got[columns].to_numpy(float), (got["y"] > 0).to_numpy(float))
 
 
@@ -302,7 +307,7 @@ def quality(docs: DataFrame, labels: DataFrame, train, id_col: str = "doc_id", t
     read. An empty table gives no rows.
     """
     seen = _seen(docs, train, id_col, text_col, Stored(docs.sparkSession, "quality"))
-    model = _learn(_labelled(seen.where("train"), labels, id_col, label_col, train_rows))
+    model = _learn(_labelled(seen.where("train"), labels, id_col, label_col, train_rows), train_rows)
     return seen.select(F.col("id").alias(id_col), model.column().alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -315,7 +320,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     computed of the sampled labelled rows only. Very long texts are read whole; rows that score alike fare alike.
     """
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    model = _learn(text_statistics(_labelled(texts, labels, id_col, label_col, train_rows)))
+    model = _learn(text_statistics(_labelled(texts, labels, id_col, label_col, train_rows)), train_rows)
     if not model.rules:
         return docs
     named = docs.select(F.struct(*docs.columns).alias("row"), docs[text_col].cast("string").alias("text"))
