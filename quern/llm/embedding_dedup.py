@@ -177,11 +177,26 @@ def _nodes(rows: DataFrame) -> DataFrame:
             v = [np.asarray(x.as_py(), np.float64).tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(v, pa.binary())], names=["key", "v"])
 
-    named = rows.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("mult"), F.first("embedding").alias("embedding"))
+    named = rows.where("key is not null").groupBy("key", "check").agg(F.count(F.lit(1)).alias("mult"), F.first("embedding").alias("embedding")).drop("check")
     packed = named.select("key", "embedding").mapInArrow(run, _schema(key=LONG, v=T.BinaryType()))
     return packed.join(named.select("key", "mult"), "key")
 
 
+def _keyed(rows: DataFrame, store: Stored) -> tuple[DataFrame, DataFrame]:
+    """rows and their nodes, a key for each distinct vector: where two hashes tell vectors of one key apart, they get keys of both.
+
+    Of ten billion vectors two or three share a key.
+    """
+    attempt = 0
+    while True:
+        counts = store.keep(rows.where("key is not null").select("key", "check").distinct().groupBy("key").count().where("count > 1").select("key"), f"clashes-{attempt}")
+        if counts.isEmpty():
+            return rows, store.keep(_nodes(rows), "nodes")
+        clash = counts.withColumn("clash", F.lit(True))
+        rows = rows.join(clash, "key", "left").withColumn("key", F.when(F.col("clash"), F.xxhash64("check", "key")).otherwise(F.col("key"))).drop("clash")
+        rows, attempt = store.keep(rows, f"rows-{attempt + 1}"), attempt + 1
+
+
 def _assign(nodes: DataFrame, c: np.ndarray, overlap: int) -> DataFrame:
     """A row per node and shard: cluster, and before, the node's clusters of smaller number."""
     k = min(overlap, len(c))
@@ -372,9 +387,9 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     array = vectors[vector_col].cast("array<double>")
     rows = vectors.select(vectors[id_col].alias("id"), array.alias("embedding"))
     fine = F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    rows = store.keep(rows.withColumn("key", F.when(fine, F.xxhash64("embedding"))), "rows")
+    rows = store.keep(rows.withColumns({"key": F.when(fine, F.xxhash64("embedding")), "check": F.when(fine, F.xxhash64(F.lit(31), "embedding"))}), "rows")
     lengths = [r["n"] for r in rows.where("key is not null").groupBy(F.size("embedding").alias("n")).count().collect()]
-    nodes = store.keep(_nodes(rows), "nodes")
+    rows, nodes = _keyed(rows, store)
     counts, edges, recalls = None, None, []
     for n in sorted(lengths):
         own, pairs, recall = _links(nodes.where(F.length("v") == 8 * n), n, least, store)
