@@ -18,6 +18,7 @@ strings of one hash become one, in a block or in a shard, their bytes are compar
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -159,10 +160,19 @@ def _first_of(keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
 
 
-def _one_string(raw: np.ndarray, first: np.ndarray, size: np.ndarray, pick: np.ndarray, of: np.ndarray) -> None:
-    """Make sure that strings named alike have the same bytes. A job that met two that differ must not merge them."""
-    if not ((size == size[pick][of]).all() and W.equal(raw, first, first[pick][of], size).all()):
-        raise ValueError("two different strings have one hash: run again with another BASE")
+def _named(raw: np.ndarray, first: np.ndarray, size: np.ndarray, string: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """pick and of: a run of each kind of equal bytes, and each run's place in pick. Kinds are those of hashes, or of bytes should a hash stand for several."""
+    _, pick, of = np.unique(string, return_index=True, return_inverse=True)
+    if (size == size[pick][of]).all() and W.equal(raw, first, first[pick][of], size).all():
+        return pick, of
+    known: dict[bytes, int] = {}
+    kinds = [known.setdefault(raw[a : a + n].tobytes(), k) for k, (a, n) in enumerate(zip(first.tolist(), size.tolist(), strict=True))]
+    return np.unique(np.array(kinds, np.int64), return_inverse=True)
+
+
+def _checks(raw: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """CRC-32 of runs, which tells strings of one hash apart."""
+    return np.array([zlib.crc32(raw[a : a + n].tobytes()) for a, n in zip(first.tolist(), size.tolist(), strict=True)], np.uint32)
 
 
 def _blobs(numbers: list[int], blobs: list[bytes]):
@@ -254,8 +264,7 @@ def _ship(window: int, buckets: int):
         raw, offsets = text_bytes(docs.column("text"))
         ids, home = _ids(docs.column("id").combine_chunks()), docs.column("block")[0].as_py()
         row, first, last, anchor, string = _strings(raw, offsets, window, shared)
-        _, pick, of = np.unique(string, return_index=True, return_inverse=True)
-        _one_string(raw, first, last - first + window, pick, of)
+        pick, of = _named(raw, first, last - first + window, string)
         low = _least(of, ids[row], len(pick))
         first, anchor, size = first[pick], anchor[pick], last[pick] - first[pick] + window
         names, blobs = [], []
@@ -296,8 +305,8 @@ def _judge(window: int):
         string = _hashes(sums, down, at, at + size)
         del sums
         # equal strings of all blocks become one
-        names, pick, to = np.unique(string, return_index=True, return_inverse=True)
-        _one_string(text, at, size, pick, to)
+        pick, to = _named(text, at, size, string)
+        names = string[pick]
         anchor, size, at = anchor[pick], size[pick], at[pick]
         owner = _least(to, low, len(pick))
         # an anchor that has one string left needs no comparison: its windows are those of that string
@@ -316,7 +325,7 @@ def _judge(window: int):
         owners = np.full(len(shard), LAST)
         owners[:-1] = np.repeat(owner[live], length)
         least = window_owners(shard, owners, window)[:-1]
-        del text, source, inner, owners, shard
+        del source, inner, owners, shard
         # runs of starts with one smallest id
         start = np.flatnonzero(place <= np.repeat(size[live], length) - window)
         which, place, least = np.repeat(live, length)[start], place[start], least[start]
@@ -334,7 +343,9 @@ def _judge(window: int):
         block, string = np.repeat(home[told], runs), np.repeat(to[told], runs)
         use = np.arange(int(runs.sum())) - np.repeat(np.cumsum(runs) - runs, runs) + bounds[string]
         groups = list(_by(block))
-        return _blobs([n for n, _ in groups], [pack(names[string[g]], begin[use[g]].astype(np.uint32), count[use[g]].astype(np.uint32), value[use[g]]) for _, g in groups])
+        said, of = np.unique(string, return_inverse=True)
+        check = _checks(text, at[said], size[said])
+        return _blobs([n for n, _ in groups], [pack(names[string[g]], begin[use[g]].astype(np.uint32), count[use[g]].astype(np.uint32), value[use[g]], check[of[g]]) for _, g in groups])
 
     return run
 
@@ -343,22 +354,29 @@ def _cover(raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray, blobs: list[by
     """Which bytes of a block's rows a smaller id holds: in the block, or as the shards tell."""
     change = np.zeros(len(raw) + 1, np.int32)
     row, first, last, _, string = _strings(raw, offsets, window)
-    names, pick, of = np.unique(string, return_index=True, return_inverse=True)
-    _one_string(raw, first, last - first + window, pick, of)
-    own = ids[row]
+    pick, of = _named(raw, first, last - first + window, string)
+    names, own = string[pick], ids[row]
     low = _least(of, own, len(names))
     told = [unpack(b) for b in blobs]
-    key, begin, count, value = (np.concatenate([t[k] for t in told]) if told else np.zeros(0, np.uint64) for k in range(4))
+    key, begin, count, value, check = (np.concatenate([t[k] for t in told]) if told else np.zeros(0, np.uint64) for k in range(5))
     order = np.argsort(key, kind="stable")
-    key, begin, count, value = key[order], begin[order].astype(np.int64), count[order].astype(np.int64), value[order].astype(np.int64)
+    key, begin, count, value, check = key[order], begin[order].astype(np.int64), count[order].astype(np.int64), value[order].astype(np.int64), check[order]
     lo, hi = np.searchsorted(key, names, side="left"), np.searchsorted(key, names, side="right")
     runs = (hi - lo)[of]
+    at = np.repeat(np.arange(len(of)), runs)
+    use = np.arange(len(at)) - np.repeat(np.cumsum(runs) - runs, runs) + lo[of[at]]
+    _, kind, times = np.unique(names, return_inverse=True, return_counts=True)
+    alike = np.flatnonzero(times[kind] > 1)  # strings of the block that share a hash: shards told of each under it
+    if len(alike):
+        sums = np.zeros(len(names), np.uint32)
+        sums[alike] = _checks(raw, first[pick[alike]], (last - first)[pick[alike]] + window)
+        mine = (times[kind][of[at]] == 1) | (check[use] == sums[of[at]])
+        at, use = at[mine], use[mine]
+        runs = np.bincount(at, minlength=len(of))
     # strings that no shard told of are held in this block only
     plain = np.flatnonzero((runs == 0) & (low[of] < own))
     np.add.at(change, first[plain], 1)
     np.subtract.at(change, last[plain] + window, 1)
-    at = np.repeat(np.arange(len(of)), runs)
-    use = np.arange(len(at)) - np.repeat(np.cumsum(runs) - runs, runs) + lo[of[at]]
     held = value[use] < own[at]
     start = first[at[held]] + begin[use[held]]
     np.add.at(change, start, 1)
