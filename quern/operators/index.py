@@ -1,94 +1,543 @@
-"""A stored inverted index: postings by buckets of tokens, which phrase queries read a few files of.
+"""A stored inverted index that takes batches of changes, and searches that read a part of it.
 
-postings: token, source, chunk_id, positions, in folders by bucket of the token's hash and sorted by token, so a query
-reads the folders of its tokens and, in them, the row groups that can hold those. Chunks are kept beside it in order of
-chunk_id, and texts are fetched for the hits that are shown only.
+Below its path are tables in folders by bucket and by segment, the number of the batch that wrote them:
+
+- postings: token, slice, level, source, chunk_id, size, positions, by bucket of the token's hash and sorted by token, slice
+  and level. A slice is a share of the chunks, the same for all tokens, so counts can grow slice by slice. A level is a class
+  of a token's weight in a chunk, so ranked search can leave low ones out.
+- levels: for each token and level the number of postings, the largest count of the token and the least size of a chunk.
+- totals: for each token and source by how many chunks and occurrences a batch changed them; their sums are true counts.
+- chunks: whole rows by bucket of chunk_id. places: chunk_id by bucket of (source, source_article_id).
+- dead: ids whose rows in earlier segments are no longer valid. sources: a row per source, for each version.
+
+A version is a small file that names the segments of each bucket. It appears last, so a batch that broke off has changed
+nothing, and one that is run again overwrites its own folders or, if its version is there, does nothing.
 """
 
 from __future__ import annotations
 
+import dataclasses
+import json
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.functions import text as X
 from quern.operators import search as S
 
+#: Shares of the chunks that counts read one after another, and postings that their first step reads, about; each next one reads three times as many.
+SLICES, STEP_ROWS = 64, 1_000_000
+#: Classes of weight, and the size of a chunk that they take for usual.
+LEVELS, USUAL_SIZE = 16, 32
+#: Postings of a bucket that one task writes, about.
+TASK_ROWS = 2_000_000
+#: Ids that are sent to all tasks, where their number is known; more are joined.
+MOST_SENT = 100_000
+#: Postings per term that ranked search looks at first, for each of the rows asked for.
+SEED_ROWS = 50
+ARTICLE = ("source", "source_article_id")
+TABLES = ("postings", "levels", "totals", "chunks", "places")
+
+
+def _bucket(buckets: int, *columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int")
+
+
+def _grouped(text: str) -> Column:
+    """Tokens of a text with their positions, grouped inside the row: array<struct<token, positions, size>>, by one sort; size is that of the text, in tokens."""
+    pairs = F.sort_array(F.transform(X.tokens(F.col(text)), lambda t, i: F.struct(t.alias("token"), i.alias("pos"))))
+
+    def runs(p):
+        start = F.filter(F.sequence(F.lit(1), F.size(p)), lambda i: (i == 1) | (F.element_at(p, F.greatest(i - 1, F.lit(1)))["token"] != F.element_at(p, i)["token"]))
+        cut = lambda s, k, starts: F.slice(p, s, F.coalesce(F.get(starts, k + 1), F.size(p) + 1) - s)
+        return F.transform(F.array(start), lambda starts: F.transform(starts, lambda s, k: F.struct(F.element_at(p, s)["token"].alias("token"), F.transform(cut(s, k, starts), lambda x: x["pos"]).alias("positions"), F.size(p).alias("size"))))[0]
+
+    # made once and named by a lambda, as an expression that is named twice would be computed twice
+    return F.transform(F.array(pairs), lambda p: F.when(F.size(p) > 0, runs(p)))[0]
+
+
+def _postings(chunks: DataFrame, buckets: int) -> DataFrame:
+    """bucket, token, slice, level, source, chunk_id, size, positions. No shuffle."""
+    rows = chunks.select("chunk_id", "source", F.explode(_grouped("text")).alias("x"))
+    tf = F.size("x.positions")
+    level = F.floor(LEVELS * tf / (tf + 1.2 * (0.25 + 0.75 * F.col("x.size") / USUAL_SIZE))).cast("int")
+    return rows.select(_bucket(buckets, "x.token").alias("bucket"), "x.token", _bucket(SLICES, "chunk_id").alias("slice"), level.alias("level"), "source", "chunk_id", "x.size", "x.positions")
+
+
+@dataclass(frozen=True)
+class State:
+    """A version: of each table, the segments of each bucket, and which of these hold dead rows; counts over all live chunks."""
+
+    version: int = 0
+    last_batch: int = -1
+    buckets: int = 1024
+    schema: str = ""
+    segments: dict = field(default_factory=lambda: {t: {} for t in TABLES})
+    dirty: dict = field(default_factory=lambda: {t: [] for t in TABLES})
+    dead: list = field(default_factory=list)
+    n_dead: int = 0
+    n: int = 0
+    size: int = 0
+    n_sources: int = 0
+
+
+class _Files:
+    """The small files of versions, and folders that go."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
 
-def _bucket(token: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
+    def at(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), path
+
+    def names(self, folder: str) -> list[str]:
+        system, path = self.at(folder)
+        return [f.getPath().getName() for f in system.listStatus(path)] if system.exists(path) else []
+
+    def read(self, name: str) -> str:
+        system, path = self.at(name)
+        stream = system.open(path)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def write_new(self, name: str, text: str) -> None:
+        """Write beside, then rename, which fails if another writer's file is there."""
+        system, path = self.at(name)
+        aside = self.at(f"{name}.new")[1]
+        out = system.create(aside, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if system.exists(path) or not system.rename(aside, path):
+            raise RuntimeError(f"{name} was written by another job")
+
+    def delete(self, name: str) -> None:
+        system, path = self.at(name)
+        system.delete(path, True)
 
 
 def build(chunks: DataFrame, path: str, buckets: int = 1024) -> Index:
-    """Write the index of chunks (chunk_id, source, text and more) below a path.
+    """Write the index of chunks (chunk_id, source, source_article_id, chunk_index, text and more) at a path, in place of what was there. buckets should grow with the vocabulary.
 
-    A token that a large share of chunks has fills its bucket: files of a bucket are dealt by token and chunk, so it is
-    written by several tasks. buckets should grow with the vocabulary; it is kept in the path's name.
+    Ids are expected once; of rows that share one the greatest by its columns is taken. Null texts have no tokens.
     """
     spark = chunks.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    deal = F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, tasks // buckets))).cast("int")
-    rows = chunks.select("chunk_id", "source", F.posexplode(X.tokens(F.col("text"))).alias("pos", "token"))
-    rows = rows.withColumns({"bucket": _bucket(F.col("token"), buckets), "deal": deal}).repartition(tasks, "bucket", "deal")
-    # equal tokens of a chunk are in one task by now, so they become one posting without another shuffle
-    rows = rows.groupBy("bucket", "deal", "token", "source", "chunk_id").agg(F.sort_array(F.collect_list("pos")).alias("positions")).drop("deal")
-    rows.sortWithinPartitions("bucket", "token", "chunk_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings-{buckets}")
-    chunks.repartitionByRange(tasks, "chunk_id").sortWithinPartitions("chunk_id").write.mode("overwrite").parquet(f"{path}/chunks")
-    return Index(spark, path, buckets)
+    _Files(spark, path).delete("")
+    state = State(buckets=buckets, schema=", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema))
+    return Index(spark, path, state).apply(0, chunks)
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    """The latest version of the index at a path."""
+    files = _Files(spark, path)
+    versions = [int(n.split(".")[0]) for n in files.names("versions") if n.endswith(".json")]
+    if not versions:
+        raise FileNotFoundError(f"no index at {path}")
+    return Index(spark, path, State(**json.loads(files.read(f"versions/{max(versions)}.json"))))
 
 
 @dataclass(frozen=True)
 class Index:
-    """What build() wrote."""
+    """One version; later ones don't change what it reads until vacuum()."""
 
     spark: SparkSession
     path: str
-    buckets: int
+    state: State
+
+    # -- tables
+
+    def _schema(self, table: str) -> str:
+        kinds = {f.name: f.dataType.simpleString() for f in self._chunk_schema()}
+        of = {
+            "postings": f"token string, slice int, level int, source {kinds['source']}, chunk_id {kinds['chunk_id']}, size int, positions array<int>",
+            "levels": "token string, level int, n long, most int, least int",
+            "totals": f"token string, source {kinds['source']}, docs long, uses long",
+            "chunks": self.state.schema,
+            "places": f"source {kinds['source']}, source_article_id {kinds['source_article_id']}, chunk_index {kinds['chunk_index']}, chunk_id {kinds['chunk_id']}",
+        }[table]
+        return f"{of}, bucket int, segment int"
+
+    def _chunk_schema(self):
+        return T.StructType.fromDDL(self.state.schema)
+
+    def _read(self, table: str, buckets: list[int] | None = None) -> DataFrame:
+        """Rows of some buckets' segments, dead ones too: only their folders are listed and read."""
+        known = self.state.segments[table]
+        picked = [b for b in known if buckets is None or int(b) in buckets]
+        paths = [f"{self.path}/{table}/bucket={b}/segment={s}" for b in picked for s in known[b]]
+        if not paths:
+            return self.spark.createDataFrame([], self._schema(table))
+        rows = self.spark.read.schema(self._schema(table)).option("basePath", f"{self.path}/{table}").parquet(*paths)
+        return rows if buckets is None else rows.where(F.col("bucket").isin(*sorted(map(int, picked))))
+
+    def _live(self, rows: DataFrame) -> DataFrame:
+        if not self.state.dead:
+            return rows
+        parts = [self.spark.read.parquet(f"{self.path}/dead/segment={s}").select("chunk_id", F.lit(s).alias("upto")) for s in self.state.dead]
+        dead = parts[0]
+        for more in parts[1:]:
+            dead = dead.unionByName(more)
+        dead = dead.groupBy("chunk_id").agg(F.max("upto").alias("upto"))
+        dead = F.broadcast(dead) if self.state.n_dead <= MOST_SENT else dead
+        return rows.join(dead, "chunk_id", "left").where(F.col("upto").isNull() | (F.col("segment") >= F.col("upto"))).drop("upto")
 
     @property
     def chunks(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/chunks")
+        return self._live(self._read("chunks")).select(*(f.name for f in self._chunk_schema()))
+
+    @property
+    def sources(self) -> DataFrame:
+        """source, chunk_count, article_count, min_chunk_id, max_chunk_id, as the last batch left them."""
+        return self.spark.read.parquet(f"{self.path}/sources/{self.state.version}")
+
+    def _buckets_of(self, rows: DataFrame, *columns: str) -> list[int]:
+        """Buckets of rows' keys: as many as there are buckets at most."""
+        return [r["b"] for r in rows.select(_bucket(self.state.buckets, *columns).alias("b")).distinct().collect()]
+
+    def _buckets_of_keys(self, keys: list[tuple], schema: str) -> list[int]:
+        """Buckets of a bounded list of keys, without a job."""
+        kinds = [f.dataType for f in T.StructType.fromDDL(schema)]
+        hashed = [F.xxhash64(*(F.lit(v).cast(t) for v, t in zip(key, kinds, strict=True))) for key in keys]
+        found = self.spark.range(1).select(F.array(*(F.pmod(h, F.lit(self.state.buckets)).cast("int") for h in hashed))).first()[0]
+        return sorted(set(found))
+
+    def rows_of(self, ids: list) -> DataFrame:
+        """Chunks of some ids, a bounded list: their buckets' folders, and ids as literals for the scan."""
+        kind = self._chunk_schema()["chunk_id"].dataType.simpleString()
+        if not ids:
+            return self.chunks.limit(0)
+        found = self._buckets_of_keys([(i,) for i in ids], f"chunk_id {kind}")
+        rows = self._read("chunks", found).where(F.col("chunk_id").isin(*ids))
+        return self._live(rows).select(*(f.name for f in self._chunk_schema()))
 
-    def tokens_of(self, term: str) -> list[str]:
-        """A term's tokens, by the same rules as those of texts."""
-        return self.spark.range(1).select(X.tokens(F.lit(term)).alias("t")).first()["t"]
+    # -- changes
+
+    def _put(self, rows: DataFrame, table: str, segment: int) -> dict[str, list[int]]:
+        """Write rows (bucket and more) as a segment's folders; the table's segments by bucket then."""
+        rows.withColumn("segment", F.lit(segment)).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("bucket", "segment").parquet(f"{self.path}/{table}")
+        out = dict(self.state.segments[table])
+        system, path = _Files(self.spark, self.path).at(table)
+        for folder in system.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/bucket=*/segment={segment}")) or []:
+            b = folder.getPath().getParent().getName().split("=")[1]
+            out[b] = [*out.get(b, []), segment]
+        return out
+
+    def apply(self, number: int, upserts: DataFrame | None = None, deletes: DataFrame | None = None) -> Index:
+        """The index after a batch: rows of upserts in place of those of their ids, then without the ids (chunk_id) of deletes.
+
+        number tells batches apart and grows; a batch whose number has been applied changes nothing. Only buckets of the
+        batch's tokens, ids and articles, and of those that it replaces, are read or written.
+        """
+        if number <= self.state.last_batch:
+            return self
+        segment, b = self.state.version + 1, self.state.buckets
+        names = [f.name for f in self._chunk_schema()]
+        fresh = self.spark.createDataFrame([], self.state.schema) if upserts is None else upserts.select(*names)
+        rest = [c for c in names if c != "chunk_id"]
+        fresh = fresh.groupBy("chunk_id").agg(F.max(F.struct(*rest)).alias("x")).select("chunk_id", "x.*").select(*names)
+        if deletes is not None:
+            fresh = fresh.join(deletes.select("chunk_id").distinct(), "chunk_id", "left_anti")
+        segments, dirty = dict(self.state.segments), {t: set(x) for t, x in self.state.dirty.items()}
+        segments["chunks"] = self._put(fresh.withColumn("bucket", _bucket(b, "chunk_id")).repartition("bucket").sortWithinPartitions("bucket", "chunk_id"), "chunks", segment)
+        after = dataclasses.replace(self.state, segments=segments)
+        fresh = Index(self.spark, self.path, dataclasses.replace(after, dead=[], segments={**segments, "chunks": {k: [segment] for k, v in segments["chunks"].items() if segment in v}})).chunks
+        # rows that the batch replaces or deletes, in the buckets of its ids
+        old = self.spark.createDataFrame([], self.state.schema)
+        if self.state.n_sources:
+            ids = fresh.select("chunk_id")
+            ids = ids if deletes is None else ids.unionByName(deletes.select("chunk_id"))
+            ids = ids.distinct()
+            old = self._live(self._read("chunks", self._buckets_of(ids, "chunk_id"))).join(ids, "chunk_id", "left_semi").select(*names)
+            old.write.mode("overwrite").parquet(f"{self.path}/replaced/{segment}")
+            old = self.spark.read.schema(self.state.schema).parquet(f"{self.path}/replaced/{segment}")
+        gone, removed = old.select("chunk_id"), old.count() if self.state.n_sources else 0
+        if removed:
+            gone.write.mode("overwrite").parquet(f"{self.path}/dead/segment={segment}")
+        # counts by token and source
+        signed = lambda rows, sign: _postings(rows, b).select("bucket", "token", "source", F.lit(sign).alias("sign"), F.size("positions").alias("n"))
+        changed = signed(fresh, 1).unionByName(signed(old, -1)) if removed else signed(fresh, 1)
+        changed = changed.groupBy("bucket", "token", "source").agg(F.sum("sign").cast("long").alias("docs"), F.sum(F.col("sign") * F.col("n")).cast("long").alias("uses"))
+        segments["totals"] = self._put(changed.sortWithinPartitions("bucket", "token"), "totals", segment)
+        # a bucket of more postings than a task should write is dealt over several, by slices
+        own = Index(self.spark, self.path, dataclasses.replace(after, segments={**segments, "totals": {k: [segment] for k, v in segments["totals"].items() if segment in v}}))
+        deals = {r["bucket"]: -(-r["n"] // TASK_ROWS) for r in own._read("totals").groupBy("bucket").agg(F.sum(F.greatest("docs", F.lit(0))).alias("n")).collect()}  # a row per bucket
+        many = {k: min(SLICES, v) for k, v in deals.items() if v > 1}
+        deal = F.pmod(F.col("slice"), F.coalesce(F.create_map(*(F.lit(x) for p in many.items() for x in p))[F.col("bucket")], F.lit(1)).cast("int")) if many else F.lit(0)
+        tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 1)
+        rows = _postings(fresh, b).withColumn("deal", deal).repartition(tasks, "bucket", "deal").drop("deal").sortWithinPartitions("bucket", "token", "slice", "level")
+        segments["postings"] = self._put(rows, "postings", segment)
+        own = Index(self.spark, self.path, dataclasses.replace(after, segments={**segments, "postings": {k: [segment] for k, v in segments["postings"].items() if segment in v}}))
+        levels = own._read("postings").groupBy("bucket", "token", "level").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("positions")).alias("most"), F.min("size").alias("least"))
+        segments["levels"] = self._put(levels.sortWithinPartitions("bucket", "token"), "levels", segment)
+        segments["places"] = self._put(fresh.select(_bucket(b, *ARTICLE).alias("bucket"), *ARTICLE, "chunk_index", "chunk_id").repartition("bucket").sortWithinPartitions("bucket", *ARTICLE, "chunk_index"), "places", segment)
+        if removed:
+            dirty["postings"] |= set(deals)
+            dirty["levels"] |= set(deals)
+            dirty["chunks"] |= set(self._buckets_of(old, "chunk_id"))
+            dirty["places"] |= set(self._buckets_of(old, *ARTICLE))
+        size = lambda rows: rows.select(F.size(X.tokens(F.col("text"))).alias("s")).where("s > 0").agg(F.count(F.lit(1)), F.coalesce(F.sum("s"), F.lit(0))).first()
+        (n_in, s_in), (n_out, s_out) = size(fresh), size(old) if removed else (0, 0)
+        n_sources = self._count_sources(fresh, old, removed, segment)
+        state = dataclasses.replace(
+            self.state, version=segment, last_batch=number, segments=segments, dirty={t: sorted(x) for t, x in dirty.items()}, dead=[*self.state.dead, segment] if removed else self.state.dead,
+            n_dead=self.state.n_dead + removed, n=self.state.n + n_in - n_out, size=self.state.size + s_in - s_out, n_sources=n_sources,
+        )
+        return self._publish(state)
+
+    def _publish(self, state: State) -> Index:
+        _Files(self.spark, self.path).write_new(f"versions/{state.version}.json", json.dumps(dataclasses.asdict(state)))
+        return Index(self.spark, self.path, state)
+
+    def _count_sources(self, fresh: DataFrame, old: DataFrame, removed: int, version: int) -> int:
+        """Write the row of each source after a batch. Articles that begin or end are told from the places of the batch's articles; only a source that lost its first or last id is counted anew."""
+        by_article = lambda rows, sign: rows.groupBy(*ARTICLE).agg((F.count(F.lit(1)) * sign).alias("n"))
+        moved = by_article(fresh, 1).unionByName(by_article(old, -1)).groupBy(*ARTICLE).agg(F.sum("n").alias("moved"))
+        same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source")) & F.col(f"{a}.source_article_id").eqNullSafe(F.col(f"{b}.source_article_id"))
+        if self.state.n_sources:
+            before = by_article(self._live(self._read("places", self._buckets_of(moved, *ARTICLE))), 1)
+            moved = moved.alias("m").join(before.alias("b"), same("m", "b"), "left").select("m.*", F.coalesce("n", F.lit(0)).alias("n"))
+        else:
+            moved = moved.withColumn("n", F.lit(0))
+        change = moved.groupBy("source").agg(F.sum("moved").alias("chunks"), F.sum((F.col("n") + F.col("moved") > 0).cast("long") - (F.col("n") > 0).cast("long")).alias("articles"))
+        ends = fresh.groupBy("source").agg(F.min("chunk_id").alias("low"), F.max("chunk_id").alias("high"))
+        null = lambda c: F.lit(None).cast(self._chunk_schema()["chunk_id"].dataType).alias(c)
+        was = self.sources if self.state.n_sources else fresh.limit(0).select("source", F.lit(0).cast("long").alias("chunk_count"), F.lit(0).cast("long").alias("article_count"), null("min_chunk_id"), null("max_chunk_id"))
+        lost = old.groupBy("source").agg(F.min("chunk_id").alias("lost_low"), F.max("chunk_id").alias("lost_high"))
+        rows = was.withColumn("side", F.lit(0)).unionByName(change.withColumn("side", F.lit(1)), True).unionByName(ends.withColumn("side", F.lit(1)), True).unionByName(lost.withColumn("side", F.lit(1)), True)
+        rows = rows.groupBy("source").agg(
+            (F.coalesce(F.sum("chunk_count"), F.lit(0)) + F.coalesce(F.sum("chunks"), F.lit(0))).alias("chunk_count"), (F.coalesce(F.sum("article_count"), F.lit(0)) + F.coalesce(F.sum("articles"), F.lit(0))).alias("article_count"),
+            F.least(F.min("min_chunk_id"), F.min("low")).alias("min_chunk_id"), F.greatest(F.max("max_chunk_id"), F.max("high")).alias("max_chunk_id"),
+            F.coalesce((F.min("lost_low") <= F.min("min_chunk_id")) | (F.max("lost_high") >= F.max("max_chunk_id")), F.lit(False)).alias("anew"),
+        ).where("chunk_count > 0")
+        rows.write.mode("overwrite").parquet(f"{self.path}/sources/{version}-open")
+        rows = self.spark.read.parquet(f"{self.path}/sources/{version}-open")
+        if removed and not rows.where("anew").isEmpty():
+            places = self._live(self._read("places")).select("source", "chunk_id").join(old.select("chunk_id"), "chunk_id", "left_anti").unionByName(fresh.select("source", "chunk_id"))
+            found = places.alias("p").join(rows.where("anew").select("source").alias("r"), F.col("p.source").eqNullSafe(F.col("r.source")), "left_semi").groupBy("source").agg(F.min("chunk_id").alias("low"), F.max("chunk_id").alias("high"))
+            rows = rows.alias("r").join(found.alias("f"), F.col("r.source").eqNullSafe(F.col("f.source")), "left").select("r.source", "chunk_count", "article_count", F.coalesce("low", "min_chunk_id").alias("min_chunk_id"), F.coalesce("high", "max_chunk_id").alias("max_chunk_id"))
+        rows.drop("anew").write.mode("overwrite").parquet(f"{self.path}/sources/{version}")
+        return self.spark.read.parquet(f"{self.path}/sources/{version}").count()
+
+    def merge(self) -> Index:
+        """The index with one segment a bucket and no dead rows. Only buckets that batches since the last merge touched are rewritten."""
+        segment, segments = self.state.version + 1, {}
+        for table in TABLES:
+            touched = [int(k) for k, v in self.state.segments[table].items() if len(v) > 1 or int(k) in self.state.dirty[table]]
+            segments[table] = {k: v for k, v in self.state.segments[table].items() if int(k) not in touched}
+            if not touched:
+                continue
+            rows = self._read(table, touched)
+            if table == "totals":
+                rows = rows.groupBy("bucket", "token", "source").agg(F.sum("docs").alias("docs"), F.sum("uses").alias("uses")).where("docs > 0")
+                order = ["bucket", "token"]
+            elif table == "levels":
+                own = Index(self.spark, self.path, dataclasses.replace(self.state, segments={**self.state.segments, **segments}, dead=[]))
+                rows = own._read("postings", touched).groupBy("bucket", "token", "level").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("positions")).alias("most"), F.min("size").alias("least"))
+                order = ["bucket", "token"]
+            else:
+                rows = self._live(rows).drop("segment")
+                order = {"postings": ["bucket", "token", "slice", "level"], "chunks": ["bucket", "chunk_id"], "places": ["bucket", *ARTICLE, "chunk_index"]}[table]
+                deal = [F.pmod(F.col("slice"), F.lit(8))] if table == "postings" else []
+                rows = rows.repartition(F.col("bucket"), *deal)
+            new = Index(self.spark, self.path, dataclasses.replace(self.state, segments={table: {}}))._put(rows.sortWithinPartitions(*order), table, segment)
+            segments[table] |= new
+        self.sources.write.mode("overwrite").parquet(f"{self.path}/sources/{segment}")
+        return self._publish(dataclasses.replace(self.state, version=segment, segments=segments, dirty={t: [] for t in TABLES}, dead=[], n_dead=0))
+
+    def vacuum(self) -> None:
+        """Delete what this version doesn't read. Readers of earlier versions fail afterwards."""
+        files = _Files(self.spark, self.path)
+        for table in TABLES:
+            for bucket in files.names(table):
+                if bucket.startswith("bucket="):
+                    for segment in files.names(f"{table}/{bucket}"):
+                        if int(segment.split("=")[1]) not in self.state.segments[table].get(bucket.split("=")[1], []):
+                            files.delete(f"{table}/{bucket}/{segment}")
+        for folder, keep in (("dead", {f"segment={s}" for s in self.state.dead}), ("sources", {str(self.state.version)}), ("versions", {f"{self.state.version}.json"}), ("replaced", set())):
+            for name in files.names(folder):
+                if name not in keep:
+                    files.delete(f"{folder}/{name}")
+
+    # -- searches
+
+    def tokens_of(self, *terms: str) -> list[str]:
+        """Tokens of terms, one term's after another's, by the same rules as those of texts."""
+        return self.spark.range(1).select(F.flatten(F.array(*(X.tokens(F.lit(t)) for t in terms)))).first()[0]
+
+    def _of_tokens(self, table: str, tokens: list[str]) -> DataFrame:
+        wanted = sorted(set(tokens)) or [""]
+        return self._read(table, self._buckets_of_keys([(t,) for t in wanted], "token string")).where(F.col("token").isin(*wanted))
 
     def postings(self, tokens: list[str]) -> DataFrame:
         """Postings of some tokens: other buckets' folders are pruned, and the token test reaches the scan."""
-        found = self.spark.createDataFrame([(t,) for t in tokens], "t string").select(_bucket(F.col("t"), self.buckets).alias("b")).distinct().collect()  # a row per token asked for
-        # with its schema given, as an index of no tokens has no file to read it from
-        kinds = {f.name: f.dataType.simpleString() for f in self.chunks.schema}
-        schema = f"token string, source {kinds['source']}, chunk_id {kinds['chunk_id']}, positions array<int>, bucket int"
-        rows = self.spark.read.schema(schema).parquet(f"{self.path}/postings-{self.buckets}")
-        return rows.where(F.col("bucket").isin([r["b"] for r in found]) & F.col("token").isin(*tokens)).drop("bucket")
+        return self._live(self._of_tokens("postings", tokens))
+
+    def vocabulary(self) -> DataFrame:
+        """token, doc, cnt of all tokens, from kept counts."""
+        rows = self._read("totals").groupBy("token").agg(F.sum("docs").alias("doc"), F.sum("uses").alias("cnt"))
+        return rows.where("doc > 0")
+
+    def totals(self, tokens: list[str]) -> DataFrame:
+        """token, source, docs, uses: true counts, from no posting."""
+        return self._of_tokens("totals", tokens).groupBy("token", "source").agg(F.sum("docs").alias("docs"), F.sum("uses").alias("uses")).where("docs > 0")
+
+    def _phrase(self, rows: DataFrame, tokens: list[str], docs: dict[str, int]) -> DataFrame:
+        """chunk_id, source of chunks whose postings have tokens in a row: the rarest token says which postings of the others count."""
+        distinct = sorted(set(tokens), key=lambda t: (docs.get(t, 0), t))
+        if len(tokens) == 1:
+            return rows.select("chunk_id", "source")
+        rare = rows.where(F.col("token") == distinct[0])
+        near = rare.select("chunk_id")
+        near = F.broadcast(near) if docs.get(distinct[0], 0) <= MOST_SENT else near
+        rest = rows.where(F.col("token") != distinct[0]).join(near, "chunk_id", "left_semi") if len(distinct) > 1 else rare.limit(0)
+        held = _by_chunk(rare.unionByName(rest)).where(F.size("held") == len(distinct))
+        return held.withColumn("wanted", F.array(*map(F.lit, tokens))).where(_next_to("held", "wanted")).select("chunk_id", "source")
+
+    def _docs(self, tokens: list[str]) -> dict[str, int]:
+        return {r["token"]: r["docs"] for r in self.totals(tokens).groupBy("token").agg(F.sum("docs").alias("docs")).collect()}  # a row per token
 
     def hits(self, term: str) -> DataFrame:
         """chunk_id, source of chunks that have the term's tokens next to each other; none for a term without tokens."""
         tokens = self.tokens_of(term)
-        rows = self.postings(sorted(set(tokens)) or [""])
-        if len(tokens) < 2:
-            return rows.where(F.lit(bool(tokens))).select("chunk_id", "source")
-        return _adjacent(rows, tokens).select("chunk_id", "source")
+        docs = self._docs(tokens)
+        if not tokens or len(docs) < len(set(tokens)):
+            return self.postings([""]).select("chunk_id", "source").limit(0)
+        return self._phrase(self.postings(tokens), tokens, docs)
 
     def search(self, term: str, limit: int = 20, snippet_tokens: int = 64) -> DataFrame:
-        """Like operators.search.search, with texts fetched for the hits that are shown."""
-        n = self.chunks.select("source").distinct().count()
-        shown = S.sample_per_source(self.hits(term), max(2, math.ceil(limit / n)) if n else 2).orderBy("nth", "chunk_id").limit(limit)
-        rows = self.chunks.join(F.broadcast(shown.select("chunk_id", "nth")), "chunk_id").orderBy("nth", "chunk_id")  # limit rows
-        return rows.withColumns({"rank": F.lit(0.0), "snippet": X.snippet(F.col("text"), snippet_tokens)})
+        """Like operators.search.search. Sources are counted in their kept table, and texts are read for the hits that are shown only."""
+        n = self.state.n_sources
+        shown = S.sample_per_source(self.hits(term), max(2, math.ceil(limit / n)) if n else 2).orderBy("nth", "chunk_id").limit(limit).select("chunk_id", "nth").collect()  # limit rows
+        rows = self.rows_of([r["chunk_id"] for r in shown])
+        order = F.create_map(*(F.lit(x) for r in shown for x in (r["chunk_id"], r["nth"])))[F.col("chunk_id")] if shown else F.lit(0)
+        return rows.withColumns({"nth": order, "rank": F.lit(0.0), "snippet": X.snippet(F.col("text"), snippet_tokens)}).orderBy("nth", "chunk_id")
+
+    def context(self, ids: list, before: int = 2, after: int = 2) -> DataFrame:
+        """operators.search.context of a bounded list of chunks: their articles' places say which other rows are read."""
+        hits = self.rows_of(ids)
+        keys = hits.select(*ARTICLE, F.greatest(F.lit(0), F.col("chunk_index") - before).alias("low"), (F.col("chunk_index") + after).alias("high"))
+        places = self._live(self._read("places", self._buckets_of(hits, *ARTICLE)))
+        near = (F.col("p.source") == F.col("k.source")) & (F.col("p.source_article_id") == F.col("k.source_article_id")) & F.col("chunk_index").between(F.col("low"), F.col("high"))
+        found = [r["chunk_id"] for r in places.alias("p").join(F.broadcast(keys).alias("k"), near, "left_semi").select("chunk_id").collect()]  # before + after + 1 a hit
+        return S.context(self.rows_of(found), hits, before, after)
+
+    def article(self, source: str, article: str) -> DataFrame:
+        """The chunks of one article, by its place."""
+        places = self._live(self._read("places", self._buckets_of_keys([(source, article)], "source string, source_article_id string"))).where((F.col("source") == source) & (F.col("source_article_id") == article))
+        return self.rows_of([r["chunk_id"] for r in places.select("chunk_id").collect()]).orderBy("chunk_index")  # one article
+
+    def count_by_source(self, term: str, cap_per_source: int = 1000) -> DataFrame:
+        """source, hits (capped), most first.
+
+        Of one token the counts are kept, and no posting is read. Of a phrase, slices of the chunks are read, more at each
+        step, for those sources only that are neither at the cap nor can have any more by what their rarest token allows.
+        """
+        tokens = self.tokens_of(term)
+        kept = self.totals(tokens).where(F.lit(bool(tokens)))
+        if len(tokens) < 2:
+            return kept.select("source", F.least("docs", F.lit(cap_per_source).cast("long")).alias("hits")).orderBy(F.desc("hits"), "source")
+        counts = self._grow(tokens, lambda found: {s for s, n in found.items() if n >= cap_per_source})
+        kind = self._chunk_schema()["source"].dataType.simpleString()
+        rows = [(s, min(n, cap_per_source)) for s, n in counts.items() if n]
+        return self.spark.createDataFrame(rows, f"source {kind}, hits long").orderBy(F.desc("hits"), "source")
+
+    def count_hits(self, term: str, cap: int = 10_000) -> int:
+        """Hits of a term, at most cap; slices are read until there are as many."""
+        tokens = self.tokens_of(term)
+        if len(tokens) < 2:
+            return min(cap, self._docs(tokens).get(tokens[0], 0)) if tokens else 0
+        return min(cap, sum(self._grow(tokens, lambda found: set(found) if sum(found.values()) >= cap else set()).values()))
+
+    def _grow(self, tokens: list[str], full) -> dict:
+        """Hits of each source, counted slice by slice; sources that full(hits) names are left out from then on."""
+        totals = self.totals(tokens)
+        most = totals.groupBy("source").agg(F.min("docs").alias("most"), F.count(F.lit(1)).alias("held")).where(F.col("held") == len(set(tokens)))
+        found = {r["source"]: 0 for r in most.select("source").collect()}  # a row per source
+        docs, low = self._docs(tokens), 0
+        step = max(1, SLICES * STEP_ROWS // max(1, sum(docs.values())))
+        while low < SLICES:
+            open_ = sorted((s for s in found if s not in full(found)), key=lambda s: (s is None, s))
+            if not open_:
+                break
+            rows = self._of_tokens("postings", tokens).where(F.col("slice").between(low, min(SLICES, low + step) - 1))
+            if len(open_) < len(found):
+                rows = rows.where(F.col("source").isin(*(s for s in open_ if s is not None)) | (F.col("source").isNull() & F.lit(None in open_)))
+            for r in self._phrase(self._live(rows), tokens, docs).groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect():
+                found[r["source"]] = found.get(r["source"], 0) + r["n"]
+            low, step = low + step, 3 * step
+        return found
+
+    def ranked(self, terms: list[str], limit: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+        """chunk_id, score of operators.corpus.ranked. Levels that can't hold one of the best are left out.
+
+        A first look at the levels of greatest weight gives a score that limit chunks reach. A chunk that isn't under it has each
+        term in a level whose bound, with the most that the other terms can add, reaches it; the second look reads those.
+        """
+        wanted = [t.lower() for t in dict.fromkeys(terms)]
+        docs, n = self._docs(wanted), self.state.n
+        empty = self.postings([""]).select("chunk_id", F.lit(0.0).alias("score")).limit(0)
+        if not wanted or any(t not in docs for t in wanted):
+            return empty
+        mean = self.state.size / n
+        idf = {t: math.log(1 + (n - docs[t] + 0.5) / (docs[t] + 0.5)) for t in wanted}
+        levels: dict[str, list] = {t: [] for t in wanted}
+        for r in self._of_tokens("levels", wanted).groupBy("token", "level").agg(F.sum("n").alias("n"), F.max("most").alias("most"), F.min("least").alias("least")).collect():  # LEVELS rows a term
+            bound = idf[r["token"]] * r["most"] * (k1 + 1) / (r["most"] + k1 * (1 - b + b * r["least"] / mean))
+            levels[r["token"]].append((bound, r["level"], r["n"]))
+        best = {t: max(x)[0] for t, x in levels.items()}
+
+        def scored(read: dict[str, set]) -> DataFrame:
+            test = F.lit(False)
+            for t in wanted:
+                test |= (F.col("token") == t) & F.col("level").isin(*sorted(read[t]))
+            rows = self._live(self._of_tokens("postings", wanted).where(F.col("level").isin(*sorted(set().union(*read.values()))) & test))
+            tf = [F.max(F.when(F.col("token") == t, F.size("positions"))).alias(f"tf{i}") for i, t in enumerate(wanted)]
+            rows = rows.groupBy("chunk_id").agg(F.max("size").alias("size"), *tf).dropna(subset=[f"tf{i}" for i in range(len(wanted))])
+            score = F.lit(0.0)
+            for i, t in enumerate(wanted):
+                tf, df = F.col(f"tf{i}"), F.lit(docs[t])
+                score += F.log(1 + (F.lit(n) - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("size") / F.lit(mean)))
+            return rows.select("chunk_id", score.alias("score")).orderBy(F.desc("score"), "chunk_id").limit(limit)
+
+        every = {t: {x[1] for x in levels[t]} for t in wanted}
+        seed, read = SEED_ROWS * limit, {}
+        while read != every:
+            read = {}
+            for t in wanted:
+                read[t], met = set(), 0
+                for _, level, count in sorted(levels[t], reverse=True):
+                    if met < seed:
+                        read[t].add(level)
+                        met += count
+            top = scored(read).collect()  # limit rows
+            if len(top) == limit or read == every:
+                break
+            seed *= 8
+        if read == every:
+            return self.spark.createDataFrame(top, "chunk_id " + self._chunk_schema()["chunk_id"].dataType.simpleString() + ", score double").orderBy(F.desc("score"), "chunk_id") if top else empty
+        reach = top[-1]["score"] - 1e-9
+        need = {t: {level for bound, level, _ in levels[t] if bound + sum(x for u, x in best.items() if u != t) >= reach} for t in wanted}
+        return scored({t: need[t] | read[t] for t in wanted})
 
     def count_terms_by_source(self, terms: list[str], cap_per_source: int = 1000) -> DataFrame:
-        """term, source, hits (capped): all terms from one scan of their tokens' postings."""
+        """term, source, hits (capped): terms of one token from kept counts, all others from one scan of their tokens' postings."""
         known = [t for t in dict.fromkeys(terms) if t.strip()]
-        listed = self.spark.createDataFrame([(t,) for t in known], "term string").select("term", X.tokens(F.col("term")).alias("wanted")).where(F.size("wanted") > 0)
-        tokens = sorted({t for r in listed.collect() for t in r["wanted"]})  # those of the terms asked for
-        held = _by_chunk(self.postings(tokens or [""]))
+        listed = self.spark.createDataFrame([(t,) for t in known], "term string").select("term", X.tokens(F.col("term")).alias("wanted")).where(F.size("wanted") > 0).collect()  # the terms asked for
+        single = [(r["term"], r["wanted"][0]) for r in listed if len(r["wanted"]) == 1]
+        several = [(r["term"], r["wanted"]) for r in listed if len(r["wanted"]) > 1]
+        counts = self.totals([t for _, t in single]).select("token", "source", F.col("docs").alias("hits"))
+        counts = counts.join(F.broadcast(self.spark.createDataFrame(single, "term string, token string")), "token").select("term", "source", "hits")
+        held = _by_chunk(self.postings(sorted({t for _, w in several for t in w})))
         # chunks meet the few terms through their first token, an equi-join
         first = held.select("chunk_id", "source", "held", F.explode(F.map_keys("held")).alias("token"))
-        rows = first.join(F.broadcast(listed.withColumn("token", F.col("wanted")[0])), "token").where(_next_to("held", "wanted"))
-        return rows.groupBy("term", "source").agg(F.least(F.count(F.lit(1)), F.lit(cap_per_source)).alias("hits"))
+        rows = first.join(F.broadcast(self.spark.createDataFrame(several, "term string, wanted array<string>").withColumn("token", F.col("wanted")[0])), "token").where(_next_to("held", "wanted"))
+        counts = counts.unionByName(rows.groupBy("term", "source").agg(F.count(F.lit(1)).alias("hits")))
+        return counts.select("term", "source", F.least("hits", F.lit(cap_per_source).cast("long")).alias("hits"))
 
 
 def _by_chunk(postings: DataFrame) -> DataFrame:
@@ -102,7 +551,16 @@ def _next_to(held: str, wanted: str) -> Column:
     return F.size(F.aggregate(places, F.element_at(places, 1), lambda a, b: F.array_intersect(a, b))) > 0
 
 
-def _adjacent(postings: DataFrame, tokens: list[str]) -> DataFrame:
-    distinct = len(set(tokens))
-    rows = _by_chunk(postings).where(F.size("held") == distinct)
-    return rows.withColumn("wanted", F.array(*map(F.lit, tokens))).where(_next_to("held", "wanted"))
+def follow(stream: DataFrame, path: str, checkpoint: str, deleted_col: str = "deleted"):
+    """Apply a stream of changes to the index at a path, then stop: rows of chunks, and the ids of those marked as deleted.
+
+    A batch that is run again has its number, so it changes nothing twice.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        index = open_index(batch.sparkSession, path)
+        names = [f.name for f in index._chunk_schema()]
+        gone = F.coalesce(F.col(deleted_col), F.lit(False))
+        index.apply(number + 1, batch.where(~gone).select(*names), batch.where(gone).select("chunk_id"))  # the build is batch 0
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -132,14 +132,22 @@ def batch_terms_by_source(spark, sf_dir):
 
 
 #: Indexes of this application, by input and session: built once, then read by all queries.
-_INDEXES: dict[tuple[str, str], I.Index] = {}
+_INDEXES: dict[tuple[str, ...], I.Index] = {}
 
 
-def _index(spark, sf_dir) -> I.Index:
+def _index(spark, sf_dir, merged: bool = False) -> I.Index:
+    """The index of all documents, which they reach in batches: a third of them first with other texts and sources, among rows that go again."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _INDEXES:
-        _INDEXES[key] = I.build(_chunks(spark, sf_dir), f"{Scratch(spark).root}/index", buckets=16)
-    return _INDEXES[key]
+        docs, third, even = _chunks(spark, sf_dir), F.col("chunk_id") % 3 == 0, F.col("chunk_id") % 2 == 0
+        stale = docs.where(third).withColumns({"text": F.concat(F.lit("and the old and the "), F.reverse("text")), "source": F.concat(F.lit("old "), "source")})
+        extra = docs.where(~even).withColumns({"chunk_id": F.col("chunk_id") + 1_000_000_000, "source_article_id": F.lit("extra")})
+        index = I.build(stale.unionByName(docs.where(even & ~third)).unionByName(extra), f"{Scratch(spark).root}/index", buckets=16)
+        index = index.apply(1, docs.where(~even & ~third)).apply(2, docs.where(third)).apply(3, deletes=extra.select("chunk_id"))
+        _INDEXES[key] = index.apply(2, stale)  # a batch that comes again
+    if merged and key + ("merged",) not in _INDEXES:
+        _INDEXES[key + ("merged",)] = _INDEXES[key].merge()
+    return _INDEXES[key + ("merged",) if merged else key]
 
 
 @query(f"SELECT doc_id AS chunk_id, source FROM documents WHERE {HIT}")
@@ -171,6 +179,32 @@ def indexed_terms_by_source(spark, sf_dir):
     return _index(spark, sf_dir).count_terms_by_source(BATCH, 20)
 
 
+@query(f"SELECT source, least(count(*), 10) AS hits FROM documents WHERE {HIT} GROUP BY source")
+def indexed_phrase_counts(spark, sf_dir):
+    return _index(spark, sf_dir).count_by_source(PHRASE, 10)
+
+
+@query(f"SELECT source, least(count(*), 1000) AS hits FROM documents WHERE contains({LINE}, ' the ') GROUP BY source")
+def indexed_token_counts(spark, sf_dir):
+    return _index(spark, sf_dir).count_by_source("the", 1000)
+
+
+@query("SELECT source, count(*) AS chunk_count, count(DISTINCT doc_id) AS article_count, min(doc_id) AS min_chunk_id, max(doc_id) AS max_chunk_id FROM documents GROUP BY source")
+def indexed_sources(spark, sf_dir):
+    return _index(spark, sf_dir).sources
+
+
+@query(r"WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS token FROM documents) SELECT token, count(DISTINCT doc_id) AS doc, count(*) AS cnt FROM t GROUP BY token")
+def indexed_vocabulary(spark, sf_dir):
+    return _index(spark, sf_dir, merged=True).vocabulary()
+
+
+@query(f"SELECT doc_id AS chunk_id, source, source_article_id, title, chunk_index, text, char_count FROM (SELECT doc_id, source, doc_id::VARCHAR AS source_article_id, 'doc ' || doc_id AS title, 0 AS chunk_index, text, length(text) AS char_count FROM documents WHERE {HIT} ORDER BY doc_id LIMIT 50)")
+def indexed_rows(spark, sf_dir):
+    index = _index(spark, sf_dir, merged=True)
+    return index.rows_of([r["chunk_id"] for r in index.hits(PHRASE).orderBy("chunk_id").limit(50).collect()])
+
+
 @query(f"SELECT source, doc_id, nth FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS nth FROM documents WHERE {HIT}) WHERE nth <= 2")
 def sample_per_source(spark, sf_dir):
     return S.sample_per_source(S.phrase_hits(_chunks(spark, sf_dir), PHRASE), 2).select("source", F.col("chunk_id").alias("doc_id"), "nth")
@@ -201,6 +235,18 @@ def context_window(spark, sf_dir):
     return S.context(turns, S.phrase_hits(turns, "the"), 1, 2).select("chunk_id", "hit_text", "context", "chunk_count", "hit_index")
 
 
+@query(
+    """WITH h AS (SELECT * FROM conversations WHERE contains(' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ' ') || ' ', ' the ') ORDER BY conv_id, turn LIMIT 100)
+SELECT h.conv_id * 1000 + h.turn AS chunk_id, h.text AS hit_text, string_agg(c.text, chr(10) ORDER BY c.turn) AS context, count(*) AS chunk_count, count(*) FILTER (c.turn < h.turn) AS hit_index
+FROM h JOIN conversations c ON h.conv_id = c.conv_id AND c.turn BETWEEN h.turn - 1 AND h.turn + 2 GROUP BY h.conv_id, h.turn, h.text"""
+)
+def indexed_context(spark, sf_dir):
+    """Context of the first hundred hits, read by key."""
+    index = I.build(_turns(spark, sf_dir), f"{Scratch(spark).root}/turns", buckets=8)
+    shown = index.hits("the").orderBy("chunk_id").limit(100).collect()
+    return index.context([r["chunk_id"] for r in shown], 1, 2).select("chunk_id", "hit_text", "context", "chunk_count", "hit_index")
+
+
 @query("SELECT conv_id::VARCHAR AS source_article_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
 def full_article(spark, sf_dir):
     return C.full_article(_turns(spark, sf_dir)).select("source_article_id", "text")
@@ -256,6 +302,17 @@ def ranked_search(spark, sf_dir):
     return C.ranked(_chunks(spark, sf_dir), ["worthless", "the"]).withColumn("score", F.round("score", 6))
 
 
+@query(
+    r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS token FROM documents),
+z AS (SELECT doc_id, count(*) AS size FROM t GROUP BY doc_id), n AS (SELECT count(*) AS n, avg(size) AS mean FROM z),
+h AS (SELECT doc_id, token, count(*) AS tf FROM t WHERE token IN ('worthless', 'the') GROUP BY ALL), d AS (SELECT token, count(*) AS df FROM h GROUP BY token)
+SELECT doc_id AS chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score
+FROM h JOIN d USING (token) JOIN z USING (doc_id), n GROUP BY doc_id HAVING count(*) = 2 ORDER BY score DESC, doc_id LIMIT 20"""
+)
+def indexed_ranked_search(spark, sf_dir):
+    return _index(spark, sf_dir, merged=True).ranked(["worthless", "the"]).withColumn("score", F.round("score", 6))
+
+
 @query("SELECT sha256(text) AS content_hash, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
 def content_dups(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", X.content_hash(F.col("text")).alias("content_hash"))

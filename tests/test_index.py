@@ -39,3 +39,106 @@ def test_row_counts_equal_postings(spark):
     for terms in (["a"], ["a", "the"], ["absent"]):
         found = [tuple(r) for r in C.ranked(docs, terms).withColumn("score", F.round("score", 9)).collect()]
         assert found == [tuple(r) for r in C.bm25(C.postings(docs), terms).withColumn("score", F.round("score", 9)).collect()]
+
+
+def turned(spark):
+    """Chunks of several to an article."""
+    random = np.random.default_rng(4)
+    words = "a b c aa 银 行 the x1 rare".split()
+    data = [(i, f"s{i // 50}", str(i // 4), f"t{i}", i % 4, " ".join(random.choice(words, int(random.integers(1, 20)), p=[0.3, 0.2, 0.1, 0.1, 0.05, 0.05, 0.15, 0.04, 0.01]))) for i in range(400)]
+    return spark.createDataFrame(data, "chunk_id long, source string, source_article_id string, title string, chunk_index int, text string")
+
+
+def files(index):
+    out = {}
+    for table in I.TABLES:
+        for bucket, segments in index.state.segments[table].items():
+            out[table, bucket] = {f"{s}/{n}" for s in segments for n in I._Files(index.spark, index.path).names(f"{table}/bucket={bucket}/segment={s}")}
+    return out
+
+
+def same(index, final, terms=("the a", "银行", "new words", "a absent"), ranked=True):
+    assert rows(index.chunks) == rows(final.select(index.chunks.columns))
+    for term in terms:
+        want = rows(S.phrase_hits(final, term).select("chunk_id", "source"))
+        assert rows(index.hits(term)) == want, term
+        assert index.count_hits(term, 7) == min(7, len(want)) and index.count_hits(term) == len(want)
+        assert rows(index.count_by_source(term, 5)) == rows(S.count_by_source(S.phrase_hits(final, term), 5))
+    assert rows(index.vocabulary()) == rows(C.vocabulary_of(final))
+    want = final.groupBy("source").agg(F.count(F.lit(1)).alias("c"), F.count_distinct("source_article_id").alias("a"), F.min("chunk_id"), F.max("chunk_id"))
+    assert rows(index.sources.select("source", "chunk_count", "article_count", "min_chunk_id", "max_chunk_id")) == rows(want)
+    for terms in (["a"], ["rare", "the", "a"]) if ranked else ():
+        got = [tuple(r) for r in index.ranked(terms, 6).withColumn("score", F.round("score", 9)).collect()]
+        assert got == [tuple(r) for r in C.ranked(final, terms, limit=6).withColumn("score", F.round("score", 9)).collect()], terms
+
+
+def test_batches_of_changes(spark, tmp_path):
+    docs = turned(spark).persist()
+    names = docs.columns
+    index = I.build(docs.where("chunk_id < 300"), str(tmp_path / "index"), buckets=64)
+    moved = docs.where("chunk_id in (7, 120, 299)").withColumn("text", F.lit("new words a")).withColumn("source", F.lit("s9"))
+    index = index.apply(1, docs.where("chunk_id >= 300"))
+    index = index.apply(2, moved, docs.where("chunk_id in (0, 399, 60) or source_article_id = '30'").select("chunk_id"))
+    final = docs.where("chunk_id not in (0, 399, 60, 7, 120, 299) and source_article_id <> '30'").unionByName(moved.where("source_article_id <> '30'").select(names)).persist()
+    kept = files(index)
+    same(index, final)
+    assert index.apply(2, docs) is index  # a batch that comes again
+    assert I.open_index(spark, index.path).state == index.state
+    merged = index.merge()
+    assert rows(merged.chunks) == rows(final.select(merged.chunks.columns)) and rows(merged.vocabulary()) == rows(C.vocabulary_of(final))
+    now = files(merged)
+    touched = {k for k in kept if now.get(k) != kept[k]}
+    for table, bucket in touched:
+        assert len(index.state.segments[table][bucket]) > 1 or int(bucket) in index.state.dirty[table]
+    assert any(t == "chunks" for t, _ in kept.keys() - touched) and any(t == "postings" for t, _ in touched)
+    merged.vacuum()
+    same(merged, final, ("new words",), False)
+    one = merged.apply(3, deletes=docs.select("chunk_id"))
+    assert one.chunks.count() == 0 and one.hits("a").count() == 0 and one.sources.count() == 0 and one.state.n == 0 == one.state.size
+    again = one.apply(4, docs.where("chunk_id < 5")).merge()
+    assert rows(again.chunks) == rows(docs.where("chunk_id < 5"))
+
+
+def test_context_and_rows_are_read_by_key(spark, tmp_path):
+    docs = turned(spark)
+    index = I.build(docs, str(tmp_path / "index"), buckets=32)
+    ids = [3, 17, 250]
+    assert rows(index.context(ids, 1, 2)) == rows(S.context(docs, docs.where(F.col("chunk_id").isin(ids)), 1, 2))
+    assert [r["chunk_id"] for r in index.article("s1", "13").collect()] == [52, 53, 54, 55]
+    plan = index.rows_of(ids)._jdf.queryExecution().executedPlan().toString()
+    assert "In(chunk_id, [17,250,3])" in plan or "In(chunk_id, [3,17,250])" in plan
+    assert "bucket" in plan.split("PartitionFilters")[1] and len(index.rows_of(ids).inputFiles()) <= 3
+
+
+def test_searches_read_a_part(spark, tmp_path, monkeypatch):
+    docs = spark.range(20_000).select(F.col("id").alias("chunk_id"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"), F.col("id").cast("string").alias("source_article_id"), F.lit("t").alias("title"), F.lit(0).alias("chunk_index"),
+        F.when(F.col("id") % 50 == 0, "the the the rare").otherwise(F.concat(F.lit("the cat "), F.repeat(F.lit("x "), (F.col("id") % 40).cast("int")))).alias("text"))
+    monkeypatch.setattr(I, "STEP_ROWS", 600)
+    index = I.build(docs, str(tmp_path / "index"), buckets=4)
+    read = []
+    phrase, tokens = I.Index._phrase, I.Index._of_tokens
+    monkeypatch.setattr(I.Index, "_phrase", lambda self, rows, *a: read.append(rows.count()) or phrase(self, rows, *a))
+    assert {r["hits"] for r in index.count_by_source("the cat", 50).collect()} == {50}
+    assert sum(read) < 0.2 * 2 * 20_000  # a part of the slices
+    read.clear()
+    tables = []
+    monkeypatch.setattr(I.Index, "_of_tokens", lambda self, table, t: tables.append(table) or tokens(self, table, t))
+    assert sorted(tuple(r) for r in index.count_by_source("cat", 10**6).collect()) == sorted((r["source"], r["n"]) for r in docs.where("chunk_id % 50 <> 0").groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect())
+    assert not read and set(tables) == {"totals"}
+    best = index.ranked(["the"], 5)
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    levels = {r["level"]: r["n"] for r in index._of_tokens("levels", ["the"]).groupBy("level").agg(F.sum("n").alias("n")).collect()}
+    assert [r["chunk_id"] for r in best.collect()] == [0, 50, 100, 150, 200] and len(levels) > 1 and "level" in plan
+    wanted = max(levels)
+    assert f"(level#" in plan and levels[wanted] < 0.1 * sum(levels.values()) and index.postings(["the"]).where(F.col("level") == wanted).count() == 400
+
+
+def test_stream_of_changes(spark, tmp_path):
+    docs = turned(spark).where("chunk_id < 40")
+    index = I.build(docs.where("chunk_id < 20"), str(tmp_path / "index"), buckets=8)
+    changes = docs.where("chunk_id >= 20").withColumn("deleted", F.lit(False)).unionByName(docs.where("chunk_id < 4").withColumn("deleted", F.lit(True)))
+    changes.coalesce(1).write.json(str(tmp_path / "in"))
+    stream = spark.readStream.schema(changes.schema).json(str(tmp_path / "in"))
+    I.follow(stream, index.path, str(tmp_path / "checkpoint")).awaitTermination()
+    now = I.open_index(spark, index.path)
+    assert rows(now.chunks) == rows(docs.where("chunk_id >= 4")) and now.state.last_batch == 1
