@@ -19,6 +19,7 @@ from quern.operators import index as I
 from quern.operators import lexicon as L
 from quern.operators import report as R
 from quern.operators import search as S
+from quern.operators import tables as B
 from quern.sources.scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -481,6 +482,39 @@ def upsert_first_wins(spark, sf_dir):
     return L.first_wins(rows, ["user_id", "event_type"], "event_id")
 
 
+def _thirds(rows: DataFrame, order: str) -> list[DataFrame]:
+    """Rows in three batches, in order."""
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    cuts = [low + (high - low + 1) * k // 3 for k in range(4)]
+    return [rows.where((F.col(order) >= a) & (F.col(order) < b)).withColumn("arrival", F.col(order)) for a, b in zip(cuts, cuts[1:])]
+
+
+def _merged(spark, sf_dir, rule) -> B.StoredTable:
+    """Events in a stored table, a row per user and type, after three batches of which the second comes twice."""
+    rows = _table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
+    table = B.create(spark, f"{Scratch(spark).root}/events", rows.schema, ["user_id", "event_type"], buckets=8)
+    parts = _thirds(rows, "event_id")
+    return table.merge(0, parts[0], rule).merge(1, parts[1], rule).merge(1, parts[1], rule).merge(2, parts[2], rule)
+
+
+@query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1")
+def stored_last_wins(spark, sf_dir):
+    return _merged(spark, sf_dir, B.keep_last(["user_id", "event_type"])).rows
+
+
+@query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS rn FROM events) WHERE rn = 1")
+def stored_first_wins(spark, sf_dir):
+    return _merged(spark, sf_dir, B.keep_first(["user_id", "event_type"])).rows
+
+
+@query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1 AND value >= 50 AND user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def stored_deletions(spark, sf_dir):
+    """Rows deleted by a condition, then by keys of another table."""
+    table = _merged(spark, sf_dir, B.keep_last(["user_id", "event_type"])).delete(3, F.col("value") < 50)
+    poor = _table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("user_id"))
+    return table.delete_keys(4, table.rows.join(poor, "user_id", "left_semi")).rows
+
+
 @query("SELECT user_id, event_type, n FROM (SELECT user_id, event_type, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, min(event_id)) AS rn FROM events GROUP BY user_id, event_type) WHERE rn = 1")
 def mode_reading(spark, sf_dir):
     from quern.operators.dialects import most_common
