@@ -128,12 +128,13 @@ def full_article(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("source", "source_article_id").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("text"))
 
 
-def group_lines(lines: DataFrame, size: int = 5, order: str = "line_no", by: tuple[str, ...] = ()) -> DataFrame:
+def group_lines(lines: DataFrame, size: int = 5, order: str = "line_no", by: tuple[str, ...] = (), numbered: bool = False) -> DataFrame:
     """Groups of size consecutive lines, the last one shorter: by, group_no, text, title (first 50 characters of the first).
 
-    Numbering within by needs its lines together; without by, all lines.
+    Numbering within by needs its lines together; without by, all lines. With numbered, order counts from 0 within by
+    already, and only the lines of a group come together.
     """
-    numbered = lines.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1)
-    grouped = numbered.groupBy(*by, F.floor(F.col("n") / size).alias("group_no")).agg(F.sort_array(F.collect_list(F.struct("n", "text"))).alias("x"))
+    nth = F.col(order) if numbered else F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1
+    grouped = lines.withColumn("n", nth).groupBy(*by, F.floor(F.col("n") / size).alias("group_no")).agg(F.sort_array(F.collect_list(F.struct("n", "text"))).alias("x"))
     texts = F.transform("x", lambda x: x["text"])
     return grouped.select(*by, "group_no", F.array_join(texts, "\n").alias("text"), F.substring(texts[0], 1, 50).alias("title"))

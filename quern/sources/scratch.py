@@ -29,6 +29,11 @@ class Scratch:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
         return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), path
 
+    def table(self, rows: DataFrame, name: str) -> DataFrame:
+        """Rows written here and read again."""
+        rows.write.parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(rows.schema).parquet(f"{self.root}/{name}")
+
     def lines(self, rows: DataFrame, line: Column, folder: str, prefix: str = "part", suffix: str = ".txt", head: str | None = None) -> str:
         """Write a line per row and give the files names that readers look for. head: first line of a single file."""
         raw = f"{self.root}/raw-{uuid.uuid4().hex}"

@@ -1,6 +1,6 @@
 """Readers of text collections. Each gives articles: source_article_id, title, text; blank texts are dropped.
 
-Readers that number lines do so within a file, by the file's whole text, so files must fit an executor.
+Readers of lines number them over the splits of a file. Readers of files that are one value each take them whole.
 """
 
 from __future__ import annotations
@@ -9,8 +9,9 @@ import io
 import re
 import zipfile
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as X
@@ -34,10 +35,56 @@ def _stem(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
 
 
-def _lines(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """path, line_no (from 0, blank ones counted), value of the lines of files."""
-    rows = _whole(spark, path, pattern)
-    return rows.select("path", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("line_no", "value"))
+def _path(base: str) -> Column:
+    """A file's path below a base, without escapes."""
+    return F.regexp_extract(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), re.escape("/" + base.split("://")[-1].strip("/")) + "/(.*)", 1)
+
+
+#: Splits of files whose first line numbers are worked out by the driver and sent to tasks; those of more are joined.
+MOST_SPLITS = 200_000
+
+
+def _lines(spark: SparkSession, path: str, pattern: str, keep: Column | None = None) -> DataFrame:
+    """path, line_no (from 0), value of the lines of files, blank ones counted; with keep, of those for which it is true of value, counted alone.
+
+    Files are read in splits, so none need fit a task: a first pass counts the lines of each split, sums of those before it
+    in its file say where its numbers begin, and the second numbers lines inside their split as they are read. Compressed
+    files are one split each. Files mustn't change in between. A file without lines gives none.
+    """
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("lineSep", "\n").text(path)
+    rows = rows.select(_path(path).alias("path"), F.col("_metadata.file_block_start").alias("split"), F.regexp_replace("value", r"\r\z", "").alias("value"))
+    rows = rows if keep is None else rows.where(keep)
+    counts = rows.groupBy("path", "split").agg(F.count(F.lit(1)).alias("n"))
+    few = counts.limit(MOST_SPLITS + 1).collect()  # a row per split, up to a bound
+    if len(few) > MOST_SPLITS:
+        before = F.sum("n").over(Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
+        begins = counts.select("path", "split", F.coalesce(before, F.lit(0)).alias("begin"))
+    else:
+        table, at = [], {}
+        for r in sorted(few):
+            table.append((r["path"], r["split"], at.get(r["path"], 0)))
+            at[r["path"]] = at.get(r["path"], 0) + r["n"]
+        begins = F.broadcast(spark.createDataFrame(table, "path string, split long, begin long"))
+
+    def number(batches):
+        last, n = None, 0
+        for batch in batches:
+            size = batch.num_rows
+            if not size:
+                continue
+            # a split's rows follow one another in one task
+            paths, splits = batch.column(0).dictionary_encode().indices.to_numpy(), batch.column(1).to_numpy()
+            new = np.concatenate([[True], (paths[1:] != paths[:-1]) | (splits[1:] != splits[:-1])])
+            start = np.flatnonzero(new)
+            nth = np.arange(size) - np.repeat(start, np.diff(np.append(start, size)))
+            if last == (batch.column(0)[0].as_py(), splits[0]):
+                first = start[1] if len(start) > 1 else size
+                nth[:first] += n
+            last, n = (batch.column(0)[size - 1].as_py(), splits[-1]), int(nth[-1]) + 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nth.astype(np.int64)), batch.column(2)], names=["path", "split", "nth", "value"])
+
+    found = rows.mapInArrow(number, "path string, split long, nth long, value string")
+    return found.join(begins, ["path", "split"]).select("path", (F.col("begin") + F.col("nth")).alias("line_no"), "value")
 
 
 def table_articles(table: DataFrame, source: str, limit: int = 0) -> DataFrame:
@@ -214,8 +261,8 @@ def subtitles(spark: SparkSession, path: str, group_size: int = 5, pattern: str
     """Groups of consecutive lines that aren't blank, within each file; the last one is shorter."""
     from quern.operators.corpus import group_lines
 
-    rows = _lines(spark, path, pattern).withColumn("text", X.strip(F.col("value"))).where("text <> ''")
-    grouped = group_lines(rows, group_size, "line_no", ("path",))
+    rows = _lines(spark, path, pattern, X.strip(F.col("value")) != "").withColumn("text", X.strip(F.col("value")))
+    grouped = group_lines(rows, group_size, "line_no", ("path",), numbered=True)
     return _articles(grouped, F.concat(_stem(F.col("path")), F.lit("/"), "group_no"), F.col("title"), F.col("text"))
 
 

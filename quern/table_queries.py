@@ -89,6 +89,20 @@ def read_subtitles(spark, sf_dir):
     return T.subtitles(spark, Scratch(spark).lines(rows, F.concat("n_name", F.lit("\n ")), "subs", "f"))
 
 
+@query("SELECT n // 5 AS group_no, string_agg(text, chr(10) ORDER BY n) AS text, substr(arg_min(text, n), 1, 50) AS title FROM (SELECT o_orderkey || ' ' || o_orderpriority AS text, row_number() OVER (ORDER BY o_orderkey) - 1 AS n FROM orders) GROUP BY n // 5")
+def read_split_lines(spark, sf_dir):
+    """Orders as the lines of one file, blank ones between, read in many splits and put into groups of five."""
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws(" ", "o_orderkey", "o_orderpriority").alias("line")).repartitionByRange(1, "o_orderkey").sortWithinPartitions("o_orderkey")
+    folder = Scratch(spark).lines(rows, F.concat("line", F.lit("\n \r")), "orders", "f")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(64 << 10))
+    try:
+        found = Scratch(spark).table(T.subtitles(spark, folder), "groups")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    return found.select(F.element_at(F.split("source_article_id", "/"), -1).cast("long").alias("group_no"), "text", "title")
+
+
 def _whole(spark, rows: DataFrame, value, folder: str, suffix: str = ".json") -> str:
     """One file that holds one value of all rows of a table whose size is fixed."""
     return Scratch(spark).lines(rows.agg(value.alias("v")), F.col("v"), folder, "f", suffix)

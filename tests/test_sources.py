@@ -196,3 +196,28 @@ def _sleep(parts):
 
     time.sleep(20)
     yield from parts
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path, monkeypatch):
+    from quern.sources import texts as T
+
+    folder = tmp_path / "lines"
+    (folder / "a b").mkdir(parents=True)
+    lines = {"one.txt": [f"line {i} " + "x" * (i % 90) for i in range(4000)], "a b/two+é.txt": ["", "only", "", "last"], "empty.txt": []}
+    for name, found in lines.items():
+        (folder / name).write_text("".join(x + ("\r\n" if i % 7 == 0 else "\n") for i, x in enumerate(found)), newline="")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+        for most in (200_000, 3):
+            monkeypatch.setattr(T, "MOST_SPLITS", most)
+            found = T._lines(spark, str(folder), "*.txt")
+            assert found.rdd.getNumPartitions() > 1
+            got = {(r["path"], r["line_no"]): r["value"] for r in found.collect()}
+            assert got == {(n, i): x for n, found in lines.items() for i, x in enumerate(found)}
+        kept = T._lines(spark, str(folder), "*.txt", F.col("value") != "").where("path like 'a b%'").collect()
+        assert sorted((r["line_no"], r["value"]) for r in kept) == [(0, "only"), (1, "last")]
+        groups = {r["source_article_id"]: r["text"] for r in T.subtitles(spark, str(folder), 1000).collect()}
+        assert sorted(groups) == ["one/0", "one/1", "one/2", "one/3", "two+é/0"] and groups["one/3"].split("\n")[-1] == lines["one.txt"][-1]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
