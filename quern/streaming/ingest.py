@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -32,12 +34,13 @@ KEY_PARTS = 64
 KEYS = ["source", "source_article_id"]
 
 
-def ingest(stream: DataFrame, chunks_path: str, checkpoint: str, min_chars: int = X.MIN_CHUNK_CHARS, ends: str = X.SENTENCE_ENDS) -> StreamingQuery:
+def ingest(stream: DataFrame, chunks_path: str, checkpoint: str, min_chars: int = X.MIN_CHUNK_CHARS, ends: str = X.SENTENCE_ENDS, report: Callable[[int, dict], None] | None = None) -> StreamingQuery:
     """Write chunks and postings of articles that aren't there yet, then stop; a further call goes on where this one ended.
 
     A batch writes below its own number and overwrites it, so a batch that is run again leaves nothing twice. Of articles
     with one key the first stays, within a batch and over batches. Which are known is read from a table of keys, a row per
-    article in parts by hash, not from the chunks.
+    article in parts by hash, not from the chunks. report is called after each batch with its number and what it wrote
+    (articles, chunks, characters), which are observed while it is written; a batch that is run again is reported again.
     """
 
     def write(batch: DataFrame, number: int) -> None:
@@ -49,12 +52,15 @@ def ingest(stream: DataFrame, chunks_path: str, checkpoint: str, min_chars: int
         known = _existing(spark, f"{chunks_path}/keys", keys.withColumn("batch", F.lit(0).cast("int")).schema).where((F.col("batch") != number) & F.col("part").isin(own))
         fresh = rows.join(known.select(*KEYS), KEYS, "left_anti").persist()
         chunks = C.chunk_articles(fresh, min_chars, ends).persist()
-        chunks.write.mode("overwrite").parquet(f"{chunks_path}/chunks/batch={number}")
+        wrote, keyed = Observation(), Observation()
+        chunks.observe(wrote, F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum("char_count"), F.lit(0)).alias("characters")).write.mode("overwrite").parquet(f"{chunks_path}/chunks/batch={number}")
         C.postings(chunks.withColumn("chunk", F.struct(*KEYS, "chunk_index")), "chunk").write.mode("overwrite").parquet(f"{chunks_path}/postings/batch={number}")
         # last, so that keys are known only when what they stand for is written
-        fresh.select(*KEYS, part).write.mode("overwrite").partitionBy("part").parquet(f"{chunks_path}/keys/batch={number}")
+        fresh.select(*KEYS, part).observe(keyed, F.count(F.lit(1)).alias("articles")).write.mode("overwrite").partitionBy("part").parquet(f"{chunks_path}/keys/batch={number}")
         chunks.unpersist()
         fresh.unpersist()
+        if report:
+            report(number, keyed.get | wrote.get)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -36,3 +36,16 @@ def test_windows(spark, tmp_path):
     assert spark.table("out_f").count() == 1
     assert I.windowed_counts(stream, "ts", ["k"], "1 hour", "30 minutes").isStreaming
     assert F.lit(1) is not None
+
+
+def test_progress_is_what_was_written(spark, tmp_path):
+    put(tmp_path / "in", "1.json", ("s", "1", "t", "第一句话。第二句话。"), ("s", "1", "t", "重复的文章。"))
+    put(tmp_path / "in", "2.json", ("s", "2", "t", "新的文章来了。"), ("s", "1", "t", "晚到的同一篇。"))
+    told = []
+    stream = I.article_stream(spark, str(tmp_path / "in"), files_per_trigger=1)
+    I.ingest(stream, str(tmp_path / "out"), str(tmp_path / "cp"), report=lambda n, x: told.append((n, x))).awaitTermination()
+    written = spark.read.parquet(str(tmp_path / "out" / "chunks"))
+    assert [n for n, _ in told] == [0, 1] and sum(x["articles"] for _, x in told) == 2
+    for number, x in told:
+        own = written.where(F.col("batch") == number)
+        assert (x["chunks"], x["characters"]) == tuple(own.agg(F.count(F.lit(1)), F.coalesce(F.sum("char_count"), F.lit(0))).first())
