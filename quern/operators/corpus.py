@@ -80,7 +80,7 @@ def vocabulary(index: DataFrame, id_col: str = "chunk_id") -> DataFrame:
 
 def vocabulary_of(chunks: DataFrame) -> DataFrame:
     """vocabulary of texts as they are read: a text's first occurrences are told inside the row, so tokens are shuffled once, combined before."""
-    ordered = chunks.select(F.array_sort(X.tokens(F.col("text"))).alias("t"))
+    ordered = chunks.select(F.sort_array(X.tokens(F.col("text"))).alias("t"))
     rows = ordered.select(F.explode(F.transform("t", lambda x, i: F.struct(x.alias("token"), ((i == 0) | (F.get("t", i - 1) != x)).alias("new")))).alias("x"))
     return rows.groupBy("x.token").agg(F.count_if("x.new").alias("doc"), F.count(F.lit(1)).alias("cnt"))
 
@@ -104,15 +104,19 @@ def bm25(index: DataFrame, terms: list[str], id_col: str = "chunk_id", k1: float
     return out.orderBy(F.desc("score"), id_col).limit(limit).drop("met")
 
 
+def _is(term: str):
+    return lambda x: x == term
+
+
 def ranked(chunks: DataFrame, terms: list[str], id_col: str = "chunk_id", k1: float = 1.2, b: float = 0.75, limit: int = 20) -> DataFrame:
     """bm25 of texts as they are read: terms are counted inside the row, and no token is shuffled.
 
     Two scans, one for a row of statistics and one for the scores; no job runs before the result is asked for.
     """
     wanted = [t.lower() for t in dict.fromkeys(terms)]
-    count = lambda term: F.size(F.filter("tokens", lambda x: x == term))
-    counts = [count(t).alias(f"tf{i}") for i, t in enumerate(wanted)]
-    rows = chunks.select(id_col, X.tokens(F.col("text")).alias("tokens")).select(id_col, F.size("tokens").alias("size"), *counts).where("size > 0")
+    # all figures of a text come from its tokens at once; filters on what explode gives aren't moved below it
+    figures = lambda tokens: F.struct(F.size(tokens).alias("size"), *(F.size(F.filter(tokens, _is(t))).alias(f"tf{i}") for i, t in enumerate(wanted)))
+    rows = chunks.select(id_col, F.explode(F.transform(F.array(X.tokens(F.col("text"))), figures)).alias("x")).select(id_col, "x.*").where("size > 0")
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))))
     rows = rows.where(F.forall(F.array(*(F.col(f"tf{i}") for i in range(len(wanted)))), lambda x: x > 0)).join(F.broadcast(stats))  # one row
     score = F.lit(0.0)
