@@ -347,23 +347,10 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent
     # what a head linked shares its root, or the root of that: enough to tell which texts needn't meet again
     near = lambda c, r: links.select(F.col("a").alias(c), F.col("b").alias(r))
     root = every.join(near("node", "up"), "node", "left").join(near("up", "top"), "up", "left").select("node", F.coalesce("top", "up", "node").alias("root"))
-    root = store.keep(root, "roots-0")
-
-    def roots(links, label):
-        joined = components(links, "a", "b", store, label)
-        return joined, every.join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-
-    # texts that the first head didn't link meet the last text of their buckets, then all of other components
-    of = lambda c: root.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    star = lambda c: stars.select(F.col("node").alias(c), F.col("head").alias(f"{c}_star"))
-    again = met.join(of("node"), "node").join(of("last"), "last").where("node_root <> last_root").select("node", "last").distinct()
-    # two of which one is the other's head have been compared
-    again = again.join(star("node"), "node", "left").join(star("last"), "last", "left").where("not (node_star <=> last or last_star <=> node)")
-    again = again.select("node", F.col("last").alias("head"))
-    more = store.keep(_compare(_star_units(_stars(again, nodes, F.max)), texts, width, percent), "links-1")
-    joined, root = roots(links.unionByName(more), "stars")
-    more = store.keep(_compare(_rest(met, root, stars, nodes), texts, width, percent), "links-2")
-    joined, root = roots(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "all")
+    root = store.keep(root, "roots")
+    more = store.keep(_compare(_rest(met, root, stars, nodes), texts, width, percent), "links-1")
+    joined = components(links.unionByName(more), "a", "b", store, "all")
+    root = every.join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     found = nodes.select("node", "name", "id").join(root, "node")
     least = found.groupBy("root").agg(F.min(F.struct("id", "name")).alias("first"))
     found = store.keep(found.join(least, "root").select("name", "first"), "found")
