@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -187,44 +188,89 @@ def wilcoxon(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return rows.withColumn("p", F.when(n == 0, 1.0).when(F.col("z").isNotNull(), two_sided))
 
 
-def bootstrap(values: np.ndarray, rounds: int, seed: int) -> np.ndarray:
-    """Sorted means of resamples."""
-    random = np.random.default_rng(seed)
-    return np.sort(np.array([values[random.integers(0, len(values), len(values))].mean() for _ in range(rounds)]))
+#: A part of a group's distinct values that one task resamples holds about so many of them.
+PART_VALUES = 2048
 
 
-def _order_statistics(means: np.ndarray, confidence: float) -> tuple[float, float]:
-    tail = (1 - confidence) / 2
-    return float(means[int(tail * len(means))]), float(means[min(len(means) - 1, int((1 - tail) * len(means)))])
+def _nodes(parts: DataFrame) -> DataFrame:
+    """g, part, path: the nodes (level, node, n) over each part, from the group down, with the rows below each."""
+    steps = parts.select("g", "part", "n", F.explode(F.sequence(F.lit(0), "levels")).alias("level"), "levels")
+    steps = steps.select("g", "part", "n", "level", F.expr("shiftright(part, levels - level)").alias("node"))
+    held = steps.groupBy("g", "level", "node").agg(F.sum("n").alias("below"))
+    path = F.sort_array(F.collect_list(F.struct("level", "node", "below")))  # as long as the tree is deep
+    return steps.join(held, ["g", "level", "node"]).groupBy("g", "part").agg(path.alias("path"))
 
 
-def paired_bootstrap(pairs: DataFrame, by: list[str], a: str = "a", b: str = "b", rounds: int = 10_000, seed: int = 42) -> DataFrame:
-    """by, n, mean_diff, p (two-sided), low, high (95 %) of paired differences b - a. Groups are evaluation sets, which fit a worker."""
+def resampled(rows: DataFrame, by: list[str], value: str, rounds: int, seed: int) -> DataFrame:
+    """by, n, mean, means: sorted means of as many resamples of a group as rounds says; null where it has no value.
 
-    def run(key, pdf):
-        d = (pdf[b] - pdf[a]).dropna().to_numpy(float)
-        if not len(d):
-            return pd.DataFrame([(*key, 0, None, None, None, None)], columns=names)
-        means = bootstrap(d, rounds, seed)
-        tail = (means <= 0).mean() if d.mean() >= 0 else (means >= 0).mean()
-        return pd.DataFrame([(*key, len(d), d.mean(), min(1.0, 2 * tail), *_order_statistics(means, 0.95))], columns=names)
+    A resample draws n of the group's n values with replacement. Equal values are counted first and drawn together. A
+    group's distinct values are dealt by hash to the leaves of a tree: how many of the n draws fall below either side of
+    a node is binomial, drawn with a seed of the node's own, so each leaf knows its share of every resample from its
+    path alone, and draws it among its values. Sums of leaves add up to those of the group. So no task has a group whole;
+    only its rounds means meet, to be sorted. Reruns agree but for the order in which doubles are added.
+    """
+    key = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
+    read = rows.select(key.alias("g"), F.col(value).cast("double").alias("d"))
+    groups = read.select("g").distinct()
+    values = read.where("d is not null").groupBy("g", "d").agg(F.count(F.lit(1)).alias("k"))
+    sizes = values.groupBy("g").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("distinct"), F.sum(F.col("d") * F.col("k")).alias("total"))
+    levels = F.greatest(F.lit(0), F.ceil(F.log2(F.col("distinct") / PART_VALUES))).cast("int")
+    sizes = sizes.select("g", "n", (F.col("total") / F.col("n")).alias("mean"), levels.alias("levels"))
+    dealt = values.join(sizes.select("g", "levels"), "g")
+    dealt = dealt.select("g", "d", "k", "levels", F.pmod(F.xxhash64("d"), F.expr("shiftleft(1L, levels)")).alias("part"))
+    parts = dealt.groupBy("g", "levels", "part").agg(F.sum("k").alias("n"))
+
+    kind = T.StructType([parts.schema["g"], T.StructField("sums", T.ArrayType(T.DoubleType()))])
+
+    def draw(own: pa.Table, path: pa.Table) -> pa.Table:
+        own = own.combine_chunks().sort_by("d")
+        steps = [(s["level"], s["node"], s["below"]) for s in path.column("path")[0].as_py()]
+        number = path.column("number")[0].as_py() & ((1 << 64) - 1)
+        source = lambda level, node: np.random.default_rng([seed, number, level, node])
+        share = np.full(rounds, steps[0][2], np.int64)
+        for (level, node, n), (_, child, below) in zip(steps[:-1], steps[1:], strict=True):
+            left = below if child % 2 == 0 else n - below
+            first = source(level, node).binomial(share, left / n)
+            share = first if child % 2 == 0 else share - first
+        d, k = own.column("d").to_numpy(), own.column("k").to_numpy().astype(float)
+        random, sums = source(steps[-1][0] + 1, steps[-1][1]), np.empty(rounds)
+        step = max(1, (1 << 20) // len(d))
+        for lo in range(0, rounds, step):
+            sums[lo : lo + step] = random.multinomial(share[lo : lo + step], k / k.sum()) @ d
+        return pa.table([path.column("of").slice(0, 1), pa.array([sums.tolist()], pa.list_(pa.float64()))], names=kind.names)
+
+    # the number is of a seed only
+    paths = _nodes(parts).select(F.col("g").alias("of"), F.col("part").alias("leaf"), "path", F.xxhash64("g").alias("number"))
+    drawn = dealt.groupBy("g", "part").cogroup(paths.groupBy("of", "leaf")).applyInArrow(draw, kind)
+    sums = drawn.select("g", F.posexplode("sums").alias("round", "part_sum")).groupBy("g", "round").agg(F.sum("part_sum").alias("total"))
+    means = sums.join(sizes, "g").groupBy("g").agg(F.sort_array(F.collect_list(F.col("total") / F.col("n"))).alias("means"))
+    found = groups.join(sizes.join(means, "g").select("g", "n", "mean", "means"), "g", "left")
+    return found.select(*(F.col("g").getField(c).alias(c) for c in by), F.coalesce("n", F.lit(0).cast("long")).alias("n"), "mean", "means")
+
+
+def order_statistic(means: Column, q: float) -> Column:
+    """The value at place int(q * count) of a sorted array, or its last."""
+    return F.get(means, F.least(F.size(means) - 1, F.floor(F.lit(q) * F.size(means)).cast("int")))
 
-    names = [*by, "n", "mean_diff", "p", "low", "high"]
-    kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in by)
-    return pairs.groupBy(*by).applyInPandas(run, f"{kinds}, n long, mean_diff double, p double, low double, high double")
 
+def paired_bootstrap(pairs: DataFrame, by: list[str], a: str = "a", b: str = "b", rounds: int = 10_000, seed: int = 42) -> DataFrame:
+    """by, n, mean_diff, p (two-sided), low, high (95 %) of paired differences b - a; pairs with a null side don't count.
 
-def means_with_interval(rows: DataFrame, by: list[str], value: str, confidence: float = 0.95, rounds: int = 5000, seed: int = 42) -> DataFrame:
-    """by, n, mean, low, high; under three values the interval is the mean, and without any all three are 0."""
+    A group without pairs has n = 0 and nulls. See resampled for how groups are drawn.
+    """
+    found = resampled(pairs.withColumn("difference of the pair", F.col(b) - F.col(a)), by, "difference of the pair", rounds, seed)
+    beyond = F.when(F.col("mean") >= 0, F.size(F.filter("means", lambda x: x <= 0))).otherwise(F.size(F.filter("means", lambda x: x >= 0)))
+    p = F.when(F.col("mean").isNotNull(), F.least(F.lit(1.0), 2 * beyond / F.size("means")))
+    return found.select(*by, "n", F.col("mean").alias("mean_diff"), p.alias("p"), order_statistic(F.col("means"), 0.025).alias("low"), order_statistic(F.col("means"), 0.975).alias("high"))
 
-    def run(key, pdf):
-        v = pdf[value].dropna().to_numpy(float)
-        mean = float(v.mean()) if len(v) else 0.0
-        low, high = _order_statistics(bootstrap(v, rounds, seed), confidence) if len(v) >= 3 else (mean, mean)
-        return pd.DataFrame([(*key, len(v), mean, low, high)], columns=[*by, "n", "mean", "low", "high"])
 
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by)
-    return rows.groupBy(*by).applyInPandas(run, f"{kinds}, n long, mean double, low double, high double")
+def means_with_interval(rows: DataFrame, by: list[str], value: str, confidence: float = 0.95, rounds: int = 5000, seed: int = 42) -> DataFrame:
+    """by, n, mean, low, high; under three values the interval is the mean, and without any all three are 0."""
+    tail = (1 - confidence) / 2
+    found = resampled(rows, by, value, rounds, seed).withColumn("mean", F.coalesce("mean", F.lit(0.0)))
+    bound = lambda q: F.when(F.col("n") >= 3, order_statistic(F.col("means"), q)).otherwise(F.col("mean"))
+    return found.select(*by, "n", "mean", bound(tail).alias("low"), bound(1 - tail).alias("high"))
 
 
 def stars(p: float | None) -> str:

@@ -426,19 +426,29 @@ def score_answers(spark, sf_dir):
     return wide.join(one, "term").join(seen, ["term", "band", "answered"]).select("p_partkey", "band", "answered", F.when(F.col("answered"), text).otherwise(0.0).alias("completeness"), "term_present")
 
 
+def _with_fits(found, spread, mean):
+    """Whether 95 % bounds of resamples are where the spread of the values puts them, by 1.96 standard errors and a margin of 0.5."""
+    error = F.col("sd") / F.sqrt("n")
+    fits = lambda distance: F.abs(distance / error - 1.96) < 0.5
+    return found.join(spread, "k").withColumns({"low_fits": fits(F.col(mean) - F.col("low")), "high_fits": fits(F.col("high") - F.col(mean))})
+
+
 @query("""WITH p AS (SELECT c_mktsegment AS k, avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS a, avg(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END) AS b FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY c_mktsegment, o_custkey)
-SELECT k, count(b - a)::BIGINT AS n, round(avg(b - a), 3) AS mean_diff, avg(b - a) > 0 AS positive FROM p GROUP BY k""")
+SELECT k, count(b - a)::BIGINT AS n, round(avg(b - a), 3) AS mean_diff, avg(b - a) > 0 AS positive, count(b - a) > 1 AS low_fits, count(b - a) > 1 AS high_fits FROM p GROUP BY k""")
 def bootstrap_sign(spark, sf_dir):
     of = lambda s: F.avg(F.when(F.col("o_orderstatus") == s, F.col("o_totalprice")))
     rows = _table(spark, sf_dir, "orders").join(_table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
     pairs = rows.groupBy(F.col("c_mktsegment").alias("k"), "o_custkey").agg(of("F").alias("a"), of("O").alias("b")).drop("o_custkey")
-    return E.paired_bootstrap(pairs, ["k"], rounds=200).select("k", "n", F.round("mean_diff", 3).alias("mean_diff"), (F.col("mean_diff") > 0).alias("positive"))
+    found = E.paired_bootstrap(pairs, ["k"], rounds=1000)
+    return _with_fits(found, pairs.groupBy("k").agg(F.stddev_pop(F.col("b") - F.col("a")).alias("sd")), "mean_diff").select("k", "n", F.round("mean_diff", 3).alias("mean_diff"), (F.col("mean_diff") > 0).alias("positive"), "low_fits", "high_fits")
 
 
-@query("SELECT o_orderpriority AS k, count(*) AS n, round(avg(o_totalprice), 3) AS mean, true AS inside FROM orders GROUP BY 1")
+@query("SELECT o_orderpriority AS k, count(*) AS n, round(avg(o_totalprice), 3) AS mean, true AS inside, count(*) > 2 AS low_fits, count(*) > 2 AS high_fits FROM orders GROUP BY 1")
 def mean_intervals(spark, sf_dir):
-    found = E.means_with_interval(_table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("k"), "o_totalprice"), ["k"], "o_totalprice", rounds=200)
-    return found.select("k", "n", F.round("mean", 3).alias("mean"), F.col("mean").between(F.col("low"), F.col("high")).alias("inside"))
+    rows = _table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("k"), "o_totalprice")
+    found = E.means_with_interval(rows, ["k"], "o_totalprice", rounds=1000)
+    found = _with_fits(found, rows.groupBy("k").agg(F.stddev_pop("o_totalprice").alias("sd")), "mean")
+    return found.select("k", "n", F.round("mean", 3).alias("mean"), F.col("mean").between(F.col("low"), F.col("high")).alias("inside"), "low_fits", "high_fits")
 
 
 # -- writes

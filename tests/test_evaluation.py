@@ -65,6 +65,33 @@ def test_bootstrap(spark):
     assert tuple(empty) == ("k", 0, 0.0, 0.0, 0.0)
 
 
+def test_resamples_of_dealt_groups_are_those_of_whole_ones(spark, monkeypatch):
+    """Dealt over a tree of parts, means of resamples are spread as those of draws with replacement from the group."""
+    monkeypatch.setattr(E, "PART_VALUES", 8)
+    random = np.random.default_rng(1)
+    big = random.normal(3, 2, 400).round(3).tolist() + [5.0] * 100
+    data = [("big", v) for v in big] + [(None, 1.0), (None, 4.0), (None, None), ("one", 2.5), ("none", None)]
+    df = spark.createDataFrame(data, "k string, v double")
+    got = {r["k"]: r for r in E.resampled(df, ["k"], "v", 2000, 7).collect()}
+    assert set(got) == {"big", None, "one", "none"} and (got["none"]["n"], got["none"]["means"]) == (0, None)
+    means = np.array(got["big"]["means"])
+    whole = np.array([random.choice(big, len(big)).mean() for _ in range(2000)])
+    assert len(means) == 2000 and (np.diff(means) >= 0).all() and got["big"]["n"] == 500
+    assert abs(means.mean() - np.mean(big)) < 0.01 and abs(means.std() / whole.std() - 1) < 0.08
+    assert np.abs(np.quantile(means, [0.05, 0.5, 0.95]) - np.quantile(whole, [0.05, 0.5, 0.95])).max() < 0.03
+    values, counts = np.unique(got[None]["means"], return_counts=True)  # of two values, halves of the draws are mixed
+    assert values.tolist() == [1.0, 2.5, 4.0] and abs(counts[1] / 2000 - 0.5) < 0.06
+    assert set(got["one"]["means"]) == {2.5}
+    again = E.resampled(df.repartition(3, "v"), ["k"], "v", 2000, 7).where("k = 'big'").first()["means"]
+    assert np.allclose(again, means)
+    assert E.resampled(df, [], "v", 10, 1).first()["n"] == 503
+    few = E.means_with_interval(df, ["k"], "v", rounds=50).where("k is null").first()
+    assert tuple(few) == (None, 2, 2.5, 2.5, 2.5)
+    pairs = E.paired_bootstrap(df.select("k", F.lit(0.0).alias("a"), F.col("v").alias("b")), ["k"], rounds=400)
+    r = {r["k"]: r for r in pairs.collect()}
+    assert r["big"]["p"] == 0 and r["big"]["low"] < r["big"]["mean_diff"] < r["big"]["high"] and r["none"]["p"] is None
+
+
 def test_groupings(spark):
     df = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 3.0), ("b", "x", 5.0)], "lang string, band string, v double")
     assert rows(E.grouped_means(df, [["lang"], ["band"], []], ["v"])) == [("a", None, 2.0, 2), ("b", None, 5.0, 1), (None, "x", 3.0, 2), (None, "y", 3.0, 1), (None, None, 3.0, 3)]
