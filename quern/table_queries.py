@@ -15,7 +15,9 @@ from quern.operators import evaluation as E
 from quern.operators import lexicon as L
 from quern.operators import report as R
 from quern.operators import search as S
+from quern.operators import translate as U
 from quern.plans import jobs as J
+from quern.plans import parts as P
 from quern.queries import _chunks, _dictionary, _table, query
 from quern.sources import dictionaries as Y
 from quern.sources import texts as T
@@ -451,6 +453,29 @@ def mean_intervals(spark, sf_dir):
     return found.select("k", "n", F.round("mean", 3).alias("mean"), F.col("mean").between(F.col("low"), F.col("high")).alias("inside"), "low_fits", "high_fits")
 
 
+# -- jobs in parts
+
+
+@query("SELECT o_orderkey, upper(o_orderpriority) AS answer, 1::BIGINT AS times FROM orders")
+def resumed_answers(spark, sf_dir):
+    """Answers to a prompt per order, asked in parts; the run breaks off at its third part and another goes on."""
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("prompt"))
+    path, asked = f"{Scratch(spark).root}/answers", []
+
+    def work(todo, most):
+        asked.append(1)
+        if len(asked) > most:
+            raise InterruptedError("the run breaks off")
+        return U.ask(todo, lambda prompts: [p.upper() for p in prompts]).select("o_orderkey", "answer")
+
+    try:
+        P.run_in_parts(rows, ["o_orderkey"], lambda todo: work(todo, 2), path, parts=4)
+    except InterruptedError:
+        pass
+    found = P.run_in_parts(rows, ["o_orderkey"], lambda todo: work(todo, 100), path, parts=4)
+    return found.groupBy("o_orderkey", "answer").agg(F.count(F.lit(1)).alias("times"))
+
+
 # -- writes
 
 
