@@ -64,8 +64,14 @@ def chunks(c: Column, min_chars: int = MIN_CHUNK_CHARS, ends: str = SENTENCE_END
 
 def tokens(c: Column) -> Column:
     """Lower-case tokens in order: each Han, kana or Hangul character, and each run of other letters or digits."""
-    single = rf"[{HAN}\x{{3040}}-\x{{30FF}}\x{{AC00}}-\x{{D7AF}}]"
-    return F.regexp_extract_all(F.lower(c), F.lit(rf"({single}|(?:(?!{single})[\p{{L}}\p{{N}}])+)"), F.lit(1))
+    single = rf"{HAN}\x{{3040}}-\x{{30FF}}\x{{AC00}}-\x{{D7AF}}"
+    # one class cut out of another instead of a lookahead before each character
+    return F.regexp_extract_all(F.lower(c), F.lit(rf"[{single}]|[\p{{L}}\p{{N}}&&[^{single}]]++"), F.lit(0))
+
+
+def has_token(c: Column) -> Column:
+    """Whether a text has any token; found at its first letter or digit."""
+    return F.rlike(c, F.lit(rf"[\p{{L}}\p{{N}}{HAN}\x{{3040}}-\x{{30FF}}\x{{AC00}}-\x{{D7AF}}]"))
 
 
 def token_line(c: Column) -> Column:

@@ -2,8 +2,8 @@
 
 Below its path are tables in folders by bucket and by segment, the number of the batch that wrote them:
 
-- postings: token, slice, level, source, chunk_id, size, positions, by bucket of the token's hash and sorted by token, slice
-  and level. A slice is a share of the chunks, the same for all tokens, so counts can grow slice by slice. A level is a class
+- postings: token, slice, level, source, chunk_id, size, tf, positions, by bucket of the token's hash, in runs of many chunks
+  that are sorted by token and slice. A slice is a share of the chunks, the same for all tokens, so counts can grow slice by slice. A level is a class
   of a token's weight in a chunk, so ranked search can leave low ones out.
 - levels: for each token and level the number of postings, the largest count of the token and the least size of a chunk.
 - totals: for each token and source by how many chunks and occurrences a batch changed them; their sums are true counts.
@@ -21,6 +21,9 @@ import json
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,10 +35,12 @@ from quern.operators import search as S
 SLICES, STEP_ROWS = 64, 1_000_000
 #: Classes of weight, and the size of a chunk that they take for usual.
 LEVELS, USUAL_SIZE = 16, 32
-#: Postings of a bucket that one task writes, about.
-TASK_ROWS = 2_000_000
+#: Tokens whose postings are sorted at once.
+BLOCK_TOKENS = 2_000_000
+#: Buckets that a task writes side by side, without sorting its rows by bucket.
+OPEN_FILES = 64
 #: Ids that are sent to all tasks, where their number is known; more are joined.
-MOST_SENT = 100_000
+MOST_SENT = 4_000_000
 #: Postings per term that ranked search looks at first, for each of the rows asked for.
 SEED_ROWS = 50
 ARTICLE = ("source", "source_article_id")
@@ -46,25 +51,51 @@ def _bucket(buckets: int, *columns: str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int")
 
 
-def _grouped(text: str) -> Column:
-    """Tokens of a text with their positions, grouped inside the row: array<struct<token, positions, size>>, by one sort; size is that of the text, in tokens."""
-    pairs = F.sort_array(F.transform(X.tokens(F.col(text)), lambda t, i: F.struct(t.alias("token"), i.alias("pos"))))
+def _block(batch: pa.RecordBatch):
+    """Postings of a batch of chunks (chunk_id, source, slice, tokens), sorted by token and slice: one sort of numbers made of token, chunk and place."""
+    lists, n = batch.column("tokens"), batch.num_rows
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total = int(sizes.sum())
+    if not total:
+        return
+    coded = lists.flatten().dictionary_encode()
+    n_bits, at_bits = n.bit_length(), int(sizes.max()).bit_length()
+    if n > 1 and (total > BLOCK_TOKENS or len(coded.dictionary).bit_length() + n_bits + at_bits > 63):
+        yield from _block(batch.slice(0, n // 2))
+        yield from _block(batch.slice(n // 2))
+        return
+    by_word = pc.sort_indices(coded.dictionary)
+    rank = np.empty(len(by_word), np.int64)
+    rank[by_word.to_numpy()] = np.arange(len(by_word))
+    by_slice = np.argsort(batch.column("slice").to_numpy(), kind="stable")
+    place = np.empty(n, np.int64)
+    place[by_slice] = np.arange(n)
+    at = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    key = np.sort((rank[coded.indices.to_numpy()] << (n_bits + at_bits)) | (np.repeat(place, sizes) << at_bits) | at)
+    pair = key >> at_bits
+    first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+    tf, pair = np.diff(np.append(first, total)), pair[first]
+    chunk = by_slice[pair & ((1 << n_bits) - 1)]
+    size = sizes[chunk]
+    level = np.floor(LEVELS * tf / (tf + 1.2 * (0.25 + 0.75 * size / USUAL_SIZE))).astype(np.int32)
+    positions = pa.ListArray.from_arrays(np.append(first, total).astype(np.int32), (key & ((1 << at_bits) - 1)).astype(np.int32))
+    token = coded.dictionary.take(by_word).take(pa.array(pair >> n_bits))
+    own = lambda c: batch.column(c).take(pa.array(chunk))
+    columns = {"token": token, "slice": own("slice"), "level": pa.array(level), "source": own("source"), "chunk_id": own("chunk_id"), "size": pa.array(size.astype(np.int32)), "tf": pa.array(tf.astype(np.int32)), "positions": positions}
+    yield pa.RecordBatch.from_pydict(columns)
 
-    def runs(p):
-        start = F.filter(F.sequence(F.lit(1), F.size(p)), lambda i: (i == 1) | (F.element_at(p, F.greatest(i - 1, F.lit(1)))["token"] != F.element_at(p, i)["token"]))
-        cut = lambda s, k, starts: F.slice(p, s, F.coalesce(F.get(starts, k + 1), F.size(p) + 1) - s)
-        return F.transform(F.array(start), lambda starts: F.transform(starts, lambda s, k: F.struct(F.element_at(p, s)["token"].alias("token"), F.transform(cut(s, k, starts), lambda x: x["pos"]).alias("positions"), F.size(p).alias("size"))))[0]
 
-    # made once and named by a lambda, as an expression that is named twice would be computed twice
-    return F.transform(F.array(pairs), lambda p: F.when(F.size(p) > 0, runs(p)))[0]
+def _postings(chunks: DataFrame, buckets: int) -> DataFrame:
+    """bucket, token, slice, level, source, chunk_id, size, tf, positions, in runs that are sorted by token and slice. No shuffle."""
+    kind = {f.name: f.dataType.simpleString() for f in chunks.schema}
+    rows = chunks.select("chunk_id", "source", _bucket(SLICES, "chunk_id").alias("slice"), X.tokens(F.col("text")).alias("tokens"))
 
+    def blocks(batches):
+        for batch in batches:
+            yield from _block(batch)
 
-def _postings(chunks: DataFrame, buckets: int) -> DataFrame:
-    """bucket, token, slice, level, source, chunk_id, size, positions. No shuffle."""
-    rows = chunks.select("chunk_id", "source", F.explode(_grouped("text")).alias("x"))
-    tf = F.size("x.positions")
-    level = F.floor(LEVELS * tf / (tf + 1.2 * (0.25 + 0.75 * F.col("x.size") / USUAL_SIZE))).cast("int")
-    return rows.select(_bucket(buckets, "x.token").alias("bucket"), "x.token", _bucket(SLICES, "chunk_id").alias("slice"), level.alias("level"), "source", "chunk_id", "x.size", "x.positions")
+    rows = rows.mapInArrow(blocks, f"token string, slice int, level int, source {kind['source']}, chunk_id {kind['chunk_id']}, size int, tf int, positions array<int>")
+    return rows.select(_bucket(buckets, "token").alias("bucket"), "*")
 
 
 @dataclass(frozen=True)
@@ -154,7 +185,7 @@ class Index:
     def _schema(self, table: str) -> str:
         kinds = {f.name: f.dataType.simpleString() for f in self._chunk_schema()}
         of = {
-            "postings": f"token string, slice int, level int, source {kinds['source']}, chunk_id {kinds['chunk_id']}, size int, positions array<int>",
+            "postings": f"token string, slice int, level int, source {kinds['source']}, chunk_id {kinds['chunk_id']}, size int, tf int, positions array<int>",
             "levels": "token string, level int, n long, most int, least int",
             "totals": f"token string, source {kinds['source']}, docs long, uses long",
             "chunks": self.state.schema,
@@ -218,8 +249,14 @@ class Index:
     # -- changes
 
     def _put(self, rows: DataFrame, table: str, segment: int) -> dict[str, list[int]]:
-        """Write rows (bucket and more) as a segment's folders; the table's segments by bucket then."""
-        rows.withColumn("segment", F.lit(segment)).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("bucket", "segment").parquet(f"{self.path}/{table}")
+        """Write rows (bucket and more) as a segment's folders; the table's segments by bucket then. Tasks that meet few buckets write them side by side, in the order of their rows."""
+        name = "spark.sql.maxConcurrentOutputFileWriters"
+        before = self.spark.conf.get(name)
+        self.spark.conf.set(name, str(OPEN_FILES))
+        try:
+            rows.withColumn("segment", F.lit(segment)).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("bucket", "segment").parquet(f"{self.path}/{table}")
+        finally:
+            self.spark.conf.set(name, before)
         out = dict(self.state.segments[table])
         system, path = _Files(self.spark, self.path).at(table)
         for folder in system.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/bucket=*/segment={segment}")) or []:
@@ -227,61 +264,91 @@ class Index:
             out[b] = [*out.get(b, []), segment]
         return out
 
+    def _dealt(self, rows: DataFrame, key: str) -> DataFrame:
+        """Rows by bucket and deal, a share of its keys: a bucket is dealt over tasks where there are more of these than buckets, and each of its files has a few tasks' rows."""
+        tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 1)
+        return rows.withColumn("deal", F.pmod(F.hash(key), F.lit(-(-2 * tasks // self.state.buckets)))).repartition(tasks, "bucket", "deal")
+
+    def _only(self, table: str, segments: dict, segment: int) -> DataFrame:
+        """What one segment has of a table."""
+        state = dataclasses.replace(self.state, dead=[], segments={table: {k: [segment] for k, v in segments[table].items() if segment in v}})
+        return Index(self.spark, self.path, state)._read(table)
+
+    def _replaced(self, ids: DataFrame, segment: int) -> tuple[dict[int, int], list[DataFrame]]:
+        """Rows of some ids that are there, by bucket, and the rows themselves, a few buckets' at a time. Ids are looked up first, so texts are read where they are and not shuffled."""
+        gone, path = None, f"{self.path}/dead/segment={segment}"
+        if self.state.n_sources:
+            found = self._live(self._read("chunks", self._buckets_of(ids, "chunk_id")).select("chunk_id", "bucket", "segment"))
+            found.join(ids, "chunk_id", "left_semi").select("chunk_id", "bucket").write.mode("overwrite").parquet(path)
+            gone = self.spark.read.parquet(path)
+        counts = {} if gone is None else {r["bucket"]: r["n"] for r in gone.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per bucket
+        rounds, size = [], 0
+        for b, n in sorted(counts.items()):
+            if not rounds or size + n > MOST_SENT // 4:
+                rounds.append([])
+                size = 0
+            rounds[-1].append(b)
+            size += n
+        names = [f.name for f in self._chunk_schema()]
+        out = []
+        for own in rounds:
+            sent = gone.where(F.col("bucket").isin(*own)).select("chunk_id")
+            sent = F.broadcast(sent) if sum(counts[b] for b in own) <= MOST_SENT else sent
+            out.append(self._live(self._read("chunks", own)).join(sent, "chunk_id", "left_semi").select(*names))
+        return counts, out
+
     def apply(self, number: int, upserts: DataFrame | None = None, deletes: DataFrame | None = None) -> Index:
         """The index after a batch: rows of upserts in place of those of their ids, then without the ids (chunk_id) of deletes.
 
         number tells batches apart and grows; a batch whose number has been applied changes nothing. Only buckets of the
-        batch's tokens, ids and articles, and of those that it replaces, are read or written.
+        batch's tokens, ids and articles, and of those that it replaces, are read or written. Texts are shuffled once, to
+        bring the rows of an id together, and split into tokens once; postings are written by the tasks that make them.
         """
         if number <= self.state.last_batch:
             return self
         segment, b = self.state.version + 1, self.state.buckets
         names = [f.name for f in self._chunk_schema()]
         fresh = self.spark.createDataFrame([], self.state.schema) if upserts is None else upserts.select(*names)
-        rest = [c for c in names if c != "chunk_id"]
-        fresh = fresh.groupBy("chunk_id").agg(F.max(F.struct(*rest)).alias("x")).select("chunk_id", "x.*").select(*names)
         if deletes is not None:
             fresh = fresh.join(deletes.select("chunk_id").distinct(), "chunk_id", "left_anti")
+        rest = [c for c in names if c != "chunk_id"]
+        fresh = self._dealt(fresh.withColumn("bucket", _bucket(b, "chunk_id")), "chunk_id").groupBy("bucket", "deal", "chunk_id").agg(F.max(F.struct(*rest)).alias("x"))
         segments, dirty = dict(self.state.segments), {t: set(x) for t, x in self.state.dirty.items()}
-        segments["chunks"] = self._put(fresh.withColumn("bucket", _bucket(b, "chunk_id")).repartition("bucket").sortWithinPartitions("bucket", "chunk_id"), "chunks", segment)
-        after = dataclasses.replace(self.state, segments=segments)
-        fresh = Index(self.spark, self.path, dataclasses.replace(after, dead=[], segments={**segments, "chunks": {k: [segment] for k, v in segments["chunks"].items() if segment in v}})).chunks
+        segments["chunks"] = self._put(fresh.select("bucket", "chunk_id", "x.*").select(*names, "bucket"), "chunks", segment)
+        fresh = self._only("chunks", segments, segment).select(*names)
         # rows that the batch replaces or deletes, in the buckets of its ids
-        old = self.spark.createDataFrame([], self.state.schema)
-        if self.state.n_sources:
-            ids = fresh.select("chunk_id")
-            ids = ids if deletes is None else ids.unionByName(deletes.select("chunk_id"))
-            ids = ids.distinct()
-            old = self._live(self._read("chunks", self._buckets_of(ids, "chunk_id"))).join(ids, "chunk_id", "left_semi").select(*names)
-            old.write.mode("overwrite").parquet(f"{self.path}/replaced/{segment}")
-            old = self.spark.read.schema(self.state.schema).parquet(f"{self.path}/replaced/{segment}")
-        gone, removed = old.select("chunk_id"), old.count() if self.state.n_sources else 0
+        ids = fresh.select("chunk_id")
+        ids = ids if deletes is None else ids.unionByName(deletes.select("chunk_id"))
+        gone, rounds = self._replaced(ids.distinct(), segment)
+        removed = sum(gone.values())
+        old = self.spark.createDataFrame([], self.state.schema).select("chunk_id", *ARTICLE)
+        for i, rows in enumerate(rounds):
+            mode = "append" if i else "overwrite"
+            rows.select("chunk_id", *ARTICLE).write.mode(mode).parquet(f"{self.path}/replaced/{segment}")
+            first = (F.get("positions", F.lit(0)) == 0).cast("long")  # each chunk with tokens has one
+            lost = _postings(rows, b).groupBy("bucket", "token", "source").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("uses"), F.sum(first).alias("chunks"))
+            lost.write.mode(mode).parquet(f"{self.path}/lost/{segment}")
+        segments["postings"] = self._put(_postings(fresh, b), "postings", segment)
+        posted = self._only("postings", segments, segment)
+        changed = posted.groupBy("bucket", "token", "source").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("uses"))
+        n_in, n_out, s_out = fresh.where(X.has_token(F.col("text"))).count(), 0, 0
         if removed:
-            gone.write.mode("overwrite").parquet(f"{self.path}/dead/segment={segment}")
-        # counts by token and source
-        signed = lambda rows, sign: _postings(rows, b).select("bucket", "token", "source", F.lit(sign).alias("sign"), F.size("positions").alias("n"))
-        changed = signed(fresh, 1).unionByName(signed(old, -1)) if removed else signed(fresh, 1)
-        changed = changed.groupBy("bucket", "token", "source").agg(F.sum("sign").cast("long").alias("docs"), F.sum(F.col("sign") * F.col("n")).cast("long").alias("uses"))
+            old = self.spark.read.parquet(f"{self.path}/replaced/{segment}")
+            lost = self.spark.read.parquet(f"{self.path}/lost/{segment}")
+            n_out, s_out = lost.agg(F.coalesce(F.sum("chunks"), F.lit(0)), F.coalesce(F.sum("uses"), F.lit(0))).first()
+            changed = changed.unionByName(lost.select("bucket", "token", "source", (-F.col("docs")).alias("docs"), (-F.col("uses")).alias("uses")))
+            changed = changed.groupBy("bucket", "token", "source").agg(F.sum("docs").alias("docs"), F.sum("uses").alias("uses"))
         segments["totals"] = self._put(changed.sortWithinPartitions("bucket", "token"), "totals", segment)
-        # a bucket of more postings than a task should write is dealt over several, by slices
-        own = Index(self.spark, self.path, dataclasses.replace(after, segments={**segments, "totals": {k: [segment] for k, v in segments["totals"].items() if segment in v}}))
-        deals = {r["bucket"]: -(-r["n"] // TASK_ROWS) for r in own._read("totals").groupBy("bucket").agg(F.sum(F.greatest("docs", F.lit(0))).alias("n")).collect()}  # a row per bucket
-        many = {k: min(SLICES, v) for k, v in deals.items() if v > 1}
-        deal = F.pmod(F.col("slice"), F.coalesce(F.create_map(*(F.lit(x) for p in many.items() for x in p))[F.col("bucket")], F.lit(1)).cast("int")) if many else F.lit(0)
-        tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 1)
-        rows = _postings(fresh, b).withColumn("deal", deal).repartition(tasks, "bucket", "deal").drop("deal").sortWithinPartitions("bucket", "token", "slice", "level")
-        segments["postings"] = self._put(rows, "postings", segment)
-        own = Index(self.spark, self.path, dataclasses.replace(after, segments={**segments, "postings": {k: [segment] for k, v in segments["postings"].items() if segment in v}}))
-        levels = own._read("postings").groupBy("bucket", "token", "level").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("positions")).alias("most"), F.min("size").alias("least"))
+        s_in = self._only("totals", segments, segment).agg(F.coalesce(F.sum("uses"), F.lit(0))).first()[0] + s_out
+        levels = posted.groupBy("bucket", "token", "level").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"), F.min("size").alias("least"))
         segments["levels"] = self._put(levels.sortWithinPartitions("bucket", "token"), "levels", segment)
         segments["places"] = self._put(fresh.select(_bucket(b, *ARTICLE).alias("bucket"), *ARTICLE, "chunk_index", "chunk_id").repartition("bucket").sortWithinPartitions("bucket", *ARTICLE, "chunk_index"), "places", segment)
         if removed:
-            dirty["postings"] |= set(deals)
-            dirty["levels"] |= set(deals)
-            dirty["chunks"] |= set(self._buckets_of(old, "chunk_id"))
+            touched = {int(k) for k, v in segments["totals"].items() if segment in v}
+            dirty["postings"] |= touched
+            dirty["levels"] |= touched
+            dirty["chunks"] |= set(gone)
             dirty["places"] |= set(self._buckets_of(old, *ARTICLE))
-        size = lambda rows: rows.select(F.size(X.tokens(F.col("text"))).alias("s")).where("s > 0").agg(F.count(F.lit(1)), F.coalesce(F.sum("s"), F.lit(0))).first()
-        (n_in, s_in), (n_out, s_out) = size(fresh), size(old) if removed else (0, 0)
         n_sources = self._count_sources(fresh, old, removed, segment)
         state = dataclasses.replace(
             self.state, version=segment, last_batch=number, segments=segments, dirty={t: sorted(x) for t, x in dirty.items()}, dead=[*self.state.dead, segment] if removed else self.state.dead,
@@ -332,19 +399,16 @@ class Index:
             if not touched:
                 continue
             rows = self._read(table, touched)
+            # counts meet by token; all other rows are written by the tasks that read them, in their order
             if table == "totals":
-                rows = rows.groupBy("bucket", "token", "source").agg(F.sum("docs").alias("docs"), F.sum("uses").alias("uses")).where("docs > 0")
-                order = ["bucket", "token"]
+                rows = rows.groupBy("bucket", "token", "source").agg(F.sum("docs").alias("docs"), F.sum("uses").alias("uses")).where("docs > 0").sortWithinPartitions("bucket", "token")
             elif table == "levels":
                 own = Index(self.spark, self.path, dataclasses.replace(self.state, segments={**self.state.segments, **segments}, dead=[]))
-                rows = own._read("postings", touched).groupBy("bucket", "token", "level").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("positions")).alias("most"), F.min("size").alias("least"))
-                order = ["bucket", "token"]
+                rows = own._read("postings", touched).groupBy("bucket", "token", "level").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"), F.min("size").alias("least"))
+                rows = rows.sortWithinPartitions("bucket", "token")
             else:
                 rows = self._live(rows).drop("segment")
-                order = {"postings": ["bucket", "token", "slice", "level"], "chunks": ["bucket", "chunk_id"], "places": ["bucket", *ARTICLE, "chunk_index"]}[table]
-                deal = [F.pmod(F.col("slice"), F.lit(8))] if table == "postings" else []
-                rows = rows.repartition(F.col("bucket"), *deal)
-            new = Index(self.spark, self.path, dataclasses.replace(self.state, segments={table: {}}))._put(rows.sortWithinPartitions(*order), table, segment)
+            new = Index(self.spark, self.path, dataclasses.replace(self.state, segments={table: {}}))._put(rows, table, segment)
             segments[table] |= new
         self.sources.write.mode("overwrite").parquet(f"{self.path}/sources/{segment}")
         return self._publish(dataclasses.replace(self.state, version=segment, segments=segments, dirty={t: [] for t in TABLES}, dead=[], n_dead=0))
@@ -358,7 +422,7 @@ class Index:
                     for segment in files.names(f"{table}/{bucket}"):
                         if int(segment.split("=")[1]) not in self.state.segments[table].get(bucket.split("=")[1], []):
                             files.delete(f"{table}/{bucket}/{segment}")
-        for folder, keep in (("dead", {f"segment={s}" for s in self.state.dead}), ("sources", {str(self.state.version)}), ("versions", {f"{self.state.version}.json"}), ("replaced", set())):
+        for folder, keep in (("dead", {f"segment={s}" for s in self.state.dead}), ("sources", {str(self.state.version)}), ("versions", {f"{self.state.version}.json"}), ("replaced", set()), ("lost", set())):
             for name in files.names(folder):
                 if name not in keep:
                     files.delete(f"{folder}/{name}")
@@ -496,7 +560,7 @@ class Index:
             for t in wanted:
                 test |= (F.col("token") == t) & F.col("level").isin(*sorted(read[t]))
             rows = self._live(self._of_tokens("postings", wanted).where(F.col("level").isin(*sorted(set().union(*read.values()))) & test))
-            tf = [F.max(F.when(F.col("token") == t, F.size("positions"))).alias(f"tf{i}") for i, t in enumerate(wanted)]
+            tf = [F.max(F.when(F.col("token") == t, F.col("tf"))).alias(f"tf{i}") for i, t in enumerate(wanted)]
             rows = rows.groupBy("chunk_id").agg(F.max("size").alias("size"), *tf).dropna(subset=[f"tf{i}" for i in range(len(wanted))])
             score = F.lit(0.0)
             for i, t in enumerate(wanted):

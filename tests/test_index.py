@@ -142,3 +142,38 @@ def test_stream_of_changes(spark, tmp_path):
     I.follow(stream, index.path, str(tmp_path / "checkpoint")).awaitTermination()
     now = I.open_index(spark, index.path)
     assert rows(now.chunks) == rows(docs.where("chunk_id >= 4")) and now.state.last_batch == 1
+
+
+def test_texts_are_split_once_and_postings_stay(spark, tmp_path, monkeypatch):
+    made, plans = [], {}
+    postings, put = I._postings, I.Index._put
+    monkeypatch.setattr(I, "_postings", lambda chunks, buckets: made.append(1) or postings(chunks, buckets))
+
+    def noted(self, rows, table, segment):
+        plans.setdefault(table, []).append(rows._jdf.queryExecution().executedPlan().toString())
+        return put(self, rows, table, segment)
+
+    monkeypatch.setattr(I.Index, "_put", noted)
+    docs = chunks(spark)
+    index = I.build(docs, str(tmp_path / "index"), buckets=3)
+    assert len(made) == 1 and "Exchange" not in plans["postings"][0] and plans["chunks"][0].count("Exchange hashpartitioning") == 1
+    index.apply(1, docs.where("chunk_id < 50").withColumn("text", F.lit("new a"))).merge()
+    assert len(made) == 3  # the batch's texts, and those that it replaces
+    assert all("REPARTITION" not in p for p in plans["postings"])  # ids of dead rows may be shuffled
+    kept = index.postings(["a"]).where("chunk_id = 902").first()
+    assert (kept["size"], kept["tf"], list(kept["positions"])) == (7, 5, [0, 1, 2, 3, 5])
+
+
+def test_blocks_of_postings(monkeypatch):
+    import pyarrow as pa
+
+    random = np.random.default_rng(3)
+    texts = [None, []] + [[f"w{x}" for x in random.integers(0, 30, random.integers(0, 60))] for _ in range(50)]
+    batch = pa.RecordBatch.from_pydict({"chunk_id": pa.array(range(52)), "source": pa.array(["s"] * 52), "slice": pa.array(random.integers(0, 9, 52).astype(np.int32)), "tokens": pa.array(texts, pa.list_(pa.string()))})
+    want = sorted((t, i, len(x), [k for k, u in enumerate(x) if u == t]) for i, x in enumerate(texts) if x for t in set(x))
+    for most in (10**6, 100):  # whole, and in parts
+        monkeypatch.setattr(I, "BLOCK_TOKENS", most)
+        found = [r for b in I._block(batch) for r in b.to_pylist()]
+        assert sorted((r["token"], r["chunk_id"], r["size"], r["positions"]) for r in found) == want and all(r["tf"] == len(r["positions"]) for r in found)
+        if most > 100:
+            assert [(r["token"], r["slice"]) for r in found] == sorted((r["token"], r["slice"]) for r in found)
