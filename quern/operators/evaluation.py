@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions import text as X
+from quern.sources.scratch import Scratch
 
 # English words that tell nothing about a sense.
 STOP_WORDS = ("the", "and", "for", "that", "this", "with", "from", "also", "see", "used", "abbr", "variant")
@@ -151,14 +152,17 @@ def translation_eval(definitions: DataFrame, bands: DataFrame, ref_source: str,
 RANK_PARTS, RANK_ACCURACY = 200, 2000
 
 
-def ranked_differences(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """d, rank: differences b - a that aren't 0, ranked by size; ties have the mean of their ranks.
+def _ranked(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """d, k, rank: distinct differences, the number of each, and their mean rank by size.
 
-    Ranks come from counts per size. Sizes are ordered within parts between approximate percentiles, so no task gets
-    all of them; only the parts' totals are summed in one place.
+    They are computed once and stored: pairs may be sums of doubles, which come out different in their last bits when they
+    are added again in another order, and counts of the one run don't meet differences of the other. Ranks come from counts
+    per size. Sizes are ordered within parts between approximate percentiles, so no task gets all of them; only the parts'
+    totals are summed in one place.
     """
     rows = pairs.select((F.col(b) - F.col(a)).alias("d")).where("d is not null and d <> 0")
-    sizes = rows.groupBy(F.abs("d").alias("size")).agg(F.count(F.lit(1)).alias("k"))
+    rows = Scratch(pairs.sparkSession).table(rows.groupBy("d").agg(F.count(F.lit(1)).alias("k")), "differences")
+    sizes = rows.groupBy(F.abs("d").alias("size")).agg(F.sum("k").alias("k"))
     bounds = sizes.agg(F.percentile_approx("size", [i / RANK_PARTS for i in range(1, RANK_PARTS)], RANK_ACCURACY).alias("bounds"))
     part = F.size(F.filter("bounds", lambda x: x < F.col("size")))
     sizes = sizes.join(F.broadcast(bounds)).select("size", "k", part.alias("part"))  # one row
@@ -166,7 +170,12 @@ def ranked_differences(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFram
     below = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = sizes.groupBy("part").agg(F.sum("k").alias("all")).select("part", F.coalesce(F.sum("all").over(below), F.lit(0)).alias("below"))  # RANK_PARTS rows at most
     sizes = sizes.join(F.broadcast(parts), "part").select("size", (F.col("below") + F.coalesce(F.sum("k").over(inside), F.lit(0)) + (F.col("k") + 1) / 2).alias("rank"))
-    return rows.withColumn("size", F.abs("d")).join(sizes, "size").select("d", "rank")
+    return rows.withColumn("size", F.abs("d")).join(sizes, "size").select("d", "k", "rank")
+
+
+def ranked_differences(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """d, rank: differences b - a that aren't 0, ranked by size; ties have the mean of their ranks."""
+    return _ranked(pairs, a, b).select("d", "rank", F.explode(F.sequence(F.lit(1).cast("long"), "k"))).select("d", "rank")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -179,7 +188,8 @@ def wilcoxon(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     z and p are null under ten differences; without any difference w is 0 and p is 1.
     """
-    rows = ranked_differences(pairs, a, b).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("rank"))), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(F.when(F.col("d") < 0, F.col("rank"))), F.lit(0.0)).alias("w_minus"))
+    ranks = F.col("k") * F.col("rank")
+    rows = _ranked(pairs, a, b).agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("d") > 0, ranks)), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(F.when(F.col("d") < 0, ranks)), F.lit(0.0)).alias("w_minus"))
     n = F.col("n").cast("double")
     rows = rows.withColumn("w", F.least("w_plus", "w_minus"))
     z = F.try_divide(F.col("w") - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24))

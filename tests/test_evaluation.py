@@ -128,3 +128,16 @@ def test_translation_eval(spark):
     table = spark.createDataFrame([("a", 0.5)], "k string, v double")
     assert E.markdown_table(table).splitlines()[-1] == "| a | 0.500 |" and "a & 0.500" in E.latex_table(table)
     assert [E.stars(p) for p in (0.0001, 0.005, 0.03, 0.5, None)] == ["***", "**", "*", "", ""]
+
+
+def test_differences_are_computed_once(spark):
+    """Pairs that come out different each time they are computed, as sums of doubles may."""
+
+    @F.udf("double")
+    def noisy(i):
+        import random
+
+        return 1 + i + random.random() / 2
+
+    r = E.wilcoxon(spark.range(300).select(F.lit(0.0).alias("a"), noisy.asNondeterministic()("id").alias("b"))).first()
+    assert (r["n"], r["w_plus"], r["w_minus"]) == (300, 300 * 301 / 2, 0)
