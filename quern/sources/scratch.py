@@ -34,6 +34,13 @@ class Scratch:
         rows.write.parquet(f"{self.root}/{name}")
         return self.spark.read.schema(rows.schema).parquet(f"{self.root}/{name}")
 
+    def in_order(self, rows: DataFrame, *keys: str) -> DataFrame:
+        """Rows by keys in one partition, for a file that is one by nature: sorted over many tasks and stored, so the last task reads on from one part to the next and holds none."""
+        context = self.spark.sparkContext
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(self.root)
+        return rows.orderBy(*keys).checkpoint().coalesce(1)
+
     def lines(self, rows: DataFrame, line: Column, folder: str, prefix: str = "part", suffix: str = ".txt", head: str | None = None) -> str:
         """Write a line per row and give the files names that readers look for. head: first line of a single file."""
         raw = f"{self.root}/raw-{uuid.uuid4().hex}"

@@ -94,8 +94,9 @@ def read_subtitles(spark, sf_dir):
 @query("SELECT n // 5 AS group_no, string_agg(text, chr(10) ORDER BY n) AS text, substr(arg_min(text, n), 1, 50) AS title FROM (SELECT o_orderkey || ' ' || o_orderpriority AS text, row_number() OVER (ORDER BY o_orderkey) - 1 AS n FROM orders) GROUP BY n // 5")
 def read_split_lines(spark, sf_dir):
     """Orders as the lines of one file, blank ones between, read in many splits and put into groups of five."""
-    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws(" ", "o_orderkey", "o_orderpriority").alias("line")).repartitionByRange(1, "o_orderkey").sortWithinPartitions("o_orderkey")
-    folder = Scratch(spark).lines(rows, F.concat("line", F.lit("\n \r")), "orders", "f")
+    scratch = Scratch(spark)
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws(" ", "o_orderkey", "o_orderpriority").alias("line"))
+    folder = scratch.lines(scratch.in_order(rows, "o_orderkey"), F.concat("line", F.lit("\n \r")), "orders", "f")
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(64 << 10))
     try:

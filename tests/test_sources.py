@@ -221,3 +221,13 @@ def test_lines_are_numbered_over_splits(spark, tmp_path, monkeypatch):
         assert sorted(groups) == ["one/0", "one/1", "one/2", "one/3", "two+é/0"] and groups["one/3"].split("\n")[-1] == lines["one.txt"][-1]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_one_ordered_file_is_sorted_over_many_tasks(spark):
+    from quern.sources.scratch import Scratch
+
+    scratch = Scratch(spark)
+    rows = scratch.in_order(spark.range(5000, numPartitions=7).select((F.col("id") * 7919 % 5000).alias("k")), "k")
+    assert "Sort" not in rows._jdf.queryExecution().executedPlan().toString() and rows.rdd.getNumPartitions() == 1
+    found = spark.read.text(scratch.lines(rows, F.col("k").cast("string"), "ordered")).coalesce(1)
+    assert [int(r["value"]) for r in found.collect()] == list(range(5000))
