@@ -12,6 +12,9 @@ Below its path are tables in folders by bucket and by segment, the number of the
 
 A version is a small file that names the segments of each bucket. It appears last, so a batch that broke off has changed
 nothing, and one that is run again overwrites its own folders or, if its version is there, does nothing.
+
+A deferred index stores a batch's chunks, places and sources only. refresh() brings those of the other tables up to date that
+a reader asks for: texts that were replaced or deleted before are never split, and those that come in are split once.
 """
 
 from __future__ import annotations
@@ -19,7 +22,10 @@ from __future__ import annotations
 import dataclasses
 import json
 import math
+import re
+from collections import defaultdict
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +41,8 @@ from quern.operators import search as S
 SLICES, STEP_ROWS = 64, 1_000_000
 #: Classes of weight, and the size of a chunk that they take for usual.
 LEVELS, USUAL_SIZE = 16, 32
-#: Tokens whose postings are sorted at once.
-BLOCK_TOKENS = 2_000_000
+#: Tokens whose postings are sorted at once, and characters of texts that are split for that, about.
+BLOCK_TOKENS, BLOCK_CHARS = 2_000_000, 12_000_000
 #: Buckets that a task writes side by side, without sorting its rows by bucket.
 OPEN_FILES = 64
 #: Ids that are sent to all tasks, where their number is known; more are joined.
@@ -45,6 +51,12 @@ MOST_SENT = 4_000_000
 SEED_ROWS = 50
 ARTICLE = ("source", "source_article_id")
 TABLES = ("postings", "levels", "totals", "chunks", "places")
+#: Tables that are made from texts, in the order in which they are made.
+DERIVED = ("postings", "totals", "levels")
+#: Bytes of chunks that a task counts at once, and of counts that it adds up.
+COUNT_BYTES = 32 << 20
+#: Runs of letters and digits, which are the tokens of texts in Latin letters (up to U+017F; a dotted capital I becomes two letters).
+OTHER, WORD = "[^\\x{0}-\\x{12F}\\x{131}-\\x{17F}]", re.compile(r"[^\W_]+")
 
 
 def _bucket(buckets: int, *columns: str) -> Column:
@@ -52,49 +64,113 @@ def _bucket(buckets: int, *columns: str) -> Column:
 
 
 def _block(batch: pa.RecordBatch):
-    """Postings of a batch of chunks (chunk_id, source, slice, tokens), sorted by token and slice: one sort of numbers made of token, chunk and place."""
+    """Postings of a batch of chunks (chunk_id, source, slice, tokens), sorted by token and slice."""
     lists, n = batch.column("tokens"), batch.num_rows
     sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     total = int(sizes.sum())
     if not total:
         return
     coded = lists.flatten().dictionary_encode()
-    n_bits, at_bits = n.bit_length(), int(sizes.max()).bit_length()
-    if n > 1 and (total > BLOCK_TOKENS or len(coded.dictionary).bit_length() + n_bits + at_bits > 63):
+    if n > 1 and (total > BLOCK_TOKENS or len(coded.dictionary).bit_length() + n.bit_length() + int(sizes.max()).bit_length() > 63):
         yield from _block(batch.slice(0, n // 2))
         yield from _block(batch.slice(n // 2))
         return
-    by_word = pc.sort_indices(coded.dictionary)
+    yield _run(batch, sizes, coded.indices.to_numpy(), coded.dictionary)
+
+
+def _ranked_words(codes: np.ndarray, words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Places of tokens among the words in order, and these."""
+    by_word = pc.sort_indices(words)
     rank = np.empty(len(by_word), np.int64)
     rank[by_word.to_numpy()] = np.arange(len(by_word))
+    return rank[codes], words.take(by_word)
+
+
+def _placed(order: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each token the place of its chunk in an order of chunks."""
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return np.repeat(place, sizes)
+
+
+def _starts(key: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+
+
+def _run(batch: pa.RecordBatch, sizes: np.ndarray, codes: np.ndarray, words: pa.Array) -> pa.RecordBatch:
+    """Postings of chunks by their tokens' codes: one sort of numbers made of token, chunk and place."""
+    n, total = batch.num_rows, len(codes)
+    n_bits, at_bits = n.bit_length(), int(sizes.max()).bit_length()
+    ranked, words = _ranked_words(codes, words)
     by_slice = np.argsort(batch.column("slice").to_numpy(), kind="stable")
-    place = np.empty(n, np.int64)
-    place[by_slice] = np.arange(n)
     at = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    key = np.sort((rank[coded.indices.to_numpy()] << (n_bits + at_bits)) | (np.repeat(place, sizes) << at_bits) | at)
+    key = np.sort((ranked << (n_bits + at_bits)) | (_placed(by_slice, sizes) << at_bits) | at)
     pair = key >> at_bits
-    first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+    first = _starts(pair)
     tf, pair = np.diff(np.append(first, total)), pair[first]
     chunk = by_slice[pair & ((1 << n_bits) - 1)]
     size = sizes[chunk]
     level = np.floor(LEVELS * tf / (tf + 1.2 * (0.25 + 0.75 * size / USUAL_SIZE))).astype(np.int32)
     positions = pa.ListArray.from_arrays(np.append(first, total).astype(np.int32), (key & ((1 << at_bits) - 1)).astype(np.int32))
-    token = coded.dictionary.take(by_word).take(pa.array(pair >> n_bits))
     own = lambda c: batch.column(c).take(pa.array(chunk))
-    columns = {"token": token, "slice": own("slice"), "level": pa.array(level), "source": own("source"), "chunk_id": own("chunk_id"), "size": pa.array(size.astype(np.int32)), "tf": pa.array(tf.astype(np.int32)), "positions": positions}
-    yield pa.RecordBatch.from_pydict(columns)
+    columns = {"token": words.take(pa.array(pair >> n_bits)), "slice": own("slice"), "level": pa.array(level), "source": own("source"), "chunk_id": own("chunk_id"), "size": pa.array(size.astype(np.int32)), "tf": pa.array(tf.astype(np.int32)), "positions": positions}
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def _counted(batch: pa.RecordBatch, sizes: np.ndarray, codes: np.ndarray, words: pa.Array) -> pa.RecordBatch:
+    """token, source, docs, uses of chunks by their tokens' codes."""
+    n_bits, total = batch.num_rows.bit_length(), len(codes)
+    ranked, words = _ranked_words(codes, words)
+    named = batch.column("source").dictionary_encode()
+    source = pc.fill_null(named.indices, len(named.dictionary)).to_numpy()
+    order = np.argsort(source, kind="stable")
+    key = np.sort((ranked << n_bits) | _placed(order, sizes))
+    first = _starts(key)
+    tf, pair = np.diff(np.append(first, total)), key[first]
+    token, source = pair >> n_bits, source[order[pair & ((1 << n_bits) - 1)]].astype(np.int64)
+    first = _starts(token * (len(named.dictionary) + 1) + source)
+    token, source = token[first], source[first]
+    columns = {"token": words.take(pa.array(token)), "source": named.dictionary.take(pa.array(source, mask=source == len(named.dictionary))), "docs": pa.array(np.diff(np.append(first, len(pair)))), "uses": pa.array(np.add.reduceat(tf, first))}
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def _split(chunks: DataFrame, make, schema: str) -> DataFrame:
+    """What make gives of blocks of chunks. Texts in Latin letters are split by the tasks that take their tokens, others by Spark's expression."""
+    latin = ~F.rlike("text", F.lit(OTHER))
+    rows = chunks.select("chunk_id", "source", _bucket(SLICES, "chunk_id").alias("slice"), F.when(latin, F.col("text")).alias("text"), F.when(~latin, X.tokens(F.col("text"))).alias("tokens"))
+
+    def blocks(batches):
+        for batch in batches:
+            texts, tokens = batch.column("text"), batch.column("tokens")
+            chars = np.cumsum(pc.add(pc.fill_null(pc.utf8_length(texts), 0), pc.multiply(pc.fill_null(pc.list_value_length(tokens), 0), 6)).to_numpy(zero_copy_only=False))
+            low = 0
+            while low < batch.num_rows:
+                high = max(low + 1, int(np.searchsorted(chars, (chars[low - 1] if low else 0) + BLOCK_CHARS)))
+                own = batch.slice(low, high - low)
+                found = [WORD.findall(t.lower()) if t is not None else u or () for t, u in zip(own.column("text").to_pylist(), own.column("tokens").to_pylist())]
+                sizes, known = np.fromiter(map(len, found), np.int64, len(found)), defaultdict()
+                known.default_factory = known.__len__
+                codes = np.fromiter(map(known.__getitem__, chain.from_iterable(found)), np.int64, int(sizes.sum()))
+                if len(codes):
+                    yield make(own, sizes, codes, pa.array(list(known), pa.string()))
+                low = high
+
+    return rows.mapInArrow(blocks, schema)
+
+
+def _kind(chunks: DataFrame, column: str) -> str:
+    return chunks.schema[column].dataType.simpleString()
 
 
 def _postings(chunks: DataFrame, buckets: int) -> DataFrame:
     """bucket, token, slice, level, source, chunk_id, size, tf, positions, in runs that are sorted by token and slice. No shuffle."""
-    kind = {f.name: f.dataType.simpleString() for f in chunks.schema}
-    rows = chunks.select("chunk_id", "source", _bucket(SLICES, "chunk_id").alias("slice"), X.tokens(F.col("text")).alias("tokens"))
+    rows = _split(chunks, _run, f"token string, slice int, level int, source {_kind(chunks, 'source')}, chunk_id {_kind(chunks, 'chunk_id')}, size int, tf int, positions array<int>")
+    return rows.select(_bucket(buckets, "token").alias("bucket"), "*")
 
-    def blocks(batches):
-        for batch in batches:
-            yield from _block(batch)
 
-    rows = rows.mapInArrow(blocks, f"token string, slice int, level int, source {kind['source']}, chunk_id {kind['chunk_id']}, size int, tf int, positions array<int>")
+def _counts(chunks: DataFrame, buckets: int) -> DataFrame:
+    """bucket, token, source, docs, uses: counts of each block, to be added up."""
+    rows = _split(chunks, _counted, f"token string, source {_kind(chunks, 'source')}, docs long, uses long")
     return rows.select(_bucket(buckets, "token").alias("bucket"), "*")
 
 
@@ -113,6 +189,8 @@ class State:
     n: int = 0
     size: int = 0
     n_sources: int = 0
+    deferred: bool = False
+    covered: dict = field(default_factory=dict)
 
 
 class _Files:
@@ -152,14 +230,15 @@ class _Files:
         system.delete(path, True)
 
 
-def build(chunks: DataFrame, path: str, buckets: int = 1024) -> Index:
+def build(chunks: DataFrame, path: str, buckets: int = 1024, deferred: bool = False) -> Index:
     """Write the index of chunks (chunk_id, source, source_article_id, chunk_index, text and more) at a path, in place of what was there. buckets should grow with the vocabulary.
 
-    Ids are expected once; of rows that share one the greatest by its columns is taken. Null texts have no tokens.
+    Ids are expected once; of rows that share one the greatest by its columns is taken. Null texts have no tokens. A deferred
+    index takes batches without splitting their texts, and is to be brought up to date by refresh() before it is searched.
     """
     spark = chunks.sparkSession
     _Files(spark, path).delete("")
-    state = State(buckets=buckets, schema=", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema))
+    state = State(buckets=buckets, schema=", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema), deferred=deferred)
     return Index(spark, path, state).apply(0, chunks)
 
 
@@ -250,13 +329,21 @@ class Index:
 
     def _put(self, rows: DataFrame, table: str, segment: int) -> dict[str, list[int]]:
         """Write rows (bucket and more) as a segment's folders; the table's segments by bucket then. Tasks that meet few buckets write them side by side, in the order of their rows."""
-        name = "spark.sql.maxConcurrentOutputFileWriters"
-        before = self.spark.conf.get(name)
-        self.spark.conf.set(name, str(OPEN_FILES))
+        own = {"spark.sql.maxConcurrentOutputFileWriters": str(OPEN_FILES)}
+        if table in ("totals", "levels"):  # many counts for few bytes: less of them to a task, so that they stay in memory
+            own |= {"spark.sql.files.maxPartitionBytes": str(COUNT_BYTES), "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(COUNT_BYTES)}
+        before = {name: self.spark.conf.get(name) for name in own}
+        for name, value in own.items():
+            self.spark.conf.set(name, value)
+        write = rows.withColumn("segment", F.lit(segment)).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("bucket", "segment")
+        if table == "postings":  # of these few repeat in a file; tokens and sources do
+            for column in ("chunk_id", "positions.list.element"):
+                write = write.option(f"parquet.enable.dictionary#{column}", "false")
         try:
-            rows.withColumn("segment", F.lit(segment)).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("bucket", "segment").parquet(f"{self.path}/{table}")
+            write.parquet(f"{self.path}/{table}")
         finally:
-            self.spark.conf.set(name, before)
+            for name, value in before.items():
+                self.spark.conf.set(name, value)
         out = dict(self.state.segments[table])
         system, path = _Files(self.spark, self.path).at(table)
         for folder in system.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/bucket=*/segment={segment}")) or []:
@@ -302,7 +389,8 @@ class Index:
 
         number tells batches apart and grows; a batch whose number has been applied changes nothing. Only buckets of the
         batch's tokens, ids and articles, and of those that it replaces, are read or written. Texts are shuffled once, to
-        bring the rows of an id together, and split into tokens once; postings are written by the tasks that make them.
+        bring the rows of an id together, and split into tokens once (if deferred, by refresh); postings are written by the
+        tasks that make them.
         """
         if number <= self.state.last_batch:
             return self
@@ -325,37 +413,97 @@ class Index:
         for i, rows in enumerate(rounds):
             mode = "append" if i else "overwrite"
             rows.select("chunk_id", *ARTICLE).write.mode(mode).parquet(f"{self.path}/replaced/{segment}")
+            if self.state.deferred:
+                continue
             first = (F.get("positions", F.lit(0)) == 0).cast("long")  # each chunk with tokens has one
             lost = _postings(rows, b).groupBy("bucket", "token", "source").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("uses"), F.sum(first).alias("chunks"))
             lost.write.mode(mode).parquet(f"{self.path}/lost/{segment}")
-        segments["postings"] = self._put(_postings(fresh, b), "postings", segment)
-        posted = self._only("postings", segments, segment)
-        changed = posted.groupBy("bucket", "token", "source").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("uses"))
-        n_in, n_out, s_out = fresh.where(X.has_token(F.col("text"))).count(), 0, 0
-        if removed:
-            old = self.spark.read.parquet(f"{self.path}/replaced/{segment}")
-            lost = self.spark.read.parquet(f"{self.path}/lost/{segment}")
-            n_out, s_out = lost.agg(F.coalesce(F.sum("chunks"), F.lit(0)), F.coalesce(F.sum("uses"), F.lit(0))).first()
-            changed = changed.unionByName(lost.select("bucket", "token", "source", (-F.col("docs")).alias("docs"), (-F.col("uses")).alias("uses")))
-            changed = changed.groupBy("bucket", "token", "source").agg(F.sum("docs").alias("docs"), F.sum("uses").alias("uses"))
-        segments["totals"] = self._put(changed.sortWithinPartitions("bucket", "token"), "totals", segment)
-        s_in = self._only("totals", segments, segment).agg(F.coalesce(F.sum("uses"), F.lit(0))).first()[0] + s_out
-        levels = posted.groupBy("bucket", "token", "level").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"), F.min("size").alias("least"))
-        segments["levels"] = self._put(levels.sortWithinPartitions("bucket", "token"), "levels", segment)
+        old = self.spark.read.parquet(f"{self.path}/replaced/{segment}") if removed else old
+        n = size = 0
+        if not self.state.deferred:
+            lost = self.spark.read.parquet(f"{self.path}/lost/{segment}") if removed else None
+            out = lost.agg(F.coalesce(F.sum("chunks"), F.lit(0)), F.coalesce(F.sum("uses"), F.lit(0))).first() if removed else (0, 0)
+            n, size = self._derive(DERIVED, fresh, lost, segment, segments, dirty)
+            n, size = n - out[0], size - out[1]
         segments["places"] = self._put(fresh.select(_bucket(b, *ARTICLE).alias("bucket"), *ARTICLE, "chunk_index", "chunk_id").repartition("bucket").sortWithinPartitions("bucket", *ARTICLE, "chunk_index"), "places", segment)
         if removed:
-            touched = {int(k) for k, v in segments["totals"].items() if segment in v}
-            dirty["postings"] |= touched
-            dirty["levels"] |= touched
             dirty["chunks"] |= set(gone)
             dirty["places"] |= set(self._buckets_of(old, *ARTICLE))
         n_sources = self._count_sources(fresh, old, removed, segment)
         state = dataclasses.replace(
             self.state, version=segment, last_batch=number, segments=segments, dirty={t: sorted(x) for t, x in dirty.items()}, dead=[*self.state.dead, segment] if removed else self.state.dead,
-            n_dead=self.state.n_dead + removed, n=self.state.n + n_in - n_out, size=self.state.size + s_in - s_out, n_sources=n_sources,
+            n_dead=self.state.n_dead + removed, n=self.state.n + n, size=self.state.size + size, n_sources=n_sources,
         )
         return self._publish(state)
 
+    def _derive(self, tables, fresh: DataFrame, lost: DataFrame | None, segment: int, segments: dict, dirty: dict) -> tuple[int, int]:
+        """Write a segment of derived tables for rows that came, and take counts of lost ones off. Chunks that have tokens, and these, if levels are among the tables."""
+        b, posted = self.state.buckets, None
+        if "postings" in tables:
+            segments["postings"] = self._put(_postings(fresh, b), "postings", segment)
+            posted = self._only("postings", segments, segment)
+        elif "levels" in tables:  # the first ones, of postings that are there
+            posted = self._live(self._read("postings"))
+        if "totals" in tables:
+            changed = _counts(fresh, b) if posted is None else posted.groupBy("bucket", "token", "source").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("uses"))
+            if lost is not None:
+                changed = changed.unionByName(lost.select("bucket", "token", "source", (-F.col("docs")).alias("docs"), (-F.col("uses")).alias("uses")))
+            if posted is None or lost is not None:
+                changed = changed.groupBy("bucket", "token", "source").agg(F.sum("docs").alias("docs"), F.sum("uses").alias("uses"))
+            segments["totals"] = self._put(changed.sortWithinPartitions("bucket", "token"), "totals", segment)
+        if "levels" in tables:
+            levels = posted.groupBy("bucket", "token", "level").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"), F.min("size").alias("least"))
+            segments["levels"] = self._put(levels.sortWithinPartitions("bucket", "token"), "levels", segment)
+        if lost is not None:
+            touched = {r["bucket"] for r in lost.select("bucket").distinct().collect()}  # buckets at most
+            for table in {"postings", "levels"} & set(tables):
+                dirty[table] |= touched
+        return (fresh.where(X.has_token(F.col("text"))).count(), posted.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]) if "levels" in tables else (0, 0)
+
+    def behind(self, table: str) -> bool:
+        """Whether a table waits for refresh()."""
+        return self.state.deferred and table in DERIVED and self.state.covered.get(table, -1) < self.state.version
+
+    def refresh(self, *tables: str) -> Index:
+        """The index with postings, totals and levels (which need postings), or those that are named, up to date with its chunks. Of a deferred index only; others are."""
+        wanted = [t for t in DERIVED if t in (tables or DERIVED)]
+        wanted = [t for t in DERIVED if self.behind(t) and (t in wanted or (t == "postings" and "levels" in wanted))]
+        if not wanted:
+            return self
+        if "levels" not in wanted and self.state.covered.get("levels", -1) >= 0 and "postings" in wanted:
+            wanted.append("levels")  # levels are told from the postings of one segment, so they go on together
+        now = {self.state.covered.get(t, -1) for t in wanted}
+        if len(now) > 1:  # tables of different states: each is brought up by itself, postings and levels anew
+            again = self._forget("postings", "levels") if "levels" in wanted else self
+            return again.refresh(*(t for t in wanted if t != "totals")).refresh(*tables)
+        since, segment = now.pop(), self.state.version + 1
+        state, names = self.state, [f.name for f in self._chunk_schema()]
+        chosen = lambda test: {"chunks": {k: own for k, v in state.segments["chunks"].items() if (own := [s for s in v if test(s)])}}
+        at = lambda dead, test: Index(self.spark, self.path, dataclasses.replace(state, dead=dead, segments=chosen(test)))
+        fresh = at([d for d in state.dead if d > since + 1], lambda s: s > since).chunks
+        lost, later = None, [d for d in state.dead if d > since]
+        if since >= 0 and later:
+            dead = self.spark.read.parquet(*(f"{self.path}/dead/segment={d}" for d in later)).select("chunk_id").distinct()
+            dead = F.broadcast(dead) if state.n_dead <= MOST_SENT else dead
+            was = at([d for d in state.dead if d <= since], lambda s: s <= since)
+            gone = was._live(was._read("chunks")).join(dead, "chunk_id", "left_semi").select(*names)
+            _counts(gone, state.buckets).write.mode("overwrite").parquet(f"{self.path}/lost/{segment}")
+            lost = self.spark.read.parquet(f"{self.path}/lost/{segment}")
+        segments, dirty = dict(state.segments), {t: set(x) for t, x in state.dirty.items()}
+        n, size = self._derive(wanted, fresh, lost, segment, segments, dirty)
+        if lost is not None and "levels" in wanted:
+            n -= gone.where(X.has_token(F.col("text"))).count()
+            size -= lost.agg(F.coalesce(F.sum("uses"), F.lit(0))).first()[0]
+        covered = {t: segment if t in wanted or v == state.version else v for t, v in {**dict.fromkeys(wanted, -1), **state.covered}.items()}
+        self.sources.write.mode("overwrite").parquet(f"{self.path}/sources/{segment}")
+        return self._publish(dataclasses.replace(state, version=segment, segments=segments, dirty={t: sorted(x) for t, x in dirty.items()}, n=state.n + n, size=state.size + size, covered=covered))
+
+    def _forget(self, *tables: str) -> Index:
+        """The index without what it has of derived tables."""
+        state = self.state
+        segments, dirty, covered = ({k: v for k, v in x.items() if k not in tables} for x in (state.segments, state.dirty, state.covered))
+        return Index(self.spark, self.path, dataclasses.replace(state, segments=segments | {t: {} for t in tables}, dirty=dirty | {t: [] for t in tables}, covered=covered, n=0, size=0))
+
     def _publish(self, state: State) -> Index:
         _Files(self.spark, self.path).write_new(f"versions/{state.version}.json", json.dumps(dataclasses.asdict(state)))
         return Index(self.spark, self.path, state)
@@ -392,6 +540,9 @@ class Index:
 
     def merge(self) -> Index:
         """The index with one segment a bucket and no dead rows. Only buckets that batches since the last merge touched are rewritten."""
+        late = [t for t in DERIVED if self.behind(t) and self.state.covered.get(t, -1) >= 0]
+        if late:
+            return self.refresh(*late).merge()
         segment, segments = self.state.version + 1, {}
         for table in TABLES:
             touched = [int(k) for k, v in self.state.segments[table].items() if len(v) > 1 or int(k) in self.state.dirty[table]]
@@ -411,7 +562,8 @@ class Index:
             new = Index(self.spark, self.path, dataclasses.replace(self.state, segments={table: {}}))._put(rows, table, segment)
             segments[table] |= new
         self.sources.write.mode("overwrite").parquet(f"{self.path}/sources/{segment}")
-        return self._publish(dataclasses.replace(self.state, version=segment, segments=segments, dirty={t: [] for t in TABLES}, dead=[], n_dead=0))
+        covered = {t: segment for t, v in self.state.covered.items() if v >= 0}
+        return self._publish(dataclasses.replace(self.state, version=segment, segments=segments, dirty={t: [] for t in TABLES}, dead=[], n_dead=0, covered=covered))
 
     def vacuum(self) -> None:
         """Delete what this version doesn't read. Readers of earlier versions fail afterwards."""
@@ -435,19 +587,27 @@ class Index:
 
     def _of_tokens(self, table: str, tokens: list[str]) -> DataFrame:
         wanted = sorted(set(tokens)) or [""]
+        self._needs(table)
         return self._read(table, self._buckets_of_keys([(t,) for t in wanted], "token string")).where(F.col("token").isin(*wanted))
 
+    def _needs(self, table: str) -> None:
+        if self.behind(table):
+            raise ValueError(f"{table} of this index are behind its chunks: refresh() it first")
+
     def postings(self, tokens: list[str]) -> DataFrame:
         """Postings of some tokens: other buckets' folders are pruned, and the token test reaches the scan."""
         return self._live(self._of_tokens("postings", tokens))
 
     def vocabulary(self) -> DataFrame:
         """token, doc, cnt of all tokens, from kept counts."""
+        self._needs("totals")
         rows = self._read("totals").groupBy("token").agg(F.sum("docs").alias("doc"), F.sum("uses").alias("cnt"))
         return rows.where("doc > 0")
 
     def totals(self, tokens: list[str]) -> DataFrame:
-        """token, source, docs, uses: true counts, from no posting."""
+        """token, source, docs, uses: true counts, from no posting if totals are kept."""
+        if self.behind("totals"):
+            return self.postings(tokens).groupBy("token", "source").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("uses"))
         return self._of_tokens("totals", tokens).groupBy("token", "source").agg(F.sum("docs").alias("docs"), F.sum("uses").alias("uses")).where("docs > 0")
 
     def _phrase(self, rows: DataFrame, tokens: list[str], docs: dict[str, int]) -> DataFrame:

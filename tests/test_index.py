@@ -1,8 +1,10 @@
 """The stored index against a scan of the texts."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from quern.functions import text as X
 from quern.operators import corpus as C
 from quern.operators import index as I
 from quern.operators import search as S
@@ -177,3 +179,41 @@ def test_blocks_of_postings(monkeypatch):
         assert sorted((r["token"], r["chunk_id"], r["size"], r["positions"]) for r in found) == want and all(r["tf"] == len(r["positions"]) for r in found)
         if most > 100:
             assert [(r["token"], r["slice"]) for r in found] == sorted((r["token"], r["slice"]) for r in found)
+
+
+def test_deferred_index_equals_a_scan(spark, tmp_path, monkeypatch):
+    docs = turned(spark).persist()
+    split = []
+    monkeypatch.setattr(I, "_split", lambda chunks, *a, of=I._split: split.append(sorted(r["chunk_id"] for r in chunks.select("chunk_id").collect())) or of(chunks, *a))
+    index = I.build(docs.where("chunk_id < 300").withColumn("text", F.concat(F.lit("old "), "text")), str(tmp_path / "index"), buckets=2, deferred=True)
+    index = index.apply(1, docs.where("chunk_id >= 40")).apply(2, deletes=docs.where("chunk_id % 9 = 0").select("chunk_id"))
+    final = docs.where("chunk_id % 9 <> 0").withColumn("text", F.when(F.col("chunk_id") < 40, F.concat(F.lit("old "), "text")).otherwise(F.col("text")))
+    assert not split and rows(index.chunks) == rows(final.select(index.chunks.columns))
+    for read in (lambda: index.hits("a"), lambda: index.vocabulary(), lambda: index.ranked(["a"])):
+        with pytest.raises(ValueError):
+            read()
+    now = index.refresh("postings")  # texts that are gone are not split
+    assert split == [sorted(r["chunk_id"] for r in final.collect())] and now.behind("totals")
+    assert rows(now.count_by_source("the", 5)) == rows(S.count_by_source(S.phrase_hits(final, "the"), 5))
+    assert rows(now.hits("the a")) == rows(S.phrase_hits(final, "the a").select("chunk_id", "source"))
+    now = now.refresh()
+    assert rows(now.vocabulary()) == rows(C.vocabulary_of(final))
+    assert I.open_index(spark, now.path).state == now.state and now.refresh() is now
+    split.clear()
+    now = now.apply(3, docs.where("chunk_id in (9, 10, 11)").withColumns({"text": F.lit("new words a"), "source": F.lit(None).cast("string")}), docs.where("chunk_id in (0, 50, 51)").select("chunk_id"))
+    assert now.behind("postings") and not split
+    final = final.where("chunk_id not in (9, 10, 11, 50, 51)").unionByName(docs.where("chunk_id in (9, 10, 11)").withColumns({"text": F.lit("new words a"), "source": F.lit(None).cast("string")}))
+    half = now.refresh("totals")
+    assert split == [[10, 11, 50, 51], [9, 10, 11]] and rows(half.vocabulary()) == rows(C.vocabulary_of(final))
+    same(half.merge(), final, ("the a",))  # brings the others up first
+
+
+def test_texts_in_latin_letters_are_split_as_others(spark):
+    letters = "".join(map(chr, range(1, 0x600))) + "ẞKſ①Ⅷ銀İ_"
+    texts = [f"{c}" for c in letters] + [f"A{c}b{c}{c}C" for c in letters] + ["Der Größe_nach: ÉCOLE, l'été 3½x²", "ab İ ab", None, "", "The the THE 银行"]
+    docs = spark.createDataFrame([(i, "s" if i % 3 else None, t) for i, t in enumerate(texts)], "chunk_id long, source string, text string")
+    want = docs.select("chunk_id", "source", F.posexplode(X.tokens(F.col("text"))).alias("at", "token"))
+    found = I._postings(docs, 4).select("chunk_id", "source", F.explode("positions").alias("at"), "token")
+    assert rows(found) == rows(want)
+    counted = want.groupBy("token", "source").agg(F.count_distinct("chunk_id").alias("docs"), F.count(F.lit(1)).alias("uses"))
+    assert rows(I._counts(docs, 4).groupBy("token", "source").agg(F.sum("docs"), F.sum("uses"))) == rows(counted)
