@@ -22,10 +22,7 @@ from __future__ import annotations
 import dataclasses
 import json
 import math
-import re
-from collections import defaultdict
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -55,8 +52,10 @@ TABLES = ("postings", "levels", "totals", "chunks", "places")
 DERIVED = ("postings", "totals", "levels")
 #: Bytes of chunks that a task counts at once, and of counts that it adds up.
 COUNT_BYTES = 32 << 20
-#: Runs of letters and digits, which are the tokens of texts in Latin letters (up to U+017F; a dotted capital I becomes two letters).
-OTHER, WORD = "[^\\x{0}-\\x{12F}\\x{131}-\\x{17F}]", re.compile(r"[^\W_]+")
+#: Texts in other than Latin letters (up to U+017F; a dotted capital I becomes two letters), and which of these code points are letters or digits, whose runs are the tokens.
+OTHER, IN_WORD = "[^\\x{0}-\\x{12F}\\x{131}-\\x{17F}]", np.array([chr(c).isalnum() for c in range(0x180)])
+#: Which bytes are letters or digits by themselves.
+IN_WORD_ALONE = np.where(np.arange(256) < 128, IN_WORD[:256], False)
 
 
 def _bucket(buckets: int, *columns: str) -> Column:
@@ -134,6 +133,26 @@ def _counted(batch: pa.RecordBatch, sizes: np.ndarray, codes: np.ndarray, words:
     return pa.RecordBatch.from_pydict(columns)
 
 
+def _words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Numbers of tokens of texts in Latin letters, and their tokens, told from the texts' bytes all at once."""
+    texts = pc.utf8_lower(texts)
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    if ends[0] == ends[-1]:
+        return np.zeros(len(texts), np.int64), pa.array([], pa.string())
+    data, ends = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+    inside = IN_WORD_ALONE[data]
+    lead = np.flatnonzero(data >= 0xC0)  # of characters of two bytes
+    inside[lead] = inside[lead + 1] = IN_WORD[((data[lead] & 0x1F).astype(np.int32) << 6) | (data[lead + 1] & 0x3F)]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    own = ends[:-1][ends[:-1] < len(data)]
+    begins[own] = inside[own]  # no token goes on into the next text
+    at, held = np.flatnonzero(begins), np.cumsum(inside, dtype=np.int32)
+    offsets = np.append(held[at] - 1, held[-1]).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data[inside]))
+    return np.diff(np.searchsorted(at, ends)), words
+
+
 def _split(chunks: DataFrame, make, schema: str) -> DataFrame:
     """What make gives of blocks of chunks. Texts in Latin letters are split by the tasks that take their tokens, others by Spark's expression."""
     latin = ~F.rlike("text", F.lit(OTHER))
@@ -147,12 +166,15 @@ def _split(chunks: DataFrame, make, schema: str) -> DataFrame:
             while low < batch.num_rows:
                 high = max(low + 1, int(np.searchsorted(chars, (chars[low - 1] if low else 0) + BLOCK_CHARS)))
                 own = batch.slice(low, high - low)
-                found = [WORD.findall(t.lower()) if t is not None else u or () for t, u in zip(own.column("text").to_pylist(), own.column("tokens").to_pylist())]
-                sizes, known = np.fromiter(map(len, found), np.int64, len(found)), defaultdict()
-                known.default_factory = known.__len__
-                codes = np.fromiter(map(known.__getitem__, chain.from_iterable(found)), np.int64, int(sizes.sum()))
-                if len(codes):
-                    yield make(own, sizes, codes, pa.array(list(known), pa.string()))
+                for column in ("text", "tokens"):
+                    part = own.filter(own.column(column).is_valid())
+                    if column == "text":
+                        sizes, words = _words(part.column(column))
+                    else:
+                        sizes, words = pc.list_value_length(part.column(column)).to_numpy(zero_copy_only=False).astype(np.int64), part.column(column).flatten()
+                    if len(words):
+                        coded = words.dictionary_encode()
+                        yield make(part, sizes, coded.indices.to_numpy(), coded.dictionary)
                 low = high
 
     return rows.mapInArrow(blocks, schema)
@@ -335,7 +357,7 @@ class Index:
         before = {name: self.spark.conf.get(name) for name in own}
         for name, value in own.items():
             self.spark.conf.set(name, value)
-        write = rows.withColumn("segment", F.lit(segment)).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("bucket", "segment")
+        write = rows.withColumn("segment", F.lit(segment)).write.option("partitionOverwriteMode", "dynamic").option("compression", "zstd").mode("overwrite").partitionBy("bucket", "segment")
         if table == "postings":  # of these few repeat in a file; tokens and sources do
             for column in ("chunk_id", "positions.list.element"):
                 write = write.option(f"parquet.enable.dictionary#{column}", "false")
@@ -356,6 +378,27 @@ class Index:
         tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 1)
         return rows.withColumn("deal", F.pmod(F.hash(key), F.lit(-(-2 * tasks // self.state.buckets)))).repartition(tasks, "bucket", "deal")
 
+    def _greatest(self, fresh: DataFrame) -> DataFrame:
+        """Of rows that share an id the greatest, with its bucket: whole rows are shuffled."""
+        names = [f.name for f in self._chunk_schema()]
+        rows = self._dealt(fresh.withColumn("bucket", _bucket(self.state.buckets, "chunk_id")), "chunk_id").groupBy("bucket", "deal", "chunk_id")
+        return rows.agg(F.max(F.struct(*(c for c in names if c != "chunk_id"))).alias("x")).select("bucket", "chunk_id", "x.*").select(*names, "bucket")
+
+    def _one_an_id(self, fresh: DataFrame, segment: int) -> DataFrame:
+        """A row of each id, with its bucket. A deferred index of few buckets looks for ids that come again first and shuffles their rows only; others are written where they are read."""
+        if not self.state.deferred or self.state.buckets > OPEN_FILES:
+            return self._greatest(fresh)
+        path = f"{self.path}/again/{segment}"
+        fresh.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("chunk_id").write.mode("overwrite").parquet(path)
+        again = self.spark.read.parquet(path)
+        n = again.count()
+        rows = fresh.withColumn("bucket", _bucket(self.state.buckets, "chunk_id"))
+        if not n:
+            return rows
+        again = (F.broadcast(again) if n <= MOST_SENT else again).alias("a")
+        shared = F.col("f.chunk_id").eqNullSafe(F.col("a.chunk_id"))
+        return rows.alias("f").join(again, shared, "left_anti").unionByName(self._greatest(fresh.alias("f").join(again, shared, "left_semi")))
+
     def _only(self, table: str, segments: dict, segment: int) -> DataFrame:
         """What one segment has of a table."""
         state = dataclasses.replace(self.state, dead=[], segments={table: {k: [segment] for k, v in segments[table].items() if segment in v}})
@@ -389,8 +432,9 @@ class Index:
 
         number tells batches apart and grows; a batch whose number has been applied changes nothing. Only buckets of the
         batch's tokens, ids and articles, and of those that it replaces, are read or written. Texts are shuffled once, to
-        bring the rows of an id together, and split into tokens once (if deferred, by refresh); postings are written by the
-        tasks that make them.
+        bring the rows of an id together (if deferred, only those whose id comes again; upserts are then read twice and must
+        be the same both times), and split into tokens once (if deferred, by refresh); postings are written by the tasks that
+        make them.
         """
         if number <= self.state.last_batch:
             return self
@@ -399,10 +443,8 @@ class Index:
         fresh = self.spark.createDataFrame([], self.state.schema) if upserts is None else upserts.select(*names)
         if deletes is not None:
             fresh = fresh.join(deletes.select("chunk_id").distinct(), "chunk_id", "left_anti")
-        rest = [c for c in names if c != "chunk_id"]
-        fresh = self._dealt(fresh.withColumn("bucket", _bucket(b, "chunk_id")), "chunk_id").groupBy("bucket", "deal", "chunk_id").agg(F.max(F.struct(*rest)).alias("x"))
         segments, dirty = dict(self.state.segments), {t: set(x) for t, x in self.state.dirty.items()}
-        segments["chunks"] = self._put(fresh.select("bucket", "chunk_id", "x.*").select(*names, "bucket"), "chunks", segment)
+        segments["chunks"] = self._put(self._one_an_id(fresh, segment), "chunks", segment)
         fresh = self._only("chunks", segments, segment).select(*names)
         # rows that the batch replaces or deletes, in the buckets of its ids
         ids = fresh.select("chunk_id")
@@ -574,7 +616,7 @@ class Index:
                     for segment in files.names(f"{table}/{bucket}"):
                         if int(segment.split("=")[1]) not in self.state.segments[table].get(bucket.split("=")[1], []):
                             files.delete(f"{table}/{bucket}/{segment}")
-        for folder, keep in (("dead", {f"segment={s}" for s in self.state.dead}), ("sources", {str(self.state.version)}), ("versions", {f"{self.state.version}.json"}), ("replaced", set()), ("lost", set())):
+        for folder, keep in (("dead", {f"segment={s}" for s in self.state.dead}), ("sources", {str(self.state.version)}), ("versions", {f"{self.state.version}.json"}), ("replaced", set()), ("lost", set()), ("again", set())):
             for name in files.names(folder):
                 if name not in keep:
                     files.delete(f"{folder}/{name}")

@@ -217,3 +217,37 @@ def test_texts_in_latin_letters_are_split_as_others(spark):
     assert rows(found) == rows(want)
     counted = want.groupBy("token", "source").agg(F.count_distinct("chunk_id").alias("docs"), F.count(F.lit(1)).alias("uses"))
     assert rows(I._counts(docs, 4).groupBy("token", "source").agg(F.sum("docs"), F.sum("uses"))) == rows(counted)
+
+
+def test_deferred_batches_shuffle_only_ids_that_come_again(spark, tmp_path, monkeypatch):
+    docs, plans, put = turned(spark), [], I.Index._put
+
+    def noted(self, rows, table, segment):
+        if table == "chunks":
+            plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return put(self, rows, table, segment)
+
+    monkeypatch.setattr(I.Index, "_put", noted)
+    index = I.build(docs, str(tmp_path / "index"), buckets=4, deferred=True)
+    assert "Exchange" not in plans[0] and ".zstd." in index._read("chunks").inputFiles()[0]
+    some = docs.where("chunk_id < 9").unionByName(docs.where("chunk_id < 9").withColumn("text", F.concat("text", F.lit(" more"))))
+    nulls = docs.where("chunk_id < 3").withColumn("chunk_id", F.lit(None).cast("long"))
+    index = index.apply(1, docs.where("chunk_id < 20").where("chunk_id >= 9").unionByName(some).unionByName(nulls))
+    assert plans[1].count("Exchange hashpartitioning") == 1
+    more = docs.withColumn("text", F.when(F.col("chunk_id") < 9, F.concat("text", F.lit(" more"))).otherwise(F.col("text")))
+    assert rows(index.chunks.where("chunk_id is not null")) == rows(more.select(index.chunks.columns)) and index.chunks.where("chunk_id is null").count() == 1
+    assert [r["text"] for r in index.chunks.where("chunk_id is null").collect()] == [max(tuple(r) for r in nulls.select("source", "source_article_id", "title", "chunk_index", "text").collect())[-1]]
+
+
+def test_words_of_bytes():
+    import re
+
+    import pyarrow as pa
+
+    random = np.random.default_rng(5)
+    letters = [chr(c) for c in range(1, 0x180) if c != 0x130] + list(" _aé9Z" * 40)
+    texts = ["", "a", "b", "é", "", " x", "_", "Ÿab", ""] + ["".join(random.choice(letters, int(random.integers(0, 90)))) for _ in range(300)]
+    for own in (texts, texts[4:5], ["", ""], ["_ "], []):
+        sizes, words = I._words(pa.array(["left out"] + own, pa.string()).slice(1))
+        want = [re.findall(r"[^\W_]+", t.lower()) for t in own]
+        assert sizes.tolist() == [len(w) for w in want] and words.to_pylist() == [w for x in want for w in x]
