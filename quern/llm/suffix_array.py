@@ -2,7 +2,7 @@
 
 Suffixes are classified as larger or smaller than their right neighbour. Leftmost-smaller substrings are sorted by a
 first induction and named; the string of names is sorted by the same steps, recursively, until no name repeats; a second
-induction, linear in all, places every suffix. Bytes are induced bucket by bucket, names place by place. Common
+induction places every suffix. Bytes are induced bucket by bucket, names by sorts of their runs. Common
 prefixes are computed where they can't be derived from the text position before, and derived elsewhere.
 """
 
@@ -86,29 +86,46 @@ def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int) ->
     return np.concatenate([np.array([len(text) - 1], np.int32), out]) if len(out) < len(text) else out
 
 
+def _told_apart(rank: np.ndarray, alike: np.ndarray) -> None:
+    """Give each of the places that share a rank one of its own, by the ranks of the places that follow, twice as far each round.
+
+    Every run of such places ends at one whose rank is its own already, so what isn't told apart yet lies within a run."""
+    reach = 1
+    while len(alike):
+        old = rank[alike]
+        ahead = rank[alike + reach]
+        order = np.argsort(old * len(rank) + ahead)
+        alike, old, ahead = alike[order], old[order], ahead[order]
+        place = np.arange(len(alike))
+        first = np.concatenate([[True], old[1:] != old[:-1]])
+        new = first.copy()
+        new[1:] |= ahead[1:] != ahead[:-1]
+        begin = np.maximum.accumulate(np.where(new, place, 0))
+        rank[alike] = old + begin - np.maximum.accumulate(np.where(first, place, 0))
+        alone = new & np.append(new[1:], True)
+        alike, reach = alike[~alone], 2 * reach
+
+
 def _induce_names(text: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int) -> np.ndarray:
-    """The same for a string of names, whose buckets are too many and too small for array operations: place by place."""
-    counts = np.bincount(text, minlength=size)
-    ends = np.cumsum(counts)
+    """The same for a string of names, whose buckets are too many and too small to be visited one by one: larger suffixes
+    of a bucket go by the run that leads each to a leftmost-smaller one, and smaller ones by the run to a larger one."""
+    many = np.bincount(text, minlength=size)
+    start = np.cumsum(many) - many
     seeds = lms[np.argsort(text[lms], kind="stable")]
     first = text[seeds]
     per = np.bincount(first, minlength=size)
-    out = np.full(len(text), -1, np.int64)
-    out[(ends - np.cumsum(per))[first] + np.arange(len(seeds))] = seeds
-    order, symbols, large = out.tolist(), text.tolist(), (~small).tolist()
-    free = (ends - counts).tolist()
-    for at in order:
-        if at > 0 and large[at - 1]:
-            c = symbols[at - 1]
-            order[free[c]] = at - 1
-            free[c] += 1
-    free = ends.tolist()
-    for at in reversed(order):
-        if at > 0 and not large[at - 1]:
-            c = symbols[at - 1]
-            free[c] -= 1
-            order[free[c]] = at - 1
-    return np.array(order, np.int64)
+    larger = np.flatnonzero(~small)
+    larges = np.bincount(text[larger], minlength=size)
+    rank = np.full(len(text), -1, np.int64)
+    rank[seeds] = (start + larges - np.cumsum(per) + per)[first] + np.arange(len(seeds))
+    rank[larger] = start[text[larger]]
+    _told_apart(rank, larger[larges[text[larger]] > 1])
+    smalls = np.flatnonzero(small)
+    rank[smalls] = (start + larges)[text[smalls]]
+    _told_apart(rank, smalls[(many - larges)[text[smalls]] > 1])
+    out = np.empty(len(text), np.int64)
+    out[rank] = np.arange(len(text))
+    return out
 
 
 def _alike(text: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:

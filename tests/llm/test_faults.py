@@ -79,3 +79,55 @@ def test_strings_of_one_hash_are_cut_each_by_itself(monkeypatch):
     # anchors keep their hashes; strings, which are longer, get one of three
     monkeypatch.setattr(S, "_hashes", lambda sums, down, a, b: np.where(np.asarray(b) - np.asarray(a) >= window, true(sums, down, a, b) % np.uint64(3), true(sums, down, a, b)))
     assert run() == expected
+
+
+def shipped_strings(texts, window, shards=1):
+    """What a block of texts, all of whose anchors are shared, ships to its shards."""
+    docs = pa.table({"id": pa.array(range(len(texts))), "text": pa.array(texts), "block": pa.array([0] * len(texts))})
+    raw, offsets = text_bytes(docs.column("text"))
+    flags = np.unique(S._strings(raw, offsets, window)[3] >> np.uint64(64 - S.SHARE_BITS))
+    return S._ship(window, shards)(docs, pa.table({"data": pa.array([S.pack(S._steps(flags))], pa.binary())}))
+
+
+def test_strings_that_share_an_anchor_but_no_window_need_no_suffix_array(monkeypatch):
+    """Frequent phrases shorter than a window made most of the work, more than in proportion to the input."""
+    random = np.random.default_rng(7)
+    word = lambda n: "".join(random.choice(list("abcdefghijklmnop"), n))
+    phrase, passage = word(30), word(60)
+    seen, whole = [], S.window_owners
+    monkeypatch.setattr(S, "window_owners", lambda text, *more: seen.append(len(text)) or whole(text, *more))
+    S._judge(50)(shipped_strings([word(60) + phrase + word(60) for _ in range(200)], 50))
+    assert sum(seen) < 1000
+    # two texts that share a window with others of their anchors are compared, whatever the others are
+    texts = [word(60) + phrase + word(60) for _ in range(50)] + [word(40) + passage + word(40) for _ in range(2)]
+    seen.clear()
+    S._judge(50)(shipped_strings(texts, 50))
+    assert 100 < sum(seen) < 2000
+
+
+def test_suffix_arrays_of_parts_of_a_shard(monkeypatch):
+    random = np.random.default_rng(9)
+    word = lambda n: "".join(random.choice(list("ab"), n))
+    shared = [word(90) for _ in range(20)]
+    texts = [word(30) + shared[random.integers(0, 20)][random.integers(0, 30) :] + word(30) for _ in range(200)]
+    said = [[x.tolist() for x in S.unpack(d.as_py())] for d in S._judge(50)(shipped_strings(texts, 50)).column("data")]
+    calls, whole = [], S.window_owners
+    monkeypatch.setattr(S, "window_owners", lambda text, *more: calls.append(len(text)) or whole(text, *more))
+    monkeypatch.setattr(S, "ARRAY_BYTES", 500)
+    assert [[x.tolist() for x in S.unpack(d.as_py())] for d in S._judge(50)(shipped_strings(texts, 50)).column("data")] == said
+    assert len(calls) > 5
+
+
+def test_blobs_of_strings_grow_as_the_input(spark, monkeypatch):
+    monkeypatch.setattr(S, "PLAIN_BYTES", 20_000)
+    monkeypatch.setattr(S, "BLOCK_BYTES", 1000)
+    monkeypatch.setattr(S, "SHARD_BYTES", 500)
+    shards, numbers, ship, lit = [], [], S._ship, F.lit
+    monkeypatch.setattr(S, "_ship", lambda window, n: shards.append(n) or ship(window, n))
+    monkeypatch.setattr(S.F, "lit", lambda x: numbers.append(x) or lit(x))
+    blobs = []
+    for n in (400, 1600):
+        numbers.clear()
+        S.cut_repeats(spark.range(n).selectExpr("id AS doc_id", "repeat('x', 100) AS text"))
+        blobs.append(max(numbers) * shards[-1])  # blocks are told by the literal that rows are dealt by
+    assert blobs[0] > 100 and blobs[1] <= 5 * blobs[0]
